@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
+from lrforge.llm.quality import OP10_SQL, op10_quality_rules
+from lrforge.llm.urls import OP9_SQL, op9_url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {
+        "op1_mix_sources": op1_mix_sources,
+        "op9_url_filters": op9_url_filters,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {
+        "op1_mix_sources": OP1_SQL,
+        "op9_url_filters": OP9_SQL,
+        "op10_quality_rules": OP10_SQL,
+    }
