@@ -60,9 +60,10 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Sets the byte limit of Arrow batches unless the session has one already."""
+    """Lowers the session's byte limit of Arrow batches to ARROW_BATCH_BYTES if it is higher."""
     spark = df.sparkSession
-    if int(spark.conf.get(BATCH_BYTES_KEY, "0") or 0) not in range(1, ARROW_BATCH_BYTES * 4):
+    held = spark.conf.get(BATCH_BYTES_KEY)
+    if not held.isdigit() and not held.endswith("b") or int(held.rstrip("b")) > ARROW_BATCH_BYTES:
         spark.conf.set(BATCH_BYTES_KEY, str(ARROW_BATCH_BYTES))
     return df
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
+from lrforge.llm.topk import OP7_SQL, op7_top_k
 from lrforge.llm.urls import OP9_SQL, op9_url_filters
+from lrforge.llm.warc import OP6_SQL, op6_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op6_warc": op6_warc,
+        "op7_top_k": op7_top_k,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -24,6 +28,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op6_warc": OP6_SQL,
+        "op7_top_k": OP7_SQL,
         "op9_url_filters": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
     }
