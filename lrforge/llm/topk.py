@@ -67,14 +67,14 @@ def _dots(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     if largest < 2**63:
         return q @ d.T
     limit = np.iinfo(np.int64)
-    return np.clip(q.astype(object) @ d.T.astype(object), limit.min + 1, limit.max).astype(np.int64)
+    return np.clip(q.astype(object) @ d.T.astype(object), limit.min + 2, limit.max).astype(np.int64)
 
 
 def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, score) of each query's k best rows of one shard, rows with its own id left out."""
     dims = min(queries.shape[1], values.shape[1])  # what one side lacks counts as 0
     queries, values = queries[:, :dims], values[:, :dims]
-    lowest = np.iinfo(np.int64).min
+    lowest = np.iinfo(np.int64).min + 1  # its negative is in range
     score = np.full((len(queries), k), lowest, np.int64)
     found = np.full((len(queries), k), NO_ID, np.int64)
     starts = np.arange(0, len(ids), BLOCK_ROWS)
