@@ -79,6 +79,28 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(small, on, how)
 
 
+KEY_DIGITS = 13  # 52 bits, which a double holds exactly
+
+
+def random_key(id_col: Column, seed: str) -> Column:
+    """A hash-random long below 16^KEY_DIGITS, from the id as text; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, KEY_DIGITS), 16, 10).cast("long")
+
+
+def bounded_sample(rows: DataFrame, id_col: str, most: int, seed: str = "fit") -> DataFrame:
+    """All rows, or about `most` of them (within chance) whose hash-random keys are lowest.
+
+    For fitting models only. Which rows are taken depends on ids and their number alone.
+    """
+    n = rows.count()
+    return rows if n <= most else rows.where(random_key(F.col(id_col), seed) < int(16**KEY_DIGITS * (most / n)))
+
+
+def held_out(id_col: Column, folds: int, fold: int) -> Column:
+    """Whether crc32 of the id as text falls into this fold; false for null ids."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

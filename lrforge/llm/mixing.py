@@ -14,14 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lrforge.llm.common import as_table, join_small, read, word_count
-
-KEY_DIGITS = 13  # 52 bits, which a double holds exactly
-
-
-def random_key(id_col: Column, seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, KEY_DIGITS), 16, 10).cast("long")
-
+from lrforge.llm.common import KEY_DIGITS, as_table, join_small, random_key, read, word_count
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """Adds rank and target to rows (src_null, src, source_size), one a source.

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lrforge.llm.langid import op2_language_id
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
 from lrforge.llm.topk import OP7_SQL, op7_top_k
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_language_id": op2_language_id,
         "op6_warc": op6_warc,
         "op7_top_k": op7_top_k,
         "op9_url_filters": op9_url_filters,
