@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +71,21 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[pa.Array]], added: list[T.StructField], drop_text: bool = True) -> DataFrame:
+    """Adds columns that work returns for the texts of a batch; the other columns pass through as they are."""
+    kept = [f for f in df.schema.fields if f.name != text_col or not drop_text]
+    names = [f.name for f in kept]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = work(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+                columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + new
+                yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in added])
+
+    return bounded_batches(df).mapInArrow(go, T.StructType(kept + added))
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", most_rows: int = 20_000) -> DataFrame:
     """Joins with a table of one row a key that is expected to be small.
 

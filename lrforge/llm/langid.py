@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lrforge.llm.common import bounded_batches, bounded_sample, held_out, read
+from lrforge.llm.common import bounded_batches, bounded_sample, held_out, map_texts, read
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -105,48 +107,42 @@ def predict(docs: DataFrame, langs: list[str], log_probs: np.ndarray, text_col:
     n_langs, n_buckets = log_probs.shape
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(log_probs.T, np.float32))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(texts: list[str | None]) -> list[pa.Array]:
         table = shared.value
-        for batch in batches:
-            texts = batch.pop("_text")
-            sums, sizes = np.zeros((len(batch), n_langs)), np.zeros(len(batch), np.int64)
-            held: list[np.ndarray] = []
-            rows: list[int] = []
-
-            def flush() -> None:
-                if held:
-                    lengths = np.array([len(x) for x in held])
-                    ids = np.concatenate(held)
-                    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                    np.add.at(sums, np.array(rows), np.add.reduceat(table[ids].astype(np.float64), starts, axis=0))
-                    np.add.at(sizes, np.array(rows), lengths)
-                    held.clear()
-                    rows.clear()
-
-            waiting = 0
-            for i, text in enumerate(texts):
-                if n_langs and has_letter(text):
-                    for ids in buckets_of(text, n_buckets):
-                        held.append(ids)
-                        rows.append(i)
-                        waiting += len(ids)
-                        if waiting >= BLOCK_CHARS:
-                            flush()
-                            waiting = 0
-            flush()
-            known = sizes > 0
-            pred, top = np.full(len(batch), "und", object), np.zeros(len(batch))
-            if known.any():
-                best = sums[known].argmax(axis=1)
-                scale = np.minimum(1.0, SPREAD * len(ORDERS) / sizes[known])[:, None]
-                odds = np.exp((sums[known] - sums[known].max(axis=1, keepdims=True)) * scale)
-                pred[known], top[known] = np.array(langs, object)[best], 1 / odds.sum(axis=1)
-            yield batch.assign(lang_pred=pred, score=top)
-
-    rows = docs.withColumnRenamed(text_col, "_text")
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
-    return bounded_batches(rows).mapInPandas(score, schema)
+        sums, sizes = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
+        held: list[np.ndarray] = []
+        rows: list[int] = []
+
+        def flush() -> None:
+            if held:
+                lengths = np.array([len(x) for x in held])
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                np.add.at(sums, np.array(rows), np.add.reduceat(table[np.concatenate(held)].astype(np.float64), starts, axis=0))
+                np.add.at(sizes, np.array(rows), lengths)
+                held.clear()
+                rows.clear()
+
+        waiting = 0
+        for i, text in enumerate(texts):
+            if n_langs and has_letter(text):
+                for ids in buckets_of(text, n_buckets):
+                    held.append(ids)
+                    rows.append(i)
+                    waiting += len(ids)
+                    if waiting >= BLOCK_CHARS:
+                        flush()
+                        waiting = 0
+        flush()
+        known = sizes > 0
+        pred, top = np.full(len(texts), "und", object), np.zeros(len(texts))
+        if known.any():
+            best = sums[known].argmax(axis=1)
+            scale = np.minimum(1.0, SPREAD * len(ORDERS) / sizes[known])[:, None]
+            odds = np.exp((sums[known] - sums[known].max(axis=1, keepdims=True)) * scale)
+            pred[known], top[known] = np.array(langs, object)[best], 1 / odds.sum(axis=1)
+        return [pa.array(pred, pa.string()), pa.array(top, pa.float64())]
+
+    return map_texts(docs, text_col, score, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lrforge.llm.langid import op2_language_id
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
 from lrforge.llm.topk import OP7_SQL, op7_top_k
+from lrforge.llm.toxicity import op3_toxicity
 from lrforge.llm.urls import OP9_SQL, op9_url_filters
 from lrforge.llm.warc import OP6_SQL, op6_warc
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_language_id": op2_language_id,
+        "op3_toxicity": op3_toxicity,
         "op6_warc": op6_warc,
         "op7_top_k": op7_top_k,
         "op9_url_filters": op9_url_filters,
