@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lrforge.llm.langid import op2_language_id
+from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
 from lrforge.llm.topk import OP7_SQL, op7_top_k
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": op1_mix_sources,
         "op2_language_id": op2_language_id,
         "op3_toxicity": op3_toxicity,
+        "op4_line_dedup": op4_line_dedup,
         "op6_warc": op6_warc,
         "op7_top_k": op7_top_k,
         "op9_url_filters": op9_url_filters,
@@ -32,6 +34,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL,
+        "op4_line_dedup": OP4_SQL,
         "op6_warc": OP6_SQL,
         "op7_top_k": OP7_SQL,
         "op9_url_filters": OP9_SQL,

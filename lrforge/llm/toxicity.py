@@ -35,7 +35,7 @@ BACKGROUND = 10.0  # weight of the part in proportion to a feature's share of bo
 SURE, SHRINK = 3.0, 2.0  # least |z| of an entry; standard deviations taken off its log-odds
 DRIFT = 0.5
 SIGNIFICANT = 0.01  # expected chance segments in the text, at most
-TOLERANCE = 0.005
+TOLERANCE = 0.002
 BLOCK_CHARS = 1 << 20
 CACHE = 200_000
 
@@ -83,7 +83,14 @@ class Scores(dict):
 def token_scores(text: str, scores: Scores) -> np.ndarray:
     if len(scores) > CACHE:
         scores.clear()
-    return np.concatenate([np.zeros(0), *(np.fromiter(map(scores.__getitem__, words), float, len(words)) for words in tokens(text))])
+    parts = [np.zeros(0)]
+    for words in tokens(text):
+        each = np.fromiter(map(scores.__getitem__, words), float, len(words))
+        for i in np.nonzero(each > 0)[0].tolist():
+            if i and words[i] == words[i - 1]:  # a stutter is no further evidence
+                each[i] = -DRIFT
+        parts.append(each)
+    return np.concatenate(parts)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
