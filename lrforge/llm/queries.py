@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lrforge.llm.langid import op2_language_id
 from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
+from lrforge.llm.neardup import op8_near_duplicates
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
 from lrforge.llm.topk import OP7_SQL, op7_top_k
 from lrforge.llm.toxicity import op3_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op6_warc": op6_warc,
         "op7_top_k": op7_top_k,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
     }
