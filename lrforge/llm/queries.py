@@ -10,6 +10,7 @@ from lrforge.llm.langid import op2_language_id
 from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.neardup import op8_near_duplicates
+from lrforge.llm.pieces import op5_sentencepiece
 from lrforge.llm.quality import OP10_SQL, op10_quality_rules
 from lrforge.llm.topk import OP7_SQL, op7_top_k
 from lrforge.llm.toxicity import op3_toxicity
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": op2_language_id,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_warc": op6_warc,
         "op7_top_k": op7_top_k,
         "op8_near_duplicates": op8_near_duplicates,
