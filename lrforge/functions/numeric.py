@@ -100,5 +100,6 @@ def abs_log_change(fitted: Column, raw: Column) -> Column:
 
 
 def fraction_label(x: Column) -> Column:
-    """1/n below 1, n from 1 on, in two significant digits."""
-    return F.when(x < 1, F.concat(F.lit("1/"), F.format_string("%.2g", 1 / x))).otherwise(F.format_string("%.2g", x))
+    """1/n below 1, n from 1 on, in two significant digits without idle zeros."""
+    digits = lambda v: F.regexp_replace(F.format_string("%.2g", v), r"\.0$", "")
+    return F.when(x < 1, F.concat(F.lit("1/"), digits(1 / x))).otherwise(digits(x))

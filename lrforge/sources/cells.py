@@ -11,7 +11,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lrforge.functions.text import na_to_null
@@ -73,17 +73,11 @@ def scan_csv(spark: SparkSession, path: str, width: int, scenario: str) -> DataF
     """cells of a headerless CSV file of a stated width. Its row order is the order of the file, so it is read as one sheet."""
     schema = ", ".join(f"c{i} string" for i in range(width))
     lines = spark.read.schema(schema).csv(path, multiLine=True, escape='"').withColumn("_at", F.monotonically_increasing_id())
-    rows = lines.select((F.row_number().over(_in_order("_at")) - 1).alias("row_idx"), F.posexplode(F.array(*[f"c{i}" for i in range(width)])).alias("col_idx", "value"))
+    rows = lines.withColumn("row_idx", F.row_number().over(Window.orderBy("_at")) - 1).select("row_idx", F.posexplode(F.array(*[f"c{i}" for i in range(width)])).alias("col_idx", "value"))
     named = rows.select(F.lit(scenario).alias("scenario_id"), F.lit("csv").alias("sheet"), "row_idx", "col_idx", na_to_null(F.col("value")).alias("value"))
     return named.where("value is not null")
 
 
-def _in_order(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
-
-
 def _column_name(i: int) -> str:
     name = ""
     i += 1
