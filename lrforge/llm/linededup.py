@@ -32,14 +32,15 @@ def _marks(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("_id"), F.col("_tag"), F.col("at"))
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     # A passage in a third of all documents is a hot key on the left only, which adaptive execution splits.
-    later = windows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first"))
+    # Repeated windows grow with the input, so they aren't broadcast at any size.
+    later = windows.join(first.select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
     spread = later.groupBy("_id", "_tag").agg(F.collect_set("at").alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     return spread.select("_id", "_tag", covered.alias("covered"))
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tag"), F.col(text_col).alias("_text")]
+def _named(id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tag")]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,13 +55,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     equal in id and text count as one document and lose the same lines. Other columns
     pass through; an empty table gives an empty one.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_named(docs, id_col, text_col))
+    named = _named(id_col, text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
     # Spread evenly by (id, hash): texts meet their marks there, and hot passages play no part.
-    marks = as_table(_marks(docs.select(*_named(docs, id_col, text_col))), "line-marks").select(F.col("_id").alias("m_id"), F.col("_tag").alias("m_tag"), "covered")
-    marked = packed.join(marks, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_tag") == F.col("m_tag")), "left")
-    split = marked.withColumn("_lines", F.split("_text", "\n"))
-    kept = F.array_join(F.array_except(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), F.transform("covered", lambda i: F.struct(i.alias("i"), F.element_at("_lines", i + 1).alias("x")))).getField("x"), "\n")
-    text = F.when(F.col("covered").isNull(), F.col("_text")).otherwise(kept)
+    marks = as_table(_marks(docs.select(*named, F.col(text_col).alias("_text"))), "line-marks").select(F.col("_id").alias("m_id"), F.col("_tag").alias("m_tag"), "covered")
+    marked = packed.join(marks.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_tag") == F.col("m_tag")), "left")
+    split = marked.withColumn("_lines", F.split(F.col(f"row.`{text_col}`"), "\n"))
+    numbered = lambda lines: F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    gone = F.transform("covered", lambda i: F.struct(i.alias("i"), F.element_at("_lines", i + 1).alias("x")))
+    kept = F.array_join(F.array_except(numbered("_lines"), gone).getField("x"), "\n")
+    text = F.when(F.col("covered").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
     columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return split.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"))
 
