@@ -22,18 +22,22 @@ def key_rows(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
     return cells.where((F.col("col_idx") == 0) & is_key_feature(F.col("value"), pattern)).groupBy(*SHEET).agg(F.min("row_idx").alias("key_row"))
 
 
-def widths(cells: DataFrame) -> DataFrame:
-    return cells.groupBy(*SHEET).agg((F.max("col_idx") + 1).alias("width"))
+def header_cells(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
+    """Cells above the key row with key_row and the grid's width. One shuffle by sheet, which later steps keep."""
+    sheet = W.partitionBy(*SHEET)
+    is_key = (F.col("col_idx") == 0) & is_key_feature(F.col("value"), pattern)
+    marked = cells.select(*SHEET, "row_idx", "col_idx", "value", F.min(F.when(is_key, F.col("row_idx"))).over(sheet).alias("key_row"), (F.max("col_idx").over(sheet) + 1).alias("width"))
+    return marked.where("row_idx < key_row")
 
 
 def filled_rows(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
     """Rows above the key row on a dense grid, each cell filled from the left, the first column included."""
-    heads = cells.join(key_rows(cells, pattern), SHEET).where("row_idx < key_row")
-    grid = heads.select(*SHEET, "row_idx").distinct().join(widths(cells), SHEET)
-    dense = grid.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-    along = W.partitionBy(*SHEET, "row_idx").orderBy("col_idx").rowsBetween(W.unboundedPreceding, 0)
-    joined = dense.join(heads.select(*SHEET, "row_idx", "col_idx", "value"), [*SHEET, "row_idx", "col_idx"], "left")
-    return joined.select(*SHEET, "row_idx", "col_idx", "width", normalize_cell(F.last("value", True).over(along)).alias("label"))
+    rows = header_cells(cells, pattern).groupBy(*SHEET, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("m"), F.first("width").alias("width"))
+    fill = lambda done, c: F.concat(done, F.array(F.coalesce(F.col("m")[c], F.element_at(done, -1))))
+    first = F.array(F.col("m")[F.lit(0)])
+    dense = F.aggregate(F.sequence(F.lit(1), F.col("width") - 1), first, fill)
+    labels = F.when(F.col("width") > 1, dense).otherwise(first)
+    return rows.select(*SHEET, "row_idx", "width", F.posexplode(labels).alias("col_idx", "v")).select(*SHEET, "row_idx", "col_idx", "width", normalize_cell(F.col("v")).alias("label"))
 
 
 def category_blocks(filled: DataFrame) -> DataFrame:
@@ -92,62 +96,60 @@ def check_counts(schemas: DataFrame, expected: DataFrame, allow_mismatch: bool =
     return joined.withColumn("warning", F.coalesce(warning, F.lit("")))
 
 
-def category_spans(cells: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(sheet, schema_order, category_order, category, start_col, end_col) from the labels as they stand, not filled.
+def _schema_details(cells: DataFrame, schemas: DataFrame, least: int, pattern: str) -> DataFrame:
+    """Per schema: spans before and after clipping, the prior row and its numbers, as arrays.
+
+    A sheet's header is gathered once and joined with its schemas by sheet; all that
+    follows is worked out within the row, without another shuffle.
+    """
+    number = to_number(F.col("value"))
+    heads = header_cells(cells, pattern).where("col_idx >= 1").groupBy(*SHEET).agg(
+        F.first("width").alias("width"),
+        F.array_sort(F.collect_list(F.struct("col_idx", "row_idx", normalize_cell(F.col("value")).alias("label"), number.alias("number")))).alias("head"),
+    )
+    rows = schemas.select(*SHEET, "schema_order", F.col("row_idx").alias("at")).join(heads, SHEET)
+    rows = rows.withColumn("own", F.expr("filter(head, c -> c.row_idx = at and c.label <> '')")).where("size(own) >= 2")
+    end = "if(i < size(own) - 1, get(own, i + 1).col_idx, least(width, 2 * c.col_idx - get(own, i - 1).col_idx))"
+    rows = rows.withColumn("spans", F.expr(f"transform(own, (c, i) -> named_struct('category_order', i + 1, 'category', c.label, 'start_col', c.col_idx, 'end_col', {end}))"))
+    rows = rows.withColumn("numbers", F.expr("filter(head, c -> c.row_idx > at and c.number is not null)"))
+    enough = f"size(filter(numbers, c -> c.row_idx = r)) >= greatest({least}, least(2, size(own)))"
+    rows = rows.withColumn("prior_row", F.expr(f"array_max(filter(array_distinct(transform(numbers, c -> c.row_idx)), r -> {enough}))"))
+    rows = rows.withColumn("numbers", F.expr("filter(numbers, c -> c.row_idx = prior_row)")).withColumn("last", F.expr("element_at(spans, -1)"))
+    stop = F.expr("array_min(transform(filter(numbers, c -> c.col_idx > last.start_col and not exists(own, o -> o.col_idx = c.col_idx)), c -> c.col_idx))")
+    rows = rows.withColumn("last_end", F.greatest(F.least("last.end_col", F.coalesce(stop, "last.end_col")), F.col("last.start_col") + 1))
+    cut = "named_struct('category_order', s.category_order, 'category', s.category, 'start_col', s.start_col, 'end_col', if(i = size(spans) - 1, last_end, s.end_col))"
+    return rows.withColumn("clipped", F.expr(f"transform(spans, (s, i) -> {cut})"))
+
+
+def category_spans(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
+    """(sheet, schema_order, row_idx, category_order, category, start_col, end_col) from the labels as they stand, not filled.
 
     A span ends where the next begins; the last is as wide as the one before it, up to
     the grid's width. Rows with fewer than two labels give none.
     """
-    own = schemas.select(*SHEET, "row_idx", "schema_order")
-    key = [*SHEET, "schema_order"]
-    order = W.partitionBy(*key).orderBy("col_idx")
-    labels = cells.where("col_idx >= 1").join(own, [*SHEET, "row_idx"]).withColumn("category", normalize_cell(F.col("value"))).where("category <> ''").join(widths(cells), SHEET)
-    spans = labels.select(
-        *key, "row_idx", F.row_number().over(order).alias("category_order"), "category", F.col("col_idx").alias("start_col"), "width",
-        F.lead("col_idx").over(order).alias("next_col"), F.lag("col_idx").over(order).alias("previous_col"), F.count("*").over(W.partitionBy(*key)).alias("n"),
-    )
-    last = F.least("width", F.col("start_col") + F.col("start_col") - F.col("previous_col"))
-    return spans.where("n >= 2").select(*key, "row_idx", "category_order", "category", "start_col", F.coalesce("next_col", last).cast("int").alias("end_col"))
+    return _schema_details(cells, schemas, least, pattern).select(*SHEET, "schema_order", F.col("at").alias("row_idx"), F.inline("spans"))
 
 
-def prior_rows(cells: DataFrame, schemas: DataFrame, spans: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
+def prior_rows(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
     """(sheet, schema_order, prior_row): the last row between schema and key row with enough numbers."""
-    key = [*SHEET, "schema_order"]
-    enough = spans.groupBy(*key).agg(F.greatest(F.lit(least), F.least(F.lit(2), F.count("*"))).alias("k"))
-    between = schemas.select(*key, F.col("row_idx").alias("schema_row")).join(key_rows(cells, pattern), SHEET).join(enough, key)
-    numbers = cells.where((F.col("col_idx") >= 1) & to_number(F.col("value")).isNotNull()).groupBy(*SHEET, "row_idx").agg(F.count("*").alias("numbers"))
-    fits = between.join(numbers, SHEET).where("row_idx > schema_row and row_idx < key_row and numbers >= k")
-    return fits.groupBy(*key).agg(F.max("row_idx").alias("prior_row"))
-
-
-def clipped_spans(cells: DataFrame, spans: DataFrame, priors_at: DataFrame) -> DataFrame:
-    """Ends the last span before the first number in the prior row that no label stands over, a total; one column stays."""
-    key = [*SHEET, "schema_order"]
-    last = spans.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("category_order")))).join(priors_at, key)
-    labelled = spans.select(*key, F.col("start_col").alias("col_idx"))
-    numbers = cells.where(to_number(F.col("value")).isNotNull()).select(*SHEET, F.col("row_idx").alias("prior_row"), "col_idx")
-    loose = last.where("nth = 1").select(*key, "prior_row", "start_col").join(numbers, [*SHEET, "prior_row"]).where("col_idx > start_col").join(labelled, [*key, "col_idx"], "left_anti")
-    stop = loose.groupBy(*key).agg(F.min("col_idx").alias("stop"))
-    joined = last.join(stop, key, "left")
-    end = F.when(F.col("nth") == 1, F.greatest(F.least("end_col", F.coalesce("stop", "end_col")), F.col("start_col") + 1)).otherwise(F.col("end_col"))
-    return joined.select(*key, "row_idx", "prior_row", "category_order", "category", "start_col", end.cast("int").alias("end_col"))
+    return _schema_details(cells, schemas, least, pattern).where("prior_row is not null").select(*SHEET, "schema_order", "prior_row")
+
+
+def clipped_spans(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
+    """Spans whose last one ends before the first number in the prior row that no label stands over, a total; one column stays."""
+    return _schema_details(cells, schemas, least, pattern).where("prior_row is not null").select(*SHEET, "schema_order", F.col("at").alias("row_idx"), "prior_row", F.inline("clipped"))
 
 
 def schema_priors(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
     """Raw and normalized prior of every category, and the raw sum; null normalized if the sum isn't positive."""
-    spans = category_spans(cells, schemas)
-    at = prior_rows(cells, schemas, spans, least, pattern)
-    clipped = clipped_spans(cells, spans, at)
-    key = [*SHEET, "schema_order"]
-    numbers = cells.withColumn("number", to_number(F.col("value"))).where("number is not null").select(*SHEET, F.col("row_idx").alias("prior_row"), "col_idx", "number")
-    # Sheets are equi-joined, so the range condition only meets cells of one row.
-    inside = clipped.join(numbers, [*SHEET, "prior_row"], "left").where("col_idx is null or (col_idx >= start_col and col_idx < end_col)")
-    raw = inside.groupBy(*key, "row_idx", "prior_row", "category_order", "category").agg(F.coalesce(F.sum("number"), F.lit(0.0)).alias("prior_raw"))
-    total = F.sum("prior_raw").over(W.partitionBy(*key))
-    named = raw.withColumn("prior_vector_sum_raw", total).withColumn("n", F.count("*").over(W.partitionBy(*key)).cast("int"))
-    return named.select(
-        *key, F.col("row_idx").alias("schema_row_idx"), schema_sheet_name(F.col("schema_order"), F.col("row_idx"), F.col("n")).alias("schema_sheet_name"), F.col("prior_row").alias("prior_row_idx"),
-        "category_order", "category", "prior_raw", F.when(total > 0, F.col("prior_raw") / total).alias("prior_normalized"), "prior_vector_sum_raw",
+    inside = "aggregate(filter(numbers, c -> c.col_idx >= s.start_col and c.col_idx < s.end_col), 0D, (t, c) -> t + c.number)"
+    rows = _schema_details(cells, schemas, least, pattern).where("prior_row is not null").withColumn("raw", F.expr(f"transform(clipped, s -> {inside})"))
+    rows = rows.withColumn("total", F.expr("aggregate(raw, 0D, (t, x) -> t + x)"))
+    name = schema_sheet_name(F.col("schema_order"), F.col("at"), F.size("clipped"))
+    each = rows.select(*SHEET, "schema_order", F.col("at").alias("schema_row_idx"), name.alias("schema_sheet_name"), F.col("prior_row").alias("prior_row_idx"), "total", F.inline(F.arrays_zip("clipped", "raw")))
+    return each.select(
+        *SHEET, "schema_order", "schema_row_idx", "schema_sheet_name", "prior_row_idx", "clipped.category_order", "clipped.category", F.col("raw").alias("prior_raw"),
+        F.when(F.col("total") > 0, F.col("raw") / F.col("total")).alias("prior_normalized"), F.col("total").alias("prior_vector_sum_raw"),
     )
 
 

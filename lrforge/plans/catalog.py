@@ -324,8 +324,7 @@ def category_spans(spark, sf):
 @query(f"WITH {SPANS} SELECT * FROM prior_rows")
 def prior_row(spark, sf):
     cells = sheets(spark, sf)
-    schemas = _schemas(cells)
-    return parse.prior_rows(cells, schemas, parse.category_spans(cells, schemas))
+    return parse.prior_rows(cells, _schemas(cells))
 
 
 @query(

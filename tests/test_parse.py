@@ -71,7 +71,7 @@ def test_spans_before_clipping(spark):
 def test_last_dense_row_is_chosen(spark):
     c = cells(spark, [None, "A", "B"], [None, "1", "2"], [None, ".4", ".6"], [None, "x", "3"], ["Key feature"], ["f"])
     s = schemas_of(c).where("row_idx = 0")
-    assert parse.prior_rows(c, s, parse.category_spans(c, s)).first()["prior_row"] == 2
+    assert parse.prior_rows(c, s).first()["prior_row"] == 2
 
 
 def test_pairs_and_exclusions(spark):
