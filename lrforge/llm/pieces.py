@@ -41,7 +41,7 @@ ZIPF = 1.0  # exponent of the weights
 LEAST_LOG = -40.0  # sets that hold less than e^-40 of the mass are below a double's precision
 CODE_BITS = 21  # a code point's
 UNIT = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 3 << 20
 
 
 class Vocabulary:
@@ -77,7 +77,7 @@ class Vocabulary:
             ends[state] = i
         self.keys = np.array(sorted(steps), np.int64)
         self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
-        self.ends = np.array(ends, np.int64)
+        self.ends = np.array(ends, np.int32)
         self.first = np.zeros(1 << 16, np.int64)  # the state after a code point below 2^16, for the commonest step
         low = self.keys[self.keys < 1 << 16]
         self.first[low] = self.next[: len(low)]
@@ -107,10 +107,10 @@ def build(units: list[str], v: Vocabulary) -> Lattice:
     codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     ends = np.cumsum(lengths)
     unit = np.repeat(np.arange(len(units)), lengths)
-    left = ends[unit] - np.arange(len(codes))  # characters from here to the unit's end
-    node = np.arange(len(codes)) + unit  # each unit has one node more than characters
+    left = (ends[unit] - np.arange(len(codes))).astype(np.int32)  # characters from here to the unit's end
+    node = (np.arange(len(codes)) + unit).astype(np.int32)  # each unit has one node more than characters
 
-    live, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    live, state = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64)
     starts, widths, ids = [], [], []
     depth = 0
     while len(live):
@@ -131,17 +131,17 @@ def build(units: list[str], v: Vocabulary) -> Lattice:
         ended = v.ends[state] >= 0
         starts.append(live[ended])
         ids.append(v.ends[state[ended]])
-        widths.append(np.full(len(starts[-1]), depth + 1))
+        widths.append(np.full(len(starts[-1]), depth + 1, np.int32))
         depth += 1
         more = left[live] > depth
         live, state = live[more], state[more]
     spelled = np.ones(len(codes), bool)
     if starts:
         spelled[starts[0]] = False
-    spelled = np.nonzero(spelled)[0]
+    spelled = np.nonzero(spelled)[0].astype(np.int32)
     starts.append(spelled)
-    widths.append(np.ones(len(spelled), np.int64))
-    ids.append(np.where(codes[spelled] < 128, v.byte_ids[np.minimum(codes[spelled], 127)], -codes[spelled] - 1))
+    widths.append(np.ones(len(spelled), np.int32))
+    ids.append(np.where(codes[spelled] < 128, v.byte_ids[np.minimum(codes[spelled], 127)], -codes[spelled] - 1).astype(np.int32))
     # Longest first within a node: they tend to be the likeliest.
     start, width, piece = np.concatenate(starts[::-1]), np.concatenate(widths[::-1]), np.concatenate(ids[::-1])
     order = np.argsort(start, kind="stable")
