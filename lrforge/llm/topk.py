@@ -9,6 +9,7 @@ the query's k-th score. Shards' results are merged by a window.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,7 +128,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     # Every chunk of queries goes to every shard: blocks of a stated query set against blocks of all rows.
     numbers = [r[0] for r in shards.select("shard").collect()]  # one number a shard of thousands of rows
-    pairs = asked.withColumn("shard", F.explode(F.array(*[F.lit(x) for x in numbers]))).join(shards, "shard")
+    pairs = asked.withColumn("shard", F.explode(F.from_json(F.lit(json.dumps(numbers)), "array<long>"))).join(shards, "shard")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
