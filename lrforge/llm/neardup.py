@@ -23,10 +23,12 @@ from lrforge.llm.common import as_table, bounded_batches, cut_lineage, map_texts
 from lrforge.llm.graph import connected_components
 from lrforge.llm.shingles import common, shingle_set
 
-TREES, DEPTH, LEAST, WINDOW = 20, 6, 2, 8
+TREES, DEPTH, LEAST, WINDOW, DEEP = 20, 6, 2, 8, 4
 LEVEL_BITS, LEVELS = 21, 3  # levels in one long of a key; a key is two of them
 LIKELY = 0.5  # pairs whose signatures agree less aren't confirmed; the standard error there is 0.046
 SPANNING_ROUNDS = 3
+SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
+FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
 
 _random = np.random.default_rng(8)
@@ -78,11 +80,12 @@ def _neighbours(window: int, ends: bool):
             before = at - o
             near = (tree[at] == tree[before]) & (comp[at] != comp[before])
             at, before = at[near], before[near]
-            near = prefix_levels(k1[at] ^ k1[before], k2[at] ^ k2[before]) >= LEAST
+            levels = prefix_levels(k1[at] ^ k1[before], k2[at] ^ k2[before])
+            near = levels >= LEAST
             at, before = at[near], before[near]
-            found.append(np.stack([np.minimum(ids[at], ids[before]), np.maximum(ids[at], ids[before])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            found.append(np.stack([np.minimum(ids[at], ids[before]), np.maximum(ids[at], ids[before]), levels[near]]))
+        a, b, levels = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": b, "levels": levels})
 
     empty = {"tree": -1, "k1": 0, "k2": 0, "id": 0, "comp": 0}
 
@@ -96,26 +99,33 @@ def _neighbours(window: int, ends: bool):
                 n_heads += len(heads[-1])
             held = rows.tail(window).reset_index(drop=True)
         if ends and held is not None:
-            yield pd.concat([*heads, held]).drop_duplicates().assign(a=0, b=0)[["a", "b", *empty]]
+            yield pd.concat([*heads, held]).drop_duplicates().assign(a=0, b=0, levels=0)[["a", "b", "levels", *empty]]
 
     return go
 
 
-FOUND = "a long, b long, tree int, k1 long, k2 long, id long, comp long"
+FOUND = "a long, b long, levels long, tree int, k1 long, k2 long, id long, comp long"
 
 
-def candidates(sets: DataFrame, window: int) -> DataFrame:
-    """Distinct pairs (a < b) of neighbours in any tree, from rows (id, sig, comp); pairs of one comp are left out.
+def candidates(sets: DataFrame, window: int, trees: int = TREES) -> DataFrame:
+    """Distinct pairs (a < b) of neighbours, from rows (id, sig, comp); pairs of one comp are left out.
+
+    Direct neighbours (window 1) count in any tree. In a wider window a pair counts if
+    it is close in two trees, or in one with DEEP common levels: what a dense region
+    of dissimilar sets brings together by chance is close in one, at a small depth.
 
     Each tree is range-sorted as a whole, so a region of near copies may span many
     partitions; rows at their ends, 2 * window a partition, are matched in a second step.
     """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.element_at("sig", 2 * t + 1).alias("k1"), F.element_at("sig", 2 * t + 2).alias("k2")))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.element_at("sig", 2 * t + 1).alias("k1"), F.element_at("sig", 2 * t + 2).alias("k2")))
     rows = sets.select("id", "comp", F.posexplode(keys).alias("tree", "k")).select("tree", "k.k1", "k.k2", "id", "comp")
     ordered = bounded_batches(rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id"))
     found = as_table(ordered.mapInPandas(_neighbours(window, True), FOUND), "forest-pairs")
     ends = found.where("tree >= 0").select("tree", "k1", "k2", "id", "comp").distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "id")
-    return found.where("tree < 0").select("a", "b").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b")).where("a <> b").distinct()
+    pairs = found.where("tree < 0").select("a", "b", "levels").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels")).where("a <> b")
+    if window == 1:
+        return pairs.select("a", "b").distinct()
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= 2) | (F.col("levels") >= DEEP)).select("a", "b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -137,6 +147,16 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return bounded_batches(joined.select("a", "b", "ta", "tb")).mapInPandas(go, "a long, b long").distinct()
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (id, text) whose id is in ids, distinct: a bitmap of hashed ids, broadcast, drops most of the others
+    where they are read; the exact semi-join sees what passes. With more ids than bits the join does it all."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(spot.alias("s")).groupBy(F.expr("s div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("bits"))
+    marked = docs.where("id is not null").withColumn("s", spot).join(F.broadcast(words), F.expr("s div 32768") == F.col("part"))
+    bit = "shiftright(cast(conv(hex(substring(bits, cast((s % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(s % 8 as int)) & 1"
+    return marked.where(F.expr(f"({bit}) = 1")).select("id", "text").join(ids, "id", "left_semi")
+
+
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components, with these as ca and cb; a node that comps lacks is its own."""
     named = pairs.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -169,32 +189,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row a distinct set: its smallest id and its signature.
     sets = as_table(known.join(reps.withColumnRenamed("rep", "id"), ["n", "d1", "d2", "id"], "left_semi").select("id", "sig").distinct().withColumn("comp", F.col("id")), "sets")
 
-    strong = as_table(candidates(sets, 1), "strong-pairs")
-    ids = strong.select(F.col("a").alias("id")).union(strong.select("b")).distinct()
-    texts = as_table(plain.where("id is not null").join(ids, "id", "left_semi"), "candidate-texts")
+    strong = as_table(candidates(sets, 1, SPANNING_TREES), "strong-pairs")
+    ids = as_table(strong.select(F.col("a").alias("id")).union(strong.select("b")).distinct(), "candidate-ids")
+    texts = as_table(texts_of(plain, ids), "candidate-texts")
 
-    comps = sets.sparkSession.createDataFrame([], "node long, component long")
-    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    tried = links
     # Spanning rounds: each component tries the link to its smallest neighbour, so that
     # a large group is joined by about as many confirmations as it has members.
+    open_pairs = strong.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    tried = links = comps = None
     for _ in range(SPANNING_ROUNDS):
-        open_pairs = _across(strong.join(tried, ["a", "b"], "left_anti"), comps)
         both = open_pairs.select(F.col("ca").alias("at"), F.col("cb").alias("to"), "a", "b").union(open_pairs.select("cb", "ca", "a", "b"))
         chosen = as_table(both.groupBy("at").agg(F.min(F.struct("to", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "chosen-pairs")
-        if chosen.isEmpty():
+        if chosen.isEmpty() and comps is not None:
             break
-        tried = tried.union(chosen)
-        links = links.union(cut_lineage(confirm(chosen, texts)))
+        good = cut_lineage(confirm(chosen, texts))
+        tried, links = (chosen, good) if tried is None else (tried.union(chosen), links.union(good))
         comps = cut_lineage(connected_components(links))
+        open_pairs = as_table(_across(open_pairs.select("a", "b"), comps).join(chosen, ["a", "b"], "left_anti"), "open-pairs")
 
     labelled = sets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    rest = candidates(as_table(labelled, "labelled-sets"), WINDOW).union(_across(strong, comps).select("a", "b")).distinct()
-    rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "open-pairs")
+    rest = candidates(as_table(labelled, "labelled-sets"), WINDOW).union(open_pairs.select("a", "b")).distinct()
+    rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
     if not rest.isEmpty():
-        more = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(ids, "id", "left_anti")
-        texts = texts.union(plain.where("id is not null").join(as_table(more, "more-ids"), "id", "left_semi"))
-        links = links.union(cut_lineage(confirm(rest, texts)))
+        more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(ids, "id", "left_anti"), "more-ids")
+        links = links.union(cut_lineage(confirm(rest, texts.union(texts_of(plain, more)))))
         comps = connected_components(links)
 
     named = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
