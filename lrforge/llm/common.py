@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,6 +73,12 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system: Python workers outlive their tasks, and idle ones should be small."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[pa.Array]], added: list[T.StructField], drop_text: bool = True) -> DataFrame:
     """Adds columns that work returns for the texts of a batch; the other columns pass through as they are."""
     kept = [f for f in df.schema.fields if f.name != text_col or not drop_text]
@@ -82,6 +90,7 @@ def map_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], l
                 new = work(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in names] + new
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in added])
+        release_memory()
 
     return bounded_batches(df).mapInArrow(go, T.StructType(kept + added))
 

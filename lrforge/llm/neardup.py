@@ -1,11 +1,11 @@
 """MinHash near-dedup with an LSH forest.
 
-Every distinct shingle set gets TREES min-hash sequences of DEPTH levels. A tree is
-a sorted order of the sets by their sequence; neighbours in it with a common prefix
-of at least LEAST levels are candidates. In a dense region the nearest WINDOW
-neighbours share the longest prefixes, so the depth that counts there grows by
-itself, and no group is ever expanded into all its pairs. Links are confirmed on
-full shingle sets; groups are connected components of confirmed links.
+Every distinct shingle set gets POOL min-hashes. A tree is a sorted order of the sets
+by DEPTH of them, each tree's own choice in its own sequence; neighbours in it with a
+common prefix of at least LEAST levels are candidates. In a dense region the nearest
+WINDOW neighbours share the longest prefixes, so the depth that counts there grows by
+itself, and no group is ever expanded into all its pairs. Links are confirmed on full
+shingle sets; groups are connected components of confirmed links.
 """
 
 from __future__ import annotations
@@ -19,32 +19,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import as_table, bounded_batches, cut_lineage, map_texts, read
+from lrforge.llm.common import as_table, bounded_batches, cut_lineage, map_texts, read, release_memory
 from lrforge.llm.graph import connected_components
 from lrforge.llm.shingles import common, shingle_set
 
-TREES, DEPTH, LEAST, WINDOW, DEEP = 20, 6, 2, 8, 4
-LEVEL_BITS, LEVELS = 21, 3  # levels in one long of a key; a key is two of them
-LIKELY = 0.5  # pairs whose signatures agree less aren't confirmed; the standard error there is 0.046
+POOL, TREES, DEPTH, LEAST, WINDOW = 160, 40, 12, 2, 8
+DEEP, OFTEN = 6, 3  # a pair in a window counts if it is close at this depth, or in so many trees
+BITS = (15,) * 4 + (7,) * 8  # of the levels of a key; a key is two longs, of four levels and of eight
+SPLIT = 4
+WORD_BITS, WORDS = 16, 4  # min-hashes in one long of a signature
+LIKELY = 0.5  # pairs whose signatures agree less aren't confirmed; the standard error there is 0.04
 SPANNING_ROUNDS = 3
 SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
 FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
 
 _random = np.random.default_rng(8)
-_A = (_random.integers(0, 2**31, TREES * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
-_B = _random.integers(0, 2**32, TREES * DEPTH, np.uint32)
+_A = (_random.integers(0, 2**31, POOL, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
+_B = _random.integers(0, 2**32, POOL, np.uint32)
+_CHOICE = np.stack([_random.permutation(POOL)[:DEPTH] for _ in range(TREES)])
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * 2 longs, each with LEVELS min-hashes of LEVEL_BITS bits."""
+    """POOL min-hashes of WORD_BITS bits, WORDS of them in a long."""
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    least = np.full(TREES * DEPTH, 2**32 - 1, np.uint32)
+    least = np.full(POOL, 2**32 - 1, np.uint32)
     for start in range(0, len(x), 1024):
         least = np.minimum(least, ((x[start : start + 1024, None] ^ _B) * _A).min(axis=0))
     # Minima are small numbers: they are mixed before the leading bits are taken.
-    levels = (least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - LEVEL_BITS)).astype(np.int64).reshape(-1, LEVELS)
-    return (levels << (LEVEL_BITS * np.arange(LEVELS - 1, -1, -1))).sum(axis=1)
+    words = (least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - WORD_BITS)).reshape(-1, WORDS)
+    return (words << (np.uint64(WORD_BITS) * np.arange(WORDS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).astype(np.int64)
+
+
+def keys(signatures: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sets x trees) keys: the leading bits of a tree's min-hashes, first level highest."""
+    words = np.stack([signatures.astype(np.uint64) >> np.uint64(WORD_BITS * i) & np.uint64(0xFFFF) for i in range(WORDS)], axis=2).reshape(len(signatures), POOL)
+    out = []
+    for levels in (range(SPLIT), range(SPLIT, DEPTH)):
+        key = np.zeros((len(signatures), trees), np.uint64)
+        for level in levels:
+            key = key << np.uint64(BITS[level]) | words[:, _CHOICE[:trees, level]] >> np.uint64(WORD_BITS - BITS[level])
+        out.append(key.astype(np.int64))
+    return out[0], out[1]
 
 
 SKETCH = [T.StructField("n", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]
@@ -64,8 +80,8 @@ def _sketch(texts: list[str | None]) -> list[pa.Array]:
 
 def prefix_levels(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
     """Common levels of two keys, given the exclusive ors of their longs."""
-    levels = lambda x: (x < 1 << 2 * LEVEL_BITS).astype(np.int8) + (x < 1 << LEVEL_BITS) + (x == 0)
-    return levels(x1) + np.where(x1 == 0, levels(x2), 0)
+    count = lambda x, n, bits: sum(((x >> bits * (n - i)) == 0).astype(np.int64) for i in range(1, n + 1))
+    return count(x1, SPLIT, BITS[0]) + np.where(x1 == 0, count(x2, DEPTH - SPLIT, BITS[-1]), 0)
 
 
 def _neighbours(window: int, ends: bool):
@@ -107,25 +123,38 @@ def _neighbours(window: int, ends: bool):
 FOUND = "a long, b long, levels long, tree int, k1 long, k2 long, id long, comp long"
 
 
+def _planted(trees: int):
+    """A row a tree and set."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, comps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if len(ids):
+                sigs = batch.column(2).values.slice(batch.column(2).offset * POOL // WORDS).to_numpy(zero_copy_only=False)[: len(ids) * POOL // WORDS].reshape(len(ids), POOL // WORDS)
+                k1, k2 = keys(sigs, trees)
+                for t in range(trees):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(k1[:, t]), pa.array(k2[:, t]), pa.array(ids), pa.array(comps)], names=["tree", "k1", "k2", "id", "comp"])
+
+    return go
+
+
 def candidates(sets: DataFrame, window: int, trees: int = TREES) -> DataFrame:
     """Distinct pairs (a < b) of neighbours, from rows (id, sig, comp); pairs of one comp are left out.
 
     Direct neighbours (window 1) count in any tree. In a wider window a pair counts if
-    it is close in two trees, or in one with DEEP common levels: what a dense region
-    of dissimilar sets brings together by chance is close in one, at a small depth.
-
+    it is close OFTEN, or once with DEEP common levels: what a dense region of
+    dissimilar sets brings together by chance is close in few trees, at a small depth.
     Each tree is range-sorted as a whole, so a region of near copies may span many
     partitions; rows at their ends, 2 * window a partition, are matched in a second step.
     """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.element_at("sig", 2 * t + 1).alias("k1"), F.element_at("sig", 2 * t + 2).alias("k2")))
-    rows = sets.select("id", "comp", F.posexplode(keys).alias("tree", "k")).select("tree", "k.k1", "k.k2", "id", "comp")
+    rows = sets.select("id", "comp", "sig").mapInArrow(_planted(trees), "tree int, k1 long, k2 long, id long, comp long")
     ordered = bounded_batches(rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id"))
     found = as_table(ordered.mapInPandas(_neighbours(window, True), FOUND), "forest-pairs")
     ends = found.where("tree >= 0").select("tree", "k1", "k2", "id", "comp").distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "id")
     pairs = found.where("tree < 0").select("a", "b", "levels").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels")).where("a <> b")
     if window == 1:
         return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= 2) | (F.col("levels") >= DEEP)).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= OFTEN) | (F.col("levels") >= DEEP)).select("a", "b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -142,6 +171,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 both = common(held, other)
                 good[i] = 100 * both >= PERCENT * (len(held) + len(other) - both)
             yield batch.loc[good, ["a", "b"]]
+        release_memory()
 
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     return bounded_batches(joined.select("a", "b", "ta", "tb")).mapInPandas(go, "a long, b long").distinct()
@@ -165,10 +195,11 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def _agree(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose signatures agree in LIKELY of their min-hashes or more."""
-    mask = (1 << LEVEL_BITS) - 1
+    mask = (1 << WORD_BITS) - 1
     sig = lambda c, s: sets.select(F.col("id").alias(c), F.col("sig").alias(s))
-    levels = [F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> int(((x ^ y) & {mask << LEVEL_BITS * i}L) = 0)), 0, (s, e) -> s + e)") for i in range(LEVELS)]
-    return pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").where(sum(levels[1:], levels[0]) >= int(LIKELY * TREES * DEPTH)).select("a", "b").distinct()
+    same = " + ".join(f"int((shiftrightunsigned(x ^ y, {WORD_BITS * i}) & {mask}L) = 0)" for i in range(WORDS))
+    agree = F.expr(f"aggregate(zip_with(sa, sb, (x, y) -> {same}), 0, (s, e) -> s + e)")
+    return pairs.join(sig("a", "sa"), "a").join(sig("b", "sb"), "b").where(agree >= int(LIKELY * POOL)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import bounded_batches, read
+from lrforge.llm.common import bounded_batches, read, release_memory
 from lrforge.llm.shingles import mix
 
 SPACE_MARK = "▁"
@@ -144,8 +144,10 @@ def build(units: list[str], v: Vocabulary) -> Lattice:
     ids.append(np.where(codes[spelled] < 128, v.byte_ids[np.minimum(codes[spelled], 127)], -codes[spelled] - 1).astype(np.int32))
     # Longest first within a node: they tend to be the likeliest.
     start, width, piece = np.concatenate(starts[::-1]), np.concatenate(widths[::-1]), np.concatenate(ids[::-1])
+    del starts, widths, ids
     order = np.argsort(start, kind="stable")
     start, width, piece = start[order], width[order], piece[order]
+    del order
     weight = v.log_weight[np.maximum(piece, 0)]
     for i in np.nonzero(piece < 0)[0].tolist():
         weight[i] = v.log_weight[v.byte_ids[list(chr(-int(piece[i]) - 1).encode("utf-8", "surrogatepass"))]].sum()
@@ -160,6 +162,7 @@ def build(units: list[str], v: Vocabulary) -> Lattice:
         heads = np.concatenate([[0], np.nonzero(np.diff(source[a:b]))[0] + 1]) if b > a else np.zeros(0, np.int64)
         if len(heads):
             beta[source[a:b][heads]] = np.logaddexp.reduceat(w[a:b] + beta[target[a:b]], heads)
+    del near, source, target, w
     source, target = node[start], node[start] + width
     log_p = np.minimum(weight + beta[target] - beta[source], 0.0)
     at = np.searchsorted(source, np.arange(n_nodes + 1))
@@ -397,6 +400,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, k: int = SAMPLES, id_col
                     [ids.take(pa.array(np.array(rows) + start)), pa.array(ranks, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(pieces)), pa.array(log_p), pa.array(included)],
                     names=schema.names,
                 )
+                del found, rows, ranks, pieces, log_p, included
+                release_memory()
                 start = end
 
     return bounded_batches(docs.select(id_col, text_col).where(F.col(text_col).isNotNull())).mapInArrow(go, schema)

@@ -124,7 +124,7 @@ def test_shingles_of_whole_long_texts(monkeypatch):
     assert len(set(word_hashes("a A b é É").tolist())) == 4
 
 
-@pytest.mark.parametrize(("x", "levels"), [((0, 0), 6), ((1, 0), 2), ((1 << 21, 0), 1), ((1 << 42, 0), 0), ((0, 1 << 21), 4)])
+@pytest.mark.parametrize(("x", "levels"), [((0, 0), 12), ((1, 0), 3), ((1 << 15, 0), 2), ((1 << 45, 9), 0), ((0, 1), 11), ((0, 1 << 49), 4)])
 def test_prefix_levels(x, levels):
     import numpy as np
 
