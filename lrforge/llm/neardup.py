@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_pairs = as_table(_across(open_pairs.select("a", "b"), comps).join(chosen, ["a", "b"], "left_anti"), "open-pairs")
 
     labelled = sets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    rest = candidates(as_table(labelled, "labelled-sets"), WINDOW).union(open_pairs.select("a", "b")).distinct()
+    # These include direct neighbours, so that pairs which the spanning rounds left open come up again here.
+    rest = candidates(as_table(labelled, "labelled-sets"), WINDOW)
     rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
     if not rest.isEmpty():
         more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(ids, "id", "left_anti"), "more-ids")
