@@ -2,10 +2,11 @@
 
 Every distinct shingle set gets POOL min-hashes. A tree is a sorted order of the sets
 by DEPTH of them, each tree's own choice in its own sequence; neighbours in it with a
-common prefix of at least LEAST levels are candidates. In a dense region the nearest
-WINDOW neighbours share the longest prefixes, so the depth that counts there grows by
-itself, and no group is ever expanded into all its pairs. Links are confirmed on full
-shingle sets; groups are connected components of confirmed links.
+common prefix of at least LEAST levels are candidates, within WINDOW places. Sets for
+which a window was too small in any tree (crowded ones, in dense regions) are also met
+by an exact prefix-filter join of their shingles across the components known by then,
+so no group is ever expanded into all its pairs. Links are confirmed on full shingle
+sets; groups are connected components of confirmed links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SPANNING_ROUNDS = 3
 SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
 FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
+COMMON = 1 << 17  # commonest shingles that are told from rare ones when crowded sets are ordered; results don't depend on it
+BLOCK = 1 << 22  # pairs of one shingle's sets that are looked at together
 
 _random = np.random.default_rng(8)
 _A = (_random.integers(0, 2**31, POOL, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -85,16 +88,30 @@ def prefix_levels(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(window: int, ends: bool):
-    """Candidates among sorted rows (tree, k1, k2, id, comp); with ends, also the rows near a partition's ends."""
+    """Candidates among sorted rows (tree, k1, k2, id, comp); with ends, also the rows near a partition's ends.
+
+    A window wider than 1 also gives its crowded rows, as pairs of an id with itself:
+    LEAST levels are common with the row `window` places on, so others may lie beyond.
+    """
 
     def pairs(rows: pd.DataFrame, fresh: int) -> pd.DataFrame:
         """Pairs whose later row is at or after `fresh`."""
         tree, k1, k2, ids, comp = (rows[c].to_numpy() for c in ("tree", "k1", "k2", "id", "comp"))
         found = []
+        crowded = np.zeros(len(rows), bool)
+        if 1 < window < len(rows):
+            at = np.arange(window, len(rows))
+            at = at[(tree[at] == tree[at - window]) & (prefix_levels(k1[at] ^ k1[at - window], k2[at] ^ k2[at - window]) >= LEAST)]
+            crowded[at] = crowded[at - window] = True
+            at = at[at >= fresh]
+            marked = np.unique(ids[np.concatenate([at, at - window])])
+            found.append(np.stack([marked, marked, np.zeros(len(marked), np.int64)]))
         for o in range(1, min(window, len(rows) - 1) + 1):
             at = np.arange(max(fresh, o), len(rows))
             before = at - o
             near = (tree[at] == tree[before]) & (comp[at] != comp[before])
+            if o > 1:
+                near &= ~(crowded[at] & crowded[before])  # the exact join meets these
             at, before = at[near], before[near]
             levels = prefix_levels(k1[at] ^ k1[before], k2[at] ^ k2[before])
             near = levels >= LEAST
@@ -138,8 +155,10 @@ def _planted(trees: int):
     return go
 
 
-def candidates(sets: DataFrame, window: int, trees: int = TREES) -> DataFrame:
-    """Distinct pairs (a < b) of neighbours, from rows (id, sig, comp); pairs of one comp are left out.
+def candidates(sets: DataFrame, window: int, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of neighbours, from rows (id, sig, comp), and the distinct ids of crowded sets (none if window is 1).
+
+    Pairs of one comp are left out; of two crowded sets direct neighbours alone are given.
 
     Direct neighbours (window 1) count in any tree. In a wider window a pair counts if
     it is close OFTEN, or once with DEEP common levels: what a dense region of
@@ -151,10 +170,110 @@ def candidates(sets: DataFrame, window: int, trees: int = TREES) -> DataFrame:
     ordered = bounded_batches(rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id"))
     found = as_table(ordered.mapInPandas(_neighbours(window, True), FOUND), "forest-pairs")
     ends = found.where("tree >= 0").select("tree", "k1", "k2", "id", "comp").distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "id")
-    pairs = found.where("tree < 0").select("a", "b", "levels").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels")).where("a <> b")
+    met = found.where("tree < 0").select("a", "b", "levels").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels"))
+    pairs, crowded = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("id")).distinct()
     if window == 1:
-        return pairs.select("a", "b").distinct()
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= OFTEN) | (F.col("levels") >= DEEP)).select("a", "b")
+        return pairs.select("a", "b").distinct(), crowded
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= OFTEN) | (F.col("levels") >= DEEP)).select("a", "b"), crowded
+
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of a batch's texts and in how many of them each is."""
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+        if sets:
+            s, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(n)], names=["s", "n"])
+    release_memory()
+
+
+def _prefixes(shared):
+    """A row for each shingle of a set's prefix: of so many of its rarest that two linked sets have one in common."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, counts = shared.value
+        for batch in batches:
+            for i, comp, text in zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "text")), strict=True):
+                s = shingle_set(text).astype(np.int64)
+                n = len(s)
+                if n:
+                    at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
+                    seen = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(n, np.int64)
+                    s = s[np.lexsort((s, seen))][: n - -(-PERCENT * n // 100) + 1]
+                    same = lambda x: pa.array(np.full(len(s), x, np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(s), same(i), same(comp), same(n), pa.array(np.arange(len(s)))], names=["s", "id", "comp", "n", "pos"])
+        release_memory()
+
+    return go
+
+
+def _meet(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of different comps among sets that share a shingle, sorted by size, which sizes and the shingle's places allow to be linked."""
+    end = np.searchsorted(n, n * 100 // PERCENT, "right")
+    step = max(1, BLOCK // len(ids))
+    for start in range(0, len(ids), step):
+        stop = min(start + step, len(ids))
+        last = end[stop - 1]
+        i, j = np.arange(start, stop)[:, None], np.arange(start, last)[None, :]
+        most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # of the intersection, if no earlier shingle is common
+        i, j = np.nonzero((j > i) & (j < end[i]) & (comp[i] != comp[j]) & ((100 + PERCENT) * most >= PERCENT * (n[i] + n[j])))
+        i, j = ids[i + start], ids[j + start]
+        yield np.stack([np.minimum(i, j), np.maximum(i, j)])
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates from rows (s, id, comp, n, pos) sorted by s and n. A shingle's rows may span batches."""
+
+    def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        s, ids, comp, n, pos = (rows[c].to_numpy() for c in ("s", "id", "comp", "n", "pos"))
+        starts = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0]
+        ends = np.concatenate([starts[1:], [len(s)]])
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        found, size = [], 0
+        for x, y in zip(starts[mixed], ends[mixed], strict=True):
+            for block in _meet(ids[x:y], comp[x:y], n[x:y], pos[x:y]):
+                found.append(block)
+                size += block.shape[1]
+                if size >= BLOCK:
+                    yield pd.DataFrame(np.unique(np.concatenate(found, axis=1), axis=1).T, columns=["a", "b"])
+                    found, size = [], 0
+        if size:
+            yield pd.DataFrame(np.unique(np.concatenate(found, axis=1), axis=1).T, columns=["a", "b"])
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        s = batch["s"].to_numpy()
+        first = int(np.searchsorted(s, s[-1]))  # the last shingle's rows wait for the next batch
+        if first or held and held[-1]["s"].iloc[-1] != s[-1]:
+            yield from pairs(pd.concat([*held, batch.iloc[:first]]))
+            held = []
+        held.append(batch.iloc[first:])
+    if held:
+        yield from pairs(pd.concat(held))
+    release_memory()
+
+
+def exact_candidates(region: DataFrame) -> DataFrame:
+    """All pairs (a < b) of different comps that can be linked, from rows (id, comp, text), by a prefix filter on shingles.
+
+    Any one order of shingles gives all links; from rare to common, what a region has in
+    common stays out of the prefixes. Only the COMMON commonest are counted for it.
+    """
+    spark = region.sparkSession
+    counts = as_table(bounded_batches(region.select("text")).mapInArrow(_shingle_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1"), "shingle-counts")
+    classes = counts.groupBy(F.expr("int(log2(n))").alias("c")).count().orderBy(F.desc("c")).collect()
+    total, least = 0, None
+    for row in classes:
+        total += row["count"]
+        if total > COMMON:
+            break
+        least = row["c"]
+    often = np.zeros((2, 0), np.int64) if least is None else counts.where(F.expr(f"int(log2(n)) >= {least}")).orderBy("s").toPandas().to_numpy(np.int64).T
+    shared = spark.sparkContext.broadcast((np.ascontiguousarray(often[0]), np.ascontiguousarray(often[1])))
+    rows = bounded_batches(region.select("id", "comp", "text")).mapInArrow(_prefixes(shared), "s long, id long, comp long, n long, pos long")
+    return rows.repartition("s").sortWithinPartitions("s", "n").mapInPandas(_meetings, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -220,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row a distinct set: its smallest id and its signature.
     sets = as_table(known.join(reps.withColumnRenamed("rep", "id"), ["n", "d1", "d2", "id"], "left_semi").select("id", "sig").distinct().withColumn("comp", F.col("id")), "sets")
 
-    strong = as_table(candidates(sets, 1, SPANNING_TREES), "strong-pairs")
+    strong = as_table(candidates(sets, 1, SPANNING_TREES)[0], "strong-pairs")
     ids = as_table(strong.select(F.col("a").alias("id")).union(strong.select("b")).distinct(), "candidate-ids")
     texts = as_table(texts_of(plain, ids), "candidate-texts")
 
@@ -240,11 +359,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labelled = sets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
     # These include direct neighbours, so that pairs which the spanning rounds left open come up again here.
-    rest = candidates(as_table(labelled, "labelled-sets"), WINDOW)
+    rest, crowded = candidates(as_table(labelled, "labelled-sets"), WINDOW)
     rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
+    crowded = as_table(crowded, "crowded-ids")
+    more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(crowded).distinct().join(ids, "id", "left_anti"), "more-ids")
+    texts = texts.union(as_table(texts_of(plain, more), "more-texts"))
     if not rest.isEmpty():
-        more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(ids, "id", "left_anti"), "more-ids")
-        links = links.union(cut_lineage(confirm(rest, texts.union(texts_of(plain, more)))))
+        links = links.union(cut_lineage(confirm(rest, texts)))
+        comps = cut_lineage(connected_components(links))
+    if not crowded.isEmpty():
+        region = texts.join(crowded, "id", "left_semi").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
+        region = as_table(region.select("id", F.coalesce("component", "id").alias("comp"), "text"), "crowded-texts")
+        exact = as_table(_agree(exact_candidates(region), sets), "exact-pairs")
+        links = links.union(cut_lineage(confirm(exact, texts)))
         comps = connected_components(links)
 
     named = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
