@@ -160,8 +160,8 @@ def candidates(sets: DataFrame, window: int, trees: int = TREES) -> tuple[DataFr
 
     Pairs of one comp are left out; of two crowded sets direct neighbours alone are given.
 
-    Direct neighbours (window 1) count in any tree. In a wider window a pair counts if
-    it is close OFTEN, or once with DEEP common levels: what a dense region of
+    With window 1 a pair counts in any tree. In a wider window a pair, direct neighbours
+    too, counts if it is close OFTEN, or once with DEEP common levels: what a dense region of
     dissimilar sets brings together by chance is close in few trees, at a small depth.
     Each tree is range-sorted as a whole, so a region of near copies may span many
     partitions; rows at their ends, 2 * window a partition, are matched in a second step.
@@ -358,8 +358,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_pairs = as_table(_across(open_pairs.select("a", "b"), comps).join(chosen, ["a", "b"], "left_anti"), "open-pairs")
 
     labelled = sets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    # These include direct neighbours, so that pairs which the spanning rounds left open come up again here.
+    # Pairs which the spanning rounds left open are tried here, whether or not a window gives them again.
     rest, crowded = candidates(as_table(labelled, "labelled-sets"), WINDOW)
+    rest = rest.union(open_pairs.select("a", "b"))
     rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
     crowded = as_table(crowded, "crowded-ids")
     more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(crowded).distinct().join(ids, "id", "left_anti"), "more-ids")

@@ -145,3 +145,15 @@ def test_links_in_a_dense_region_of_dissimilar_documents(spark):
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(6)).collect()
     want = {i: i - i % 2 if i < 800 else i for i, _ in rows}
     assert len(got) == len(want) and [r for r in got if r["component_id"] != want[r["doc_id"]]] == []
+
+
+def test_pairs_left_open_are_tried_in_the_last_round(spark, monkeypatch):
+    """One spanning round and empty windows: the links are among the pairs that the round left open."""
+    candidates = neardup.candidates
+    monkeypatch.setattr(neardup, "SPANNING_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "candidates", lambda sets, window, *trees: tuple(x.limit(0) if window > 1 else x for x in candidates(sets, window, *trees)))
+    rng = random.Random(3)
+    places = rng.sample(range(60), 60)
+    rows = [(i, " ".join(f"w{w}" for w in range(12 * p, 12 * p + 200))) for i, p in enumerate(places)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r["component_id"] for r in got} == {0}
