@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import bounded_batches, bounded_sample, held_out, map_texts, read
+from lrforge.llm.common import KEY_DIGITS, bounded_batches, held_out, join_small, map_texts, random_key, read
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 MATRIX_BYTES = 16 << 20  # bound of the broadcast matrix; more languages get fewer buckets
-MAX_TRAIN_DOCS = 20_000  # documents that the model is fitted on, chosen by hash of their id
+MAX_TRAIN_DOCS = 20_000  # documents that the model is fitted on, chosen by hash of their id within each language
+LEAST_DOCS = 100  # of each language, if it has so many
 SMOOTHING = 0.5
 SPREAD = 40.0  # the score is taken after this many letters' worth of evidence, so that it doesn't always round to 1
 BLOCK_CHARS = 1 << 20  # numpy works on this many characters at a time
@@ -75,14 +76,25 @@ def _counts(n_buckets: int):
     return count
 
 
+def sample_by_lang(rows: DataFrame, most: int) -> DataFrame:
+    """All rows (id, lang, ...), or of each language about its part of `most` (LEAST_DOCS at least), whose hash-random keys are lowest; smaller languages whole."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    total, n_langs = counts.agg(F.sum("_n"), F.count("*")).first()
+    if not n_langs or total <= most:
+        return rows
+    quota = max(LEAST_DOCS, most // n_langs)
+    return join_small(rows, counts, ["lang"], "inner").where((F.col("_n") <= quota) | (random_key(F.col("id"), "fit") < F.lit(float(16**KEY_DIGITS)) * quota / F.col("_n")))
+
+
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (languages x buckets), from rows for which usable holds.
 
-    Fitted on all such rows, or on about max_docs of them, chosen by hash of their ids.
+    Fitted on all such rows, or on about max_docs of them, chosen by hash of their ids
+    within each language, so that no language is left out.
     Languages count alike: there is no prior. Without rows: no language.
     """
-    rows = docs.where(usable & F.col(lang_col).isNotNull())
-    sample = bounded_sample(rows, id_col, max_docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text is not null")
+    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = sample_by_lang(rows, max_docs).select("lang", "text")
     n_langs = sample.agg(F.countDistinct("lang")).first()[0]
     n_buckets = BUCKETS
     while n_buckets > 256 and n_buckets * n_langs * 4 > MATRIX_BYTES:

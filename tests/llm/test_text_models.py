@@ -86,3 +86,9 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.judge(ask.where("doc_id > 99"), model).count() == 0
     blind = toxicity.train(docs, labels.where("toxic = 0"), F.lit(True))
     assert {r["predicted"] for r in toxicity.judge(ask, blind).collect()} == {0}
+
+
+def test_rare_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(i, f"plain words number {i}", "en") for i in range(800)] + [(1000 + i, f"seltene worte {i}", f"x{i}") for i in range(8)]
+    langs, _ = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), max_docs=50)
+    assert langs == ["en", *(f"x{i}" for i in range(8))]
