@@ -79,9 +79,28 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """df less the columns of these names in any case, so that results can take the names."""
+    gone = {n.lower() for n in names}
+    return df.select(*[named(c) for c in df.columns if c.lower() not in gone])
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, `row`, in which their names can't clash with others."""
+    return F.struct(*[named(c) for c in df.columns]).alias("row")
+
+
 def map_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[pa.Array]], added: list[T.StructField], drop_text: bool = True) -> DataFrame:
-    """Adds columns that work returns for the texts of a batch; the other columns pass through as they are."""
-    kept = [f for f in df.schema.fields if f.name != text_col or not drop_text]
+    """Adds columns that work returns for the texts of a batch; the other columns pass through, but for those whose names the new ones take."""
+    taken = {f.name.lower() for f in added}
+    if text_col.lower() in taken:
+        df, text_col = df.withColumnRenamed(text_col, f"{text_col}__text"), f"{text_col}__text"
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken and (f.name != text_col or not drop_text)]
     names = [f.name for f in kept]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import as_table, bounded_batches, cut_lineage, map_texts, read, release_memory
-from lrforge.llm.graph import connected_components
+from lrforge.llm.common import as_table, bounded_batches, map_texts, named, packed, read, release_memory
+from lrforge.llm.graph import components_by_tasks
 from lrforge.llm.shingles import common, shingle_set
 
 POOL, TREES, DEPTH, LEAST, WINDOW = 160, 40, 12, 2, 8
@@ -30,12 +30,13 @@ BITS = (15,) * 4 + (7,) * 8  # of the levels of a key; a key is two longs, of fo
 SPLIT = 4
 WORD_BITS, WORDS = 16, 4  # min-hashes in one long of a signature
 LIKELY = 0.5  # pairs whose signatures agree less aren't confirmed; the standard error there is 0.04
-SPANNING_ROUNDS = 3
+SPANNING_ROUNDS, FEW_OPEN = 3, 8
 SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
 FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
 COMMON = 1 << 17  # commonest shingles that are told from rare ones when crowded sets are ordered; results don't depend on it
 BLOCK = 1 << 22  # pairs of one shingle's sets that are looked at together
+MOST_ENDS = 200_000  # rows at partitions' ends that one task matches
 
 _random = np.random.default_rng(8)
 _A = (_random.integers(0, 2**31, POOL, np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -164,13 +165,25 @@ def candidates(sets: DataFrame, window: int, trees: int = TREES) -> tuple[DataFr
     too, counts if it is close OFTEN, or once with DEEP common levels: what a dense region of
     dissimilar sets brings together by chance is close in few trees, at a small depth.
     Each tree is range-sorted as a whole, so a region of near copies may span many
-    partitions; rows at their ends, 2 * window a partition, are matched in a second step.
+    partitions; rows at their ends, 2 * window a partition, are matched in the same way,
+    in partitions again while they are more than MOST_ENDS. Rows between which others were
+    left out may meet there too: they are candidates like any, and what they have in common
+    all rows between them have.
     """
+    order = ["tree", "k1", "k2", "id"]
     rows = sets.select("id", "comp", "sig").mapInArrow(_planted(trees), "tree int, k1 long, k2 long, id long, comp long")
-    ordered = bounded_batches(rows.repartitionByRange("tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id"))
-    found = as_table(ordered.mapInPandas(_neighbours(window, True), FOUND), "forest-pairs")
-    ends = found.where("tree >= 0").select("tree", "k1", "k2", "id", "comp").distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "id")
-    met = found.where("tree < 0").select("a", "b", "levels").union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels"))
+    met, parts = None, []
+    while True:
+        ordered = bounded_batches(rows.repartitionByRange(*parts, *order).sortWithinPartitions(*order))
+        found = as_table(ordered.mapInPandas(_neighbours(window, True), FOUND), "forest-pairs")
+        inside = found.where("tree < 0").select("a", "b", "levels")
+        met = inside if met is None else met.union(inside)
+        rows = found.where("tree >= 0").select(*order, "comp")
+        if (n := rows.count()) <= MOST_ENDS:
+            break
+        parts = [n // (MOST_ENDS // 20)]
+    ends = rows.coalesce(1).sortWithinPartitions(*order)
+    met = met.union(ends.mapInPandas(_neighbours(window, False), FOUND).select("a", "b", "levels"))
     pairs, crowded = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("id")).distinct()
     if window == 1:
         return pairs.select("a", "b").distinct(), crowded
@@ -293,7 +306,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         release_memory()
 
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return bounded_batches(joined.select("a", "b", "ta", "tb")).mapInPandas(go, "a long, b long").distinct()
+    return bounded_batches(joined.select("a", "b", "ta", "tb")).mapInPandas(go, "a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -328,23 +341,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole sequence; null, empty and blank texts have none, and each is its own
     component. Equal sets are one node from the start, whatever their number.
     Links need 100 * intersection >= 75 * union on full sets. component_id is the
-    smallest id that links reach. Rows of one id belong together; a row with a null
-    id is linked with nothing and kept, component_id null. Other columns are not
-    looked at; an empty table gives no rows.
+    smallest id that links reach. Ids are whole numbers of up to 64 bits; other types
+    are an error. Rows of one id belong together; a row with a null id is linked with
+    nothing and kept, component_id null. Other columns are not looked at, whatever
+    their names; an empty table gives no rows.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
+    plain = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
     sketches = as_table(map_texts(plain, "text", _sketch, SKETCH), "sketches")
     known = sketches.where("id is not null and n > 0")
-    reps = as_table(known.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "set-nodes")
-    # One row a distinct set: its smallest id and its signature.
-    sets = as_table(known.join(reps.withColumnRenamed("rep", "id"), ["n", "d1", "d2", "id"], "left_semi").select("id", "sig").distinct().withColumn("comp", F.col("id")), "sets")
+    # One row a distinct set: its smallest id and its signature, which equal sets share.
+    reps = as_table(known.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sets")
+    sets = reps.select(F.col("rep").alias("id"), "sig", F.col("rep").alias("comp"))
 
     strong = as_table(candidates(sets, 1, SPANNING_TREES)[0], "strong-pairs")
+    n_strong = strong.count()
     ids = as_table(strong.select(F.col("a").alias("id")).union(strong.select("b")).distinct(), "candidate-ids")
     texts = as_table(texts_of(plain, ids), "candidate-texts")
 
     # Spanning rounds: each component tries the link to its smallest neighbour, so that
-    # a large group is joined by about as many confirmations as it has members.
+    # a large group is joined by about as many confirmations as it has members. Pairs that
+    # are open after them, or when few are, wait for the last round.
     open_pairs = strong.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
     tried = links = comps = None
     for _ in range(SPANNING_ROUNDS):
@@ -352,28 +370,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = as_table(both.groupBy("at").agg(F.min(F.struct("to", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "chosen-pairs")
         if chosen.isEmpty() and comps is not None:
             break
-        good = cut_lineage(confirm(chosen, texts))
+        good = as_table(confirm(chosen, texts), "links")
         tried, links = (chosen, good) if tried is None else (tried.union(chosen), links.union(good))
-        comps = cut_lineage(connected_components(links))
+        comps = components_by_tasks(links)
         open_pairs = as_table(_across(open_pairs.select("a", "b"), comps).join(chosen, ["a", "b"], "left_anti"), "open-pairs")
+        if open_pairs.count() * FEW_OPEN <= n_strong:
+            break
 
     labelled = sets.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-    # Pairs which the spanning rounds left open are tried here, whether or not a window gives them again.
-    rest, crowded = candidates(as_table(labelled, "labelled-sets"), WINDOW)
-    rest = rest.union(open_pairs.select("a", "b"))
-    rest = as_table(_agree(rest.join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
+    labelled = as_table(labelled, "labelled-sets")
+    rest, crowded = candidates(labelled, WINDOW)
     crowded = as_table(crowded, "crowded-ids")
+    # Pairs which the spanning rounds left open are tried here, whether or not a window gives them again.
+    rest = as_table(_agree(rest.union(open_pairs.select("a", "b")).join(tried, ["a", "b"], "left_anti"), sets), "last-pairs")
     more = as_table(rest.select(F.col("a").alias("id")).union(rest.select("b")).union(crowded).distinct().join(ids, "id", "left_anti"), "more-ids")
     texts = texts.union(as_table(texts_of(plain, more), "more-texts"))
     if not rest.isEmpty():
-        links = links.union(cut_lineage(confirm(rest, texts)))
-        comps = cut_lineage(connected_components(links))
+        links = links.union(as_table(confirm(rest, texts), "links"))
+        comps = components_by_tasks(links)
     if not crowded.isEmpty():
+        # Last, when components are nearly whole, as only pairs across them are looked at.
         region = texts.join(crowded, "id", "left_semi").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
         region = as_table(region.select("id", F.coalesce("component", "id").alias("comp"), "text"), "crowded-texts")
         exact = as_table(_agree(exact_candidates(region), sets), "exact-pairs")
-        links = links.union(cut_lineage(confirm(exact, texts)))
-        comps = connected_components(links)
+        comps = components_by_tasks(links.union(confirm(exact, texts)))
 
     named = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = sketches.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
@@ -382,10 +402,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group, columns unchanged."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(as_table(gone, "near-copies"), F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents with the smallest id of their group, columns unchanged, whatever their names.
+
+    Rows of one id stay or go together; a null id stays; texts without a word are
+    nobody's copy. An empty table stays empty.
+    """
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(named(id_col).alias("_gone")).distinct()
+    rows = docs.select(packed(docs), named(id_col).cast("long").alias("_doc"))
+    return rows.join(as_table(gone, "near-copies"), F.col("_doc") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every pair of documents that share a shingle is counted: for small tables.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT w.doc_id, count(shingle)::BIGINT AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+both_sets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_sets JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n_shingles, component_id, component_id = doc_id AS kept
+FROM (SELECT n.doc_id, n.n AS n_shingles, min(b) AS component_id FROM n JOIN reach ON a = n.doc_id GROUP BY n.doc_id, n.n)
+"""
