@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lrforge.functions.numeric import SIGN_MARGIN, classify_cell, ovr_posterior
+from lrforge.functions.text import is_example_header, normalize_cell
 
 SUM_TOLERANCE = 1e-6
 
@@ -16,6 +17,33 @@ def classified(expected: DataFrame, output: DataFrame, position: list[str], valu
     return joined.withColumn("cell", classify_cell(F.col("raw_value"))).withColumn("status", F.col("cell.status")).withColumn("numeric_value", F.col("cell.numeric_value")).drop("cell")
 
 
+def ovr_positions(cells: DataFrame) -> DataFrame:
+    """(scenario_id, sheet, row_idx, col_idx, finding, category): the cells of one-vs-rest sheets that should hold a ratio.
+
+    Columns whose header names a category, without example columns, by rows that name a finding.
+    """
+    sheet = ["scenario_id", "sheet"]
+    text = normalize_cell(F.col("value"), True)
+    heads = cells.where((F.col("row_idx") == 0) & (F.col("col_idx") >= 1) & (text != "") & ~is_example_header(text)).select(*sheet, "col_idx", text.alias("category"))
+    sides = cells.where((F.col("col_idx") == 0) & (F.col("row_idx") >= 1) & (text != "")).select(*sheet, "row_idx", text.alias("finding"))
+    return sides.join(heads, sheet).select(*sheet, "row_idx", "col_idx", "finding", "category")
+
+
+def model_audit(positions: DataFrame, output: DataFrame, models: list[str], by: list[str] = ("scenario_id", "sheet")) -> tuple[DataFrame, DataFrame]:
+    """(cells, summary) of every model and every sheet of the positions, whether or not the model has written it.
+
+    models is a stated list; output: (model_id, by, row_idx, col_idx, value). sheet_exists
+    tells a sheet that is wholly absent from one with gaps.
+    """
+    by = list(by)
+    key = ["model_id", *by, "row_idx", "col_idx"]
+    expected = positions.withColumn("model_id", F.explode(F.array(*map(F.lit, models))))
+    cells = classified(expected, output, key)
+    there = output.select("model_id", *by).distinct().withColumn("sheet_exists", F.lit(True))
+    summary = quality_summary(cells, ["model_id", *by]).join(there, ["model_id", *by], "left")
+    return cells, summary.withColumn("sheet_exists", F.coalesce("sheet_exists", F.lit(False)))
+
+
 def invalid_cells(cells: DataFrame) -> DataFrame:
     return cells.where("status <> 'valid'")
 
@@ -109,6 +137,12 @@ def projection_summary(projected: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def adjustment_tail(adjusted: DataFrame, by: list[str]) -> DataFrame:
+    """Median, 90th and 99th percentile and largest of the factors by which ratios were changed, up or down."""
+    change = F.exp("abs_log_change")
+    return adjusted.groupBy(*by).agg(*[F.percentile(change, F.lit(q)).alias(f"{name}_mult_change") for q, name in ((0.5, "median"), (0.9, "p90"), (0.99, "p99"))], F.max(change).alias("max_mult_change"))
+
+
 def top_adjustments(adjusted: DataFrame, row: list[str], n: int = 500) -> DataFrame:
     """The n categories that the projection changed most, ties by key."""
     return adjusted.orderBy(F.desc("abs_log_change"), *row, "category_order").limit(n)

@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lrforge.functions.numeric import CLIP, SIGN_MARGIN, abs_log_change, logit, multiplicative_change, ovr_posterior
+from lrforge.functions.numeric import SIGN_MARGIN, abs_log_change, multiplicative_change, ovr_posterior
 
 RESULT = (
     "struct<posterior:array<double>,log_scores:array<double>,fitted_ovr_lr:array<double>,rmse:double,success:boolean,message:string,iterations:int,"
     "baseline:int,objective_initial:double,objective_final:double,sum_q_init:double,sum_q_fitted:double,sign_impossible_raw:boolean,sign_impossible_fitted:boolean>"
 )
-TOLERANCE, MOST_STEPS, MOST_HALVINGS, RIDGE = 1e-9, 200, 20, 1e-6
+TOLERANCE, MOST_STEPS, MOST_HALVINGS, RIDGE = 1e-9, 200, 40, 1e-6
+NATIVE_STEPS = 120
 
 
 def row_metrics(long: DataFrame, row: list[str], prior: str = "prior", lr: str = "lr") -> DataFrame:
@@ -31,101 +31,122 @@ def row_metrics(long: DataFrame, row: list[str], prior: str = "prior", lr: str =
     return grouped.withColumn("coherence_gap", F.abs(F.col("sum_q_init") - 1))
 
 
-def coherent_lr(prior: Column, score: Column, row: W) -> Column:
-    """Log one-vs-rest ratio that scores imply: s_k less the log mean of the others' exp(s) under their priors."""
-    mass = prior * F.exp(score)
-    return score - F.ln(F.sum(mass).over(row) - mass) + F.ln(F.greatest(F.lit(1e-300), 1 - prior))
-
-
 def _signs(lr: np.ndarray) -> np.ndarray:
     return (lr > 1 + SIGN_MARGIN).all(axis=1) | (lr < 1 - SIGN_MARGIN).all(axis=1)
 
 
+def _log_others(x: np.ndarray) -> np.ndarray:
+    """Of each entry, the logarithm of the sum of exp over all others of its row."""
+    top = x.max(axis=1, keepdims=True)
+    e = np.exp(x - top)
+    rest = np.stack([np.delete(e, j, axis=1).sum(axis=1) for j in range(x.shape[1])], axis=1)
+    with np.errstate(divide="ignore"):
+        out = np.log(rest) + top
+    lone = np.nonzero(rest == 0)  # all others vanish beside the largest, so they are added up by themselves
+    for i, j in zip(*lone, strict=True):
+        out[i, j] = np.logaddexp.reduce(np.delete(x[i], j))
+    return out
+
+
+class _Objective:
+    """Half the weighted squares of r = ln fitted - ln raw, and half the ridge times the squares of scores.
+
+    ln fitted_k is score k less the logarithm of the others' sum of p exp(s), and a constant. With
+    others[k, m] the share of m in that sum, J = I - others, and the whole second derivative is
+    J'WJ - sum over k of w_k r_k (diag(others[k]) - others[k] others[k]').
+    """
+
+    def __init__(self, p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, base: np.ndarray):
+        self.log_p, self.goal, self.weights, self.ridge = np.log(p), np.log(lr), weights, ridge
+        self.logit_p = self.log_p - _log_others(self.log_p)
+        self.free = np.ones(p.shape, bool)
+        self.free[np.arange(len(p)), base] = False
+
+    def at(self, rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Value, residuals, ln q and ln (1 - q)."""
+        z = s + self.log_p[rows]
+        whole = np.logaddexp.reduce(z, axis=1)[:, None]
+        log_q, log_rest = z - whole, _log_others(z) - whole
+        r = log_q - log_rest - self.logit_p[rows] - self.goal[rows]
+        return 0.5 * (self.weights[rows] * r * r).sum(axis=1) + 0.5 * self.ridge * (s * s).sum(axis=1), r, log_q, log_rest
+
+    def derivatives(self, rows: np.ndarray, s: np.ndarray, r: np.ndarray, log_q: np.ndarray, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient, and the second derivative, with the identity in the place of the base."""
+        free, w, at = self.free[rows], self.weights[rows], np.arange(s.shape[1])
+        others = np.exp(log_q[:, None, :] - log_rest[:, :, None])
+        others[:, at, at] = 0.0
+        wr = w * r
+        gradient = np.where(free, wr - np.einsum("nkm,nk->nm", others, wr) + self.ridge * s, 0.0)
+        jac = np.eye(s.shape[1]) - others
+        h = jac.transpose(0, 2, 1) @ (w[:, :, None] * jac) + others.transpose(0, 2, 1) @ (wr[:, :, None] * others)
+        h[:, at, at] += self.ridge - np.einsum("nkm,nk->nm", others, wr)
+        h = np.where(free[:, :, None] & free[:, None, :], h, 0.0)
+        h[:, at, at] += ~free
+        return gradient, h
+
+
 def _solve(p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, base: np.ndarray) -> dict[str, np.ndarray]:
-    """Damped Gauss-Newton for many rows of one width at once, in log scores of all categories but the base.
+    """Newton's method for many rows of one width at once, in log scores of all categories but the base.
 
-    With posterior q of scores s, ln fitted_k = logit q_k - logit p_k, so that its
-    derivative is 1 by its own score and -q_m / (1 - q_k) by another's.
+    Where the second derivative isn't positive, its eigenvalues count by their size, so
+    that every step goes down. A step is halved until the objective falls by a part of
+    what its slope promises. A row is done when its step is small, or when what the
+    step promises is below the precision of the objective.
     """
     n, k = p.shape
-    goal = np.log(lr)
-    logit_p = np.log(p) - np.log1p(-p)
-    start = np.log(np.clip(p, CLIP, 1 - CLIP)) - np.log1p(-np.clip(p, CLIP, 1 - CLIP)) + goal
-    q0 = np.exp(-np.logaddexp(0, -start))
-    sum0 = q0.sum(axis=1)
-    s = np.log(np.clip(q0 / sum0[:, None], 1e-300, None)) - np.log(p)
+    objective = _Objective(p, lr, weights, ridge, base)
+    log_start = -np.logaddexp(0, -(objective.logit_p + objective.goal))  # each category's posterior by itself
     at = np.arange(n)
+    s = log_start - objective.log_p
     s -= s[at, base][:, None]
-    free = np.array([[j for j in range(k) if j != b] for b in base.tolist()])
-
-    def evaluate(rows: np.ndarray, scores: np.ndarray):
-        z = scores + np.log(p[rows])
-        q = np.exp(z - np.logaddexp.reduce(z, axis=1)[:, None])
-        others = np.clip(np.stack([np.delete(q, j, axis=1).sum(axis=1) for j in range(k)], axis=1), 1e-300, None)
-        fitted = np.log(np.clip(q, 1e-300, None)) - np.log(others) - logit_p[rows]
-        r = fitted - goal[rows]
-        held = np.take_along_axis(scores, free[rows], 1)
-        return 0.5 * (weights[rows] * r * r).sum(axis=1) + 0.5 * ridge * (held * held).sum(axis=1), r, fitted, q, others
-
-    done, message = np.zeros(n, bool), np.full(n, "not converged", object)
-    steps, first, last = np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan)
+    done, message = np.zeros(n, bool), np.full(n, f"not converged after {MOST_STEPS} steps", object)
+    steps, first, last = np.zeros(n, np.int64), objective.at(at, s)[0], np.full(n, np.nan)
     live = at
     for _ in range(MOST_STEPS):
-        value, r, _, q, others = evaluate(live, s[live])
-        before = last[live]
-        first[live] = np.where(steps[live] == 0, value, first[live])
-        last[live] = value
+        value, r, log_q, log_rest = objective.at(live, s[live])
+        gradient, h = objective.derivatives(live, s[live], r, log_q, log_rest)
+        finite = np.isfinite(value) & np.isfinite(gradient).all(axis=1) & np.isfinite(h).all(axis=(1, 2))
+        message[live[~finite]] = "the objective is not finite"
+        live, value, gradient, h = live[finite], value[finite], gradient[finite], h[finite]
+        if not len(live):
+            break
         steps[live] += 1
-        # The change of the objective is looked at once the step that made it is known to be small or not.
-        jac = -q[:, None, :] / others[:, :, None]
-        jac[:, np.arange(k), np.arange(k)] = 1.0
-        jac = np.take_along_axis(jac, np.broadcast_to(free[live][:, None, :], (len(live), k, k - 1)), 2)
-        held = np.take_along_axis(s[live], free[live], 1)
-        w = weights[live]
-        gradient = np.einsum("nkm,nk->nm", jac, w * r) + ridge * held
-        hessian = np.einsum("nkm,nk,nkl->nml", jac, w, jac) + ridge * np.eye(k - 1)
-        try:
-            step = np.linalg.solve(hessian, gradient[:, :, None])[:, :, 0]
-        except np.linalg.LinAlgError:
-            step = np.stack([np.linalg.lstsq(h, g, rcond=None)[0] for h, g in zip(hessian, gradient, strict=True)])
-        full = np.zeros((len(live), k))
-        np.put_along_axis(full, free[live], step, 1)
-
-        scale, open_ = np.ones(len(live)), np.isfinite(step).all(axis=1)
-        message[live[~open_]] = "step is not finite"
-        stopped = ~open_
-        best, best_value = s[live].copy(), value.copy()
+        size, axes = np.linalg.eigh(h)
+        convex = size[:, 0] > 0
+        size = np.maximum(np.abs(size), 1e-12 * np.abs(size).max(axis=1, keepdims=True))
+        along = np.einsum("nij,ni->nj", axes, gradient)
+        step = -np.einsum("nij,nj->ni", axes, along / size)
+        promised = (along * along / size).sum(axis=1)
+        # So near an optimum a whole step squares what is left, which the objective's last digits can't show.
+        small = convex & ((np.abs(step).max(axis=1) < TOLERANCE) | (promised <= 1e-12 * np.maximum(value, 1e-9)))
+        s[live[small]] += step[small]
+        done[live[small]], message[live[small]] = True, "ok"
+        live, value, step, promised = live[~small], value[~small], step[~small], promised[~small]
+        scale, open_ = np.minimum(1.0, 5.0 / np.maximum(np.abs(step).max(axis=1), 1e-300)), np.ones(len(live), bool)
         for _ in range(MOST_HALVINGS):
             tried = np.nonzero(open_)[0]
             if not len(tried):
                 break
-            moved = s[live[tried]] - scale[tried, None] * full[tried]
-            got = evaluate(live[tried], moved)[0]
-            better = got < best_value[tried]
-            best[tried[better]], best_value[tried[better]] = moved[better], got[better]
-            good = got <= value[tried]
+            moved = s[live[tried]] + scale[tried, None] * step[tried]
+            good = objective.at(live[tried], moved)[0] <= value[tried] - 1e-4 * scale[tried] * promised[tried]
             s[live[tried[good]]] = moved[good]
             open_[tried[good]] = False
             scale[tried[~good]] *= 0.5
-        noise = np.nonzero(open_)[0]
-        flat = (best_value[noise] - value[noise]) / np.maximum(1.0, np.abs(value[noise])) <= 1e-10
-        s[live[noise]] = best[noise]
-        done[live[noise[flat]]] = True
-        message[live[noise]] = np.where(flat, "converged within the line search's tolerance", "line search found no better point")
-        stopped[noise] = True
-        small = (np.abs(scale[:, None] * step).max(axis=1) < TOLERANCE) | (np.abs(before - value) < TOLERANCE)
-        small &= ~stopped
-        done[live[small]], message[live[small]] = True, "ok"
-        live = live[~(stopped | small)]
+        # Where no step lowers the objective any more, what is left to gain tells whether this is the optimum.
+        stuck = live[open_]
+        flat = promised[open_] <= 1e-9 * np.maximum(value[open_], 1e-9)
+        done[stuck[flat]], message[stuck] = True, np.where(flat, "ok, at the precision of the objective", "no step lowers the objective")
+        live = live[~open_]
         if not len(live):
             break
-    _, r, fitted, q, _ = evaluate(at, s)
+    last, r, log_q, _ = objective.at(at, s)
+    fitted = r + objective.goal
     with np.errstate(over="ignore"):
         out = np.exp(fitted)
-    again = 1 / (1 + np.exp(-(logit_p + fitted)))
+    again = np.exp(-np.logaddexp(0, -(objective.logit_p + fitted)))
     return {
-        "posterior": q, "log_scores": s, "fitted_ovr_lr": out, "rmse": np.sqrt((r * r).mean(axis=1)), "success": done, "message": message, "iterations": steps, "baseline": base,
-        "objective_initial": first, "objective_final": last, "sum_q_init": sum0, "sum_q_fitted": again.sum(axis=1), "sign_impossible_raw": _signs(lr), "sign_impossible_fitted": _signs(out),
+        "posterior": np.exp(log_q), "log_scores": s, "fitted_ovr_lr": out, "rmse": np.sqrt((r * r).mean(axis=1)), "success": done, "message": message, "iterations": steps, "baseline": base,
+        "objective_initial": first, "objective_final": last, "sum_q_init": np.exp(log_start).sum(axis=1), "sum_q_fitted": again.sum(axis=1), "sign_impossible_raw": _signs(lr), "sign_impossible_fitted": _signs(out),
     }
 
 
@@ -177,6 +198,26 @@ def to_vectors(long: DataFrame, row: list[str], order: str = "category_order", p
     return rows.select(*row, *[F.col(f"v.{c}").alias(name) for c, name in (("category", "categories"), (prior, "priors"), (lr, "ovr_lr"))])
 
 
+PRIOR_KEY = ("scenario_id", "schema_order", "schema_sheet_name")
+
+
+def attach_priors(rows: DataFrame, priors: DataFrame, key: list[str] = PRIOR_KEY) -> tuple[DataFrame, DataFrame]:
+    """(vectors, failed): rows (key, finding, ovr_lr in the order of the sheet's columns) with categories and priors of their schema.
+
+    priors: (key, category_order, category, prior_normalized). Ratios and priors are tied
+    by position, not by label. A schema without priors, or with another number of them
+    than its sheet has columns, gives one row (key, reason) in failed and no vector.
+    """
+    key = list(key)
+    ordered = F.array_sort(F.collect_list(F.struct("category_order", "category", "prior_normalized")))
+    known = priors.groupBy(*key).agg(ordered.alias("v")).select(*key, F.col("v.category").alias("categories"), F.col("v.prior_normalized").alias("priors"))
+    joined = rows.join(known, key, "left")
+    reason = F.when(F.col("priors").isNull(), F.concat(F.lit("no priors for "), F.concat_ws(" / ", *[F.col(c).cast("string") for c in key])))
+    reason = reason.when(F.size("priors") != F.size("ovr_lr"), F.format_string("%d ratios, %d priors", F.size("ovr_lr"), F.size("priors")))
+    judged = joined.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select(*key, "reason").distinct()
+
+
 def adjustments(projected: DataFrame, row: list[str]) -> DataFrame:
     """Projected vectors as a row a category, with what the projection changed."""
     zipped = F.arrays_zip("categories", "priors", "ovr_lr", F.col("result.fitted_ovr_lr").alias("fitted"), F.col("result.posterior").alias("posterior"))
@@ -196,40 +237,51 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _log_lr(q: str) -> str:
-    return f"zip_with({q}, p, (qq, pp) -> ln(qq) - log1p(-qq) - ln(pp) + log1p(-pp))"
-
-
-def _dot(x: str, y: str) -> str:
-    return f"aggregate(zip_with({x}, {y}, (xx, yy) -> xx * yy), 0D, (ss, ee) -> ss + ee)"
+def _sum(x: str, body: str = "e") -> str:
+    return f"aggregate({x}, 0D, (total, e) -> total + {body})"
 
 
-def _shares(x: str, name: str) -> str:
-    return f"transform({x}, {name} -> {name} / aggregate({x}, 0D, (ss, ee) -> ss + ee))"
+def native_projection(vectors: DataFrame, steps: int = NATIVE_STEPS, ridge: float = RIDGE) -> DataFrame:
+    """Adds posterior_native, fitted_native and success_native by Catalyst functions alone (unit weights, the likeliest category as base).
 
-
-def native_projection(vectors: DataFrame, steps: int = 60, halvings: int = 12) -> DataFrame:
-    """Adds posterior_native, fitted_native and success_native by Catalyst functions alone (no ridge, unit weights).
-
-    With r = ln fitted - ln raw and a = q (1 - q), the Gauss-Newton step on logits has
-    the closed form du = -r + a (a.r) / (a.a), and ln q moves by (1 - q) du. Of the step
-    and its halves the first is taken that doesn't raise the sum of squares. Steps are
-    folded over the posterior; at a fixed point they change nothing. success_native
-    says that the last move was small; rows without success belong on the ridge path.
+    The same objective and optimum as project. Its second derivative is a diagonal and
+    two more directions, so a damped Newton step has a closed form with sums over the
+    categories (Woodbury). A fold tries one step; the damping falls tenfold where it
+    lowers the objective and grows tenfold where it doesn't. success_native says that
+    the last step tried was small and the damping low.
+    """
+    data = vectors.withColumn("p", F.expr(f"transform(priors, x -> x / {_sum('priors')})")).withColumn("base", F.expr("array_position(p, array_max(p)) - 1"))
+    # Constants of a category: prior and its logit and the goal, together; i tells the base.
+    data = data.withColumn("c", F.expr("zip_with(p, transform(ovr_lr, (x, i) -> struct(ln(x) as g, i as i)), (pp, y) -> struct(pp as p, ln(pp) - ln1p_rest(pp) + y.g as goal, if(y.i = base, 0D, 1D) as free))".replace("ln1p_rest(pp)", "log1p(-pp)")))
+    start = "zip_with(c, p, (k, pp) -> -log1p(exp(-k.goal)) - ln(pp))"
+    data = data.withColumn("s0", F.expr(start)).withColumn("s0", F.expr("transform(s0, x -> x - s0[cast(base as int)])"))
+
+    mass = "zip_with({s}, c, (x, k) -> exp(x) * k.p)"
+    posterior = _let(mass, "m", f"transform(m, x -> x / {_sum('m')})")
+    residual = "zip_with({q}, c, (x, k) -> ln(x) - log1p(-x) - k.goal)"
+    value = f"0.5D * {_sum('{r}', 'e * e')} + {0.5 * ridge!r}D * {_sum('{s}', 'e * e')}"
+    state = lambda s: _let(posterior.format(s=s), "q", _let(residual.format(q="q"), "r", f"named_struct('s', {s}, 'q', q, 'r', r, 'v', {value.format(r='r', s=s)})"))
+    terms = "zip_with(zip_with(w.x.q, w.x.r, (q, r) -> struct(q, r / (1 - q) as c, (1 + r * q) / (1 - q) / (1 - q) as b)), c, (t, k) -> struct(t.q as q, t.c as c, t.b as b, k.free as free))"
+    sums = f"named_struct('c', {_sum('t', 'e.c')}, 'b', {_sum('t', 'e.b')})"
+    parts = f"zip_with(t, w.x.s, (y, s) -> struct(y.q as q, y.b as b, y.free * (y.c - y.q * a.c + {ridge!r}D * s) as g, y.free / (y.b - y.q * a.c + {ridge!r}D + w.mu) as d))"
+    dots = "named_struct(" + ", ".join(f"'{n}', {_sum('y', f'e.d * {x} * {z}')}" for n, x, z in (("bb", "e.b", "e.b"), ("bq", "e.b", "e.q"), ("qq", "e.q", "e.q"), ("bg", "e.b", "e.g"), ("qg", "e.q", "e.g"))) + ")"
+    # (S^-1 + U'DU)^-1 U'Dg for U = [b q], S^-1 = -[[sum b + sum c, 1], [1, 0]].
+    det = "((o.bb - a.b - a.c) * o.qq - (o.bq - 1) * (o.bq - 1))"
+    step = f"transform(y, e -> e.d * (e.b * (o.qq * o.bg - (o.bq - 1) * o.qg) / {det} + e.q * ((o.bb - a.b - a.c) * o.qg - (o.bq - 1) * o.bg) / {det} - e.g))"
+    tried = _let(step, "m", _let(state("zip_with(w.x.s, m, (x, y) -> x + least(greatest(y, -5D), 5D))"), "n", _let("array_max(transform(m, x -> abs(x)))", "size", "if(n.v <= w.x.v * (1 + 1e-14D), named_struct('x', n, 'mu', greatest(w.mu / 10, 1e-12D), 'size', if(w.mu > 1e-3D, 1D, size)), named_struct('x', w.x, 'mu', w.mu * 10, 'size', if(size < 1e-8D, size, 1D)))")))
+    fold = _let(terms, "t", _let(sums, "a", _let(parts, "y", _let(dots, "o", tried))))
+    data = data.withColumn("w", F.expr(f"named_struct('x', {state('s0')}, 'mu', 1D, 'size', 1D)"))
+    data = data.withColumn("w", F.expr(f"aggregate(sequence(1, {steps}), w, (w, i) -> if(w.size < 1e-10D, w, {fold}))"))
+    fitted = F.expr("zip_with(w.x.q, p, (x, pp) -> exp(ln(x) - log1p(-x) - ln(pp) + log1p(-pp)))")
+    return data.select(*vectors.columns, F.col("w.x.q").alias("posterior_native"), fitted.alias("fitted_native"), (F.col("w.size") < 1e-7).alias("success_native"))
+
+
+def native_or_not(vectors: DataFrame, ridge: float = RIDGE) -> DataFrame:
+    """vectors with fitted, posterior and success: by the Catalyst path, and where that doesn't converge by the other.
+
+    Rows without native success alone go through Python.
     """
-    r = f"zip_with({_log_lr('w.q')}, g, (ff, gg) -> ff - gg)"
-    move = "zip_with(w.q, zip_with(y.a, y.r, (aa, rr) -> -rr + aa * z), (qq, dd) -> (1 - qq) * dd)"
-    tried = _let("zip_with(w.q, m, (qq, mm) -> qq * exp(h * mm))", "t", _shares("t", "tt"))
-    squares = _let(f"zip_with({_log_lr('n')}, g, (ff, gg) -> ff - gg)", "e", _dot("e", "e"))
-    scales = ", ".join(f"{0.5**i!r}D" for i in range(halvings))
-    candidates = f"transform(array({scales}), h -> {_let(tried, 'n', f'named_struct({chr(39)}v{chr(39)}, {squares}, {chr(39)}q{chr(39)}, n)')})"
-    better = f"filter({candidates}, c -> c.v <= {_dot('y.r', 'y.r')})"
-    size = "array_max(transform(m, mm -> abs(mm)))"
-    after = f"named_struct('q', coalesce(get({better}, 0).q, w.q), 'size', {size})"
-    step = _let(f"named_struct('r', {r}, 'a', transform(w.q, qq -> qq * (1 - qq)))", "y", _let(f"{_dot('y.a', 'y.r')} / {_dot('y.a', 'y.a')}", "z", _let(move, "m", after)))
-    data = vectors.withColumn("p", F.expr(_shares("priors", "pp"))).withColumn("g", F.expr("transform(ovr_lr, xx -> ln(xx))"))
-    q0 = "zip_with(p, g, (pp, gg) -> 1 / (1 + exp(-(ln(pp) - log1p(-pp) + gg))))"
-    data = data.withColumn("w", F.expr(f"named_struct('q', {_let(q0, 'q1', _shares('q1', 'qq'))}, 'size', 1D)"))
-    data = data.withColumn("w", F.expr(f"aggregate(sequence(1, {steps}), w, (w, i) -> if(w.size < 1e-12D, w, {step}))"))
-    fitted = F.expr(f"transform({_log_lr('w.q')}, ff -> exp(ff))")
-    return data.select(*vectors.columns, F.col("w.q").alias("posterior_native"), fitted.alias("fitted_native"), (F.col("w.size") < 1e-6).alias("success_native"))
+    native = native_projection(vectors, ridge=ridge)
+    done = native.where("success_native").select(*vectors.columns, F.col("fitted_native").alias("fitted"), F.col("posterior_native").alias("posterior"), F.lit(True).alias("success"))
+    rest = project(native.where("success_native is null or not success_native").select(*vectors.columns), ridge)
+    return done.unionByName(rest.select(*vectors.columns, F.col("result.fitted_ovr_lr").alias("fitted"), F.col("result.posterior").alias("posterior"), F.col("result.success").alias("success")))
