@@ -72,11 +72,23 @@ def sheet_name(name: Column, keep: str = "first") -> Column:
     return F.right(name, F.lit(31)) if keep == "last" else F.left(name, F.lit(31))
 
 
-def output_path(path: Column, prefix: str, scenario: Column) -> Column:
-    """Below the prefix if the path starts with it, else below lr_differential/outputs in it, else scenario/basename."""
-    tail = F.nullif(F.regexp_extract(path, r"lr_differential/outputs/(.+)$", 1), F.lit(""))
+def output_path(path: Column, prefix: str, scenario: Column, folder: str) -> Column:
+    """Below the prefix if the path starts with it, else below the outputs folder in it, else scenario/basename."""
+    tail = F.when(F.instr(path, f"{folder}/") > 0, F.nullif(F.substring_index(path, f"{folder}/", -1), F.lit("")))
     base = F.concat_ws("/", scenario, F.regexp_extract(path, r"([^/]+)$", 1))
-    return F.when(path.startswith(prefix), F.regexp_replace(F.substring(path, len(prefix) + 1, 4096), "^/+", "")).otherwise(F.coalesce(tail, base))
+    return F.when(path.startswith(prefix), F.regexp_replace(F.right(path, F.length(path) - len(prefix)), "^/+", "")).otherwise(F.coalesce(tail, base))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below root without it; any other path as it is."""
+    root = root.rstrip("/") + "/"
+    return F.when(path.startswith(root), F.right(path, F.length(path) - len(root))).otherwise(path)
+
+
+def utc_text(time: Column, kind: str = "iso") -> Column:
+    """A time as text in UTC, which the session's zone must be: iso, stamp (for file names) or day."""
+    forms = {"iso": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx", "stamp": "yyyyMMdd'T'HHmmss'Z'", "day": "yyyy-MM-dd"}
+    return F.date_format(time, forms[kind])
 
 
 def model_output_path(root: str, model_id: Column, relative: Column) -> Column:
@@ -126,6 +138,14 @@ def model_capabilities(model_id: Column) -> Column:
     return F.struct(reasons.alias("reasoning"), newest.alias("verbosity"), (~reasons).alias("allow_temp"))
 
 
+def parameter_ladder(model_id: Column) -> Column:
+    """Sets of optional parameters to try in turn: all that a model takes, then without verbosity, reasoning, temperature, at last none; each once."""
+    takes = model_capabilities(model_id)
+    have = F.array_compact(F.array(F.when(takes["verbosity"], "verbosity"), F.when(takes["reasoning"], "reasoning"), F.when(takes["allow_temp"], "temperature")))
+    less = lambda *gone: F.array_except(have, F.array(*map(F.lit, gone)))
+    return F.array_distinct(F.array(have, less("verbosity"), less("verbosity", "reasoning"), less("verbosity", "reasoning", "temperature")))
+
+
 def is_transient(error: Column) -> Column:
     return F.exists(F.array(*map(F.lit, TRANSIENT_MARKERS)), lambda m: F.contains(F.lower(error), m))
 

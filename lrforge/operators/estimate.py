@@ -6,12 +6,14 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lrforge.functions.text import TRANSIENT_MARKERS
+from lrforge.operators.plan import with_result_column
 
 REMINDER = "Answer with a positive finite number only."
 
@@ -49,8 +51,26 @@ def transient(error: Exception) -> bool:
     return any(m in str(error).lower() for m in TRANSIENT_MARKERS)
 
 
-def attempt_all(call: Callable[[int], float | str], retries: int, backoff: float, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(value, None) of the first answer that is a positive number, else (None, error); waits only after errors that may pass."""
+def fallback(*backends: Estimator) -> Estimator:
+    """An estimator that asks one backend after the other until one answers; the last one's error is the error."""
+
+    def ask(request: dict, attempt: int) -> float | str:
+        for backend in backends[:-1]:
+            try:
+                return backend(request, attempt)
+            except Exception:  # noqa: BLE001 - whatever it is, the next backend is asked
+                continue
+        return backends[-1](request, attempt)
+
+    return ask
+
+
+def attempt_all(call: Callable[[int], float | str], retries: int, backoff: float, sleep: Callable[[float], None] = time.sleep, longest: float | None = None) -> tuple[str | None, str | None]:
+    """(value, None) of the first answer that is a positive number, else (None, error).
+
+    Waits backoff * 2^attempt seconds, longest at most, and only after errors that may
+    pass; with longest set, after any error.
+    """
     error = None
     for attempt in range(retries + 1):
         try:
@@ -60,12 +80,12 @@ def attempt_all(call: Callable[[int], float | str], retries: int, backoff: float
             return repr(value), None
         except Exception as e:  # noqa: BLE001 - an estimator's failure is data
             error = f"{type(e).__name__}: {e}"
-            if attempt < retries and transient(e):
-                sleep(backoff * 2**attempt)
+            if attempt < retries and (longest is not None or transient(e)):
+                sleep(min(backoff * 2**attempt, longest or float("inf")))
     return None, error
 
 
-def estimate(requests: DataFrame, make: Callable[[], Estimator], retries: int = 2, backoff: float = 1.0, sentinel: str | None = None) -> DataFrame:
+def estimate(requests: DataFrame, make: Callable[[], Estimator], retries: int = 2, backoff: float = 1.0, sentinel: str | None = None, longest: float | None = None) -> DataFrame:
     """Adds value and error to requests. make builds one client a partition, on the executor.
 
     After the last retry value is the sentinel (such as ERROR, which audits class as
@@ -73,11 +93,20 @@ def estimate(requests: DataFrame, make: Callable[[], Estimator], retries: int =
     differently each time: write the result before it is used twice.
     """
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = requests.columns
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make()
         for batch in batches:
-            rows = [attempt_all(lambda attempt, r=r: client(r | {"reminder": REMINDER if attempt else None}, attempt), retries, backoff) for r in batch.to_dict("records")]
-            yield batch.assign(value=[v if v is not None else sentinel for v, _ in rows], error=[e for _, e in rows])
+            rows = [attempt_all(lambda attempt, r=r: client(r | {"reminder": REMINDER if attempt else None}, attempt), retries, backoff, longest=longest) for r in batch.to_pylist()]
+            added = [pa.array([v if v is not None else sentinel for v, _ in rows], pa.string()), pa.array([e for _, e in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "value", "error"])
+
+    text = T.StringType()
+    return requests.mapInArrow(go, T.StructType([*requests.schema.fields, T.StructField("value", text), T.StructField("error", text)]))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.mapInPandas(go, f"{schema}, value string, error string")
+def with_model_column(cells: DataFrame, estimates: DataFrame, model_id: str) -> DataFrame:
+    """Sheets with a column lr_<model> more: estimates (scenario_id, sheet, row_idx, value), ERROR where value is null."""
+    results = estimates.select("scenario_id", "sheet", "row_idx", F.coalesce("value", F.lit("ERROR")).alias("value"))
+    return with_result_column(cells, results, "lr_" + model_id.replace("/", "_"))

@@ -86,6 +86,60 @@ def findings(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
     return below.select(*SHEET, F.row_number().over(W.partitionBy(*SHEET).orderBy("row_idx")).alias("finding_order"), "row_idx", "finding")
 
 
+def parse_matrix(cells: DataFrame, profile: str = "matrix_simple", expected: DataFrame | None = None, allow_mismatch: bool = False, pattern: str = KEY_FEATURE) -> DataFrame:
+    """One row a sheet: key_row, category_row, categories, findings, their counts, warnings, and error.
+
+    expected: (scenario_id, expected_category_count). Another count is an error, or a
+    warning if it is allowed. A sheet without key row, header or labels has an error
+    and nulls; a sheet's failure is its own row, not the job's. categories are the
+    labels of all blocks, so A, B, A are three.
+    """
+    blocks = category_blocks(filled_rows(cells, pattern))
+    header = category_row(blocks, profile).select(*SHEET, F.col("row_idx").alias("category_row"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("block", "label"))), lambda b: b["label"])
+    labels = blocks.join(header.withColumnRenamed("category_row", "row_idx"), [*SHEET, "row_idx"]).groupBy(*SHEET).agg(F.first("row_idx").alias("category_row"), named.alias("categories"))
+    found = findings(cells, pattern).groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("finding_order", "finding"))), lambda f: f["finding"]).alias("findings"))
+    rows = cells.select(*SHEET).distinct().join(key_rows(cells, pattern), SHEET, "left").join(labels, SHEET, "left").join(found, SHEET, "left")
+    rows = rows.withColumn("findings", F.when(F.col("key_row").isNotNull(), F.coalesce("findings", F.array().cast("array<string>")))).withColumn("categories_count", F.when(F.col("categories").isNotNull(), F.size("categories")))
+    missing = F.when(F.col("key_row").isNull(), "no key feature row").when(F.col("categories").isNull(), "no category header")
+    mismatch = F.lit(None).cast("string")
+    if expected is not None:
+        rows = rows.join(expected.select("scenario_id", "expected_category_count"), "scenario_id", "left")
+        text = F.format_string("category count: %d expected, %d found", "expected_category_count", "categories_count")
+        mismatch = F.when(F.col("expected_category_count") != F.col("categories_count"), text)
+        rows = rows.withColumn("mismatch", mismatch)
+        mismatch = F.col("mismatch")
+    warnings = F.array_compact(F.array(mismatch)) if allow_mismatch else F.array().cast("array<string>")
+    error = missing if allow_mismatch else F.coalesce(missing, mismatch)
+    return rows.select(*SHEET, "key_row", "category_row", "categories", "categories_count", "findings", F.size("findings").alias("findings_count"), warnings.alias("warnings"), error.alias("error"))
+
+
+def qa_summary(parsed: DataFrame) -> DataFrame:
+    """(scenario_id, sheets, observed_categories, findings, warnings, failed): sums over a scenario's sheets, warnings in order of the sheets."""
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "warnings"))), lambda s: s["warnings"]))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return parsed.groupBy("scenario_id").agg(
+        F.count("*").alias("sheets"), total("categories_count").alias("observed_categories"), total("findings_count").alias("findings"), F.array_join(ordered, "; ").alias("warnings"), F.count_if(F.col("error").isNotNull()).alias("failed")
+    )
+
+
+def columns_by_header(cells: DataFrame, pattern: str, row: int = 0) -> DataFrame:
+    """(sheet, col_idx, header): columns whose cell in the header row matches, by case."""
+    return cells.where((F.col("row_idx") == row) & F.col("value").rlike(pattern)).select(*SHEET, "col_idx", F.col("value").alias("header"))
+
+
+def ensure_priors(manifest: DataFrame, priors: DataFrame, cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
+    """priors, and for schemas of the manifest that have none those derived from their sheets; derived says which.
+
+    manifest: (scenario_id, sheet, schema_order, schema_row_idx); priors: the columns of schema_priors.
+    Only sheets with a missing schema are parsed.
+    """
+    key = [*SHEET, "schema_order"]
+    missing = manifest.select(*key, F.col("schema_row_idx").alias("row_idx")).join(priors.select(*key).distinct(), key, "left_anti")
+    found = schema_priors(cells.join(missing.select(*SHEET).distinct(), SHEET, "left_semi"), missing, pattern=pattern)
+    return priors.select(*found.columns, F.lit(False).alias("derived")).unionByName(found.withColumn("derived", F.lit(True)))
+
+
 def check_counts(schemas: DataFrame, expected: DataFrame, allow_mismatch: bool = False) -> DataFrame:
     """Compares with (scenario_id, expected_category_count) on each sheet's last schema: an error, or a warning if allowed."""
     last = schemas.withColumn("nth", F.row_number().over(W.partitionBy(*SHEET).orderBy(F.desc("row_idx")))).where("nth = 1").drop("nth")

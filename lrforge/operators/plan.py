@@ -121,3 +121,22 @@ def first_scenarios(manifest: DataFrame, n: int) -> DataFrame:
 
 def first_findings(findings: DataFrame, n: int, group: list[str]) -> DataFrame:
     return findings.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy("finding_order"))).where(F.col("nth") <= n).drop("nth")
+
+
+def other_diagnoses(cases: DataFrame, diagnoses: list[str], correct: str = "correct") -> DataFrame:
+    """Each case with every diagnosis of a stated list but its correct one, as `other`."""
+    return cases.select("*", F.explode(F.array_except(F.array(*map(F.lit, diagnoses)), F.array(correct))).alias("other"))
+
+
+def union_distinct(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """Rows that any of the frames has, each once."""
+    for df in more:
+        first = first.unionByName(df)
+    return first.distinct()
+
+
+def distinct_payloads(rows: DataFrame, group: list[str], order: str, payload: str) -> DataFrame:
+    """Of JSON objects that are equal but for the order of their fields, the first of each group."""
+    entries = F.array_sort(F.map_entries(F.from_json(payload, "map<string,string>")))
+    canonical = F.to_json(F.map_from_entries(entries))
+    return rows.groupBy(*group, canonical.alias("canonical")).agg(F.min_by(payload, order).alias(payload), F.min(order).alias(order))

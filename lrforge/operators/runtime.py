@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lrforge.functions.numeric import classify_cell
@@ -67,3 +67,27 @@ def write_guarded(df: DataFrame, path: str, overwrite: bool = False, partial: bo
     if partial and not allow_partial:
         raise ValueError("a limited run writes only if partial output is allowed")
     df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+
+
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of these paths that exists, in any store that Spark reads; None if none does."""
+    for path in filter(None, paths):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return path
+    return None
+
+
+def repair_input(spark: SparkSession, explicit: str | None, root: str, model_id: str, name: str = "invalid_rows") -> str:
+    """The list of rows to repair: the one that was named, else the model's, else the general one. A named one must exist."""
+    found = first_existing(spark, explicit) if explicit else first_existing(spark, f"{root}/{model_id.replace('/', '_')}/{name}", f"{root}/{name}")
+    if found is None:
+        raise FileNotFoundError(explicit or f"{root}/{name}")
+    return found
+
+
+def failure_input(spark: SparkSession, explicit: str | None, root: str, models: list[str], name: str = "projection_failures") -> str | None:
+    """The solver's failures: the list that was named, else the model's own if there is exactly one model; None if there is none."""
+    if explicit:
+        return repair_input(spark, explicit, root, "", name)
+    return first_existing(spark, f"{root}/{models[0].replace('/', '_')}/{name}") if len(models) == 1 else None

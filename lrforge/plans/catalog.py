@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lrforge.functions import numeric, text
 from lrforge.functions.numeric import rounded
 from lrforge.operators import agreement, assess, audit, coherence, estimate, parse, plan, runtime
+from lrforge.plans.projection_sql import PROJECTED_SQL
 from lrforge.plans.stand_ins import CUBE_SQL, DIRTY_SQL, SHEETS_SQL, cube, dirty, lr_sql, ratios, sheets, table
 from lrforge.sources.html import nav_links
 
@@ -135,42 +136,93 @@ def _vectors(spark, sf):
     return coherence.to_vectors(ratios(spark, sf), ROW, lr="raw")
 
 
-@query()
+FITTED = f"WITH RECURSIVE {lr_sql()}, {PROJECTED_SQL}"
+CHANGED = ("fitted_ovr_lr", "mult_change", "abs_log_change", "posterior_fitted", "sum_q_init", "rmse_log_lr")
+ALL_SIGNS = "list_bool_and(list_transform({0}, lambda x: x > 1 + 1e-12)) OR list_bool_and(list_transform({0}, lambda x: x < 1 - 1e-12))"
+
+
+@query(
+    f"{FITTED} SELECT scenario_id, finding, i::INT AS category_order, cats[i] AS category, {_r('pr[i]', 9)} AS prior, lam[i] AS raw_ovr_lr, {_r('fit[i]', 5)} AS fitted_ovr_lr, {_r('fit[i] / lam[i]', 5)} AS mult_change, "
+    f"{_r('abs(r[i])', 5)} AS abs_log_change, {_r('q[i]', 5)} AS posterior_fitted, {_r('list_sum(q0)', 5)} AS sum_q_init, {_r('sqrt(list_sum(list_transform(r, lambda x: x * x)) / n)', 5)} AS rmse_log_lr FROM flat"
+)
 def coherent_projection(spark, sf):
-    return coherence.adjustments(coherence.project(_vectors(spark, sf)), ROW)
+    rows = coherence.adjustments(coherence.project(_vectors(spark, sf)), ROW)
+    return rows.select(*ROW, "category_order", "category", rounded(F.col("prior"), 9).alias("prior"), "raw_ovr_lr", *[rounded(F.col(c), 5).alias(c) for c in CHANGED])
 
 
-@query(f"{RAW} SELECT scenario_id, finding, true AS success, true AS coherent, false AS sign_impossible_fitted FROM ratios GROUP BY scenario_id, finding")
+@query(
+    f"{FITTED} SELECT scenario_id, finding, true AS success, {_r('v0', 5)} AS objective_initial, {_r('v', 5)} AS objective_final, {_r('list_sum(q)', 5)} AS sum_q_fitted, {ALL_SIGNS.format('lam')} AS sign_impossible_raw, {ALL_SIGNS.format('fit')} AS sign_impossible_fitted FROM fin"
+)
 def projection_invariants(spark, sf):
-    """What holds for every projected row: it succeeds, its posteriors add up to 1, and its signs are possible."""
+    """Per projected row: the objective before and after, the sum of posteriors, and whether the signs are possible."""
     rows = coherence.project(_vectors(spark, sf))
-    return rows.select(*ROW, "result.success", (F.abs(F.col("result.sum_q_fitted") - 1) < 1e-6).alias("coherent"), "result.sign_impossible_fitted")
+    number = lambda c: rounded(F.col(f"result.{c}"), 5).alias(c)
+    return rows.select(*ROW, "result.success", *map(number, ("objective_initial", "objective_final", "sum_q_fitted")), "result.sign_impossible_raw", "result.sign_impossible_fitted")
 
 
-@query(f"{RAW} SELECT scenario_id, finding, true AS success, true AS close FROM ratios GROUP BY scenario_id, finding")
+@query(f"{FITTED} SELECT scenario_id, finding, i::INT AS category_order, true AS success, {_r('fit[i]', 5)} AS fitted_ovr_lr, {_r('q[i]', 5)} AS posterior FROM flat")
 def native_projection_agrees(spark, sf):
-    """The Catalyst-only solver against the ridge path."""
-    both = coherence.native_projection(coherence.project(_vectors(spark, sf)))
-    apart = F.array_max(F.zip_with("fitted_native", "result.fitted_ovr_lr", lambda a, b: F.abs(F.ln(a) - F.ln(b))))
-    return both.select(*ROW, F.col("success_native").alias("success"), (apart < 1e-3).alias("close"))
+    """The Catalyst-only solver, whose rows without success take the other path."""
+    rows = coherence.native_or_not(_vectors(spark, sf))
+    each = rows.select(*ROW, "success", F.posexplode(F.arrays_zip("fitted", "posterior")).alias("i", "z"))
+    return each.select(*ROW, (F.col("i") + 1).alias("category_order"), "success", rounded(F.col("z.fitted"), 5).alias("fitted_ovr_lr"), rounded(F.col("z.posterior"), 5).alias("posterior"))
 
 
-@query()
+@query(
+    f"{FITTED}, g AS (SELECT *, abs(list_sum(q0) - 1) AS gap, list_max(list_transform(r, lambda x: abs(x))) AS largest, {ALL_SIGNS.format('lam')} AS before, {ALL_SIGNS.format('fit')} AS after FROM fin) "
+    "SELECT scenario_id, count(*)::BIGINT AS rows_total, count(*)::BIGINT AS rows_projected, 0::BIGINT AS rows_failed, "
+    + ", ".join(f"{_r(f'quantile_cont({c}, {q})', 5)} AS {name}_{out}" for c, out, qs in (("gap", "sum_q_init_gap", ((0.5, "median"), (0.9, "p90"))), ("largest", "max_abs_log_change", ((0.5, "median"), (0.9, "p90")))) for q, name in qs)
+    + ", count(*) FILTER (WHERE before)::BIGINT AS sign_impossible_rows_before, count(*) FILTER (WHERE after)::BIGINT AS sign_impossible_rows_after FROM g GROUP BY scenario_id"
+)
 def projection_summary(spark, sf):
-    return audit.projection_summary(coherence.project(_vectors(spark, sf)), ["scenario_id"])
+    rows = audit.projection_summary(coherence.project(_vectors(spark, sf)), ["scenario_id"])
+    return rows.select(*[rounded(F.col(c), 5).alias(c) if t == "double" else c for c, t in rows.dtypes])
+
 
+@query(
+    f"{FITTED}, x AS (SELECT scenario_id, exp(abs(r[i])) AS change FROM flat) SELECT scenario_id, "
+    + ", ".join(f"{_r(f'quantile_cont(change, {q})', 5)} AS {name}_mult_change" for q, name in ((0.5, "median"), (0.9, "p90"), (0.99, "p99")))
+    + f", {_r('max(change)', 5)} AS max_mult_change FROM x GROUP BY scenario_id"
+)
+def adjustment_tail(spark, sf):
+    rows = audit.adjustment_tail(coherence.adjustments(coherence.project(_vectors(spark, sf)), ROW), ["scenario_id"])
+    return rows.select("scenario_id", *[rounded(F.col(c), 5).alias(c) for c in rows.columns[1:]])
 
-@query()
+
+@query(
+    f"{FITTED}, g AS (SELECT scenario_id, finding, abs(list_sum(q0) - 1) AS raw_gap, {ALL_SIGNS.format('lam')} AS before, {ALL_SIGNS.format('fit')} AS after FROM fin), m AS (SELECT scenario_id, finding, quantile_cont(exp(abs(r[i])), 0.5) AS mult FROM flat GROUP BY ALL) "
+    f"SELECT scenario_id, count(*)::BIGINT AS rows_checked, 0::BIGINT AS rows_skipped, {_r('quantile_cont(raw_gap, 0.5)', 5)} AS median_raw_gap, {_r('quantile_cont(raw_gap, 0.9)', 5)} AS p90_raw_gap, 0.0::DOUBLE AS median_after_gap, 0.0::DOUBLE AS p90_after_gap, "
+    f"{_r('quantile_cont(mult, 0.5)', 5)} AS median_adjustment_mult, {_r('quantile_cont(mult, 0.9)', 5)} AS p90_adjustment_mult, count(*) FILTER (WHERE before)::BIGINT AS sign_impossible_rows_before, count(*) FILTER (WHERE after)::BIGINT AS sign_impossible_rows_after, "
+    "0::BIGINT AS coherence_invalid_rows, 0::BIGINT AS solver_failures FROM g JOIN m USING (scenario_id, finding) GROUP BY scenario_id"
+)
 def coherence_audit(spark, sf):
-    """Projected ratios written as cells, read again and audited against the raw ones."""
-    long = ratios(spark, sf)
-    fitted = coherence.adjustments(coherence.project(_vectors(spark, sf)), ROW)
+    """Projected ratios written as cells, read again and audited against the raw ones; the solver's failures are counted."""
+    projected = coherence.project(_vectors(spark, sf)).persist()  # read as vectors, as fitted rows and as failures
     key = [*ROW, "category_order"]
     position = lambda df, v: df.select(*key, F.col(v).cast("string").alias("value"))
-    expected = long.select(*key)
-    priors = long.select("scenario_id", "category_order", "prior").distinct()
+    long = projected.select(*ROW, F.posexplode(F.arrays_zip("ovr_lr", "priors")).alias("i", "z")).select(*ROW, (F.col("i") + 1).alias("category_order"), F.col("z.ovr_lr").alias("raw"), F.col("z.priors").alias("prior"))
+    expected, priors = long.select(*key), long.groupBy("scenario_id", "category_order").agg(F.first("prior").alias("prior"))
+    fitted = coherence.adjustments(projected, ROW)
     rows = audit.coherence_rows(audit.classified(expected, position(long, "raw"), key), audit.classified(expected, position(fitted, "fitted_ovr_lr"), key), ROW, priors)
-    return audit.coherence_summary(rows, ["scenario_id"])
+    failed = coherence.failures(projected, ROW).groupBy("scenario_id").agg(F.count("*").alias("failures"))
+    summary = audit.coherence_summary(rows, ["scenario_id"], failed)
+    return summary.select(*[rounded(F.col(c), 5).alias(c) if t == "double" else c for c, t in summary.dtypes])
+
+
+@query(
+    f"{RAW}, v AS (SELECT scenario_id, finding, count(*) AS n FROM ratios GROUP BY ALL), p AS (SELECT scenario_id, count(DISTINCT category_order) AS n, {_r('sum(prior)')} AS s FROM (SELECT DISTINCT scenario_id, category_order, prior FROM ratios WHERE scenario_id <> 'nation' AND NOT (scenario_id = 'region' AND category_order = 1)) GROUP BY ALL), "
+    "tied AS (SELECT v.scenario_id, v.finding, v.n, p.s, CASE WHEN p.n IS NULL THEN 'no priors for ' || v.scenario_id || ' / 1 / s_' || v.scenario_id WHEN p.n <> v.n THEN printf('%d ratios, %d priors', v.n, p.n) END AS reason FROM v LEFT JOIN p ON v.scenario_id = p.scenario_id) "
+    "SELECT scenario_id, finding, reason, s AS prior_sum FROM tied WHERE reason IS NULL UNION ALL SELECT DISTINCT scenario_id, NULL, reason, NULL FROM tied WHERE reason IS NOT NULL"
+)
+def attached_priors(spark, sf):
+    """Priors tied to ratios by schema and position; one scenario has none, another lacks one."""
+    long = ratios(spark, sf)
+    key = [F.col("scenario_id"), F.lit(1).alias("schema_order"), F.concat(F.lit("s_"), F.col("scenario_id")).alias("schema_sheet_name")]
+    priors = long.where("scenario_id <> 'nation' and not (scenario_id = 'region' and category_order = 1)").select(*key, "category_order", "category", F.col("prior").alias("prior_normalized")).distinct()
+    rows = _vectors(spark, sf).select(*key, "finding", "ovr_lr")
+    good, failed = coherence.attach_priors(rows, priors)
+    total = rounded(F.aggregate("priors", F.lit(0.0), lambda t, x: t + x)).alias("prior_sum")
+    return good.select("scenario_id", "finding", F.lit(None).cast("string").alias("reason"), total).unionByName(failed.select("scenario_id", F.lit(None).cast("string").alias("finding"), "reason", F.lit(None).cast("double").alias("prior_sum")))
 
 
 # --- plans
@@ -361,6 +413,47 @@ def drop_empty_columns(spark, sf):
     return parse.drop_empty_columns(sheets(spark, sf).withColumn("value", F.when(F.col("col_idx") == 2, " ").otherwise(F.col("value"))))
 
 
+CATEGORY_ROWS = f"""{FILLED}, d AS (SELECT *, list_distinct(labels) AS u FROM lab WHERE len(list_filter(labels, lambda x: NOT starts_with(lower(x), 'tier '))) > 0 AND len(labels) >= 2),
+cr AS (SELECT scenario_id, sheet, row_idx AS category_row, labels FROM d QUALIFY row_number() OVER (PARTITION BY scenario_id, sheet ORDER BY len(u) DESC, row_idx) = 1),
+parsed AS (
+  SELECT scenario_id, sheet, key_row, category_row, labels, len(labels)::INT AS categories_count, (SELECT count(*) FROM cells c WHERE c.scenario_id = k.scenario_id AND c.sheet = k.sheet AND col_idx = 0 AND row_idx > key_row)::INT AS findings_count,
+         CASE WHEN len(labels) <> 3 + replace(scenario_id, 'supp_', '')::INT % 2 THEN printf('category count: %d expected, %d found', 3 + replace(scenario_id, 'supp_', '')::INT % 2, len(labels)) END AS mismatch
+  FROM keyed k LEFT JOIN cr USING (scenario_id, sheet))"""
+
+
+def _expected(cells):
+    odd = F.replace("scenario_id", F.lit("supp_"), F.lit("")).cast("int") % 2
+    return cells.select("scenario_id").distinct().withColumn("expected_category_count", 3 + odd)
+
+
+@query(f"WITH {CATEGORY_ROWS} SELECT scenario_id, sheet, key_row, category_row, array_to_string(labels, '|') AS categories, categories_count, findings_count, mismatch AS error FROM parsed")
+def parsed_matrices(spark, sf):
+    cells = sheets(spark, sf)
+    rows = parse.parse_matrix(cells, "matrix_with_preamble", _expected(cells))
+    return rows.select("scenario_id", "sheet", "key_row", "category_row", F.array_join("categories", "|").alias("categories"), "categories_count", "findings_count", "error")
+
+
+@query(f"WITH {CATEGORY_ROWS} SELECT scenario_id, 1::BIGINT AS sheets, categories_count::BIGINT AS observed_categories, findings_count::BIGINT AS findings, coalesce(mismatch, '') AS warnings, 0::BIGINT AS failed FROM parsed")
+def qa_summary(spark, sf):
+    cells = sheets(spark, sf)
+    return parse.qa_summary(parse.parse_matrix(cells, "matrix_with_preamble", _expected(cells), allow_mismatch=True))
+
+
+@query(f"WITH {SHEETS_SQL} SELECT scenario_id, sheet, col_idx, value AS header FROM cells WHERE row_idx = 1 AND regexp_matches(value, 'Flag [AN]')")
+def columns_by_header(spark, sf):
+    return parse.columns_by_header(sheets(spark, sf), "Flag [AN]", 1)
+
+
+@query(f"SELECT *, replace(scenario_id, 'supp_', '')::INT % 2 = 1 AS derived FROM ({SQL['schema_priors']})")
+def derived_priors(spark, sf):
+    """Suppliers with an even number bring their priors; those of the others are derived from their sheets."""
+    cells = sheets(spark, sf)
+    schemas = _schemas(cells)
+    given = parse.schema_priors(cells, schemas).where(F.replace("scenario_id", F.lit("supp_"), F.lit("")).cast("int") % 2 == 0)
+    rows = parse.ensure_priors(schemas.select("scenario_id", "sheet", "schema_order", F.col("row_idx").alias("schema_row_idx")), given, cells)
+    return rows.select("scenario_id", "sheet", "schema_order", "schema_row_idx", "prior_row_idx", "category_order", "category", "prior_raw", rounded(F.col("prior_normalized"), 9).alias("prior_normalized"), "derived")
+
+
 # --- audits and resuming
 
 
@@ -467,6 +560,59 @@ def estimator_fill(spark, sf):
     return filled.select(*ROW, "category", "value", numeric.classify_cell(F.col("value"))["status"].alias("status"))
 
 
+@query(
+    f"WITH {CATS}, pos AS (SELECT f.scenario_id, f.o AS row_idx, c.o AS col_idx FROM finds f JOIN cats c USING (scenario_id)), a AS (SELECT m.model_id, p.*, CASE m.model_id WHEN 'm/1' THEN true WHEN 'm/2' THEN (row_idx + col_idx) % 5 <> 0 ELSE scenario_id <> 'shipping' END AS there FROM pos p, (VALUES ('m/1'), ('m/2'), ('m/3')) m(model_id)) "
+    "SELECT model_id, scenario_id, 'ovr' AS sheet, count(*)::BIGINT AS expected_cells, count(*) FILTER (WHERE there)::BIGINT AS valid_positive_cells, count(*) FILTER (WHERE NOT there)::BIGINT AS missing_cells, 0::BIGINT AS non_numeric_cells, 0::BIGINT AS non_positive_cells, "
+    "count(*) FILTER (WHERE NOT there)::BIGINT AS total_invalid_cells, bool_and(there) AS passes, bool_or(there) AS sheet_exists FROM a GROUP BY ALL"
+)
+def models_by_manifest(spark, sf):
+    """Every model against every expected sheet, though one model lacks a sheet and another has gaps."""
+    cells = plan.ovr_sheet(_findings(spark, sf), _categories(spark, sf), ["scenario_id"]).withColumn("sheet", F.lit("ovr"))
+    positions = audit.ovr_positions(cells)
+    there = F.when(F.col("model_id") == "m/2", (F.col("row_idx") + F.col("col_idx")) % 5 != 0).when(F.col("model_id") == "m/3", F.col("scenario_id") != "shipping").otherwise(True)
+    output = positions.withColumn("model_id", F.explode(F.array(*map(F.lit, ("m/1", "m/2", "m/3"))))).where(there).select("model_id", "scenario_id", "sheet", "row_idx", "col_idx", F.lit("1.5").alias("value"))
+    return audit.model_audit(positions, output, ["m/1", "m/2", "m/3"])[1]
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'verbosity+reasoning|reasoning|' WHEN 1 THEN 'reasoning|' ELSE 'temperature|' END AS ladder FROM part"
+)
+def parameter_ladders(spark, sf):
+    k = F.col("p_partkey") % 3
+    ladder = text.parameter_ladder(F.when(k == 0, "gpt-5-mini").when(k == 1, "o3").otherwise("gpt-4.1"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(ladder, lambda x: F.array_join(x, "+")), "|").alias("ladder"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS correct, other FROM customer JOIN (SELECT DISTINCT c_mktsegment AS other FROM customer) ON other <> c_mktsegment")
+def other_diagnoses(spark, sf):
+    cases = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("correct"))
+    stated = sorted(r[0] for r in cases.select("correct").distinct().limit(100).collect())
+    return plan.other_diagnoses(cases, stated)
+
+
+@query("SELECT event_type, json_extract(props, '$.k')::VARCHAR AS k, min(event_id)::BIGINT AS event_id FROM events GROUP BY ALL")
+def distinct_payloads(spark, sf):
+    rows = plan.distinct_payloads(table(spark, sf, "events").select("event_type", "event_id", "props"), ["event_type"], "event_id", "props")
+    return rows.select("event_type", F.get_json_object("props", "$.k").alias("k"), "event_id")
+
+
+@query(f"WITH {CATS} SELECT scenario_id, finding AS label FROM finds UNION SELECT scenario_id, category FROM cats")
+def all_labels(spark, sf):
+    return plan.union_distinct(_findings(spark, sf).select("scenario_id", F.col("finding").alias("label")), _categories(spark, sf).select("scenario_id", F.col("category").alias("label")))
+
+
+@query(f"WITH {PAIRS}, nf AS (SELECT scenario_id FROM finds GROUP BY scenario_id) SELECT scenario_id, pair_index, printf('%03d__%s__vs__%s.xlsx', pair_index, {SLUG.format('category_left')}, {SLUG.format('category_right')}) AS file, 'outputs/' || scenario_id AS folder FROM pairs JOIN nf USING (scenario_id)")
+def relative_paths(spark, sf):
+    rows = plan.pairs_manifest(plan.category_pairs(_categories(spark, sf), ["scenario_id"]), _findings(spark, sf).groupBy("scenario_id").agg(F.count("*").alias("findings_count")))
+    inside = text.output_path(F.col("output_workbook"), "outputs/", F.col("scenario_id"), "outputs")
+    return rows.select("scenario_id", "pair_index", F.regexp_extract(inside, "([^/]+)$", 1).alias("file"), F.regexp_replace(text.relative_path(F.concat(F.lit("/repo/"), F.col("output_workbook")), "/repo"), "/[^/]+$", "").alias("folder"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS stamp, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def utc_stamps(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", text.utc_text(F.col("o_orderdate"), "stamp").alias("stamp"), text.utc_text(F.col("o_orderdate"), "day").alias("day"))
+
+
 # --- agreement
 
 

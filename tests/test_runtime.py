@@ -1,6 +1,6 @@
 import pytest
 
-from lrforge.operators import agreement, audit, estimate, runtime
+from lrforge.operators import agreement, assess, audit, estimate, runtime
 from lrforge.sources.tables import RuntimeConfig, read_scenarios
 
 KEY = "model_id string, scenario_id string, row_index int"
@@ -112,3 +112,67 @@ def test_agreement(spark):
     assert ((k["density"].to_numpy()[1:] + k["density"].to_numpy()[:-1]) / 2 * (k["x"].to_numpy()[1:] - k["x"].to_numpy()[:-1])).sum() == pytest.approx(1)
     logs = spark.createDataFrame([("ln LR", 1.0), ("LR", 2.0)], "header string, lr double")
     assert sorted(r["log_lr"] for r in agreement.on_log_scale(logs, ["header"]).collect()) == pytest.approx([0.6931, 1.0], abs=1e-3)
+
+
+def test_waits_and_fallbacks():
+    waits = []
+
+    def refuse(attempt):
+        raise ValueError("no")
+
+    assert estimate.attempt_all(refuse, 4, 1.0, waits.append, longest=5.0) == (None, "ValueError: no") and waits == [1.0, 2.0, 4.0, 5.0]
+    waits.clear()
+    assert estimate.attempt_all(refuse, 4, 1.0, waits.append)[0] is None and waits == []
+
+    def broken(request, attempt):
+        raise RuntimeError("first")
+
+    ask = estimate.fallback(broken, lambda request, attempt: request["x"] * 2)
+    assert ask({"x": 2}, 0) == 4
+    with pytest.raises(RuntimeError):
+        estimate.fallback(broken, broken)({}, 0)
+
+
+def test_estimates_keep_whole_numbers(spark):
+    big = 2**53 + 1
+    seen = estimate.estimate(spark.createDataFrame([(big, 1.0), (None, 2.0)], "id long, x double"), lambda: lambda request, attempt: request["x"], retries=0).collect()
+    assert sorted((str(r["id"]), r["value"], r["error"]) for r in seen) == [(str(big), "1.0", None), ("None", "2.0", None)]
+
+
+def test_model_column(spark):
+    cells = spark.createDataFrame([("s", "t", 0, 0, "Sign"), ("s", "t", 2, 0, "a"), ("s", "t", 3, 0, "b")], "scenario_id string, sheet string, row_idx int, col_idx int, value string")
+    values = spark.createDataFrame([("s", "t", 2, "1.5"), ("s", "t", 3, None)], "scenario_id string, sheet string, row_idx int, value string")
+    got = estimate.with_model_column(cells, values, "org/m").where("col_idx = 1").orderBy("row_idx").collect()
+    assert [(r["row_idx"], r["value"]) for r in got] == [(0, "lr_org_m"), (1, ""), (2, "1.5"), (3, "ERROR")]
+
+
+def test_inputs_are_looked_up(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        runtime.repair_input(spark, None, root, "org/m")
+    (tmp_path / "invalid_rows").mkdir()
+    assert runtime.repair_input(spark, None, root, "org/m") == f"{root}/invalid_rows"
+    (tmp_path / "org_m" / "invalid_rows").mkdir(parents=True)
+    assert runtime.repair_input(spark, None, root, "org/m") == f"{root}/org_m/invalid_rows"
+    assert runtime.repair_input(spark, f"{root}/invalid_rows", root, "org/m") == f"{root}/invalid_rows"
+    (tmp_path / "org_m" / "projection_failures").mkdir()
+    assert runtime.failure_input(spark, None, root, ["org/m"]) == f"{root}/org_m/projection_failures"
+    assert runtime.failure_input(spark, None, root, ["org/m", "x"]) is None and runtime.failure_input(spark, None, root, ["x"]) is None
+
+
+def test_models_against_all_sheets(spark):
+    cells = spark.createDataFrame([("s", "t", 0, 0, "Diagnosis:"), ("s", "t", 0, 1, "Oak"), ("s", "t", 0, 2, "For examples: x"), ("s", "t", 0, 3, " "), ("s", "t", 1, 0, "leaf"), ("s", "t", 2, 0, ""), ("s", "t", 3, 0, "bark")], "scenario_id string, sheet string, row_idx int, col_idx int, value string")
+    positions = audit.ovr_positions(cells)
+    assert sorted((r["row_idx"], r["col_idx"], r["finding"], r["category"]) for r in positions.collect()) == [(1, 1, "leaf", "Oak"), (3, 1, "bark", "Oak")]
+    output = spark.createDataFrame([("m", "s", "t", 1, 1, "2.0")], "model_id string, scenario_id string, sheet string, row_idx int, col_idx int, value string")
+    found, summary = audit.model_audit(positions, output, ["m", "n"])
+    assert found.count() == 4
+    assert sorted((r["model_id"], r["missing_cells"], r["sheet_exists"], r["passes"]) for r in summary.collect()) == [("m", 1, True, False), ("n", 2, False, False)]
+
+
+def test_templates(spark):
+    rows = spark.createDataFrame([("d", "cough", None, "Y"), ("d", None, "2", "N"), ("d", "fever", "3", None)], "diagnosis string, Information string, LR string, `Y/N` string")
+    plain = assess.template(rows)
+    assert sorted(r["info"] for r in plain.collect()) == ["cough", "fever"]
+    filled = assess.fill_labels(plain, spark.createDataFrame([("d", "cough", 1.5)], "diagnosis string, info string, odds double"))
+    assert {r["info"]: r["lr"] for r in filled.collect()} == {"cough": "WEAK POSITIVE", "fever": "3"}
