@@ -9,24 +9,24 @@ largest perturbed value of each as its exact bound; the best set is taken, its b
 path sampled, and what is left of it split where paths leave that one.
 
 No piece joins two words, so the lattice is a chain of small ones, a lattice a
-distinct word; these are built, weighed backwards and sampled for a whole batch at
-once in numpy. Noise comes from a hash of row key, round, word and step, so results
-depend on nothing else.
+distinct word. These are built, weighed backwards and sampled in numpy for some
+LATTICE_CHARS of text at once, whole documents or parts of one; of a lattice only the
+samples are kept. Noise comes from a hash of row key, round, word and step, so
+results depend on nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,14 +38,30 @@ SPACE_MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 ZIPF = 1.0  # exponent of the weights
-LEAST_LOG = -40.0  # sets that hold less than e^-40 of the mass are below a double's precision
+LEAST_MASS = 1e-300  # what rounding leaves of a set that has a segmentation yet
 CODE_BITS = 21  # a code point's
-UNIT = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
-BATCH_CHARS = 3 << 20
+COLUMNS = 128  # of the table of steps: the commonest code points of the vocabulary, column 0 for all others
+LONGEST_WORD = 256  # characters; a longer run without a space counts as words of this length
+LATTICE_CHARS = 1 << 20  # characters of text whose lattices are held at once
+
+_M = SPACE_MARK
+UNIT = re.compile(f"\n|{_M}{{0,64}}[^{_M}\n]{{1,{LONGEST_WORD}}}|{_M}{{1,{LONGEST_WORD}}}")
+
+
+def units(text: str) -> list[str]:
+    """Words of a text, each with the marks before it; line ends are words of their own."""
+    if not text:
+        return []
+    marked = (SPACE_MARK + text).replace(" ", SPACE_MARK)
+    if "\0" not in text and SPACE_MARK * 2 not in marked:
+        found = [x for x in marked.replace(SPACE_MARK, "\0" + SPACE_MARK).replace("\n", "\0\n\0").split("\0") if x]
+        if max(map(len, found)) <= LONGEST_WORD:
+            return found
+    return UNIT.findall(marked)
 
 
 class Vocabulary:
-    """Pieces of a model file as a trie in sorted arrays, with log weights."""
+    """Pieces of a model file as a trie in arrays, with log weights."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -56,31 +72,62 @@ class Vocabulary:
         pieces = {i: model.id_to_piece(i) for i in ordinary}
         if any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces.values()):
             raise ValueError("a piece of this model joins two words")
-        self.bytes = [b"" if i not in pieces else pieces[i].encode() for i in range(self.size)]
+        spelled = [b"" if i not in pieces else pieces[i].replace(SPACE_MARK, " ").encode() for i in range(self.size)]
         self.byte_ids = np.zeros(256, np.int64)
         for i in range(self.size):
             if model.is_byte(i):
                 value = int(model.id_to_piece(i)[3:5], 16)
-                self.byte_ids[value], self.bytes[i] = i, bytes([value])
+                self.byte_ids[value], spelled[i] = i, bytes([value])
+        self.text = np.frombuffer(b"".join(spelled), np.uint8)
+        self.text_length = np.array([*map(len, spelled), 0], np.int64)  # the last is of all ids outside the vocabulary
+        self.text_start = np.concatenate([[0], np.cumsum(self.text_length)[:-1]])
         rank = np.array([min(-model.get_score(i), self.size) if i in pieces else self.size for i in range(self.size)], float)
         weight = (1 + rank) ** -ZIPF
         self.log_weight = np.log(weight / weight.sum())
-        steps, ends = {}, [-1]
+
+        steps: dict[tuple[int, str], int] = {}
+        ends, inner = [-1], {0: 0}
         for i, piece in pieces.items():
             state = 0
-            for c in piece:
-                key = state << CODE_BITS | ord(c)
-                if key not in steps:
-                    steps[key] = len(ends)
+            for n, c in enumerate(piece, 1):
+                if (state, c) not in steps:
+                    steps[state, c] = len(ends)
                     ends.append(-1)
-                state = steps[key]
+                state = steps[state, c]
+                if n < len(piece):
+                    inner.setdefault(state, len(inner))
             ends[state] = i
-        self.keys = np.array(sorted(steps), np.int64)
-        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
         self.ends = np.array(ends, np.int32)
-        self.first = np.zeros(1 << 16, np.int64)  # the state after a code point below 2^16, for the commonest step
-        low = self.keys[self.keys < 1 << 16]
-        self.first[low] = self.next[: len(low)]
+        self.n_rows = len(inner)
+        self.row = np.full(len(ends), self.n_rows, np.int32)  # of the table; one row more for states that lead nowhere
+        self.row[list(inner)] = list(inner.values())
+        common: dict[str, int] = {}
+        for _, c in steps:
+            common[c] = common.get(c, 0) + 1
+        chosen = sorted((c for c in common if ord(c) < 1 << 16), key=lambda c: (-common[c], c))[: COLUMNS - 1]
+        self.column = np.zeros(1 << 16, np.uint8)
+        self.column[[ord(c) for c in chosen]] = np.arange(1, len(chosen) + 1)
+        table = np.zeros((len(inner) + 1, COLUMNS), np.int32)
+        rare = {}
+        for (state, c), to in steps.items():
+            at = int(self.column[ord(c)]) if ord(c) < 1 << 16 else 0
+            if at:
+                table[inner[state], at] = to
+            else:
+                rare[state << CODE_BITS | ord(c)] = to
+        self.table = table.ravel()
+        self.rare = np.array(sorted(rare), np.int64)
+        self.rare_to = np.array([rare[k] for k in self.rare.tolist()], np.int32)
+
+    def step(self, state: np.ndarray, column: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that follow, 0 for none."""
+        to = self.table[self.row[state] * COLUMNS + column]
+        odd = np.nonzero(column == 0)[0]
+        if len(odd) and len(self.rare):
+            key = state[odd].astype(np.int64) << CODE_BITS | code[odd]
+            at = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            to[odd] = np.where(self.rare[at] == key, self.rare_to[at], 0)
+        return to
 
 
 @lru_cache(maxsize=4)
@@ -90,91 +137,105 @@ def vocabulary(path: str) -> Vocabulary:
 
 @dataclass
 class Lattice:
-    """Edges of many units' lattices, ordered by the node they leave. Nodes are numbered through all units."""
+    """Edges of many words' lattices, ordered by the node they leave. Nodes are numbered through all words; the first ones are the words' ends."""
 
-    start: np.ndarray  # of units: their first node
-    last: np.ndarray  # of nodes: whether it ends its unit
+    start: np.ndarray  # of words: their first node
+    ends: int  # number of words
+    ways: np.ndarray  # of nodes: how many segmentations go on from it
     at: np.ndarray  # of nodes: the first edge that leaves it
     to: np.ndarray  # of edges
     piece: np.ndarray  # of edges: id, or minus code point minus 1 for a character that only several bytes spell
     log_p: np.ndarray  # of edges: log probability given the node
-    p: np.ndarray
-    sums: np.ndarray  # of edges: probabilities added up within the node
-
-
-def build(units: list[str], v: Vocabulary) -> Lattice:
-    lengths = np.fromiter(map(len, units), np.int64, len(units))
-    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    ends = np.cumsum(lengths)
-    unit = np.repeat(np.arange(len(units)), lengths)
-    left = (ends[unit] - np.arange(len(codes))).astype(np.int32)  # characters from here to the unit's end
-    node = (np.arange(len(codes)) + unit).astype(np.int32)  # each unit has one node more than characters
-
-    live, state = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64)
-    starts, widths, ids = [], [], []
-    depth = 0
-    while len(live):
-        code = codes[live + depth]
-        if depth == 0:
-            small = code < 1 << 16
-            state = np.where(small, v.first[np.where(small, code, 0)], 0)
-            for i in np.nonzero(~small)[0].tolist():
-                j = np.searchsorted(v.keys, code[i])
-                state[i] = v.next[j] if j < len(v.keys) and v.keys[j] == code[i] else 0
-            hit = state > 0
-        else:
-            key = state << CODE_BITS | code
-            j = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[j] == key
-            state = v.next[j]
-        live, state = live[hit], state[hit]
-        ended = v.ends[state] >= 0
-        starts.append(live[ended])
-        ids.append(v.ends[state[ended]])
-        widths.append(np.full(len(starts[-1]), depth + 1, np.int32))
-        depth += 1
-        more = left[live] > depth
-        live, state = live[more], state[more]
-    spelled = np.ones(len(codes), bool)
-    if starts:
-        spelled[starts[0]] = False
-    spelled = np.nonzero(spelled)[0].astype(np.int32)
-    starts.append(spelled)
-    widths.append(np.ones(len(spelled), np.int32))
-    ids.append(np.where(codes[spelled] < 128, v.byte_ids[np.minimum(codes[spelled], 127)], -codes[spelled] - 1).astype(np.int32))
-    # Longest first within a node: they tend to be the likeliest.
-    start, width, piece = np.concatenate(starts[::-1]), np.concatenate(widths[::-1]), np.concatenate(ids[::-1])
-    del starts, widths, ids
-    order = np.argsort(start, kind="stable")
-    start, width, piece = start[order], width[order], piece[order]
-    del order
-    weight = v.log_weight[np.maximum(piece, 0)]
-    for i in np.nonzero(piece < 0)[0].tolist():
-        weight[i] = v.log_weight[v.byte_ids[list(chr(-int(piece[i]) - 1).encode("utf-8", "surrogatepass"))]].sum()
-
-    # Log mass of all ways from a node to its unit's end, nearest nodes first.
-    n_nodes = len(codes) + len(units)
-    beta = np.zeros(n_nodes)
-    near = np.argsort(left[start], kind="stable")
-    source, target, w = node[start[near]], (node[start] + width)[near], weight[near]
-    cuts = np.concatenate([[0], np.nonzero(np.diff(left[start[near]]))[0] + 1, [len(near)]])
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        heads = np.concatenate([[0], np.nonzero(np.diff(source[a:b]))[0] + 1]) if b > a else np.zeros(0, np.int64)
-        if len(heads):
-            beta[source[a:b][heads]] = np.logaddexp.reduceat(w[a:b] + beta[target[a:b]], heads)
-    del near, source, target, w
-    source, target = node[start], node[start] + width
-    log_p = np.minimum(weight + beta[target] - beta[source], 0.0)
-    at = np.searchsorted(source, np.arange(n_nodes + 1))
-    log_p[at[source + 1] - at[source] == 1] = 0.0
-    p = np.exp(log_p)
-    sums = np.concatenate([[0.0], np.cumsum(p)])
-    sums = sums[1:] - sums[at[source]]
-    filled = at[1:] > at[:-1]
-    sums[at[1:][filled] - 1] = 2.0  # the last edge of a node takes what rounding leaves
-    last = np.zeros(n_nodes, bool)
-    last[ends + np.arange(len(units))] = True
-    return Lattice(ends - lengths + np.arange(len(units)), last, at, target, piece, log_p, p, sums)
+    sums: np.ndarray  # of edges: probabilities added up within the node, 2 at the last
+
+
+def _bytes_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of code points from 128 on: (points x 4) bytes, of which the last `length` count."""
+    length = 2 + (code >= 0x800) + (code >= 0x10000)
+    out = np.stack([code >> 18, code >> 12, code >> 6, code], axis=1) & 0x3F | 0x80
+    lead = np.arange(4)[None, :] == 4 - length[:, None]
+    out[lead] = (code >> 6 * (length - 1)) | np.array([0, 0, 0xC0, 0xE0, 0xF0])[length]
+    return out, length
+
+
+def build(words: list[str], v: Vocabulary) -> Lattice:
+    """Words are ordered by length, the longest first, and nodes by their distance from the word's end, so that
+    all nodes of a distance lie together, and what follows from them is known when they are reached."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    order = np.argsort(-lengths, kind="stable")
+    end, lengths = np.cumsum(lengths)[order], lengths[order]
+    longest = int(lengths[0])
+    sizes = np.searchsorted(-lengths, -np.arange(longest + 1), "right")  # words of this length or more
+    first = np.concatenate([[0], np.cumsum(sizes)])  # of distances: their first node; distance 0 are the ends
+    n_nodes, ranks = int(first[-1]), np.arange(len(words), dtype=np.int32)
+    code = np.zeros(n_nodes, np.int32)
+    for d in range(1, longest + 1):
+        code[first[d] : first[d + 1]] = flat[end[: sizes[d]] - d]
+    column = v.column[np.minimum(code, (1 << 16) - 1)]
+    column[code >= 1 << 16] = 0
+
+    beta, ways = np.zeros(n_nodes), np.ones(n_nodes)  # log mass and number of all ways from a node to its word's end
+    at, n_edges = [np.zeros(len(words), np.int64)], 0
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    for d in range(1, longest + 1):
+        here, m = int(first[d]), int(sizes[d])
+        live, state, count = ranks[:m], np.zeros(m, np.int32), np.zeros(m, np.int32)
+        found = []  # by width; a node's edges are numbered from the shortest on
+        for width in range(1, d + 1):
+            node = live + first[d - width + 1]
+            state = v.step(state, column[node], code[node])
+            hit = np.nonzero(state)[0]
+            live, state = live[hit], state[hit]
+            ids = v.ends[state]
+            ended = np.nonzero(ids >= 0)[0]
+            start, ids = live[ended], ids[ended]
+            weight = v.log_weight[ids]
+            if width == 1 and len(start) < m:  # characters without a piece are spelled
+                bare = np.ones(m, bool)
+                bare[start] = False
+                bare = ranks[:m][bare]
+                point = code[here + bare]
+                single = point < 128
+                spelled = np.where(single, v.byte_ids[np.minimum(point, 127)], -point - 1).astype(np.int32)
+                raw, length = _bytes_of(np.maximum(point, 128))
+                own = np.where(np.arange(4)[None, :] >= 4 - length[:, None], v.log_weight[v.byte_ids[raw]], 0.0).sum(axis=1)
+                start, ids, weight = np.concatenate([start, bare]), np.concatenate([ids, spelled]), np.concatenate([weight, np.where(single, v.log_weight[np.maximum(spelled, 0)], own)])
+            found.append((start, ids, weight, count[start]))
+            count[start] += 1
+            more = np.nonzero(v.row[state] < v.n_rows)[0]
+            live, state = live[more], state[more]
+            if not len(live):
+                break
+        begin = np.concatenate([[0], np.cumsum(count)])
+        to, piece, x = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.int32), np.empty(begin[-1])
+        for width, (start, ids, weight, number) in enumerate(found, 1):
+            place, target = begin[start + 1] - 1 - number, start + np.int32(first[d - width])  # longest first: they tend to be the likeliest
+            to[place], piece[place], x[place] = target, ids, weight + beta[target]
+        heads = begin[:-1]
+        top = np.maximum.reduceat(x, heads)
+        x -= np.repeat(top, count)
+        p = np.exp(x)
+        total = np.add.reduceat(p, heads)
+        rest = np.log(total)
+        beta[here : here + m] = top + rest
+        ways[here : here + m] = np.add.reduceat(ways[to], heads)
+        x -= np.repeat(rest, count)
+        np.minimum(x, 0.0, out=x)
+        p /= np.repeat(total, count)
+        several, k = np.nonzero(count > 1)[0], 1
+        while len(several):
+            p[heads[several] + k] += p[heads[several] + k - 1]
+            k += 1
+            several = several[count[several] > k]
+        p[begin[1:] - 1] = 2.0  # the last edge of a node takes what rounding leaves
+        at.append(heads + n_edges)
+        n_edges += int(begin[-1])
+        out.append((to, piece, x, p))
+    begins = np.empty(len(words), np.int64)
+    begins[order] = first[lengths] + ranks
+    to, piece, log_p, sums = (np.concatenate([o[i] for o in out]) for i in range(4))
+    return Lattice(begins, len(words), ways, np.concatenate([*at, [n_edges]]), to, piece, log_p, sums)
 
 
 MASK, STEP_1, STEP_2 = 2**64 - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -200,19 +261,18 @@ def _gumbel(u: float) -> float:
     return -math.log(-math.log(u))
 
 
-def sample_all(lat: Lattice, unit: np.ndarray, seed: np.ndarray, word: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One segmentation of each word: log probabilities, offsets, and edges in order."""
+def sample_all(lat: Lattice, unit: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One segmentation of each word, by its hash: log probabilities, numbers of pieces, and the pieces in order."""
     node = lat.start[unit]
     live = np.arange(len(unit))
-    base = mix(seed + word.astype(np.uint64) * np.uint64(STEP_2) + np.uint64(round_ * 2 + 1))
-    log_p, count = np.zeros(len(unit)), np.zeros(len(unit), np.int64)
+    log_p, count = np.zeros(len(unit)), np.zeros(len(unit), np.int32)
     taken = []
     step = 0
     while len(live):
         edge = lat.at[node]
         many = np.nonzero(lat.sums[edge] < 2.0)[0]
         if len(many):
-            u = _unit(mix(base[live[many]] + np.uint64(step * STEP_1 & MASK)).astype(np.uint64))
+            u = _unit(mix(base[live[many]] + np.uint64(step * STEP_1 & MASK)))
             at = edge[many]
             up = np.nonzero(u > lat.sums[at])[0]
             while len(up):
@@ -221,97 +281,55 @@ def sample_all(lat: Lattice, unit: np.ndarray, seed: np.ndarray, word: np.ndarra
             edge[many] = at
         log_p[live] += lat.log_p[edge]
         count[live] += 1
-        taken.append((live, edge))
+        taken.append((live, lat.piece[edge]))
         node = lat.to[edge]
-        go = ~lat.last[node]
+        go = node >= lat.ends
         live, node = live[go], node[go]
         step += 1
     offset = np.concatenate([[0], np.cumsum(count)])
-    edges = np.zeros(offset[-1], np.int64)
-    for step, (live, edge) in enumerate(taken):
-        edges[offset[live] + step] = edge
-    return log_p, offset, edges
-
-
-def sample_other(lat: Lattice, unit: int, excluded: list[np.ndarray], seed: int, what: int) -> np.ndarray | None:
-    """A segmentation of one unit other than those excluded, each with its share of what is left; None if there is none."""
-    node, path = int(lat.start[unit]), []
-    barred = [x.tolist() for x in excluded]
-    while not lat.last[node]:
-        a, b = int(lat.at[node]), int(lat.at[node + 1])
-        left = lat.p[a:b].tolist()
-        for e in {x[0] for x in barred}:
-            rest = sum(math.exp(sum(lat.log_p[y] for y in x[1:])) for x in barred if x[0] == e)
-            left[e - a] *= max(0.0, 1.0 - rest)
-        total = sum(left)
-        if total <= 0:
-            return None
-        draw = _one(seed, what, len(path)) * total
-        edge, run = a, left[0]
-        while run < draw and edge < b - 1:
-            edge += 1
-            run += left[edge - a]
-        path.append(edge)
-        barred = [x[1:] for x in barred if x[0] == edge and len(x) > 1]
-        node = int(lat.to[edge])
-    return np.array(path, np.int64)
-
-
-@dataclass
-class Path:
-    log_p: np.ndarray  # of words
-    offset: np.ndarray  # of words: their first edge
-    edges: np.ndarray
+    pieces = np.empty(offset[-1], np.int32)
+    for step, (live, piece) in enumerate(taken):
+        pieces[offset[live] + step] = piece
+    return log_p, count, pieces
 
 
-def top_k(lat: Lattice, unit: np.ndarray, fresh: list[Path], noise: list[np.ndarray], seed: int, k: int) -> tuple[list[tuple[Path, float]], float]:
-    """k distinct segmentations of one text with log probabilities, best perturbed value first, and the bound of all others.
+def sample_other(lat: Lattice, unit: int, excluded: list[list[int]], seed: int, what: int) -> tuple[float, list[int]]:
+    """Log probability and pieces of a segmentation of one word other than those excluded, each with its share of what is left.
 
-    fresh: a free sample of all its words for each round; noise: Gumbel noise of its
-    words for each. A frontier entry is (-bound,
-    number, path, word, excluded): paths that go with `path` before `word`, and there
-    take none of the excluded segmentations.
+    There must be one: lat.ways counts them.
     """
-    frontier: list = [(-_gumbel(_one(seed, 1, 0)), 0, None, 0, [])]
-    found: list[tuple[Path, float]] = []
-    number = 0
-    while frontier and len(found) < k:
-        bound, _, parent, word, excluded = heapq.heappop(frontier)
-        bound, free = -bound, fresh[len(found)]
-        if parent is None:
-            path = free
-        else:
-            other = sample_other(lat, int(unit[word]), excluded, seed, 2 + 2 * len(found))
-            if other is None:
-                continue
-            shift = parent.offset[word] + len(other) - free.offset[word + 1]
-            path = Path(
-                np.concatenate([parent.log_p[:word], [lat.log_p[other].sum()], free.log_p[word + 1 :]]),
-                np.concatenate([parent.offset[: word + 1], free.offset[word + 1 :] + shift]),
-                np.concatenate([parent.edges[: parent.offset[word]], other, free.edges[free.offset[word + 1] :]]),
-            )
-        found.append((path, float(path.log_p.sum())))
-
-        # What is left of the set: paths that leave this one at its word, or at a later one.
-        log_p = path.log_p[word:]
-        mass = np.cumsum(log_p) - log_p
-        reach = int(np.searchsorted(-mass, -LEAST_LOG))
-        leave = -np.expm1(log_p[:reach])
-        before = float(path.log_p[:word].sum()) if word else 0.0
-        if excluded:
-            leave[0] -= sum(math.exp(lat.log_p[x].sum()) for x in excluded)
-        split = []
-        if (leave > 1e-15).any():
-            value = noise[len(found) - 1][word : word + reach] + mass[:reach] + np.log(np.maximum(leave, 1e-300)) + before
-            value[leave <= 1e-15] = -np.inf
-            best = np.argsort(-value)[: k + 1 - len(found)] if k + 1 - len(found) > 1 else [int(value.argmax())]
-            # Noise added to log mass, held below the bound of the set that is split.
-            split = [(float(np.logaddexp(-bound, -value[i])), word + int(i)) for i in best if value[i] > -np.inf]
-        for rest, w in split:  # no more of them can come up, the bound of the rest included
-            own = path.edges[path.offset[w] : path.offset[w + 1]]
-            number += 1
-            heapq.heappush(frontier, (rest, number, path, w, [*excluded, own] if w == word else [own]))
-    return found, -frontier[0][0] if frontier else -math.inf
+    node, pieces, log_p = int(lat.start[unit]), [], 0.0
+    barred = excluded
+    while node >= lat.ends:
+        a, b = int(lat.at[node]), int(lat.at[node + 1])
+        names, logs, ends = lat.piece[a:b].tolist(), lat.log_p[a:b].tolist(), lat.to[a:b].tolist()
+        left = [math.exp(x) for x in logs]
+        for e, name in enumerate(names):
+            own = [x[1:] for x in barred if x[0] == name]
+            if own:
+                rest = sum(math.exp(_along(lat, ends[e], x)) for x in own)
+                left[e] = max(left[e] * (1.0 - rest), LEAST_MASS) if lat.ways[ends[e]] > len(own) else 0.0
+        draw = _one(seed, what, len(pieces)) * sum(left)
+        open_ = [e for e, x in enumerate(left) if x > 0]
+        edge, run = open_[0], left[open_[0]]
+        for e in open_[1:]:
+            if run >= draw:
+                break
+            edge, run = e, run + left[e]
+        pieces.append(names[edge])
+        log_p += logs[edge]
+        barred = [x[1:] for x in barred if x[0] == names[edge]]
+        node = ends[edge]
+    return log_p, pieces
+
+
+def _along(lat: Lattice, node: int, pieces: list[int]) -> float:
+    """Log probability of these pieces from a node on."""
+    log_p = 0.0
+    for piece in pieces:
+        edge = int(lat.at[node]) + lat.piece[lat.at[node] : lat.at[node + 1]].tolist().index(piece)
+        log_p, node = log_p + float(lat.log_p[edge]), int(lat.to[edge])
+    return log_p
 
 
 def log_inclusion(log_p: float, bound: float) -> float:
@@ -330,57 +348,242 @@ class _Numbers(dict):
         return number
 
 
-def encode_batch(texts: list[str], seeds: list[int], v: Vocabulary, k: int) -> Iterator[tuple[int, int, np.ndarray, float, float]]:
-    """(text number, rank from 1, piece ids, log probability, log inclusion probability) of each sample."""
-    numbers = _Numbers()
-    parts = [list(map(numbers.__getitem__, UNIT.findall((SPACE_MARK + text).replace(" ", SPACE_MARK)))) if text else [] for text in texts]
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    if not numbers:
-        for i in range(len(texts)):
-            yield i, 1, np.zeros(0, np.int32), 0.0, 0.0
-        return
-    lat = build(list(numbers), v)
-    unit = np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum()))
+class _Pool:
+    """Segmentations of words, by number: log probability, and pieces one after the other."""
+
+    def __init__(self) -> None:
+        self.log_p, self.count, self.pieces = [], [], []
+
+    def add(self, log_p: np.ndarray, count: np.ndarray, pieces: np.ndarray) -> None:
+        self.log_p.append(log_p)
+        self.count.append(count)
+        self.pieces.append(pieces)
+
+    def close(self) -> None:
+        self.log_p, self.count, self.pieces = np.concatenate(self.log_p), np.concatenate(self.count), np.concatenate(self.pieces)
+        self.start = np.cumsum(self.count, dtype=np.int64) - self.count
+
+    def of(self, number: int) -> list[int]:
+        return self.pieces[self.start[number] : self.start[number] + self.count[number]].tolist()
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        each = self.count[numbers]
+        shift = self.start[numbers] - (np.cumsum(each, dtype=np.int64) - each)
+        return self.pieces[np.repeat(shift, each) + np.arange(int(each.sum()))]
+
+
+@dataclass
+class _Entry:
+    """A set of segmentations of one text: those that go with the path of a round before a word, and there take none of some segmentations."""
+
+    bound: float
+    round: int
+    word: int
+    excluded: tuple[int, ...]  # numbers in the pool
+    mass: float  # of the excluded ones
+
+
+def _parts(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of words of some LATTICE_CHARS characters."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    a = 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LATTICE_CHARS, "right")))
+        yield a, b
+        a = b
+
+
+def encode_batch(texts: list[str], seeds: list[int], v: Vocabulary, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each rank from 1: numbers of the texts that have so many segmentations, counts of pieces, pieces, log probabilities, log inclusion probabilities."""
+    lists = [units(text) for text in texts]
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    words = [x for part in lists for x in part]
+    del lists
     ends = np.cumsum(counts)
-    word = np.arange(len(unit)) - np.repeat(ends - counts, counts)
+    begins = ends - counts
+    full = np.nonzero(counts)[0]  # the others have one segmentation, without pieces
+    doc = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(words)) - np.repeat(begins, counts)
     seed = np.repeat(np.array(seeds, np.uint64), counts)
-    rounds = [sample_all(lat, unit, seed, word, r) for r in range(k)]
-    base = mix(seed ^ np.uint64(STEP_1)) + word.astype(np.uint64) * np.uint64(STEP_2)
-    noise = [-np.log(-np.log(_unit(mix(base + np.uint64(r * STEP_1 & MASK))))) for r in range(k)]
-    for i, (end, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-        a = end - n
-        fresh = [Path(lp[a:end], off[a : end + 1] - off[a], edges[off[a] : off[end]]) for lp, off, edges in rounds]
-        found, bound = top_k(lat, unit[a:end], fresh, [x[a:end] for x in noise], seeds[i], k)
-        for rank, (path, log_p) in enumerate(found, 1):
-            yield i, rank, _ids(lat.piece[path.edges], v), log_p, log_inclusion(log_p, bound)
-
-
-def _ids(piece: np.ndarray, v: Vocabulary) -> np.ndarray:
-    spelled = np.nonzero(piece < 0)[0]
-    if not len(spelled):
-        return piece.astype(np.int32)
-    parts, last = [], 0
-    for i in spelled.tolist():
-        parts += [piece[last:i], v.byte_ids[list(chr(-int(piece[i]) - 1).encode("utf-8", "surrogatepass"))]]
-        last = i + 1
-    return np.concatenate([*parts, piece[last:]]).astype(np.int32)
+    number = at.astype(np.uint64) * np.uint64(STEP_2)
+
+    # Number n of the pool is the free sample of word n % len(words) in round n // len(words), then come those of the frontier.
+    pool, parts, ways = _Pool(), [_Pool() for _ in range(k)], np.zeros(len(words))
+    for a, b in _parts(words):
+        numbers = _Numbers()
+        unit = np.fromiter(map(numbers.__getitem__, words[a:b]), np.int64, b - a)
+        lat = build(list(numbers), v)
+        ways[a:b] = lat.ways[lat.start[unit]]
+        for r in range(k):
+            parts[r].add(*sample_all(lat, unit, mix(seed[a:b] + number[a:b] + np.uint64(r * 2 + 1))))
+        del lat, unit, numbers
+    for part in parts:
+        for x in zip(part.log_p, part.count, part.pieces, strict=True):
+            pool.add(*x)
+    del parts
+    if len(words):
+        pool.close()
+    noise_base = mix(seed ^ np.uint64(STEP_1)) + number
+    first = begins[full]
+
+    frontier: list[list[_Entry]] = [[] for _ in texts]
+    paths: list[np.ndarray] = []
+    values: list[np.ndarray] = []
+    alive: list[np.ndarray] = []
+    taken: list[_Entry | None] = [None] * len(texts)
+    bounds = np.array([_gumbel(_one(s, 1, 0)) for s in seeds])
+    for r in range(k):
+        path = np.arange(r * len(words), (r + 1) * len(words))
+        if r == 0:
+            live = full
+        else:
+            live = np.array([i for i in full.tolist() if frontier[i]], np.int64)
+            if not len(live):
+                break
+            distinct = _Numbers()
+            for i in live.tolist():
+                best = max(range(len(frontier[i])), key=lambda j: frontier[i][j].bound)  # noqa: B023
+                entry = taken[i] = frontier[i].pop(best)
+                bounds[i] = entry.bound
+                a, w = int(begins[i]), entry.word
+                path[a:w] = paths[entry.round][a:w]
+                distinct[words[w]]  # noqa: B018
+            lat = build(list(distinct), v)
+            new = [sample_other(lat, distinct[words[taken[i].word]], [pool.of(x) for x in taken[i].excluded], seeds[i], 2 + 2 * r) for i in live.tolist()]
+            path[[taken[i].word for i in live.tolist()]] = len(pool.count) + np.arange(len(live))
+            more = _Pool()
+            more.add(pool.log_p, pool.count, pool.pieces)
+            more.add(np.array([x for x, _ in new]), np.array([len(x) for _, x in new], np.int32), np.array([p for _, x in new for p in x], np.int32))
+            more.close()
+            pool = more
+        paths.append(path)
+        alive.append(live)
+        log_p = pool.log_p[path] if len(words) else np.zeros(0)
+        values.append(np.add.reduceat(log_p, first) if len(full) else np.zeros(0))
+
+        # What is left of each set: paths that leave this one at its word, or at a later one.
+        value = np.full(len(words), -np.inf)
+        gone, leave = np.zeros(len(words)), ways > 1
+        for i in live.tolist():
+            a, b, entry = int(begins[i]), int(ends[i]), taken[i]
+            np.cumsum(log_p[a : b - 1], out=value[a + 1 : b])
+            value[a] = 0.0
+            if entry is not None:
+                w = entry.word
+                leave[a:w] = False
+                leave[w] = ways[w] > len(entry.excluded) + 1
+                gone[w] = entry.mass
+        leave &= value > -np.inf
+        left = np.maximum(-np.expm1(log_p[leave]) - gone[leave], LEAST_MASS)
+        noise = -np.log(-np.log(_unit(mix(noise_base[leave] + np.uint64(r * STEP_1 & MASK)))))
+        value[leave] += noise + np.log(left)
+        value[~leave] = -np.inf
+        for _ in range(k - r):  # no more of them can come up, the bound of the rest included
+            top = np.maximum.reduceat(value, first) if len(full) else np.zeros(0)
+            spread = np.full(len(texts), np.inf)
+            spread[full] = np.where(top > -np.inf, top, np.inf)
+            best = np.nonzero(value == spread[doc])[0]
+            best = best[np.unique(doc[best], return_index=True)[1]]
+            for w, x in zip(best.tolist(), value[best].tolist(), strict=True):
+                i = int(doc[w])
+                entry, own = taken[i], int(path[w])
+                again = entry is not None and entry.word == w
+                # Noise added to log mass, held below the bound of the set that is split.
+                bound = -float(np.logaddexp(-bounds[i], -x))
+                mass = math.exp(float(pool.log_p[own])) + (entry.mass if again else 0.0)
+                frontier[i].append(_Entry(bound, r, w, (*entry.excluded, own) if again else (own,), mass))
+            value[best] = -np.inf
+        for i in live.tolist():
+            frontier[i] = sorted(frontier[i], key=lambda e: -e.bound)[: k - r]
+
+    left_bound = [max((e.bound for e in f), default=-math.inf) for f in frontier]
+    place = np.zeros(len(texts), np.int64)
+    place[full] = np.arange(len(full))
+    for r, live in enumerate(alive):
+        inside = np.zeros(len(texts), bool)
+        inside[live] = True
+        path = paths[r][inside[doc]]
+        pieces, sizes = (_spelled(pool.joined(path), pool.count[path], v)) if len(words) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        each = counts[live]
+        sums = np.add.reduceat(sizes, np.cumsum(each) - each) if len(live) else np.zeros(0, np.int64)
+        log_p = values[r][place[live]]
+        included = np.array([log_inclusion(float(x), left_bound[i]) for i, x in zip(live.tolist(), log_p, strict=True)])
+        if r == 0 and len(full) < len(texts):
+            rows, n, p, q = np.arange(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+            n[full], p[full], q[full] = sums, log_p, included
+            yield rows, n, pieces, p, q
+        else:
+            yield live, sums, pieces, log_p, included
+
+
+def _spelled(pieces: np.ndarray, counts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces with the byte ids of spelled characters in their places, and how many there are of each word now."""
+    odd = np.nonzero(pieces < 0)[0]
+    if not len(odd):
+        return pieces, counts.astype(np.int64)
+    raw, length = _bytes_of(-pieces[odd] - 1)
+    each = np.ones(len(pieces), np.int64)
+    each[odd] = length
+    out = np.repeat(pieces, each)
+    end = np.cumsum(each)
+    for j in range(4):
+        has = length >= j + 1
+        out[end[odd[has]] - 1 - j] = v.byte_ids[raw[has, 3 - j]]
+    sums = np.concatenate([[0], end])
+    word_end = np.cumsum(counts)
+    return out, sums[word_end] - sums[word_end - counts]
+
+
+def texts_of(pieces: np.ndarray, counts: np.ndarray, v: Vocabulary) -> pa.Array:
+    """The texts that lists of ids, one after the other, decode to; ids outside the vocabulary give nothing."""
+    ids = np.where((pieces >= 0) & (pieces < v.size), pieces, v.size).astype(np.int64)
+    start, length = v.text_start[ids], v.text_length[ids]
+    ends = np.cumsum(counts)
+    sums = np.concatenate([[0], np.cumsum(length)])
+    data = v.text[np.repeat(start - sums[:-1], length) + np.arange(int(sums[-1]))] if sums[-1] else np.zeros(0, np.uint8)
+    offsets = np.concatenate([[0], sums[ends]])
+    filled = np.nonzero(offsets[1:] > offsets[:-1])[0]
+    marked = filled[data[offsets[filled]] == 0x20]  # the space that encoding put before the text
+    keep = np.ones(len(data), bool)
+    keep[offsets[marked]] = False
+    data = data[keep]
+    shift = np.zeros(len(counts) + 1, np.int64)
+    shift[marked + 1] = 1
+    offsets -= np.cumsum(shift)
+    raw = data.tobytes()
+    try:
+        raw.decode("utf-8")
+        whole = not (data[offsets[:-1][offsets[:-1] < len(data)]] & 0xC0 == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if not whole:
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw))
 
 
 def row_seed(key, seed: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{'' if key is None else key}".encode(), digest_size=8).digest(), "little")
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", seed: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, k: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text", seed: str = "pieces", decoded: str | None = None) -> DataFrame:
     """Returns id_col, sample (rank from 1), ids, log_prob, log_inclusion: up to k distinct segmentations a row.
 
+    With decoded, a column of that name holds what the ids decode to, worked out
+    beside them, so that ids needn't go through another Python worker.
+
     Whole texts are encoded, as the model does: a space before them, spaces as marks,
-    characters without a piece as bytes. Null texts give no row; an empty text, and
-    any with fewer segmentations than k, gives all it has. Rows of equal key and text
-    give equal samples; a null key counts as empty text. model is a file that every
-    executor has. Other columns are not looked at; an empty table gives no rows.
+    characters without a piece as bytes; of a run of more than LONGEST_WORD characters
+    without a space, no piece crosses a multiple of LONGEST_WORD. Null texts give no row;
+    an empty text, and any with fewer segmentations than k, gives all it has, and no text
+    gives fewer than both k and these, however small their probability. Equal perturbed
+    values go to the first word in order. Rows of equal key and text give equal
+    samples; a null key counts as empty text. model is a file that every executor has.
+    Other columns are not looked at, whatever their names; an empty table gives no rows.
+    A worker's memory grows with LATTICE_CHARS and with the longest single text.
     """
     field = docs.schema[id_col]
-    schema = T.StructType([field, T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())])
+    fields = [field, T.StructField("sample", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_prob", T.DoubleType()), T.StructField("log_inclusion", T.DoubleType())]
+    schema = T.StructType([*fields, T.StructField(decoded, T.StringType())] if decoded else fields)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -390,17 +593,14 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, k: int = SAMPLES, id_col
             start = 0
             while start < len(texts):
                 end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
+                while end < len(texts) and (end == start or chars + len(texts[end]) <= LATTICE_CHARS):
                     chars += len(texts[end])
                     end += 1
-                found = list(encode_batch(texts[start:end], [row_seed(x, seed) for x in keys[start:end]], v, k))
-                rows, ranks, pieces, log_p, included = zip(*found, strict=True)
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.array(rows) + start)), pa.array(ranks, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(pieces)), pa.array(log_p), pa.array(included)],
-                    names=schema.names,
-                )
-                del found, rows, ranks, pieces, log_p, included
+                for rank, (rows, counts, pieces, log_p, included) in enumerate(encode_batch(texts[start:end], [row_seed(x, seed) for x in keys[start:end]], v, k), 1):
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns = [ids.take(pa.array(rows + start)), pa.array(np.full(len(rows), rank, np.int32)), pa.ListArray.from_arrays(offsets, pieces), pa.array(log_p), pa.array(included)]
+                    yield pa.RecordBatch.from_arrays(columns + ([texts_of(pieces, counts, v)] if decoded else []), names=schema.names)
+                    del columns, pieces
                 release_memory()
                 start = end
 
@@ -411,32 +611,27 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
     """Puts the text in place of the ids: marks become spaces, the first of them goes; null ids give null.
 
     Decoding a sample gives back the text that was encoded, but for marks that it
-    held itself, which are spaces now. Ids outside the vocabulary give nothing.
+    held itself, which are spaces now. Ids outside the vocabulary, and null ones in a
+    list, give nothing; bytes that aren't UTF-8 give the replacement character. A
+    column that has the text's name already is replaced. Rows are decoded each by
+    itself; an empty table gives no rows.
     """
-    kept = [f for f in encoded.schema.fields if f.name != ids_col]
+    kept = [f for f in encoded.schema.fields if f.name not in (ids_col, text_col)]
     names = [f.name for f in kept]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        table, mark = np.array([*v.bytes, b""], object), SPACE_MARK.encode()
         for batch in batches:
-            texts = []
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            for i in range(len(column)):
-                ids = column[i].values
-                if ids is None:
-                    texts.append(None)
-                    continue
-                ids = ids.to_numpy(zero_copy_only=False)
-                ids = np.where((ids >= 0) & (ids < v.size), ids, v.size).astype(np.int64)
-                text = b"".join(table[ids].tolist()).replace(mark, b" ").decode("utf-8", "replace")
-                texts.append(text[1:] if text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [pa.array(texts, pa.string())], names=[*names, text_col])
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            pieces = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            texts = texts_of(pieces, counts, v)
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + [texts], names=[*names, text_col])
 
     return bounded_batches(encoded).mapInArrow(go, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    digests = encoded.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.hash("ids").alias("ids_hash"), "log_prob", "log_inclusion", "ids")
-    return decode(digests).withColumn("decoded_md5", F.md5("text")).drop("text")
+    encoded = encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded="text")
+    return encoded.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.hash("ids").alias("ids_hash"), "log_prob", "log_inclusion", F.md5("text").alias("decoded_md5"))
