@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lrforge.llm.common import as_table, read
+from lrforge.llm.common import as_table, named, packed, read
 
 WINDOW = 3
 
@@ -27,20 +27,24 @@ def _windows(docs: DataFrame) -> DataFrame:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(_id, _tag, covered) of documents with later occurrences: covered holds the distinct line numbers to go."""
+    """(_id, _tag, starts) of documents with later occurrences: starts holds the first lines of their windows, in order."""
     windows = as_table(_windows(docs), "line-windows")
     place = F.struct(F.col("_id"), F.col("_tag"), F.col("at"))
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     # A passage in a third of all documents is a hot key on the left only, which adaptive execution splits.
     # Repeated windows grow with the input, so they aren't broadcast at any size.
     later = windows.join(first.select("h1", "h2", "first").hint("merge"), ["h1", "h2"]).where(place != F.col("first"))
-    spread = later.groupBy("_id", "_tag").agg(F.collect_set("at").alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    return spread.select("_id", "_tag", covered.alias("covered"))
+    return later.groupBy("_id", "_tag").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+
+
+def _uncovered(lines: Column, starts: Column) -> Column:
+    """Lines outside the windows, which are in order: what lies between the end of each and the start of the next, in linear time."""
+    ends = F.concat(F.array(F.lit(0)), F.transform(starts, lambda p: p + WINDOW))
+    return F.flatten(F.zip_with(ends, F.concat(starts, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 1, F.greatest(b - a, F.lit(0)))))
 
 
 def _named(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tag")]
+    return [named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_tag")]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,20 +57,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts of fewer than three lines stay whole. A text of which every line goes
     becomes empty. Null texts stay null (n_lines 0), null ids come first; rows that are
     equal in id and text count as one document and lose the same lines. Other columns
-    pass through; an empty table gives an empty one.
+    pass through, but for those named n_lines or n_removed (in any case), which the
+    results replace; an empty table gives an empty one. Time and memory are linear in
+    a document's lines.
     """
-    named = _named(id_col, text_col)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
+    names = _named(id_col, text_col)
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    rows = docs.select(packed(docs), *names)
     # Spread evenly by (id, hash): texts meet their marks there, and hot passages play no part.
-    marks = as_table(_marks(docs.select(*named, F.col(text_col).alias("_text"))), "line-marks").select(F.col("_id").alias("m_id"), F.col("_tag").alias("m_tag"), "covered")
-    marked = packed.join(marks.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_tag") == F.col("m_tag")), "left")
-    split = marked.withColumn("_lines", F.split(F.col(f"row.`{text_col}`"), "\n"))
-    numbered = lambda lines: F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    gone = F.transform("covered", lambda i: F.struct(i.alias("i"), F.element_at("_lines", i + 1).alias("x")))
-    kept = F.array_join(F.array_except(numbered("_lines"), gone).getField("x"), "\n")
-    text = F.when(F.col("covered").isNull(), F.col(f"row.`{text_col}`")).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return split.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"))
+    marks = as_table(_marks(docs.select(*names, named(text_col).alias("_text"))), "line-marks").select(F.col("_id").alias("m_id"), F.col("_tag").alias("m_tag"), "starts")
+    marked = rows.join(marks.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_tag") == F.col("m_tag")), "left")
+    field = lambda c: F.col("row").getField(c)
+
+    def work(lines: Column) -> Column:
+        kept = F.when(F.col("starts").isNotNull(), _uncovered(lines, F.col("starts")))
+        return F.struct(F.array_join(kept, "\n").alias("text"), F.size(lines).cast("long").alias("lines"), (F.size(lines) - F.size(kept)).cast("long").alias("removed"))
+
+    # The lines are bound to a variable, so that a text is split once.
+    split = marked.withColumn("_work", F.element_at(F.transform(F.array(F.split(field(text_col), "\n")), work), 1))
+    text = F.when(F.col("starts").isNull(), field(text_col)).otherwise(F.col("_work.text"))
+    counts = [F.when(field(text_col).isNull(), 0).otherwise(F.col("_work.lines")).cast("long").alias("n_lines"), F.when(F.col("starts").isNull(), 0).otherwise(F.col("_work.removed")).cast("long").alias("n_removed")]
+    return split.select(*[text.alias(c) if c == text_col else field(c).alias(c) for c in columns], *counts)
+
+
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs after dedup_lines, columns unchanged; a document of which no word is left goes, if lines of it were removed.
+
+    chars_col, if there, follows a text that has changed. As in dedup_lines for nulls,
+    ties and empty tables; columns may have any names.
+    """
+    done = dedup_lines(docs.select(packed(docs), named(id_col).alias("_doc"), named(text_col).alias("_text")), "_doc", "_text")
+    kept = done.where(F.expr(r"n_removed = 0 or rlike(_text, r'[^\x20\x09-\x0D]')"))
+    old = lambda c: F.col("row").getField(c)
+    new = {text_col: F.col("_text")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(F.col("n_removed") > 0, F.length("_text").cast(docs.schema[chars_col].dataType)).otherwise(old(chars_col))
+    return kept.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
