@@ -1,13 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of n-grams by language are summed by Spark; the matrix of log
-probabilities (languages x buckets) is broadcast, its size bounded by MATRIX_BYTES;
-tasks score batches of texts as sparse rows of bucket numbers in numpy.
+Counts of n-grams by language are summed by Spark; the matrix of log probabilities
+(languages x BUCKETS) is broadcast in blocks of at most BLOCK_LANGS languages, one
+block (16 MB) for all but very many languages; tasks score batches of texts as sparse
+rows of bucket numbers in numpy. Further blocks take another pass over the texts, and
+the best language is carried along, so results don't depend on the blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -16,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import KEY_DIGITS, bounded_batches, held_out, join_small, map_texts, random_key, read
+from lrforge.llm.common import KEY_DIGITS, bounded_batches, held_out, join_small, map_texts, named, random_key, read
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
-MATRIX_BYTES = 16 << 20  # bound of the broadcast matrix; more languages get fewer buckets
+BLOCK_LANGS = 128  # languages whose part of the matrix is broadcast at once: 16 MB
 MAX_TRAIN_DOCS = 20_000  # documents that the model is fitted on, chosen by hash of their id within each language
 LEAST_DOCS = 100  # of each language, if it has so many
 SMOOTHING = 0.5
@@ -76,9 +79,15 @@ def _counts(n_buckets: int):
     return count
 
 
-def sample_by_lang(rows: DataFrame, most: int) -> DataFrame:
+@dataclass
+class Model:
+    langs: list[str] = field(default_factory=list)  # in order
+    log_prior: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of languages: their share of all usable rows
+    log_probs: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS)))  # languages x BUCKETS
+
+
+def sample_by_lang(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     """All rows (id, lang, ...), or of each language about its part of `most` (LEAST_DOCS at least), whose hash-random keys are lowest; smaller languages whole."""
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     total, n_langs = counts.agg(F.sum("_n"), F.count("*")).first()
     if not n_langs or total <= most:
         return rows
@@ -86,41 +95,36 @@ def sample_by_lang(rows: DataFrame, most: int) -> DataFrame:
     return join_small(rows, counts, ["lang"], "inner").where((F.col("_n") <= quota) | (random_key(F.col("id"), "fit") < F.lit(float(16**KEY_DIGITS)) * quota / F.col("_n")))
 
 
-def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log probabilities (languages x buckets), from rows for which usable holds.
-
-    Fitted on all such rows, or on about max_docs of them, chosen by hash of their ids
-    within each language, so that no language is left out.
-    Languages count alike: there is no prior. Without rows: no language.
-    """
-    rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = sample_by_lang(rows, max_docs).select("lang", "text")
-    n_langs = sample.agg(F.countDistinct("lang")).first()[0]
-    n_buckets = BUCKETS
-    while n_buckets > 256 and n_buckets * n_langs * 4 > MATRIX_BYTES:
-        n_buckets //= 2
-    if not n_langs:
-        return [], np.zeros((0, BUCKETS))
-    counts = bounded_batches(sample).mapInPandas(_counts(n_buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    table = np.full((len(langs), n_buckets), SMOOTHING)
-    np.add.at(table, (counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), counts["bucket"].to_numpy()), counts["n"].to_numpy())
-    return langs, np.log(table) - np.log(table.sum(axis=1, keepdims=True))
-
-
-def predict(docs: DataFrame, langs: list[str], log_probs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to the columns other than the text.
+def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_TRAIN_DOCS) -> Model:
+    """Priors and log probabilities of languages, from rows for which usable holds.
 
-    und, with score 0, for null texts, texts without a letter, and if no language
-    was learned; ties go to the first language in order. Very long texts are scored
-    whole, block by block.
+    n-grams are counted on all such rows, or on about max_docs of them, chosen by hash
+    of their ids within each language, so that no language is left out; priors are
+    shares of all such rows. Rows with a null text or language teach nothing, repeated
+    rows count each. Without rows: no language. Languages come to the driver, a row of
+    BUCKETS numbers each.
     """
-    spark = docs.sparkSession
-    n_langs, n_buckets = log_probs.shape
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(log_probs.T, np.float32))
+    rows = docs.where(usable & named(lang_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("id"), named(lang_col).alias("lang"), named(text_col).alias("text"))
+    shares = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    sample = sample_by_lang(rows, shares, max_docs).select("lang", "text")
+    counts = bounded_batches(sample).mapInPandas(_counts(BUCKETS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    share = {r["lang"]: r["_n"] for r in shares.collect()}
+    langs = sorted(share)
+    if not langs:
+        return Model()
+    table = np.full((len(langs), BUCKETS), SMOOTHING)
+    np.add.at(table, (counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counts["bucket"].to_numpy(int)), counts["n"].to_numpy(int))
+    total = np.array([share[x] for x in langs], float)
+    return Model(langs, np.log(total) - np.log(total.sum()), np.log(table) - np.log(table.sum(axis=1, keepdims=True)))
+
+
+def _scorer(docs: DataFrame, langs: list[str], log_prior: np.ndarray, log_probs: np.ndarray):
+    """For a batch of texts the best of these languages, its log probability, and the sum of all odds against it."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(log_probs.T, np.float32), log_prior))
+    n_langs = len(langs)
 
     def score(texts: list[str | None]) -> list[pa.Array]:
-        table = shared.value
+        table, prior = shared.value
         sums, sizes = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
         held: list[np.ndarray] = []
         rows: list[int] = []
@@ -137,7 +141,7 @@ def predict(docs: DataFrame, langs: list[str], log_probs: np.ndarray, text_col:
         waiting = 0
         for i, text in enumerate(texts):
             if n_langs and has_letter(text):
-                for ids in buckets_of(text, n_buckets):
+                for ids in buckets_of(text, BUCKETS):
                     held.append(ids)
                     rows.append(i)
                     waiting += len(ids)
@@ -146,19 +150,42 @@ def predict(docs: DataFrame, langs: list[str], log_probs: np.ndarray, text_col:
                         waiting = 0
         flush()
         known = sizes > 0
-        pred, top = np.full(len(texts), "und", object), np.zeros(len(texts))
+        pred, top, odds, scale = np.full(len(texts), None, object), np.full(len(texts), -np.inf), np.zeros(len(texts)), np.ones(len(texts))
         if known.any():
-            best = sums[known].argmax(axis=1)
-            scale = np.minimum(1.0, SPREAD * len(ORDERS) / sizes[known])[:, None]
-            odds = np.exp((sums[known] - sums[known].max(axis=1, keepdims=True)) * scale)
-            pred[known], top[known] = np.array(langs, object)[best], 1 / odds.sum(axis=1)
-        return [pa.array(pred, pa.string()), pa.array(top, pa.float64())]
+            total = sums[known] + prior
+            scale[known] = np.minimum(1.0, SPREAD * len(ORDERS) / sizes[known])
+            pred[known], top[known] = np.array(langs, object)[total.argmax(axis=1)], total.max(axis=1)
+            odds[known] = np.exp((total - total.max(axis=1, keepdims=True)) * scale[known][:, None]).sum(axis=1)
+        return [pa.array(pred, pa.string()), pa.array(top), pa.array(odds), pa.array(scale)]
 
-    return map_texts(docs, text_col, score, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return score
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Adds lang_pred and score to the columns other than the text.
+
+    und, with score 0, for null texts, texts without a letter, and if no language
+    was learned; ties go to the first language in order. Very long texts are scored
+    whole, block by block. Input columns named lang_pred or score (in any case) are
+    replaced; rows are judged each by itself, repeated ones too; an empty table gives
+    no rows.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score") and c != text_col]
+    rows = docs.select(F.struct(*[named(c) for c in kept]).alias("row") if kept else F.lit(None).cast("struct<>").alias("row"), named(text_col).alias("text"))
+    starts = range(0, max(1, len(model.langs)), BLOCK_LANGS)
+    for b in starts:
+        part = slice(b, b + BLOCK_LANGS)
+        added = [T.StructField(f"pred{b}", T.StringType()), *[T.StructField(f"{n}{b}", T.DoubleType()) for n in ("top", "odds", "scale")]]
+        rows = map_texts(rows, "text", _scorer(docs, model.langs[part], model.log_prior[part], model.log_probs[part]), added, drop_text=b == starts[-1])
+    best = F.greatest(*[F.col(f"top{b}") for b in starts]) if len(starts) > 1 else F.col("top0")
+    pred, odds = F.coalesce(*[F.when(F.col(f"top{b}") == best, F.col(f"pred{b}")) for b in starts]), F.lit(0.0)
+    for b in starts:
+        odds = odds + F.when(F.col(f"odds{b}") > 0, F.col(f"odds{b}") * F.exp((F.col(f"top{b}") - best) * F.col(f"scale{b}"))).otherwise(0.0)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], F.coalesce(pred, F.lit("und")).alias("lang_pred"), F.when(pred.isNotNull(), 1 / odds).otherwise(0.0).alias("score"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
-    langs, log_probs = train(docs.select("doc_id", "text", "lang"), ~out)
-    return predict(docs.select("doc_id", "text", out.alias("held_out")), langs, log_probs)
+    model = train(docs.select("doc_id", "text", "lang"), ~out)
+    return predict(docs.select("doc_id", "text", out.alias("held_out")), model)
