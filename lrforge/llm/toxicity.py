@@ -2,7 +2,7 @@
 
 Fit, on a bounded sample of labelled rows: document counts of words and of word
 beginnings by label, summed by Spark; log-odds under Dirichlet priors, shrunk by
-their standard deviation, become a lexicon of bounded size. Scoring: a word takes
+their standard deviation, become a lexicon, which the bound on the sample bounds. Scoring: a word takes
 the surest of its entries, less a drift that makes clean text score below zero; a
 linear scan finds all maximal segments; extreme-value statistics (lambda from the
 scores of clean tokens, K from the best segments of clean documents) turn a
@@ -24,12 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import bounded_batches, bounded_sample, held_out, map_texts, read
+from lrforge.llm.common import bounded_batches, bounded_sample, held_out, map_texts, named, packed, read
 
 TOKEN = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5, 6, 7)  # lengths of word beginnings that are features beside the word itself
 MAX_TRAIN_DOCS = 12_000  # labelled documents that the model is fitted on, chosen by hash of their id
-MAX_LEXICON = 50_000  # entries that are broadcast, the surest first
 PRIOR = 0.5  # symmetric part of the Dirichlet prior
 BACKGROUND = 10.0  # weight of the part in proportion to a feature's share of both classes
 SURE, SHRINK = 3.0, 2.0  # least |z| of an entry; standard deviations taken off its log-odds
@@ -132,15 +131,6 @@ def weigh(text: str | None, model: Model, scores: Scores) -> tuple[float, int, l
     return -sum(math.log(s["expected"]) for s in found), len(each), found
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of features between two classes under Dirichlet priors, and its standard deviation."""
-    both = toxic + clean
-    prior = PRIOR + BACKGROUND * both / max(both.sum(), 1)
-    t, c = toxic + prior, clean + prior
-    nt, nc = t.sum(), c.sum()
-    return np.log(t / (nt - t)) - np.log(c / (nc - c)), np.sqrt(1 / t + 1 / c)
-
-
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found = {0: Counter(), 1: Counter()}
     for batch in batches:
@@ -164,8 +154,11 @@ def _decay(values: np.ndarray, counts: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fits on labelled rows for which usable holds; only their texts are looked at.
 
-    labels: (id_col, label_col), null labels are left out, repeated ones count each.
-    Without rows of both classes the model finds nothing.
+    labels: (id_col, label_col), null labels and ids are left out, repeated ones count
+    each, and so do repeated documents; null texts teach nothing. On more than max_docs
+    labels, about so many of them are taken, chosen by hash of their ids; that bounds
+    the lexicon and all else that is broadcast or comes to the driver. Without rows of
+    both classes, or of an empty table, the model finds nothing.
     """
     marked = bounded_sample(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & usable), id_col, max_docs).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic"))
     ids = F.broadcast(marked)  # max_docs rows or so
@@ -184,41 +177,61 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
         nt, nc = float((rare["toxic"] * rare["n"]).sum()) + total_prior, float((rare["clean"] * rare["n"]).sum()) + total_prior
         odds = counts.select("feature", (F.col("toxic") + prior).alias("t"), (F.col("clean") + prior).alias("c"))
         odds = odds.select("feature", (F.ln(F.col("t") / (nt - F.col("t"))) - F.ln(F.col("c") / (nc - F.col("c")))).alias("d"), F.sqrt(1 / F.col("t") + 1 / F.col("c")).alias("sd"))
-        sure = odds.withColumn("z", F.abs(F.col("d") / F.col("sd"))).where(F.col("z") >= SURE).orderBy(F.desc("z"), "feature").limit(MAX_LEXICON).toPandas()
+        sure = odds.withColumn("z", F.abs(F.col("d") / F.col("sd"))).where(F.col("z") >= SURE).toPandas()
         shrunk = np.sign(sure["d"]) * np.maximum(sure["d"].abs() - SHRINK * sure["sd"], 0)
         model = Model({f: (float(z), float(s)) for f, z, s in zip(sure["feature"], sure["z"], shrunk, strict=True) if s})
 
-        shared = docs.sparkSession.sparkContext.broadcast(model.lexicon)
-
-        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scores, found = Scores(shared.value), []
-            for batch in batches:
-                for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                    each = token_scores(text, scores)
-                    values, n = np.unique(np.round(each, 1), return_counts=True)
-                    best = sorted((s for _, _, s in segments(each)), reverse=True)[:50]
-                    found.append((toxic, len(each), values.tolist(), n.tolist(), best))
-            yield pd.DataFrame(found, columns=["toxic", "n", "values", "counts", "best"])
-
-        seen = sample.mapInPandas(measure, "toxic int, n long, values array<double>, counts array<long>, best array<double>").toPandas()
+        _calibrate(sample, model)
+        model.threshold = _best_threshold(*_evidence(sample, model))
     finally:
         sample.unpersist()
-    seen = seen[seen["n"] > 0]
-    clean = seen[seen["toxic"] == 0]
-    spectrum: Counter = Counter()
-    for values, n in zip(clean["values"], clean["counts"], strict=True):
-        spectrum.update(dict(zip(values, n, strict=True)))
-    spectrum[max([1.0, *(s - DRIFT for _, s in model.lexicon.values())])] += 0.5  # half a clean token with the highest score
-    values, n = np.array(list(spectrum)), np.array(list(spectrum.values()), float)
-    model.decay = _decay(values, n) if (values * n).sum() < 0 else 1e-6
-    tops = np.array([b[0] if len(b) else 0.0 for b in clean["best"]])
-    model.k = len(clean) / max(1e-12, float((clean["n"].to_numpy() * np.exp(-model.decay * tops)).sum()))
-    limit = math.log(SIGNIFICANT)
-    evidence = np.array([-sum(e for s in best if (e := math.log(model.k * size) - model.decay * s) < limit) for best, size in zip(seen["best"], seen["n"], strict=True)])
-    model.threshold = _best_threshold(evidence, seen["toxic"].to_numpy())
     return model
 
 
+def _calibrate(sample: DataFrame, model: Model) -> None:
+    """lambda from the scores of clean tokens, in steps of a tenth, and K from the best segments of clean documents; both sums are small."""
+    shared = sample.sparkSession.sparkContext.broadcast(model.lexicon)
+
+    def spectrum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores, found = Scores(shared.value), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                values, n = np.unique(np.round(token_scores(text, scores), 1), return_counts=True)
+                found.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+        yield pd.DataFrame({"value": list(found), "n": list(found.values())}, dtype=float)
+
+    clean = sample.where("toxic = 0").select("text")
+    seen = clean.mapInPandas(spectrum, "value double, n double").groupBy("value").agg(F.sum("n").alias("n")).toPandas()
+    counts: Counter = Counter(dict(zip(seen["value"], seen["n"], strict=True)))
+    counts[max([1.0, *(s - DRIFT for _, s in model.lexicon.values())])] += 0.5  # half a clean token with the highest score
+    values, n = np.array(list(counts)), np.array(list(counts.values()), float)
+    decay = model.decay = _decay(values, n) if (values * n).sum() < 0 else 1e-6
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(shared.value)
+        for batch in batches:
+            each = [token_scores(text, scores) for text in batch["text"]]
+            best = np.array([max((s for *_, s in segments(x)), default=0.0) for x in each])
+            sizes = np.array([len(x) for x in each], float)
+            yield pd.DataFrame({"docs": [float((sizes > 0).sum())], "mass": [float((sizes * np.exp(-decay * best)).sum())]})
+
+    docs, mass = clean.mapInPandas(tops, "docs double, mass double").agg(F.sum("docs"), F.sum("mass")).first()
+    model.k = (docs or 0.0) / max(1e-12, mass or 0.0)
+
+
+def _evidence(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and label of each sampled document, over all of its segments; two numbers a document of the bounded sample."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = Scores(shared.value.lexicon)
+        for batch in batches:
+            yield pd.DataFrame({"evidence": [weigh(text, shared.value, scores)[0] for text in batch["text"]], "toxic": batch["toxic"].to_numpy()})
+
+    found = sample.mapInPandas(weighed, "evidence double, toxic int").toPandas()
+    return found["evidence"].to_numpy(float), found["toxic"].to_numpy(int)
+
+
 def _best_threshold(evidence: np.ndarray, toxic: np.ndarray) -> float:
     """Middle of the gap below the lowest evidence at which F1 is within TOLERANCE of its highest.
 
@@ -235,10 +248,12 @@ def _best_threshold(evidence: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool = True) -> DataFrame:
-    """Adds score (0 to 1), predicted (1 from 0.5 on) and the toxic segments as token positions.
+    """Adds score (0 to 1), predicted (1 from 0.5 on) and passages: the toxic segments as token positions.
 
     Null and empty texts, and those without a significant segment, score 0. Whole
-    texts are scanned. Rows are judged each by itself; ids may be null or repeated.
+    texts are scanned. Rows are judged each by itself, equal ones alike; ids may be
+    null or repeated. Input columns named score, predicted or passages (in any case)
+    are replaced; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: dict[str, Scores] = {}
@@ -257,9 +272,9 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, columns unchanged."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("_text"))
-    return judge(packed, model, "_text").where("predicted = 0").select("row.*")
+    """The rows that are not predicted toxic, columns unchanged, whatever their names; null and empty texts stay, and repeated rows all."""
+    rows = docs.select(packed(docs), named(text_col).alias("_text"))
+    return judge(rows, model, "_text").where("predicted = 0").select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
