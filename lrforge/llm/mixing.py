@@ -2,10 +2,11 @@
 
 Every document gets a hash-random key. The keys' range is dealt into slices
 within each source (as many as its share of the rows), so slices in order are a
-range-sort of the source. Slice totals give distributed prefix sums; only the
-slice in which a source's budget ends is sorted row by row. That yields one cut
-(key, id, size) a source, and every document then finds its share by comparing
-itself with its source's cut: no document is shuffled.
+range-sort of the source. Slice totals give distributed prefix sums; the slice in
+which a source's budget ends is sliced again, until it has CUT_ROWS rows at most,
+and only these are sorted row by row. That yields one cut (key, id, size) a source,
+and every document then finds its share by comparing itself with its source's cut:
+no document is shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lrforge.llm.common import KEY_DIGITS, as_table, join_small, random_key, read, word_count
+from lrforge.llm.common import KEY_DIGITS, as_table, join_small, named, packed, random_key, read, word_count
+
+SLICES = 256  # of a source's part of the keys, at most, each time
+CUT_ROWS = 10_000  # rows of a source that are sorted together; rows that are equal in key, id and size count once
+
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """Adds rank and target to rows (src_null, src, source_size), one a source.
@@ -42,22 +47,22 @@ def source_cuts(rows: DataFrame, seed: str, weights: tuple[int, ...] = (5, 2, 1)
     last epoch wholly, that at the cut with `part` words (rows that are equal in
     all of these columns share them evenly, rounded down), none after it.
     """
-    spark = rows.sparkSession
     by = ["src_null", "src"]
     sources = as_table(source_targets(rows.groupBy(*by).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, cap), "mix-sources")
     budget = F.floor(F.col("target") + 0.5)
     sized = F.greatest(F.col("source_size"), F.lit(1))
-    slices = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     sources = sources.withColumn("epochs", F.floor(budget / sized)).withColumn("rest", budget - F.col("epochs") * sized)
-    sources = sources.withColumn("slices", F.ceil(slices * F.col("n") / F.sum("n").over(W.partitionBy())))
-    dealt = join_small(rows, sources.select(*by, "rest", "slices"), by).withColumn("slice", F.floor(F.col("key") * (F.col("slices") / float(16**KEY_DIGITS))))
-    totals = dealt.groupBy(*by, "slice").agg(F.sum("size").alias("slice_size"), F.first("rest").alias("rest"))
-    before = F.sum("slice_size").over(W.partitionBy(*by).orderBy("slice")) - F.col("slice_size")
-    last = as_table(
-        totals.withColumn("before", before).where("before < rest and rest <= before + slice_size").select(*by, F.col("slice").alias("cut_slice"), "before"),
-        "mix-slices",
-    )
-    within = join_small(dealt, last, by, "inner").where("slice = cut_slice")
+    # The part of each source's keys in which its cut lies, and the words before it.
+    parts = sources.where("rest > 0").select(*by, "rest", F.lit(0).cast("long").alias("low"), F.lit(16**KEY_DIGITS).cast("long").alias("width"), F.lit(0).cast("long").alias("before"), "n")
+    while not parts.where((F.col("n") > CUT_ROWS) & (F.col("width") > 1)).isEmpty():
+        slices = F.least(F.lit(SLICES), F.ceil(4 * F.col("n") / CUT_ROWS)).cast("long")
+        finer = parts.withColumn("slices", slices).withColumn("step", F.expr("(width + slices - 1) div slices"))
+        dealt = join_small(rows, finer.select(*by, "rest", "low", "width", "before", "step"), by, "inner").where("key >= low and key < low + width").withColumn("slice", F.expr("(key - low) div step"))
+        totals = dealt.groupBy(*by, "rest", "low", "before", "step", "slice").agg(F.sum("size").alias("slice_size"), F.count("*").alias("n"))
+        run = F.col("before") + F.sum("slice_size").over(W.partitionBy(*by).orderBy("slice"))
+        cut = totals.withColumn("run", run).withColumn("start", F.col("run") - F.col("slice_size")).where("start < rest and rest <= run")
+        parts = as_table(cut.select(*by, "rest", F.expr("low + slice * step").alias("low"), F.col("step").alias("width"), F.col("start").alias("before"), "n"), "mix-slices")
+    within = join_small(rows, parts.drop("n"), by, "inner").where("key >= low and key < low + width")
     tied = within.groupBy(*by, "before", "rest", "key", "id", "size").agg(F.count("*").alias("copies"))
     run = F.col("before") + F.sum(F.col("size") * F.col("copies")).over(W.partitionBy(*by).orderBy("key", "id", "size"))
     ends = tied.withColumn("run", run).withColumn("start", F.col("run") - F.col("size") * F.col("copies")).where("start < rest and rest <= run")
@@ -67,10 +72,10 @@ def source_cuts(rows: DataFrame, seed: str, weights: tuple[int, ...] = (5, 2, 1)
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str, seed: str, size: Column) -> list[Column]:
     return [
-        F.col(source_col).isNull().alias("src_null"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-        random_key(F.col(id_col), seed).alias("key"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        named(source_col).isNull().alias("src_null"),
+        F.coalesce(named(source_col).cast("string"), F.lit("")).alias("src"),
+        random_key(named(id_col), seed).alias("key"),
+        F.coalesce(named(id_col).cast("string"), F.lit("")).alias("id"),
         size.alias("size"),
     ]
 
@@ -92,7 +97,7 @@ def mix_sources(
     shares. Rows only depend on their own values and the seed, so reruns agree.
     An empty table gives no rows; other columns are not looked at.
     """
-    rows = as_table(docs.select(F.col(id_col).alias("_id"), *_keyed(docs, id_col, source_col, seed, word_count(F.col(text_col)))), "mix-rows")
+    rows = as_table(docs.select(named(id_col).alias("_id"), *_keyed(docs, id_col, source_col, seed, word_count(named(text_col)))), "mix-rows")
     cuts = source_cuts(rows.drop("_id"), seed, weights, cap)
     last = F.when(F.expr(BEFORE), F.col("size")).when(F.expr(AT), F.col("part")).otherwise(0)
     joined = join_small(rows, cuts, ["src_null", "src"])
@@ -106,13 +111,14 @@ def mixed_documents(
 
     As mix_sources, but the document at the cut goes in whole if at least half of
     it lies within the budget, so texts are never cut; documents without words
-    belong to every whole epoch, or to the last one if they precede its cut.
+    belong to every whole epoch, or to the last one if they precede its cut. Rows that
+    are equal in id, source and size are taken alike; a null source is a source of its
+    own; an empty table gives none. Columns may have any names.
     """
-    keyed = _keyed(docs, id_col, source_col, seed, word_count(F.col(text_col)))
+    keyed = _keyed(docs, id_col, source_col, seed, word_count(named(text_col)))
     cuts = source_cuts(as_table(docs.select(*keyed), "mix-rows"), seed, weights, cap)
     last = F.when(F.expr(BEFORE), 1).when(F.expr(AT) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed)
-    taken = join_small(packed, cuts, ["src_null", "src"]).withColumn("copies", (F.col("epochs") + last).cast("int"))
+    taken = join_small(docs.select(packed(docs), *keyed), cuts, ["src_null", "src"]).withColumn("copies", (F.col("epochs") + last).cast("int"))
     return taken.where("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)")).alias("epoch")).select("row.*")
 
 
