@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lrforge.llm.common import as_table, read
+from lrforge.llm.common import as_table, named, read
 from lrforge.llm.graph import connected_components
 
 #: (verdict, host, path): fits the host and its subdomains where the path starts with path.
@@ -42,11 +42,20 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if found is None else found
 
 
+def plain_path(path: Column) -> Column:
+    """A path without . and .. segments; / for an empty one."""
+    parts = F.split(path, "/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x))
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    folded = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(path == "", F.lit("/")).when(path.contains("/."), folded).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The resource that a URL names: host lower-cased, no fragment, scheme kept."""
+    """The resource that a URL names: scheme and host lower-cased, no . and .. segments, no fragment; an empty path is /."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
-    tail = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), tail))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), plain_path(path_of(url)), query))
 
 
 def resolve(base: Column, link: Column) -> Column:
@@ -56,22 +65,25 @@ def resolve(base: Column, link: Column) -> Column:
     folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(~base.contains("://"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path_of(base), link))
         .otherwise(F.concat(root, folder, link))
     )
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b) nodes of canonical links and of meta refreshes, the redirects that a page itself states."""
-    url, html = F.col(url_col), F.col(html_col)
-    links = F.array(
-        F.when(html.contains("canonical") | html.rlike(r"(?i)canonical"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1)),
-        F.when(html.rlike(r"(?i)refresh"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TO_URL, 1)),
-    )
-    found = pages.select(url.alias("url"), F.explode(links).alias("link")).where("link <> ''")
+    """(a, b) nodes of all canonical links and meta refreshes of a page, the redirects that it states itself.
+
+    &amp; in an address, also as a number, is &. Null addresses and pages give none.
+    """
+    url, html = named(url_col), named(html_col)
+    each = lambda tag, link: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, link, 1))
+    none = F.array().cast("array<string>")
+    links = F.concat(F.when(html.rlike(r"(?i)canonical"), each(CANONICAL, HREF)).otherwise(none), F.when(html.rlike(r"(?i)refresh"), each(REFRESH, TO_URL)).otherwise(none))
+    found = pages.select(url.alias("url"), F.explode(links).alias("link")).where("link <> ''").withColumn("link", F.regexp_replace("link", "(?i)&(amp|#38|#x26);", "&"))
     return found.select(node_of(F.col("url")).alias("a"), node_of(resolve(F.col("url"), F.col("link"))).alias("b")).where("a <> b")
 
 
@@ -84,7 +96,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     without either it is allowed. component is the smallest node of the aliases,
     null if there are none. Null urls, and those without ://, have no host, no
     rule and no alias, and are allowed; null html has no links. Repeated rows are
-    each returned; an empty table gives no rows; other columns are not looked at.
+    each returned; an empty table gives no rows; other columns are not looked at,
+    whatever their names. redirects is a table of any size.
     """
     edges = None
     if html_col:
@@ -92,7 +105,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if redirects is not None:
         more = redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).where("a <> b")
         edges = more if edges is None else edges.union(more)
-    judged = pages.select(F.col(id_col), F.col(url_col).alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
+    judged = pages.select(named(id_col).alias("_id"), named(url_col).alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
     judged = judged.withColumn("own", matched_rule(F.col("host"), F.col("path"), rules)).withColumn("node", node_of(F.col("_url")))
     if edges is None:
         judged = judged.withColumn("component", F.lit(None).cast("string")).withColumn("shared", F.lit(None).cast("string"))
@@ -102,15 +115,52 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         shared = ruled.groupBy("component").agg(F.min("own.verdict").alias("shared"))  # "allow" sorts before "block"
         judged = judged.join(as_table(nodes.join(shared, "component"), "url-aliases"), "node", "left")
     verdict = F.coalesce("own.verdict", "shared", F.lit("allow"))
-    return judged.select(id_col, "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")
+    return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "component")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("component")
 
 
+def planted_aliases(pages: DataFrame) -> DataFrame:
+    """Pages with links put into their html: two fifths of them name hubs of their top-level domain and first folder as canonical,
+    one fifth a sibling by a relative path, one fifth redirects to itself without its query."""
+    host, path, k = host_of(F.col("url")), path_of(F.col("url")), F.pmod("page_id", F.lit(5))
+    top, first = F.regexp_extract(host, r"([^.]*)$", 1), F.regexp_extract(path, "^/([^/]*)", 1)
+    hub = F.concat(F.lit("HTTP://Hub."), top, F.lit("/de/"), first, F.lit("?a=1&amp;b=2#top"))
+    canonical = lambda link: F.concat(F.lit('<link rel="canonical" href="'), link, F.lit('">'))
+    planted = (
+        F.when(k == 1, canonical(hub))
+        .when(k == 2, canonical(F.lit("./x/../sibling")))
+        .when(k == 3, F.concat(canonical(F.concat(F.lit("//one."), top, F.lit("/"))), canonical(hub)))
+        .when(k == 4, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), F.regexp_extract("url", r"^([^?#]*)", 1), F.lit('">')))
+        .otherwise("")
+    )
+    return pages.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), planted).alias("html"))
+
+
+def url_alias_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(planted_aliases(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
+def _sql_lower(x: str) -> str:
+    return f"translate({x}, '{UPPER}', '{LOWER}')"
+
+
+def _sql_host(url: str) -> str:
+    return _sql_lower(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
+
+
+def _sql_path(url: str) -> str:
+    return f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
 def _sql_node(url: str) -> str:
-    return rf"CASE WHEN contains({url}, '://') THEN lower(regexp_extract({url}, '^(.*?)://', 1)) || '://' || lower(regexp_extract({url}, '^.*?://([^/?#]*)', 1)) || regexp_extract({url}, '^.*?://[^/?#]*([^#]*)', 1) END"
+    path = _sql_path(url)
+    folded = f"list_reduce(list_prepend('', string_split({path}, '/')[2:]), lambda done, x: CASE x WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END)"
+    folded = f"{folded} || CASE WHEN string_split({path}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    plain = f"CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN {folded} ELSE {path} END"
+    return rf"CASE WHEN contains({url}, '://') THEN {_sql_lower(f"regexp_extract({url}, '(?s)^(.*?)://', 1)")} || '://' || {_sql_host(url)} || {plain} || regexp_extract({url}, '(?s)^.*?://[^?#]*(\?[^#]*)', 1) END"
 
 
 def _sql_rule(host: str, path: str, what: int) -> str:
@@ -118,28 +168,39 @@ def _sql_rule(host: str, path: str, what: int) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{x}'" for c, x in cases) + " END"
 
 
-OP9_SQL = rf"""
-WITH RECURSIVE links AS (
-  SELECT url, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link
-  FROM pages),
+def _sql(pages: str, more: str) -> str:
+    return rf"""
+WITH RECURSIVE given AS ({pages}),
+links AS (
+  SELECT url, regexp_replace(link, '&(amp|#38|#x26);', '&', 'gi') AS link FROM (
+    SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*>')), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1) AS link FROM given
+    UNION ALL
+    SELECT url, regexp_extract(unnest(regexp_extract_all(html, '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>')), '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) FROM given)
+  WHERE link <> ''),
 whole AS (
-  SELECT url, CASE WHEN contains(link, '://') THEN link WHEN NOT contains(url, '://') THEN NULL
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN NOT contains(url, '://') THEN NULL
     WHEN starts_with(link, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || link
     WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || link
-    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '^(.*/)', 1), ''), '/') || link END AS to_url
-  FROM links WHERE link <> ''),
+    WHEN starts_with(link, '?') THEN regexp_extract(url, '^([^?#]*)', 1) || link
+    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_sql_path("url")}, '^(.*/)', 1), ''), '/') || link END AS to_url
+  FROM links),
 edges AS (SELECT DISTINCT {_sql_node("url")} AS a, {_sql_node("to_url")} AS b FROM whole),
 both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
 aliases AS (
-  SELECT node, min({_sql_rule("lower(regexp_extract(other, '^.*?://([^/?#]*)', 1))", "regexp_extract(other, '^.*?://[^/?#]*([^?#]*)', 1)", 1)}) AS shared
-  FROM reach GROUP BY node),
-urls AS (
-  SELECT page_id, coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)), '') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') AS path, {_sql_node("url")} AS node FROM pages)
+  SELECT node, min(other) AS component, min({_sql_rule(_sql_host("other"), _sql_path("other"), 1)}) AS shared FROM reach GROUP BY node),
+urls AS (SELECT page_id, coalesce({_sql_host("url")}, '') AS host, coalesce({_sql_path("url")}, '') AS path, {_sql_node("url")} AS node FROM given)
 SELECT page_id, host, path, {_sql_rule("host", "path", 0)} AS rule,
-       coalesce({_sql_rule("host", "path", 1)}, shared, 'allow') AS verdict
+       coalesce({_sql_rule("host", "path", 1)}, shared, 'allow') AS verdict{more}
 FROM urls LEFT JOIN aliases USING (node)
 """
+
+
+_TOP, _FIRST = f"regexp_extract({_sql_host('url')}, '([^.]*)$', 1)", f"regexp_extract({_sql_path('url')}, '^/([^/]*)', 1)"
+_HUB = f"'HTTP://Hub.' || {_TOP} || '/de/' || {_FIRST} || '?a=1&amp;b=2#top'"
+OP9_SQL = _sql("SELECT page_id, url, html FROM pages", "")
+ALIASES_SQL = _sql(
+    f"""SELECT page_id, url, coalesce(html, '') || CASE page_id % 5 WHEN 1 THEN '<link rel="canonical" href="' || {_HUB} || '">' WHEN 2 THEN '<link rel="canonical" href="./x/../sibling">'
+    WHEN 3 THEN '<link rel="canonical" href="//one.' || {_TOP} || '/"><link rel="canonical" href="' || {_HUB} || '">' WHEN 4 THEN '<meta http-equiv="refresh" content="0; url=' || regexp_extract(url, '^([^?#]*)', 1) || '">' ELSE '' END AS html FROM pages""",
+    ", component",
+)
