@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lrforge.llm.common import SPACE, read
+from lrforge.llm.common import SPACE, named, packed, read
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -33,6 +33,9 @@ POLICIES = {
 CURRENT = 2
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def _repeat_words(hashes: Column) -> Column:
     """Words that lie in a window whose hash occurs twice or more: sorts (hash, position), keeps
     positions with an equal neighbour, and adds up what each covers before the next begins."""
@@ -59,17 +62,23 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to whole texts.
 
     Null and blank texts have zeros. Lines count if they hold a word; a duplicate
-    line equals an earlier one of its text.
+    line equals an earlier one of its text. Rows are measured each by itself, equal ones
+    alike; an empty table gives no rows. Input columns of these names (in any case) are
+    replaced, others pass through. Windows hold numbers, not words, so a very long
+    text takes a small multiple of its own size.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
+    text = F.coalesce(named(text_col), F.lit(""))
+    rows = docs.select(packed(docs), text.alias("_text"))
+    text = F.col("_text")
+    words = rows.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
     n = F.size("_words")
-    windows = F.arrays_zip(*[F.slice("_words", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"w{i}") for i in range(WINDOW)])
-    hashed = words.withColumn("_hashes", F.transform(windows, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(WINDOW)])))
+    hashed = words.withColumn("_each", F.transform("_words", lambda w: F.xxhash64(w)))
+    windows = F.arrays_zip(*[F.slice("_each", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"w{i}") for i in range(WINDOW)])
+    hashed = hashed.withColumn("_hashes", F.transform(windows, lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(WINDOW)])))
     hashed = hashed.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     some = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     measured = hashed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in MEASURES],
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -115,12 +124,16 @@ def ablations(ledger: DataFrame, version: int = CURRENT) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ablations(rule_ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rule_ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return apply_policy(ledger).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-OP10_SQL = r"""
+_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
@@ -138,5 +151,9 @@ f AS (
   SELECT *, ((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) | (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
     | (CASE WHEN n_symbols > 2 * n_words THEN 4 ELSE 0 END) | (CASE WHEN n_lines >= 10 AND 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END)
     | (CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END))::INT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
 """
+OP10_SQL = f"{_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"
+ABLATIONS_SQL = f"""{_SQL}, rules(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BIT.items())})
+SELECT rule, bit, count(*) FILTER (WHERE failed & bit <> 0)::BIGINT AS fails, count(*) FILTER (WHERE failed & {POLICIES[CURRENT]} = bit)::BIGINT AS rejects_alone,
+  coalesce(bit_or(failed & {POLICIES[CURRENT]}) FILTER (WHERE failed & bit <> 0), 0)::INT AS seen_with
+FROM f, rules GROUP BY rule, bit"""
