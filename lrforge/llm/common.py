@@ -84,12 +84,6 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """df less the columns of these names in any case, so that results can take the names."""
-    gone = {n.lower() for n in names}
-    return df.select(*[named(c) for c in df.columns if c.lower() not in gone])
-
-
 def packed(df: DataFrame) -> Column:
     """All columns as one struct, `row`, in which their names can't clash with others."""
     return F.struct(*[named(c) for c in df.columns]).alias("row")

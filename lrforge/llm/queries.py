@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lrforge.llm.langid import op2_language_id
 from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
-from lrforge.llm.neardup import op8_near_duplicates
+from lrforge.llm.neardup import OP8_SQL, op8_near_duplicates
 from lrforge.llm.pieces import op5_sentencepiece
-from lrforge.llm.quality import OP10_SQL, op10_quality_rules
+from lrforge.llm.quality import ABLATIONS_SQL, OP10_SQL, op10_quality_rules, quality_ablations
 from lrforge.llm.topk import OP7_SQL, op7_top_k
 from lrforge.llm.toxicity import op3_toxicity
-from lrforge.llm.urls import OP9_SQL, op9_url_filters
+from lrforge.llm.urls import ALIASES_SQL, OP9_SQL, op9_url_filters, url_alias_verdicts
 from lrforge.llm.warc import OP6_SQL, op6_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,8 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
+        "url_alias_verdicts": url_alias_verdicts,
+        "quality_ablations": quality_ablations,
     }
 
 
@@ -41,6 +43,9 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": OP4_SQL,
         "op6_warc": OP6_SQL,
         "op7_top_k": OP7_SQL,
+        "op8_near_duplicates": OP8_SQL,
         "op9_url_filters": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
+        "url_alias_verdicts": ALIASES_SQL,
+        "quality_ablations": ABLATIONS_SQL,
     }
