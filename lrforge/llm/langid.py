@@ -74,7 +74,8 @@ def _counts(n_buckets: int):
                     total += np.bincount(ids, minlength=n_buckets)
         for lang, total in found.items():
             at = np.nonzero(total)[0]
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+            if len(at):
+                yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
     return count
 

@@ -321,8 +321,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components, with these as ca and cb; a node that comps lacks is its own."""
-    named = pairs.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return named.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    met = pairs.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return met.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
 def _agree(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,8 +395,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         exact = as_table(_agree(exact_candidates(region), sets), "exact-pairs")
         comps = components_by_tasks(links.union(confirm(exact, texts)))
 
-    named = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = sketches.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    labels = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    joined = sketches.select("id", "n", "d1", "d2").join(labels, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -138,7 +138,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = set().union(*tokens(text))
             found[int(toxic)].update(set().union(*map(features, words)) if words else ())
     names = list(found[0] | found[1])
-    yield pd.DataFrame({"feature": names, "toxic": [found[1][x] for x in names], "clean": [found[0][x] for x in names]})
+    if names:
+        yield pd.DataFrame({"feature": names, "toxic": [found[1][x] for x in names], "clean": [found[0][x] for x in names]})
 
 
 def _decay(values: np.ndarray, counts: np.ndarray) -> float:

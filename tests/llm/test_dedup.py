@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lrforge.llm import linededup, neardup
 from lrforge.llm.shingles import shingle_set, word_hashes
@@ -42,10 +43,33 @@ def test_line_dedup_edge_cases(spark):
     by = {r["_lines"]: r for r in got.collect()}
     assert by[1]["text"] == three and by[2]["text"] == "" and by[2]["n_removed"] == 3
     assert by[3]["text"] is None and by[3]["n_lines"] == 0 and by[4]["text"] == ""
-    assert by[5]["text"].startswith("y\ny") is False and by[5]["n_removed"] == 50_000 or by[5]["n_removed"] >= 49_998
+    # 50,001 lines, the last one empty: the first window stays, and the last, "y y" and the empty line, stands here alone.
+    assert (by[5]["n_lines"], by[5]["n_removed"], by[5]["text"]) == (50_001, 49_999, "y\n")
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_line_dedup_is_linear(spark):
+    """Two documents of a million lines: a passage of three lines of the first comes again in the second."""
+    lines = [f"line {i}" for i in range(1_000_000)]
+    other = [f"row {i}" for i in range(1_000_000)]
+    other[500_000:500_003] = lines[7:10]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(other))]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["n_removed"] == 3 and got[2]["text"] == "\n".join(other[:500_000] + other[500_003:])
+
+
+def test_line_dedup_with_clashing_names(spark):
+    three = "l1\nl2\nl3"
+    df = spark.createDataFrame([(1, three, 7, 8, "a", 9), (2, three + "\nx", 7, 8, "b", 9), (3, three, 7, 8, "c", 9)], DOCS + ", n_lines long, N_Removed long, starts string, row int")
+    got = linededup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "starts", "row", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["starts"], r["n_lines"], r["n_removed"]) for r in got.collect()) == [(1, three, "a", 3, 0), (2, "x", "b", 4, 3), (3, "", "c", 3, 3)]
+    kept = linededup.keep_lines(df.withColumnRenamed("row", "n_chars"))
+    assert kept.columns == df.columns[:-1] + ["n_chars"]
+    assert sorted((r["doc_id"], r["text"], r["n_lines"], r["n_chars"]) for r in kept.collect()) == [(1, three, 7, 9), (2, "x", 7, 1)]
+    assert linededup.keep_lines(df.where("doc_id > 9")).count() == 0
+
+
 def shingles_by_hand(text):
     words = WORD.findall((text or "").translate({i: i + 32 for i in range(65, 91)}))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -108,8 +132,12 @@ def test_near_duplicate_edge_cases(spark):
     df = spark.createDataFrame(rows, DOCS + ", n int")
     got = neardup.near_duplicates(df).collect()
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("7", 7, True), ("None", None, True)]
-    kept = neardup.keep_one_each(df)
-    assert kept.columns == df.columns and kept.count() == 4
+    clash = df.withColumns({"_gone": F.lit(1), "row": F.lit("x"), "component_id": F.lit(2)})
+    for each in (df, clash):
+        kept = neardup.keep_one_each(each)
+        assert kept.columns == each.columns and kept.count() == 4
+    with pytest.raises(TypeError, match="whole numbers"):
+        neardup.near_duplicates(df.withColumn("doc_id", F.col("doc_id").cast("string")))
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -157,3 +185,25 @@ def test_pairs_left_open_are_tried_in_the_last_round(spark, monkeypatch):
     rows = [(i, " ".join(f"w{w}" for w in range(12 * p, 12 * p + 200))) for i, p in enumerate(places)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     assert {r["component_id"] for r in got} == {0}
+
+
+def test_ends_of_many_small_partitions_meet(spark, monkeypatch):
+    """Rows at partitions' ends are matched in partitions again if they are many, with the same pairs found."""
+    rows = corpus()
+    df = spark.createDataFrame(rows, DOCS)
+    want = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    monkeypatch.setattr(neardup, "MOST_ENDS", 100)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_components_by_tasks(spark):
+    from lrforge.llm.graph import components_by_tasks, connected_components
+
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (7777, 7777)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    want = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    for per_task in (1000, 50):
+        got = {r["node"]: r["component"] for r in components_by_tasks(df, per_task=per_task).collect()}
+        assert {n: c for n, c in got.items()} == want
+    assert components_by_tasks(df.where("a < 0")).count() == 0

@@ -59,6 +59,18 @@ def test_mix_order_is_by_hash(spark):
     assert taken == sorted(taken, reverse=True) and sum(taken) == 171
 
 
+def test_cut_slices_are_sliced_again(spark, monkeypatch):
+    """With small bounds the cut is found over several levels, where it was; a hot null id is one row of the sort."""
+    rng = random.Random(5)
+    rows = [(i, words(rng.randint(0, 9)), rng.choice("aaab")) for i in range(3000)] + [(None, words(rng.randint(1, 5)), "a") for _ in range(500)]
+    df = spark.createDataFrame(rows, DOCS)
+    key = ["doc_id", "size", "source_size"]
+    whole = mixing.mix_sources(df).toPandas().sort_values(key)
+    monkeypatch.setattr(mixing, "CUT_ROWS", 20)
+    monkeypatch.setattr(mixing, "SLICES", 7)
+    assert mixing.mix_sources(df).toPandas().sort_values(key)["taken"].tolist() == whole["taken"].tolist()
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(spark.createDataFrame([(1, "", "a"), (2, None, None)], DOCS)).collect()] == [0, 0]
@@ -123,6 +135,29 @@ def test_blocks_reach_aliases(spark):
     assert got[1]["component"] == got[3]["component"] and got[9]["component"] == got[10]["component"] == "http://r.net/d/e"
 
 
+def test_all_links_of_a_page_count(spark):
+    two = '<link rel=canonical href="http://a.net/x"><LINK REL="canonical" HREF="HTTP://Hub.COM/de/?q=1&amp;r=2#z"><meta content="1;URL=../up/./y" http-equiv=refresh>'
+    got = judged(spark, [
+        (1, "http://p.net/d/e?k", two), (2, "http://a.net/x", None), (3, "http://hub.com/de/?q=1&r=2", None), (4, "http://p.net/up/y", None), (5, "http://p.net/d/../up/y#f", None),
+        (6, "http://q.net", '<link rel="canonical" href="?v=1">'), (7, "http://q.net/?v=1", None), (8, "http://q.net/", None), (9, "http://q.net/a/..", None),
+    ])
+    assert len({got[i]["component"] for i in (1, 2, 3, 4, 5)}) == 1 and {got[i]["verdict"] for i in (1, 2, 3, 4, 5)} == {"block"}
+    assert len({got[i]["component"] for i in (6, 8, 9)}) == 1 and got[6]["verdict"] == "allow"
+
+
+@pytest.mark.parametrize(("path", "want"), [("", "/"), ("/", "/"), ("/a/./b/../c", "/a/c"), ("/..", "/"), ("/a/..", "/"), ("/a/.", "/a/"), ("/a/b/../../..", "/"), ("/.a/..b/c.", "/.a/..b/c.")])
+def test_plain_path(spark, path, want):
+    assert spark.createDataFrame([(path,)], "p string").select(urls.plain_path(F.col("p"))).first()[0] == want
+
+
+def test_hub_of_many_aliases(spark):
+    """1,000 pages that name one blocked hub, one of them explicitly allowed, and as many of a hub without one."""
+    canonical = '<link rel="canonical" href="{}">'.format
+    rows = [(i, f"http://s{i}.net/", canonical("http://h.com/de/" + "ab"[i % 2])) for i in range(2000)] + [(5000, "http://x.org/", canonical("http://h.com/de/a"))]
+    got = judged(spark, [(*r[:2], r[2]) for r in rows])
+    assert {got[i]["verdict"] for i in range(0, 2000, 2)} == {"allow"} and {got[i]["verdict"] for i in range(1, 2000, 2)} == {"block"}
+
+
 def test_urls_of_nothing(spark):
     assert urls.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -150,6 +185,9 @@ def test_quality_measures(spark):
             assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
             assert not (r["base_failed"] and r["kept"])
     assert quality.rule_ledger(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = spark.createDataFrame([(1, TEXTS[3], 7, "x", 9)], "doc_id long, text string, N_Words int, row string, _words int")
+    got = quality.measure(clash)
+    assert got.columns == ["doc_id", "text", "row", "_words", *quality.MEASURES] and (got.first()["n_words"], got.first()["row"], got.first()["_words"]) == (10, "x", 9)
 
 
 def test_ablations(spark):
