@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as
 Parquet and read again as the next one's docs. All but the last return the columns
-of documents. n_chars follows the text where a stage changes it.
+of documents, and any others that docs has, whatever their names. n_chars follows
+the text where a stage changes it. An empty table stays empty in all stages.
 """
 
 from __future__ import annotations
@@ -15,31 +16,44 @@ from lrforge.llm.common import as_table, read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go; labels teach, and are no input of a decision."""
+    """Documents that are predicted toxic go; labels teach, and are no input of a decision.
+
+    Null and empty texts stay, equal texts share a fate. Without labels of both kinds, or documents for them, nothing goes.
+    """
     model = toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"), F.lit(True))
     return toxicity.keep_clean(docs, model)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; a document of which nothing with a word is left goes with them."""
-    kept = linededup.dedup_lines(docs).where(F.expr(r"n_removed = 0 or rlike(text, r'[^\x20\x09-\x0D]')"))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Later occurrences of three-line windows go; a document of which nothing with a word is left goes with them.
+
+    The first in order of (doc_id, text hash, line) stays; null and blank texts stay as they are; rows that are equal in id and text count as one.
+    """
+    return linededup.keep_lines(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Texts without a word are nobody's copy; rows of one id stay or go together; a null id stays.
+    """
     return neardup.keep_one_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as its source's target takes it."""
+    """Whole documents, each as often as its source's target takes it.
+
+    A null source is a source of its own; documents without words go with those beside them in hash order; equal rows are taken alike.
+    """
     return mixing.mixed_documents(docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of what the mix holds: doc_id, sample, ids, log_prob, log_inclusion, and the text that ids decode to."""
-    encoded = pieces.encode(docs)
-    return pieces.decode(encoded.withColumn("piece_ids", F.col("ids"))).withColumnRenamed("piece_ids", "ids")
+    """Sampled segmentations of what the mix holds: doc_id, sample, ids, log_prob, log_inclusion, and the text that ids decode to.
+
+    Null texts give no row, empty ones one without ids; repeated documents have equal samples.
+    """
+    return pieces.encode(docs, decoded="text")
 
 
 STAGES = [
