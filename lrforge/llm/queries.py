@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lrforge.llm.filters import OP12_SQL, op12_filter_audit
 from lrforge.llm.langid import op2_language_id
 from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
@@ -32,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
+        "op12_filter_audit": op12_filter_audit,
         "url_alias_verdicts": url_alias_verdicts,
         "quality_ablations": quality_ablations,
     }
@@ -46,6 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_duplicates": OP8_SQL,
         "op9_url_filters": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op12_filter_audit": OP12_SQL,
         "url_alias_verdicts": ALIASES_SQL,
         "quality_ablations": ABLATIONS_SQL,
     }
