@@ -119,6 +119,11 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return big.join(small, on, how)
 
 
+#: CRC-32 of the text {0} in DuckDB, bit by bit; for the SQL of queries that deal rows by it.
+CRC32_SQL = (
+    "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT), lambda a, c: list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384::UBIGINT * (b & 1)), xor(a, c)), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+)
+
 KEY_DIGITS = 13  # 52 bits, which a double holds exactly
 
 

@@ -15,6 +15,7 @@ from lrforge.llm.pieces import op5_sentencepiece
 from lrforge.llm.quality import ABLATIONS_SQL, OP10_SQL, op10_quality_rules, quality_ablations
 from lrforge.llm.topk import OP7_SQL, op7_top_k
 from lrforge.llm.toxicity import op3_toxicity
+from lrforge.llm.trie import OP13_SQL, op13_conversation_trie
 from lrforge.llm.urls import ALIASES_SQL, OP9_SQL, op9_url_filters, url_alias_verdicts
 from lrforge.llm.warc import OP6_SQL, op6_warc
 
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
         "op12_filter_audit": op12_filter_audit,
+        "op13_conversation_trie": op13_conversation_trie,
         "url_alias_verdicts": url_alias_verdicts,
         "quality_ablations": quality_ablations,
     }
@@ -49,6 +51,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_filters": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
         "op12_filter_audit": OP12_SQL,
+        "op13_conversation_trie": OP13_SQL,
         "url_alias_verdicts": ALIASES_SQL,
         "quality_ablations": ABLATIONS_SQL,
     }
