@@ -11,6 +11,7 @@ from lrforge.llm.langid import op2_language_id
 from lrforge.llm.linededup import OP4_SQL, op4_line_dedup
 from lrforge.llm.mixing import OP1_SQL, op1_mix_sources
 from lrforge.llm.neardup import OP8_SQL, op8_near_duplicates
+from lrforge.llm.ngrams import OP11_SQL, op11_lm_scores
 from lrforge.llm.pieces import op5_sentencepiece
 from lrforge.llm.quality import ABLATIONS_SQL, OP10_SQL, op10_quality_rules, quality_ablations
 from lrforge.llm.topk import OP7_SQL, op7_top_k
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_url_filters": op9_url_filters,
         "op10_quality_rules": op10_quality_rules,
+        "op11_lm_scores": op11_lm_scores,
         "op12_filter_audit": op12_filter_audit,
         "op13_conversation_trie": op13_conversation_trie,
         "url_alias_verdicts": url_alias_verdicts,
@@ -50,6 +52,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_duplicates": OP8_SQL,
         "op9_url_filters": OP9_SQL,
         "op10_quality_rules": OP10_SQL,
+        "op11_lm_scores": OP11_SQL,
         "op12_filter_audit": OP12_SQL,
         "op13_conversation_trie": OP13_SQL,
         "url_alias_verdicts": ALIASES_SQL,
