@@ -17,6 +17,8 @@ RESULT = (
 )
 TOLERANCE, MOST_STEPS, MOST_HALVINGS, RIDGE = 1e-9, 200, 40, 1e-6
 NATIVE_STEPS = 120
+TIE = 1e-9  # priors that differ by this share at most are equally likely when the base is chosen
+BLOCK_ENTRIES = 1 << 18  # rows times categories that are solved at once
 
 
 def row_metrics(long: DataFrame, row: list[str], prior: str = "prior", lr: str = "lr") -> DataFrame:
@@ -35,63 +37,98 @@ def _signs(lr: np.ndarray) -> np.ndarray:
     return (lr > 1 + SIGN_MARGIN).all(axis=1) | (lr < 1 - SIGN_MARGIN).all(axis=1)
 
 
-def _log_others(x: np.ndarray) -> np.ndarray:
-    """Of each entry, the logarithm of the sum of exp over all others of its row."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    rest = np.stack([np.delete(e, j, axis=1).sum(axis=1) for j in range(x.shape[1])], axis=1)
-    with np.errstate(divide="ignore"):
-        out = np.log(rest) + top
-    lone = np.nonzero(rest == 0)  # all others vanish beside the largest, so they are added up by themselves
-    for i, j in zip(*lone, strict=True):
-        out[i, j] = np.logaddexp.reduce(np.delete(x[i], j))
-    return out
+def _log_others(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each entry the logarithm of the sum of exp over all others of its row; that of the whole row; the largest entry's place.
 
+    Entries but the largest have half the sum at most, so that one less their share is
+    exact enough; for the largest, the others are added up by themselves.
+    """
+    at, top = np.arange(len(x)), x.argmax(axis=1)
+    rest = x.copy()
+    rest[at, top] = -np.inf
+    high = rest.max(axis=1, keepdims=True)
+    beside = high + np.log(np.exp(rest - high).sum(axis=1, keepdims=True))
+    whole = np.logaddexp(x[at, top][:, None], beside)
+    with np.errstate(divide="ignore"):  # at the largest entry, which is replaced
+        out = whole + np.log1p(-np.exp(x - whole))
+    out[at, top] = beside[:, 0]
+    return out, whole, top
 
-class _Objective:
-    """Half the weighted squares of r = ln fitted - ln raw, and half the ridge times the squares of scores.
 
-    ln fitted_k is score k less the logarithm of the others' sum of p exp(s), and a constant. With
-    others[k, m] the share of m in that sum, J = I - others, and the whole second derivative is
-    J'WJ - sum over k of w_k r_k (diag(others[k]) - others[k] others[k]').
+class _Objective:
+    """Half the weighted squares of r = ln fitted - ln raw, and half the ridge times the squares of scores (that of the base is 0).
+
+    ln fitted_k is score k less the logarithm of the others' sum of p exp(s), and a
+    constant. With the posterior q, the derivative of r is diag(1 / (1 - q)) (I - 1 q'),
+    and the second derivative of the objective is a diagonal and two directions:
+        diag(b - C q) - q b' - b q' + t q q',  b = w (1 + r q) / (1 - q)^2,
+        C = sum of w r / (1 - q),  t = sum of w (1 + r) / (1 - q)^2.
+    Steps are taken in the scores less that of the likeliest category d, and q in shares of
+    1 - q_d, so that no two large numbers cancel however sure the posterior is.
     """
 
     def __init__(self, p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, base: np.ndarray):
-        self.log_p, self.goal, self.weights, self.ridge = np.log(p), np.log(lr), weights, ridge
-        self.logit_p = self.log_p - _log_others(self.log_p)
-        self.free = np.ones(p.shape, bool)
-        self.free[np.arange(len(p)), base] = False
+        self.log_p, self.goal, self.weights, self.ridge, self.base = np.log(p), np.log(lr), weights, ridge, base
+        self.logit_p = self.log_p - _log_others(self.log_p)[0]
 
     def at(self, rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Value, residuals, ln q and ln (1 - q)."""
+        """Value, residuals, ln q, ln (1 - q) and the likeliest category."""
         z = s + self.log_p[rows]
-        whole = np.logaddexp.reduce(z, axis=1)[:, None]
-        log_q, log_rest = z - whole, _log_others(z) - whole
+        others, whole, top = _log_others(z)
+        log_q, log_rest = z - whole, others - whole
         r = log_q - log_rest - self.logit_p[rows] - self.goal[rows]
-        return 0.5 * (self.weights[rows] * r * r).sum(axis=1) + 0.5 * self.ridge * (s * s).sum(axis=1), r, log_q, log_rest
-
-    def derivatives(self, rows: np.ndarray, s: np.ndarray, r: np.ndarray, log_q: np.ndarray, log_rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient, and the second derivative, with the identity in the place of the base."""
-        free, w, at = self.free[rows], self.weights[rows], np.arange(s.shape[1])
-        others = np.exp(log_q[:, None, :] - log_rest[:, :, None])
-        others[:, at, at] = 0.0
-        wr = w * r
-        gradient = np.where(free, wr - np.einsum("nkm,nk->nm", others, wr) + self.ridge * s, 0.0)
-        jac = np.eye(s.shape[1]) - others
-        h = jac.transpose(0, 2, 1) @ (w[:, :, None] * jac) + others.transpose(0, 2, 1) @ (wr[:, :, None] * others)
-        h[:, at, at] += self.ridge - np.einsum("nkm,nk->nm", others, wr)
-        h = np.where(free[:, :, None] & free[:, None, :], h, 0.0)
-        h[:, at, at] += ~free
-        return gradient, h
+        return 0.5 * (self.weights[rows] * r * r).sum(axis=1) + 0.5 * self.ridge * (s * s).sum(axis=1), r, log_q, log_rest, top
+
+    def step(self, rows: np.ndarray, s: np.ndarray, r: np.ndarray, log_q: np.ndarray, log_rest: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(step, what it promises, whether it is Newton's): Newton's step where the second derivative is positive, else Gauss and Newton's, which always is."""
+        at, w, base = np.arange(len(s)), self.weights[rows], self.base[rows]
+        rest = log_rest[at, top][:, None]
+        q, share = np.exp(log_q), np.exp(log_q - rest)
+        inverse = np.exp(-log_rest)
+        sure, others = np.exp(rest), np.ones(s.shape, bool)
+        others[at, top] = False
+        share[at, top] = inverse[at, top] = 0.0
+        w_top, r_top = w[at, top][:, None], r[at, top][:, None]
+        ridge = np.full(s.shape, self.ridge)
+        ridge[at, base] *= s.shape[1] - 1
+        slope = self.ridge * s
+        slope[at, base] = -self.ridge * s.sum(axis=1)
+        pull = sure * (w * r * inverse).sum(axis=1, keepdims=True) + w_top * r_top
+        slope = np.where(others, slope + w * r * inverse - share * pull, 0.0)
+
+        def solved(r: np.ndarray, r_top: np.ndarray | float, pull: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+            """Solution by the matrix for these residuals, and whether that is positive."""
+            b = w * (1 + r * q) * inverse**2
+            t = (sure**2 * (w * (1 + r) * inverse**2).sum(axis=1, keepdims=True) + w_top * (1 + r_top))[:, 0]
+            d = np.where(others, b - pull * share + ridge, 1.0)
+            b = b * sure
+            bb, bq, qq, bg, qg = ((x * y / d).sum(axis=1) for x, y in ((b, b), (b, share), (share, share), (b, slope), (share, slope)))
+            # Woodbury: the inverse of the small matrix [[bb - t, bq - 1], [bq - 1, qq]]. By the signs of its
+            # eigenvalues and of the diagonal, the whole is positive if their negative parts make up for each other.
+            det = (bb - t) * qq - (bq - 1) ** 2
+            minus = (d < 0).sum(axis=1)
+            positive = ((minus == 0) & (det < 0)) | ((minus == 1) & (det > 0) & (bb - t + qq < 0))
+            along_b, along_q = (qq * bg - (bq - 1) * qg) / det, ((bb - t) * qg - (bq - 1) * bg) / det
+            x = (slope - b * along_b[:, None] - share * along_q[:, None]) / d
+            return np.where(others, x, 0.0), positive & np.isfinite(x).all(axis=1)
+
+        with np.errstate(all="ignore"):
+            x, newton = solved(r, r_top, pull)
+            down = (slope * x).sum(axis=1)
+            newton &= down >= 0
+            if not newton.all():
+                plain, _ = solved(np.zeros_like(r), 0.0, 0.0)
+                x = np.where(newton[:, None], x, plain)
+                down = (slope * x).sum(axis=1)
+        return -x, down, newton
 
 
 def _solve(p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, base: np.ndarray) -> dict[str, np.ndarray]:
     """Newton's method for many rows of one width at once, in log scores of all categories but the base.
 
-    Where the second derivative isn't positive, its eigenvalues count by their size, so
-    that every step goes down. A step is halved until the objective falls by a part of
-    what its slope promises. A row is done when its step is small, or when what the
-    step promises is below the precision of the objective.
+    A step is halved until the objective falls by a part of what its slope promises. A row
+    is done when its step is small, or when what the step promises is below the
+    precision of the objective. Time and memory are linear in rows times categories.
     """
     n, k = p.shape
     objective = _Objective(p, lr, weights, ridge, base)
@@ -100,26 +137,25 @@ def _solve(p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, bas
     s = log_start - objective.log_p
     s -= s[at, base][:, None]
     done, message = np.zeros(n, bool), np.full(n, f"not converged after {MOST_STEPS} steps", object)
-    steps, first, last = np.zeros(n, np.int64), objective.at(at, s)[0], np.full(n, np.nan)
+    steps, first = np.zeros(n, np.int64), objective.at(at, s)[0]
+
+    def moved(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        to = s[rows] + by
+        return to - to[np.arange(len(rows)), base[rows]][:, None]
+
     live = at
     for _ in range(MOST_STEPS):
-        value, r, log_q, log_rest = objective.at(live, s[live])
-        gradient, h = objective.derivatives(live, s[live], r, log_q, log_rest)
-        finite = np.isfinite(value) & np.isfinite(gradient).all(axis=1) & np.isfinite(h).all(axis=(1, 2))
+        value, *rest = objective.at(live, s[live])
+        finite = np.isfinite(value)
         message[live[~finite]] = "the objective is not finite"
-        live, value, gradient, h = live[finite], value[finite], gradient[finite], h[finite]
+        live, value, rest = live[finite], value[finite], [x[finite] for x in rest]
         if not len(live):
             break
         steps[live] += 1
-        size, axes = np.linalg.eigh(h)
-        convex = size[:, 0] > 0
-        size = np.maximum(np.abs(size), 1e-12 * np.abs(size).max(axis=1, keepdims=True))
-        along = np.einsum("nij,ni->nj", axes, gradient)
-        step = -np.einsum("nij,nj->ni", axes, along / size)
-        promised = (along * along / size).sum(axis=1)
+        step, promised, newton = objective.step(live, s[live], *rest)
         # So near an optimum a whole step squares what is left, which the objective's last digits can't show.
-        small = convex & ((np.abs(step).max(axis=1) < TOLERANCE) | (promised <= 1e-12 * np.maximum(value, 1e-9)))
-        s[live[small]] += step[small]
+        small = newton & ((np.abs(step).max(axis=1) < TOLERANCE) | (promised <= 1e-12 * np.maximum(value, 1e-9)))
+        s[live[small]] = moved(live[small], step[small])
         done[live[small]], message[live[small]] = True, "ok"
         live, value, step, promised = live[~small], value[~small], step[~small], promised[~small]
         scale, open_ = np.minimum(1.0, 5.0 / np.maximum(np.abs(step).max(axis=1), 1e-300)), np.ones(len(live), bool)
@@ -127,9 +163,9 @@ def _solve(p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, bas
             tried = np.nonzero(open_)[0]
             if not len(tried):
                 break
-            moved = s[live[tried]] + scale[tried, None] * step[tried]
-            good = objective.at(live[tried], moved)[0] <= value[tried] - 1e-4 * scale[tried] * promised[tried]
-            s[live[tried[good]]] = moved[good]
+            to = moved(live[tried], scale[tried, None] * step[tried])
+            good = objective.at(live[tried], to)[0] <= value[tried] - 1e-4 * scale[tried] * promised[tried]
+            s[live[tried[good]]] = to[good]
             open_[tried[good]] = False
             scale[tried[~good]] *= 0.5
         # Where no step lowers the objective any more, what is left to gain tells whether this is the optimum.
@@ -139,7 +175,7 @@ def _solve(p: np.ndarray, lr: np.ndarray, weights: np.ndarray, ridge: float, bas
         live = live[~open_]
         if not len(live):
             break
-    last, r, log_q, _ = objective.at(at, s)
+    last, r, log_q, *_ = objective.at(at, s)
     fitted = r + objective.goal
     with np.errstate(over="ignore"):
         out = np.exp(fitted)
@@ -170,12 +206,15 @@ def project_batch(priors: list, ratios: list, weights: list | None = None, ridge
             by_width.setdefault(len(p), []).append((i, p / p.sum(), lr, w))
         except (ValueError, TypeError) as e:
             out[i] |= {"success": False, "message": str(e), "iterations": 0}
-    for rows in by_width.values():
-        p, lr, w = (np.stack([r[j] for r in rows]) for j in (1, 2, 3))
-        base = p.argmax(axis=1) if baseline is None else np.full(len(p), baseline)
-        got = _solve(p, lr, w, ridge, base)
-        for j, (i, *_) in enumerate(rows):
-            out[i] = {f: got[f][j].tolist() if isinstance(got[f][j], np.ndarray) else got[f][j] for f in fields}
+    for k, alike in by_width.items():
+        for begin in range(0, len(alike), max(1, BLOCK_ENTRIES // k)):
+            rows = alike[begin : begin + max(1, BLOCK_ENTRIES // k)]
+            p, lr, w = (np.stack([r[j] for r in rows]) for j in (1, 2, 3))
+            # The first category as likely as any but for rounding, so that the scale of priors doesn't matter.
+            base = (p >= p.max(axis=1, keepdims=True) * (1 - TIE)).argmax(axis=1) if baseline is None else np.full(len(p), baseline)
+            got = _solve(p, lr, w, ridge, base)
+            for j, (i, *_) in enumerate(rows):
+                out[i] = {f: got[f][j].tolist() if isinstance(got[f][j], np.ndarray) else got[f][j] for f in fields}
     return pd.DataFrame(out, columns=fields)
 
 
@@ -250,7 +289,7 @@ def native_projection(vectors: DataFrame, steps: int = NATIVE_STEPS, ridge: floa
     lowers the objective and grows tenfold where it doesn't. success_native says that
     the last step tried was small and the damping low.
     """
-    data = vectors.withColumn("p", F.expr(f"transform(priors, x -> x / {_sum('priors')})")).withColumn("base", F.expr("array_position(p, array_max(p)) - 1"))
+    data = vectors.withColumn("p", F.expr(f"transform(priors, x -> x / {_sum('priors')})")).withColumn("base", F.expr(f"array_position(transform(p, x -> x >= array_max(p) * (1 - {TIE!r}D)), true) - 1"))
     # Constants of a category: prior and its logit and the goal, together; i tells the base.
     data = data.withColumn("c", F.expr("zip_with(p, transform(ovr_lr, (x, i) -> struct(ln(x) as g, i as i)), (pp, y) -> struct(pp as p, ln(pp) - ln1p_rest(pp) + y.g as goal, if(y.i = base, 0D, 1D) as free))".replace("ln1p_rest(pp)", "log1p(-pp)")))
     start = "zip_with(c, p, (k, pp) -> -log1p(exp(-k.goal)) - ln(pp))"

@@ -24,7 +24,7 @@ SHARES = "list_transform({e}, lambda x: x / list_sum({e}))"
 PROJECTED_SQL = f"""
 vec AS (SELECT scenario_id, finding, list(category ORDER BY category_order) AS cats, list(prior ORDER BY category_order) AS pr, list(raw ORDER BY category_order) AS lam, count(*) AS n
   FROM ratios GROUP BY scenario_id, finding),
-fix AS (SELECT *, {_each("ln(p[i]) - ln(1 - p[i]) + ln(lam[i])")} AS goal, list_position(p, list_max(p)) AS base FROM (SELECT *, list_transform(pr, lambda x: x / list_sum(pr)) AS p FROM vec)),
+fix AS (SELECT *, {_each("ln(p[i]) - ln(1 - p[i]) + ln(lam[i])")} AS goal, list_position(list_transform(p, lambda x: x >= list_max(p) * (1 - 1e-9)), true) AS base FROM (SELECT *, list_transform(pr, lambda x: x / list_sum(pr)) AS p FROM vec)),
 start0 AS (SELECT *, {_each("-ln(1 + exp(-goal[i])) - ln(p[i])")} AS t FROM fix),
 start1 AS (SELECT *, {_each("t[i] - t[base]")} AS s FROM start0),
 start2 AS (SELECT *, {_each("exp(s[i]) * p[i]")} AS e FROM start1),

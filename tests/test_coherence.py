@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -148,3 +150,25 @@ def test_coherence_audit_finds_edited_output(spark):
     assert rows["a"]["status"] is None and rows["b"]["status"] == "posterior_sum_mismatch"
     summary = audit.coherence_summary(audit.coherence_rows(raw, fitted, key, priors), ["scenario_id"]).first()
     assert (summary["rows_checked"], summary["coherence_invalid_rows"], summary["solver_failures"]) == (2, 1, 0)
+
+
+def test_priors_that_tie_but_for_rounding_share_a_base():
+    """The last category is the larger by a bit in the last place; scaled, rounding can make it a tie."""
+    p = np.array([0.5, 0.5, 0.9999999999999999, 1.0, 0.021484375])
+    lr = np.array([1.0, 0.5, 1.0, 3.0, 1.0])
+    got = project_batch([p * f for f in (1, 7, 3, 1 / 3, 11)], [lr] * 5)
+    assert set(got["baseline"]) == {2}
+    for fitted in got["fitted_ovr_lr"]:
+        assert np.log(fitted) == pytest.approx(np.log(got["fitted_ovr_lr"][0]), abs=1e-9)
+
+
+def test_wide_rows_in_bounded_memory():
+    """10,000 rows of 200 categories in one batch; tracemalloc counts numpy's arrays, the lists of results among them."""
+    rng = np.random.default_rng(0)
+    p, lr = rng.dirichlet(np.ones(200), 10_000) + 1e-9, np.exp(rng.uniform(-4, 4, (10_000, 200)))
+    tracemalloc.start()
+    got = project_batch(p, lr)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["success"].all() and np.abs(got["sum_q_fitted"] - 1).max() < 1e-9
+    assert peak < 600 << 20
