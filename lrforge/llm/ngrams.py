@@ -100,10 +100,9 @@ class Block:
 
     def dealt(self, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Of each order its number, the bucket of each n-gram asked for, and its number; buckets ascend. START isn't asked for."""
-        by_text = np.array(sorted(range(END, len(self.words)), key=self.words.__getitem__), np.int64)
-        buckets = _bucket(self.grams[0].keys[by_text], bits)
-        order = np.argsort(buckets, kind="stable")
-        out = [(1, buckets[order], by_text[order])]
+        words = np.argsort(self.grams[0].keys, kind="stable")
+        words = words[words != START]
+        out = [(1, _bucket(self.grams[0].keys[words], bits), words)]
         for n, g in enumerate(self.grams[1:], 2):
             out.append((n, _bucket(g.keys, bits), np.arange(len(g.keys))))
         return out
@@ -238,7 +237,13 @@ def _answer(requests: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """States, arcs and failure arcs of the contexts of a block; state 0 is the empty context, which has an arc for every token."""
+    """States, arcs and failure arcs of the contexts of a block; state 0 is the empty context, which has an arc for every token.
+
+    A context of m tokens is a state where training follows it; so is then each of its
+    suffixes, and failing drops the first token. Arcs out of contexts of m tokens are kept
+    by the place of the text that they can be taken at: weights[m - 1] has NaN where
+    there is none.
+    """
 
     def __init__(self, block: Block, tokens: int, types: int, mu: float):
         words = block.grams[0]
@@ -246,50 +251,50 @@ class Automaton:
         self.known = words.counts > 0
         probability = (np.where(np.arange(len(words.counts)) == START, 0, words.counts) + FLOOR) / (tokens + FLOOR * (types + 1))
         self.root = np.log10(probability)
-        self.width = len(words.counts)
-        self.arcs: dict[int, int] = {}
         self.weights, self.targets = [], []
-        self.fail, self.fail_weight = [0], [0.0]
+        self.depth, self.fail, self.fail_weight = [0], [0], [0.0]
         none = np.zeros(len(words.counts), np.int64)
-        own, longest = none, none  # state of each shorter context itself, and of its longest suffix that is a state
+        longest = none  # of each shorter context the state of its longest suffix that is one
         for n, grams in enumerate(block.grams, 1):
-            before, source = longest, own
+            before = longest
             if n > 1:
-                rest = words.counts if n == 2 else block.grams[n - 2].counts
+                rest = block.grams[n - 2].counts
                 probability = (grams.counts + mu * probability[grams.suffix]) / (rest[grams.context] + mu)
             if n < len(block.grams):
                 state = (grams.counts > 0) & (grams.last != END)
-                first = len(self.fail)
-                own = np.where(state, first - 1 + np.cumsum(state), 0)
                 shorter = before[grams.suffix] if n > 1 else none
-                longest = np.where(state, own, shorter)
+                longest = np.where(state, len(self.fail) - 1 + np.cumsum(state), shorter)
+                self.depth += [n] * int(state.sum())
                 self.fail += shorter[state].tolist()
                 self.fail_weight += np.log10(mu / (grams.counts[state] + mu)).tolist()
             if n == 1:
                 self.after_root = longest
             else:
-                seen = np.flatnonzero(grams.counts > 0)
-                target = longest if n < len(block.grams) else longest[grams.suffix]
-                keys = source[grams.context[seen]] * self.width + grams.last[seen]
-                self.arcs.update(zip(keys.tolist(), range(len(self.weights), len(self.weights) + len(seen)), strict=True))
-                self.weights += np.log10(probability[seen]).tolist()
-                self.targets += target[seen].tolist()
-        self.start = int(self.after_root[START])
-
-    def score(self, tokens: np.ndarray) -> float:
-        """Log-probability of a text, its end included, in one walk."""
-        arc, weights, targets, fail, fail_weight, width = self.arcs.get, self.weights, self.targets, self.fail, self.fail_weight, self.width
-        root, after, state, sums = self.root, self.after_root, self.start, []
-        for i in range(0, len(tokens), SLICE):
-            some = tokens[i : i + SLICE]
+                there = np.flatnonzero(grams.at >= 0)
+                weight, target = np.full(len(grams.at), np.nan), np.zeros(len(grams.at), np.int64)
+                weight[there] = np.where(grams.counts > 0, np.log10(probability), np.nan)[grams.at[there]]
+                target[there] = (longest if n < len(block.grams) else longest[grams.suffix])[grams.at[there]]
+                self.weights.append(weight)
+                self.targets.append(target)
+        self.stream, self.start = block.stream, int(self.after_root[START])
+
+    def score(self, begin: int, end: int) -> float:
+        """Log-probability of the text at these places, its end included, in one walk."""
+        depth, fail, fail_weight, state, sums = self.depth, self.fail, self.fail_weight, self.start, []
+        for i in range(begin, end, SLICE):
+            j = min(end, i + SLICE)
+            some = self.stream[i:j]
+            columns = [self.root[some].tolist(), self.after_root[some].tolist()]
+            columns += [zip(*(x[i:j].tolist() for x in xs), strict=True) if xs else [()] * (j - i) for xs in (self.weights, self.targets)]
             parts: list[float] = []
             add = parts.append
-            for token, alone, then in zip(some.tolist(), root[some].tolist(), after[some].tolist(), strict=True):
+            for alone, then, weights, targets in zip(*columns, strict=True):
                 while state:
-                    a = arc(state * width + token)
-                    if a is not None:
-                        add(weights[a])
-                        state = targets[a]
+                    m = depth[state] - 1
+                    weight = weights[m]
+                    if weight == weight:
+                        add(weight)
+                        state = targets[m]
                         break
                     add(fail_weight[state])
                     state = fail[state]
@@ -334,7 +339,7 @@ def scores(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: s
         texts = [block.stream[a:b] for a, b in block.bounds]
         columns = [
             pa.array([len(t) for t in texts], pa.int64()), pa.array([int(model.known[t].sum()) for t in texts], pa.int64()), pa.array([tokens] * len(texts), pa.int64()),
-            pa.array([math.fsum(model.root[t].tolist()) for t in texts], pa.float64()), pa.array([model.score(t) for t in texts], pa.float64()),
+            pa.array([math.fsum(model.root[t].tolist()) for t in texts], pa.float64()), pa.array([model.score(a, b) for a, b in block.bounds], pa.float64()),
         ]
         ids = left.column(left.schema.get_field_index("ids")).combine_chunks().flatten()
         release_memory()

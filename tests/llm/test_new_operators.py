@@ -83,16 +83,17 @@ def test_probabilities_of_a_context_sum_to_one():
     given = [t.encode() for t in texts(rng, 50)]
     words = sorted({w for t in given for w in t.lower().split()} | {b"unknown"})
     follow = [b" ".join([*context, w]) for context in ([b"a"], [b"unknown"], [b"cc", b"a"], []) for w in words]
+    follow += [b"a", b"unknown", b"cc a", b""]  # each context, and the end
     taught = np.array([True] * len(given) + [False] * len(follow))
     block = ngrams.Block(given + follow, taught, 3)
     c = block.grams[0].counts
     model = ngrams.Automaton(block, int(c[ngrams.END :].sum()), int((c[ngrams.END :] > 0).sum()), 2.0)
-    streams = [block.stream[a:b] for a, b in block.bounds[len(given) :]]
+    bounds = block.bounds[len(given) :]
     for k, context in enumerate(([b"a"], [b"unknown"], [b"cc", b"a"], [])):
-        whole = [model.score(t[:-1]) for t in streams[k * len(words) : (k + 1) * len(words)]]  # each with another last word
-        head = streams[k * len(words)][: len(context)]
-        ended = model.score(np.append(head, ngrams.END).astype(np.int32))
-        assert sum(10**s for s in [*whole, ended]) == pytest.approx(10 ** model.score(head), rel=1e-9)
+        mine = bounds[k * len(words) : (k + 1) * len(words)]  # each with another last word
+        head = model.score(mine[0][0], mine[0][0] + len(context))
+        ended = next(model.score(a, b) - model.score(a, b - 1) for (a, b), t in zip(block.bounds, [*given, *follow], strict=True) if t == b" ".join(context)) + head
+        assert sum(10**s for s in [*(model.score(a, b - 1) for a, b in mine), ended]) == pytest.approx(10**head, rel=1e-9)
 
 
 def test_blocks_are_bounded_and_whole(spark, monkeypatch):
