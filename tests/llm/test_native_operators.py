@@ -145,6 +145,36 @@ def test_all_links_of_a_page_count(spark):
     assert len({got[i]["component"] for i in (6, 8, 9)}) == 1 and got[6]["verdict"] == "allow"
 
 
+def linked(spark, html, url="http://p.net/d/e?k"):
+    """Nodes that a page's links name, itself left out."""
+    return sorted(r["b"] for r in urls.page_edges(spark.createDataFrame([(1, url, html)], PAGES)).collect())
+
+
+CANON = "<link rel='canonical' {}>".format
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (CANON('href="http://b.net/it\'s"'), ["http://b.net/it's"]), (CANON("href='http://b.net/say \"x\" >'"), ['http://b.net/say%20"x"%20>']), (CANON("href=http://b.net/it's"), ["http://b.net/it's"]),
+        (CANON('href="http://f.com/de/a b"'), ["http://f.com/de/a%20b"]), (CANON('href=" http://f.com/x\n"'), ["http://f.com/x"]), ("<!-- " + CANON("href=/x") + " -->", []), ("<!-- " + CANON("href=/x"), []),
+        ("<script>var a = '" + CANON("href=/x") + "'</script>" + CANON("href=/y"), ["http://p.net/y"]), ("<STYLE>" + CANON("href=/x") + "</style >", []), (CANON('href="#"'), []), (CANON('href=""'), []), (CANON('href="#top"'), []),
+        (CANON("href=mailto:x@y"), []), (CANON("href='javascript:void(0)'"), []), (CANON("href='HTTPS://B.net'"), ["https://b.net/"]), ('<base href="http://base.org/a/b"><base href="/no">' + CANON("href=c"), ["http://base.org/a/c"]),
+        ('<base href="/f/">' + CANON("href=../g") + CANON('href="#"'), ["http://p.net/f/", "http://p.net/g"]), ('<base href="mailto:x">' + CANON("href=c"), ["http://p.net/d/c"]), ('<link title="href=/a rel=canonical" rel="stylesheet" href="/b">', []),
+        ('<link data-href="/a" href="/b" href="/c" rel="Alternate CANONICAL">', ["http://p.net/b"]), ('<link rel=canonical/href=/b>', []), ("<links rel=canonical href=/b>", []), (CANON('href="/a?x=1&amp;y=&#39;&#x41;&#38;lt;&amp;#39;"'), ["http://p.net/a?x=1&y='A&lt;&"]),
+        (CANON('href="/&#233;&#9999;&nope;"'), ["http://p.net/&"]), ("<meta http-equiv='Refresh' content='5; url=\"/r s\"'>", ["http://p.net/r%20s"]), ('<meta http-equiv=refresh content="0;URL=http://q.net/?a=b;c">', ["http://q.net/?a=b;c"]),
+        ('<meta http-equiv=refresh content="30">', []), ("<link rel=canonical>", []), ("<link " + "a='>' " * 300 + "rel=canonical href=/z>", ["http://p.net/z"]), ("<link " + "a " * 50_000 + "rel=canonical href=/z>", []), (None, []), ("canonical <link", []),
+    ],
+)
+def test_links_of_a_page(spark, html, want):
+    assert linked(spark, html) == want
+
+
+def test_apostrophe_and_space_reach_the_right_pages(spark):
+    got = judged(spark, [(1, "http://h.com/de/1", CANON('href="http://b.net/it\'s"')), (2, "http://b.net/it", None), (3, "http://b.net/it's", None), (4, "http://g.net/", CANON('href="http://f.com/de/a b"')), (5, "http://f.com/de/a", None), (6, "http://f.com/de/a b", None)])
+    assert [got[i]["verdict"] for i in range(1, 7)] == ["block", "allow", "block", "block", "block", "block"] and got[4]["component"] == got[6]["component"] != got[5]["component"]
+
+
 @pytest.mark.parametrize(("path", "want"), [("", "/"), ("/", "/"), ("/a/./b/../c", "/a/c"), ("/..", "/"), ("/a/..", "/"), ("/a/.", "/a/"), ("/a/b/../../..", "/"), ("/.a/..b/c.", "/.a/..b/c.")])
 def test_plain_path(spark, path, want):
     assert spark.createDataFrame([(path,)], "p string").select(urls.plain_path(F.col("p"))).first()[0] == want
