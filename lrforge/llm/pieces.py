@@ -41,22 +41,19 @@ ZIPF = 1.0  # exponent of the weights
 LEAST_MASS = 1e-300  # what rounding leaves of a set that has a segmentation yet
 CODE_BITS = 21  # a code point's
 COLUMNS = 128  # of the table of steps: the commonest code points of the vocabulary, column 0 for all others
-LONGEST_WORD = 256  # characters; a longer run without a space counts as words of this length
+FEW = 6  # words that go on at a distance from their ends; so few are weighed one by one, which is faster
 LATTICE_CHARS = 1 << 20  # characters of text whose lattices are held at once
 
-_M = SPACE_MARK
-UNIT = re.compile(f"\n|{_M}{{0,64}}[^{_M}\n]{{1,{LONGEST_WORD}}}|{_M}{{1,{LONGEST_WORD}}}")
+UNIT = re.compile(f"\n|{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
 
 
 def units(text: str) -> list[str]:
-    """Words of a text, each with the marks before it; line ends are words of their own."""
+    """Words of a text, each with all marks before it; line ends are words of their own. Runs without a space are one word, however long."""
     if not text:
         return []
     marked = (SPACE_MARK + text).replace(" ", SPACE_MARK)
     if "\0" not in text and SPACE_MARK * 2 not in marked:
-        found = [x for x in marked.replace(SPACE_MARK, "\0" + SPACE_MARK).replace("\n", "\0\n\0").split("\0") if x]
-        if max(map(len, found)) <= LONGEST_WORD:
-            return found
+        return [x for x in marked.replace(SPACE_MARK, "\0" + SPACE_MARK).replace("\n", "\0\n\0").split("\0") if x]
     return UNIT.findall(marked)
 
 
@@ -116,8 +113,25 @@ class Vocabulary:
             else:
                 rare[state << CODE_BITS | ord(c)] = to
         self.table = table.ravel()
-        self.rare = np.array(sorted(rare), np.int64)
+        self.rare, self.rare_steps = np.array(sorted(rare), np.int64), rare
         self.rare_to = np.array([rare[k] for k in self.rare.tolist()], np.int32)
+        self.views = tuple(memoryview(x) for x in (self.table, self.row, self.ends, self.column))
+        self.longest = max(map(len, pieces.values()), default=1)
+
+    def along(self, codes: list[int]) -> Iterator[tuple[int, int]]:
+        """(width, id) of the pieces that these code points begin with, the shortest first; the same steps as below, for one word."""
+        table, row, ends, columns = self.views
+        state = 0
+        for width, code in enumerate(codes, 1):
+            at = columns[code] if code < 1 << 16 else 0
+            if at:
+                state = table[row[state] * COLUMNS + at]
+            else:
+                state = self.rare_steps.get(state << CODE_BITS | code, 0)
+            if not state:
+                return
+            if ends[state] >= 0:
+                yield width, ends[state]
 
     def step(self, state: np.ndarray, column: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The states that follow, 0 for none."""
@@ -178,7 +192,8 @@ def build(words: list[str], v: Vocabulary) -> Lattice:
     beta, ways = np.zeros(n_nodes), np.ones(n_nodes)  # log mass and number of all ways from a node to its word's end
     at, n_edges = [np.zeros(len(words), np.int64)], 0
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for d in range(1, longest + 1):
+    alone = int(np.searchsorted(-sizes, -FEW, "left")) if sizes[-1] <= FEW else longest + 1  # the first distance that so few words reach
+    for d in range(1, min(alone, longest + 1)):
         here, m = int(first[d]), int(sizes[d])
         live, state, count = ranks[:m], np.zeros(m, np.int32), np.zeros(m, np.int32)
         found = []  # by width; a node's edges are numbered from the shortest on
@@ -232,12 +247,62 @@ def build(words: list[str], v: Vocabulary) -> Lattice:
         at.append(heads + n_edges)
         n_edges += int(begin[-1])
         out.append((to, piece, x, p))
+    if alone <= longest:
+        rest = _one_by_one(v, max(1, alone), first, sizes, code, beta, ways, n_edges)
+        at.append(rest[0])
+        out.append(rest[1:])
+        n_edges += len(rest[1])
     begins = np.empty(len(words), np.int64)
     begins[order] = first[lengths] + ranks
     to, piece, log_p, sums = (np.concatenate([o[i] for o in out]) for i in range(4))
     return Lattice(begins, len(words), ways, np.concatenate([*at, [n_edges]]), to, piece, log_p, sums)
 
 
+def _one_by_one(v: Vocabulary, since: int, first: np.ndarray, sizes: np.ndarray, code: np.ndarray, beta: np.ndarray, ways: np.ndarray, n_edges: int) -> tuple[np.ndarray, ...]:
+    """Edges from distance `since` on, as the loop of build makes them: where nodes' edges begin, and to, piece, log_p and sums.
+
+    Each word is walked by itself from here to its beginning, with the code points
+    that follow a node at hand; only v.longest of these and of the weights behind it matter.
+    """
+    last = len(sizes) - 1
+    by_node: list[list[tuple[int, int, float, float]]] = [[] for _ in range(int(first[last + 1] - first[since]))]
+    log_weight, offset = v.log_weight, int(first[since])
+    starts = first.tolist()
+    for rank in range(int(sizes[since])):
+        length = int(np.searchsorted(-sizes, -rank - 1, "right")) - 1  # the largest distance at which there are more than rank words
+        nodes = [starts[d] + rank for d in range(max(0, since - v.longest), length + 1)]
+        shift = max(0, since - v.longest)  # nodes[i] is at distance i + shift
+        codes, betas, counts = code[nodes].tolist(), beta[nodes].tolist(), ways[nodes].tolist()
+        for d in range(since, length + 1):
+            i = d - shift
+            edges = [(width, piece, float(log_weight[piece])) for width, piece in v.along(codes[i : max(i - v.longest, 0) : -1] if d > v.longest else codes[i:0:-1])]
+            if not edges or edges[0][0] > 1:
+                point = codes[i]
+                if point < 128:
+                    spelled = int(v.byte_ids[point])
+                    edges.insert(0, (1, spelled, float(log_weight[spelled])))
+                else:
+                    raw, size = _bytes_of(np.array([point]))
+                    edges.insert(0, (1, -point - 1, float(log_weight[v.byte_ids[raw[0, 4 - int(size[0]) :]]].sum())))
+            edges.reverse()
+            x = [w + betas[i - width] for width, _, w in edges]
+            top = max(x)
+            p = [math.exp(y - top) for y in x]
+            total = sum(p)
+            rest, run = math.log(total), 0.0
+            betas[i], counts[i] = top + rest, sum(counts[i - width] for width, _, _ in edges)
+            held = by_node[nodes[i] - offset]
+            for (width, piece, _), y, q in zip(edges, x, p, strict=True):
+                run += q / total
+                held.append((nodes[i - width], piece, min(y - top - rest, 0.0), run))
+            held[-1] = (*held[-1][:3], 2.0)
+        beta[nodes[since - shift :]], ways[nodes[since - shift :]] = betas[since - shift :], counts[since - shift :]
+    count = np.fromiter(map(len, by_node), np.int64, len(by_node))
+    flat = [e for held in by_node for e in held]
+    to, piece = np.array([e[0] for e in flat], np.int32), np.array([e[1] for e in flat], np.int32)
+    return np.cumsum(count) - count + n_edges, to, piece, np.array([e[2] for e in flat]), np.array([e[3] for e in flat])
+
+
 MASK, STEP_1, STEP_2 = 2**64 - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -572,8 +637,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, k: int = SAMPLES, id_col
     beside them, so that ids needn't go through another Python worker.
 
     Whole texts are encoded, as the model does: a space before them, spaces as marks,
-    characters without a piece as bytes; of a run of more than LONGEST_WORD characters
-    without a space, no piece crosses a multiple of LONGEST_WORD. Null texts give no row;
+    characters without a piece as bytes. Null texts give no row;
     an empty text, and any with fewer segmentations than k, gives all it has, and no text
     gives fewer than both k and these, however small their probability. Equal perturbed
     values go to the first word in order. Rows of equal key and text give equal

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 from collections import Counter
@@ -181,11 +182,72 @@ def test_all_segmentations_come_if_asked_for(monkeypatch):
     assert samples(texts, range(5), v, 7) == several
 
 
-def test_long_runs_are_cut():
-    assert [len(x) for x in pieces.units("x" * 600)] == [257, 256, 88]
+def test_words_are_whole():
+    assert [len(x) for x in pieces.units("x" * 600)] == [601]
     assert pieces.units("a  b\n c") == ["▁a", "▁▁b", "\n", "▁c"] and pieces.units("") == []
+    assert pieces.units("x" + " " * 100 + "y") == ["▁x", "▁" * 100 + "y"]
     for text in ("a" * 1000 + " b", " " * 700 + "x", "\0 a", "▁▁", "a\n"):
-        assert "".join(pieces.units(text)) == ("▁" + text).replace(" ", "▁") and max(map(len, pieces.units(text))) <= 64 + 256
+        assert "".join(pieces.units(text)) == ("▁" + text).replace(" ", "▁")
+
+
+def lattice_by_hand(word, v):
+    """(log mass of all ways, {(place, width): (id, log probability given the place)}) straight from the weights."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    known = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    beta, edges = [0.0] * (len(word) + 1), {}
+    for i in range(len(word) - 1, -1, -1):
+        out = {w: (known[word[i : i + w]], v.log_weight[known[word[i : i + w]]]) for w in range(1, min(16, len(word) - i) + 1) if word[i : i + w] in known}
+        if 1 not in out:
+            raw = word[i].encode()
+            out[1] = (int(v.byte_ids[raw[0]]) if len(raw) == 1 else -ord(word[i]) - 1, sum(v.log_weight[v.byte_ids[b]] for b in raw))
+        beta[i] = float(np.logaddexp.reduce([x + beta[i + w] for w, (_, x) in out.items()]))
+        edges |= {(i, w): (piece, x + beta[i + w] - beta[i]) for w, (piece, x) in out.items()}
+    return beta[0], edges
+
+
+@needs_model
+def test_long_runs_have_their_whole_lattice():
+    """Words of one batch, some of which go on far beyond the others: pieces that cross places 256 and 512 are edges, with the weights of the whole."""
+    v = pieces.vocabulary(MODEL)
+    rng = random.Random(2)
+    run = "".join(rng.choice(["the", "ing", "日本", "über", "z", "😀", "\t", "ß"]) for _ in range(300))
+    words = ["▁the", "▁" * 90 + "a", "▁" + run, "\n", run[:257], "日本語" * 100, *(f"▁w{i}" for i in range(20)), "▁" + "x" * 700]
+    lat = pieces.build(words, v)
+    assert int(v.longest) <= 16
+    for word, start in zip(words, lat.start.tolist(), strict=True):
+        _, want = lattice_by_hand(word, v)
+        got, place, open_ = {}, {start: 0}, [start]
+        while open_:
+            node = open_.pop()
+            if node < lat.ends:
+                assert place[node] == len(word)
+                continue
+            here = []
+            for e in range(lat.at[node], lat.at[node + 1]):
+                to, piece = int(lat.to[e]), int(lat.piece[e])
+                here.append((to, piece, float(lat.log_p[e])))
+                assert lat.sums[e] == 2.0 or abs(lat.sums[e] - sum(math.exp(x) for *_, x in here)) < 1e-9
+            assert lat.sums[lat.at[node + 1] - 1] == 2.0
+            text = word[place[node] :]
+            for to, piece, x in here:
+                width = 1 if piece < 0 or piece in set(v.byte_ids.tolist()) else next(w for w in range(1, 17) if (place[node], w) in want and want[place[node], w][0] == piece)
+                got[place[node], width] = (piece, pytest.approx(x, abs=1e-9))
+                if to not in place:
+                    place[to] = place[node] + width
+                    open_.append(to)
+                assert place[to] == place[node] + width and text
+        assert set(got) == {k for k in want if k in got} and all(want[k] == got[k] for k in got)
+        assert {k for k in want if k[0] in set(place.values())} == set(got)
+
+
+@needs_model
+def test_a_very_long_run_takes_linear_time(spark):
+    """A text of 200,000 characters without a space comes back, sampled twice."""
+    text = "".join(random.Random(4).choice(["the", "ing", "日本", "q"]) for _ in range(90_000))
+    rows = pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), decoded="back").collect()
+    assert len(rows) == 2 and all(r["back"] == text for r in rows) and rows[0]["ids"] != rows[1]["ids"]
 
 
 @needs_model
