@@ -392,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Last, when components are nearly whole, as only pairs across them are looked at.
         region = texts.join(crowded, "id", "left_semi").join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
         region = as_table(region.select("id", F.coalesce("component", "id").alias("comp"), "text"), "crowded-texts")
-        exact = as_table(_agree(exact_candidates(region), sets), "exact-pairs")
+        exact = as_table(exact_candidates(region), "exact-pairs")  # the prefix filter and full sets decide, no signature
         comps = components_by_tasks(links.union(confirm(exact, texts)))
 
     labels = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
