@@ -116,13 +116,6 @@ def example_list(examples: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.filter(examples, lambda x: x != ""), ", "), F.lit("")), F.lit("-"))
 
 
-def pair_question(finding: Column, left: Column, left_examples: Column, right: Column, right_examples: Column) -> Column:
-    return F.concat(
-        F.lit("Finding: "), finding, F.lit("\nFirst category: "), left, F.lit(" (examples: "), example_list(left_examples), F.lit(")\nSecond category: "), right,
-        F.lit(" (examples: "), example_list(right_examples), F.lit(")\nHow many times likelier is the finding in the first category than in the second?"),
-    )
-
-
 def messages(system: list[str], few_shot: list[tuple[str, str]], question: Column, reasoning: Column) -> Column:
     """System messages, worked examples (two of them for reasoning models) and the question."""
     say = lambda role, content: F.struct(F.lit(role).alias("role"), (content if isinstance(content, Column) else F.lit(content)).alias("content"))
@@ -139,11 +132,11 @@ def model_capabilities(model_id: Column) -> Column:
 
 
 def parameter_ladder(model_id: Column) -> Column:
-    """Sets of optional parameters to try in turn: all that a model takes, then without verbosity, reasoning, temperature, at last none; each once."""
+    """Sets of optional parameters to try in turn: all that a model takes, then all but verbosity, all but reasoning, all but temperature, at last none; each set once."""
     takes = model_capabilities(model_id)
     have = F.array_compact(F.array(F.when(takes["verbosity"], "verbosity"), F.when(takes["reasoning"], "reasoning"), F.when(takes["allow_temp"], "temperature")))
-    less = lambda *gone: F.array_except(have, F.array(*map(F.lit, gone)))
-    return F.array_distinct(F.array(have, less("verbosity"), less("verbosity", "reasoning"), less("verbosity", "reasoning", "temperature")))
+    less = lambda gone: F.array_remove(have, gone)
+    return F.array_distinct(F.array(have, less("verbosity"), less("reasoning"), less("temperature"), F.array().cast("array<string>")))
 
 
 def is_transient(error: Column) -> Column:

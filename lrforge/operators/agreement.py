@@ -34,6 +34,12 @@ def bland_altman(values: DataFrame, item: list[str], group: list[str], model: st
     )
 
 
+def axis_limits(stats: DataFrame, by: list[str], margin: float = 1.1) -> DataFrame:
+    """(by, x_low, x_high, y_low, y_high): one frame for all pairs of models of a group: their mean logs, and their widest difference both ways with a margin."""
+    wide = margin * F.max("widest")
+    return stats.groupBy(*by).agg(F.min("least_mean").alias("x_low"), F.max("largest_mean").alias("x_high"), (-wide).alias("y_low"), wide.alias("y_high"))
+
+
 def bandwidths(values: DataFrame, by: list[str], method: str | float = "scott") -> DataFrame:
     """n and bandwidth of each group's log10 ratios: Scott or Silverman in one dimension, or a factor of the spread."""
     n = F.col("n").cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lrforge.functions.numeric import SIGN_MARGIN, classify_cell, ovr_posterior
 from lrforge.functions.text import is_example_header, normalize_cell
+from lrforge.operators.quantiles import summarized
 
 SUM_TOLERANCE = 1e-6
 
@@ -78,12 +79,10 @@ def totals(summary: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame, by: list[str], columns: list[str], poisoned: bool = False) -> DataFrame:
     """Median and 90th percentile with linear interpolation; NaN is skipped, or makes them null if poisoned."""
-    out = []
-    for c in columns:
-        clean = F.when(~F.isnan(c), F.col(c))
-        whole = F.count_if(F.isnan(c)) == 0 if poisoned else F.lit(True)
-        out += [F.when(whole, F.percentile(clean, F.lit(p))).alias(f"{name}_{c}") for name, p in (("median", 0.5), ("p90", 0.9))]
-    return df.groupBy(*by).agg(*out)
+    wanted = {f"{name}_{c}": (F.col(c).cast("double"), p) for c in columns for name, p in (("median", 0.5), ("p90", 0.9))}
+    found = summarized(df, by, [F.count_if(F.isnan(c)).alias(f"_nan_{c}") for c in columns], wanted)
+    whole = lambda name: F.when(F.col("_nan_" + name.split("_", 1)[1]) == 0, F.col(name)).alias(name) if poisoned else F.col(name)
+    return found.select(*by, *map(whole, wanted))
 
 
 def coherence_rows(raw: DataFrame, fitted: DataFrame, row: list[str], priors: DataFrame, tolerance: float = SUM_TOLERANCE) -> DataFrame:
@@ -109,15 +108,14 @@ def coherence_rows(raw: DataFrame, fitted: DataFrame, row: list[str], priors: Da
 
 def coherence_summary(rows: DataFrame, by: list[str], failed: DataFrame | None = None) -> DataFrame:
     """Coherence audit of a model and scenario; solver failures (by, failures) default to 0."""
-    p = lambda c, q, ok: F.percentile(F.when(ok, F.col(c)), F.lit(q))
     checked, complete = F.col("checked"), F.col("complete")
-    summary = rows.groupBy(*by).agg(
+    counts = [
         F.count_if(checked).alias("rows_checked"), F.count_if(~checked).alias("rows_skipped"),
-        p("raw_gap", 0.5, complete).alias("median_raw_gap"), p("raw_gap", 0.9, complete).alias("p90_raw_gap"), p("after_gap", 0.5, checked).alias("median_after_gap"), p("after_gap", 0.9, checked).alias("p90_after_gap"),
-        p("median_adjustment_mult", 0.5, complete).alias("median_adjustment_mult"), p("median_adjustment_mult", 0.9, complete).alias("p90_adjustment_mult"),
         F.count_if(complete & F.col("sign_impossible_before")).alias("sign_impossible_rows_before"), F.count_if(checked & F.col("sign_impossible_after")).alias("sign_impossible_rows_after"),
         F.count_if(F.col("status").isNotNull()).alias("coherence_invalid_rows"),
-    )
+    ]
+    of = {"raw_gap": ("raw_gap", complete), "after_gap": ("after_gap", checked), "adjustment_mult": ("median_adjustment_mult", complete)}
+    summary = summarized(rows, by, counts, {f"{name}_{out}": (F.when(ok, F.col(c)), q) for out, (c, ok) in of.items() for name, q in (("median", 0.5), ("p90", 0.9))})
     if failed is None:
         return summary.withColumn("solver_failures", F.lit(0).cast("long"))
     return summary.join(failed.select(*by, F.col("failures").alias("solver_failures")), by, "left").withColumn("solver_failures", F.coalesce("solver_failures", F.lit(0)).cast("long"))
@@ -130,17 +128,18 @@ def projection_summary(projected: DataFrame, by: list[str]) -> DataFrame:
         *by, ok.alias("ok"), F.when(ok, F.abs(F.col("result.sum_q_init") - 1)).alias("gap"), F.col("result.sign_impossible_raw").alias("before"), F.col("result.sign_impossible_fitted").alias("after"),
         F.when(ok, F.array_max(F.zip_with("ovr_lr", "result.fitted_ovr_lr", lambda a, b: F.abs(F.ln(a) - F.ln(b))))).alias("largest"),
     )
-    p = lambda c, q: F.percentile(c, F.lit(q))
-    return flat.groupBy(*by).agg(
-        F.count("*").alias("rows_total"), F.count_if("ok").alias("rows_projected"), F.count_if(~F.col("ok")).alias("rows_failed"), p("gap", 0.5).alias("median_sum_q_init_gap"), p("gap", 0.9).alias("p90_sum_q_init_gap"),
-        p("largest", 0.5).alias("median_max_abs_log_change"), p("largest", 0.9).alias("p90_max_abs_log_change"), F.count_if("before").alias("sign_impossible_rows_before"), F.count_if("after").alias("sign_impossible_rows_after"),
-    )
+    counts = [
+        F.count("*").alias("rows_total"), F.count_if("ok").alias("rows_projected"), F.count_if(~F.col("ok")).alias("rows_failed"),
+        F.count_if("before").alias("sign_impossible_rows_before"), F.count_if("after").alias("sign_impossible_rows_after"),
+    ]
+    of = {"sum_q_init_gap": "gap", "max_abs_log_change": "largest"}
+    return summarized(flat, by, counts, {f"{name}_{out}": (F.col(c), q) for out, c in of.items() for name, q in (("median", 0.5), ("p90", 0.9))})
 
 
 def adjustment_tail(adjusted: DataFrame, by: list[str]) -> DataFrame:
     """Median, 90th and 99th percentile and largest of the factors by which ratios were changed, up or down."""
-    change = F.exp("abs_log_change")
-    return adjusted.groupBy(*by).agg(*[F.percentile(change, F.lit(q)).alias(f"{name}_mult_change") for q, name in ((0.5, "median"), (0.9, "p90"), (0.99, "p99"))], F.max(change).alias("max_mult_change"))
+    rows = adjusted.select(*by, F.exp("abs_log_change").alias("change"))
+    return summarized(rows, by, [F.max("change").alias("max_mult_change")], {f"{name}_mult_change": (F.col("change"), q) for name, q in (("median", 0.5), ("p90", 0.9), ("p99", 0.99))})
 
 
 def top_adjustments(adjusted: DataFrame, row: list[str], n: int = 500) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +18,8 @@ from pyspark.sql import types as T
 
 from lrforge.functions.text import TRANSIENT_MARKERS
 from lrforge.operators.plan import with_result_column
+from lrforge.session import Scratch
+from lrforge.sources.stores import store_of
 
 REMINDER = "Answer with a positive finite number only."
 
@@ -52,19 +58,45 @@ def transient(error: Exception) -> bool:
 
 
 def fallback(*backends: Estimator) -> Estimator:
-    """An estimator that asks one backend after the other until one answers; the last one's error is the error."""
+    """An estimator that asks one backend after the other until one answers; if none does, the error names what each of them said."""
 
     def ask(request: dict, attempt: int) -> float | str:
-        for backend in backends[:-1]:
+        errors = []
+        for backend in backends:
             try:
                 return backend(request, attempt)
-            except Exception:  # noqa: BLE001 - whatever it is, the next backend is asked
-                continue
-        return backends[-1](request, attempt)
+            except Exception as e:  # noqa: BLE001 - whatever it is, the next backend is asked
+                errors.append(f"{getattr(backend, '__name__', type(backend).__name__)}: {e}")
+        raise RuntimeError("no backend answered: " + " | ".join(errors))
 
     return ask
 
 
+def laddered(call: Callable[[dict, int, dict], float | str], ladder: list[dict]) -> Estimator:
+    """A backend that is asked with one set of optional parameters after the other (each once), until one is taken."""
+
+    def ask(request: dict, attempt: int) -> float | str:
+        tried, error = [], None
+        for parameters in ladder:
+            if parameters not in tried:
+                tried.append(parameters)
+                try:
+                    return call(request, attempt, parameters)
+                except Exception as e:  # noqa: BLE001 - the backend may not know a parameter
+                    error = e
+        raise RuntimeError(f"refused with all {len(tried)} sets of parameters: {error}") from error
+
+    return ask
+
+
+def backend(kind: str, responses: Estimator, chat: Estimator) -> Estimator:
+    """The backend of a setting: responses, chat, or auto, which asks the first and then the second."""
+    known = {"responses": responses, "chat": chat, "auto": fallback(responses, chat)}
+    if kind.strip().lower() not in known:
+        raise ValueError(f"the backend must be one of {sorted(known)}, not {kind!r}")
+    return known[kind.strip().lower()]
+
+
 def attempt_all(call: Callable[[int], float | str], retries: int, backoff: float, sleep: Callable[[float], None] = time.sleep, longest: float | None = None) -> tuple[str | None, str | None]:
     """(value, None) of the first answer that is a positive number, else (None, error).
 
@@ -106,6 +138,87 @@ def estimate(requests: DataFrame, make: Callable[[], Estimator], retries: int =
     return requests.mapInArrow(go, T.StructType([*requests.schema.fields, T.StructField("value", text), T.StructField("error", text)]))
 
 
+REQUEST_KEY = "request_key"
+ANSWERS = f"{REQUEST_KEY} string, value string, error string"
+
+
+def request_keys(requests: DataFrame) -> DataFrame:
+    """Adds a key of all columns' values; requests that are equal in all of them are one."""
+    return requests.withColumn(REQUEST_KEY, F.sha2(F.to_json(F.struct(*sorted(requests.columns)), {"ignoreNullFields": "false"}), 256))
+
+
+class _Journal:
+    """Answers of this folder that tasks have written, one small file each, so that a task that starts again finds them."""
+
+    def __init__(self, folder: str):
+        self.store, top = store_of(folder)
+        self.top, self.known, self.read = top, {}, set()
+
+    def find(self, key: str) -> list | None:
+        """[value, error] of a key, after reading what lies beside it."""
+        shelf = key[:2]
+        if shelf not in self.read:
+            self.read.add(shelf)
+            self.store.create_dir(f"{self.top}/{shelf}", recursive=True)
+            for info in self.store.get_file_info(fs.FileSelector(f"{self.top}/{shelf}")):
+                if info.path.endswith(".json"):
+                    with self.store.open_input_stream(info.path) as f, contextlib.suppress(ValueError):  # a torn file is no answer
+                        self.known[info.base_name.split(".")[0]] = json.loads(f.read())
+        return self.known.get(key)
+
+    def keep(self, key: str, answer: list) -> None:
+        """Under a name that is not read, then moved, so that half an answer is none."""
+        self.known[key] = answer
+        path = f"{self.top}/{key[:2]}/{key}"
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with self.store.open_output_stream(part) as f:
+            f.write(json.dumps(answer).encode())
+        self.store.move(part, f"{path}.json")
+
+
+def estimate_once(requests: DataFrame, make: Callable[[], Estimator], ledger: str, retries: int = 2, backoff: float = 1.0, sentinel: str | None = None, longest: float | None = None) -> DataFrame:
+    """As estimate, but each different request is asked once, in this run and all others with this ledger (a folder that executors reach).
+
+    Answered keys are joined away before a client is made. A task writes each answer into
+    a journal at once, so that its next attempt, a speculative copy that starts later, or a run
+    after a failed one finds it; at the end the answers go to the ledger's table and the journal
+    goes. Only two attempts that ask at the same moment can both ask. Failed requests aren't
+    kept: they are asked again by the next run, but not by another attempt of their task.
+    """
+    spark = requests.sparkSession
+    names = requests.columns
+    keyed = request_keys(requests)
+    table, journal = f"{ledger}/answers", f"{ledger}/journal"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    known = spark.read.schema(ANSWERS).parquet(table) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else spark.createDataFrame([], ANSWERS)
+    open_ = keyed.join(known.select(REQUEST_KEY), REQUEST_KEY, "left_anti").dropDuplicates([REQUEST_KEY]).select(REQUEST_KEY, *names)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, held = None, _Journal(journal)
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for r in rows:
+                key = r.pop(REQUEST_KEY)
+                answer = held.find(key)
+                if answer is None:
+                    client = client or make()
+                    answer = list(attempt_all(lambda attempt, r=r: client(r | {"reminder": REMINDER if attempt else None}, attempt), retries, backoff, longest=longest))
+                    held.keep(key, answer)
+                out.append((key, *answer))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=[REQUEST_KEY, "value", "error"]) if out else pa.RecordBatch.from_pylist([], pa.schema([(c, pa.string()) for c in (REQUEST_KEY, "value", "error")]))
+
+    shelves = open_.repartition(F.substring(REQUEST_KEY, 1, 2)).sortWithinPartitions(REQUEST_KEY)
+    with Scratch(spark, "estimates") as scratch:
+        asked = scratch.table(shelves.mapInArrow(go, ANSWERS))
+        asked.where("value is not null").write.mode("append").parquet(table)
+        top = spark._jvm.org.apache.hadoop.fs.Path(journal)
+        top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
+        answers = known.unionByName(asked) if known.columns else asked
+        told = keyed.join(known.unionByName(asked), REQUEST_KEY, "left").select(*names, F.coalesce("value", F.lit(sentinel)).alias("value"), "error")
+        return scratch.kept(told)
+
+
 def with_model_column(cells: DataFrame, estimates: DataFrame, model_id: str) -> DataFrame:
     """Sheets with a column lr_<model> more: estimates (scenario_id, sheet, row_idx, value), ERROR where value is null."""
     results = estimates.select("scenario_id", "sheet", "row_idx", F.coalesce("value", F.lit("ERROR")).alias("value"))

@@ -31,13 +31,18 @@ def header_cells(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
 
 
 def filled_rows(cells: DataFrame, pattern: str = KEY_FEATURE) -> DataFrame:
-    """Rows above the key row on a dense grid, each cell filled from the left, the first column included."""
-    rows = header_cells(cells, pattern).groupBy(*SHEET, "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("m"), F.first("width").alias("width"))
-    fill = lambda done, c: F.concat(done, F.array(F.coalesce(F.col("m")[c], F.element_at(done, -1))))
-    first = F.array(F.col("m")[F.lit(0)])
-    dense = F.aggregate(F.sequence(F.lit(1), F.col("width") - 1), first, fill)
-    labels = F.when(F.col("width") > 1, dense).otherwise(first)
-    return rows.select(*SHEET, "row_idx", "width", F.posexplode(labels).alias("col_idx", "v")).select(*SHEET, "row_idx", "col_idx", "width", normalize_cell(F.col("v")).alias("label"))
+    """Rows above the key row on a dense grid, each cell filled from the left, the first column included.
+
+    A cell reaches to the next one of its row, so that the grid is made from pairs of
+    neighbours: time is linear in its width, and no row is held as a whole.
+    """
+    row = W.partitionBy(*SHEET, "row_idx").orderBy("col_idx")
+    spans = header_cells(cells, pattern).select(
+        *SHEET, "row_idx", "width", "col_idx", normalize_cell(F.col("value")).alias("v"),
+        F.when(F.lag("col_idx").over(row).isNull(), 0).otherwise(F.col("col_idx")).alias("from"), (F.coalesce(F.lead("col_idx").over(row), F.col("width")) - 1).alias("to"),
+    )
+    dense = spans.select(*SHEET, "row_idx", "width", "v", F.col("col_idx").alias("own"), F.explode(F.sequence("from", "to")).alias("col_idx"))
+    return dense.select(*SHEET, "row_idx", "col_idx", "width", F.when(F.col("col_idx") >= F.col("own"), F.col("v")).otherwise("").alias("label"))
 
 
 def category_blocks(filled: DataFrame) -> DataFrame:
@@ -140,16 +145,6 @@ def ensure_priors(manifest: DataFrame, priors: DataFrame, cells: DataFrame, patt
     return priors.select(*found.columns, F.lit(False).alias("derived")).unionByName(found.withColumn("derived", F.lit(True)))
 
 
-def check_counts(schemas: DataFrame, expected: DataFrame, allow_mismatch: bool = False) -> DataFrame:
-    """Compares with (scenario_id, expected_category_count) on each sheet's last schema: an error, or a warning if allowed."""
-    last = schemas.withColumn("nth", F.row_number().over(W.partitionBy(*SHEET).orderBy(F.desc("row_idx")))).where("nth = 1").drop("nth")
-    joined = last.join(expected, "scenario_id", "left")
-    text = F.format_string("category count mismatch: expected=%d, observed=%d", "expected_category_count", "categories_count")
-    differs = F.col("expected_category_count") != F.col("categories_count")
-    warning = F.when(differs, text if allow_mismatch else F.raise_error(text).cast("string"))
-    return joined.withColumn("warning", F.coalesce(warning, F.lit("")))
-
-
 def _schema_details(cells: DataFrame, schemas: DataFrame, least: int, pattern: str) -> DataFrame:
     """Per schema: spans before and after clipping, the prior row and its numbers, as arrays.
 
@@ -189,11 +184,6 @@ def prior_rows(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: st
     return _schema_details(cells, schemas, least, pattern).where("prior_row is not null").select(*SHEET, "schema_order", "prior_row")
 
 
-def clipped_spans(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
-    """Spans whose last one ends before the first number in the prior row that no label stands over, a total; one column stays."""
-    return _schema_details(cells, schemas, least, pattern).where("prior_row is not null").select(*SHEET, "schema_order", F.col("at").alias("row_idx"), "prior_row", F.inline("clipped"))
-
-
 def schema_priors(cells: DataFrame, schemas: DataFrame, least: int = 2, pattern: str = KEY_FEATURE) -> DataFrame:
     """Raw and normalized prior of every category, and the raw sum; null normalized if the sum isn't positive."""
     inside = "aggregate(filter(numbers, c -> c.col_idx >= s.start_col and c.col_idx < s.end_col), 0D, (t, c) -> t + c.number)"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lrforge.functions.text import is_example_header, pair_filename, signed_findings
+from lrforge.operators.numbering import numbered
 from lrforge.schemas import require_columns, with_defaults
 
 SHEET = ["scenario_id", "sheet"]
@@ -107,7 +108,7 @@ def work_list(manifest: DataFrame, scenarios: list[str] | None = None, most: int
     require_columns(manifest, ["input_workbook", "output_workbook"], "manifest")
     rows = with_defaults(manifest, {"scenario_id": "unknown"})
     if "pair_index" not in rows.columns:
-        rows = rows.withColumn("pair_index", F.row_number().over(W.orderBy("input_workbook")))
+        rows = numbered(rows, "pair_index", order=["input_workbook"], start=1).withColumn("pair_index", F.col("pair_index").cast("int"))
     if scenarios is not None:
         rows = rows.where(F.col("scenario_id").isin(scenarios))
     rows = rows.orderBy("scenario_id", "pair_index", "input_workbook")
@@ -123,9 +124,13 @@ def first_findings(findings: DataFrame, n: int, group: list[str]) -> DataFrame:
     return findings.withColumn("nth", F.row_number().over(W.partitionBy(*group).orderBy("finding_order"))).where(F.col("nth") <= n).drop("nth")
 
 
-def other_diagnoses(cases: DataFrame, diagnoses: list[str], correct: str = "correct") -> DataFrame:
-    """Each case with every diagnosis of a stated list but its correct one, as `other`."""
-    return cases.select("*", F.explode(F.array_except(F.array(*map(F.lit, diagnoses)), F.array(correct))).alias("other"))
+def other_diagnoses(cases: DataFrame, diagnoses: DataFrame, correct: str = "correct") -> DataFrame:
+    """Each case with every diagnosis (a column of that name) but its correct one, as `other`; a case without a correct one has all.
+
+    Diagnoses, which are as many as the results of a case, come as one array in one row.
+    """
+    every = diagnoses.agg(F.array_sort(F.collect_set("diagnosis")).alias("_all"))
+    return cases.join(every).select(*cases.columns, F.explode(F.array_except("_all", F.array(correct))).alias("other"))
 
 
 def union_distinct(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -135,8 +140,19 @@ def union_distinct(first: DataFrame, *more: DataFrame) -> DataFrame:
     return first.distinct()
 
 
+def canonical_json(payload: Column) -> Column:
+    """JSON text with the fields of all objects in order, at every depth, and types as they were; null where it doesn't parse.
+
+    An object that repeats a field doesn't parse.
+    """
+    return F.to_json(F.try_parse_json(payload))
+
+
 def distinct_payloads(rows: DataFrame, group: list[str], order: str, payload: str) -> DataFrame:
-    """Of JSON objects that are equal but for the order of their fields, the first of each group."""
-    entries = F.array_sort(F.map_entries(F.from_json(payload, "map<string,string>")))
-    canonical = F.to_json(F.map_from_entries(entries))
-    return rows.groupBy(*group, canonical.alias("canonical")).agg(F.min_by(payload, order).alias(payload), F.min(order).alias(order))
+    """Of JSON values that are equal but for white space and the order of fields, the first of each group.
+
+    1 and "1" differ, as do arrays in another order. Texts that don't parse are kept, each different one once; null is a payload too.
+    """
+    canonical = canonical_json(F.col(payload))
+    key = F.struct(canonical.alias("json"), F.when(canonical.isNull(), F.col(payload)).alias("text"))
+    return rows.groupBy(*group, key.alias("_key")).agg(F.min_by(payload, order).alias(payload), F.min(order).alias(order)).drop("_key")

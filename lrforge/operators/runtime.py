@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lrforge.functions.numeric import classify_cell
 from lrforge.schemas import require_columns
+from lrforge.session import Scratch
 
 MODES = ("recompute", "skip_passing", "repair_invalid")
 
@@ -25,9 +27,19 @@ def passing(output: DataFrame, by: list[str]) -> DataFrame:
     return output.groupBy(*by).agg(F.bool_and(status == "valid").alias("ok")).where("ok").select(*by)
 
 
-def to_run(work: DataFrame, output: DataFrame, by: list[str], mode: str = "recompute") -> DataFrame:
-    """Rows of a work list that a mode leaves to be run; the anti-join comes before the costly estimator."""
-    return work.join(passing(output, by), by, "left_anti") if resume_mode(mode) == "skip_passing" else work
+def to_run(work: DataFrame, output: DataFrame, by: list[str], mode: str = "recompute", invalid: DataFrame | None = None) -> DataFrame:
+    """Rows of a work list that a mode leaves to be run: all, those whose output doesn't pass, or those that the list of invalid rows names.
+
+    These joins come before the costly estimator. An empty list of invalid rows is an error, as nothing can be repaired then.
+    """
+    mode = resume_mode(mode)
+    if mode == "skip_passing":
+        return work.join(passing(output, by), by, "left_anti")
+    if mode == "repair_invalid":
+        if invalid is None or invalid.isEmpty():
+            raise ValueError("no invalid rows to repair")
+        return work.join(invalid.select(*by).distinct(), by, "left_semi")
+    return work
 
 
 def repair_list(invalid: DataFrame, model: str | None = None, scenarios: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -47,6 +59,32 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], value: str = "value")
     return old.join(new.select(*key, F.col(value).alias("_new")), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
+def repair_table(spark: SparkSession, path: str, patches: DataFrame, key: list[str], value: str = "value", partitions: tuple[str, ...] = ("model_id", "scenario_id")) -> DataFrame:
+    """Writes patches (key, value) into a Parquet table that is partitioned by model and scenario; returns the table.
+
+    Only partitions that a patch touches are read and written, by dynamic partition
+    overwrite: their new files are staged and take the old ones' place when the job
+    commits, and all other partitions keep their files. Patches for keys that the table
+    doesn't have change nothing; of several for one key the largest value counts; a null value is no patch.
+    """
+    parts = list(partitions)
+    with Scratch(spark, "repair") as scratch:
+        new = scratch.table(patches.where(F.col(value).isNotNull()).groupBy(*key).agg(F.max(value).alias(value)))
+        table = _partitioned(spark, path, parts)
+        columns = table.columns
+        touched = table.join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi")
+        changed = scratch.table(upsert(touched, new, key, value).select(*columns))
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    spark.catalog.refreshByPath(path)
+    return _partitioned(spark, path, parts)
+
+
+def _partitioned(spark: SparkSession, path: str, partitions: list[str]) -> DataFrame:
+    """The table, with partition values as the texts they are."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in partitions else f.dataType) for f in found])).parquet(path)
+
+
 def fill_blank(old: DataFrame, new: DataFrame, key: list[str], value: str = "value") -> DataFrame:
     """As upsert, but only blank cells take the new value."""
     joined = old.join(new.select(*key, F.col(value).alias("_new")), key, "left")

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lrforge.functions import numeric, text
+from lrforge.functions import numeric, text, tokens
 from lrforge.functions.numeric import rounded
-from lrforge.operators import agreement, assess, audit, coherence, estimate, parse, plan, runtime
+from lrforge.operators import agreement, assess, audit, coherence, estimate, parse, plan, runtime, scan
+from lrforge.operators.quantiles import select_quantiles
 from lrforge.plans.projection_sql import PROJECTED_SQL
 from lrforge.plans.stand_ins import CUBE_SQL, DIRTY_SQL, SHEETS_SQL, cube, dirty, lr_sql, ratios, sheets, table
+from lrforge.session import Scratch
+from lrforge.sources import workbooks
 from lrforge.sources.html import nav_links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,24 +192,49 @@ def adjustment_tail(spark, sf):
     return rows.select("scenario_id", *[rounded(F.col(c), 5).alias(c) for c in rows.columns[1:]])
 
 
+# Faults by the number k of a finding in its scenario: no solution, a cell lost, a cell edited.
+UNSOLVED, LOST, EDITED = "k % 11 = 4", "k % 11 <> 4 AND k % 7 = 5", "k % 11 <> 4 AND k % 7 = 3"
+
+
 @query(
-    f"{FITTED}, g AS (SELECT scenario_id, finding, abs(list_sum(q0) - 1) AS raw_gap, {ALL_SIGNS.format('lam')} AS before, {ALL_SIGNS.format('fit')} AS after FROM fin), m AS (SELECT scenario_id, finding, quantile_cont(exp(abs(r[i])), 0.5) AS mult FROM flat GROUP BY ALL) "
-    f"SELECT scenario_id, count(*)::BIGINT AS rows_checked, 0::BIGINT AS rows_skipped, {_r('quantile_cont(raw_gap, 0.5)', 5)} AS median_raw_gap, {_r('quantile_cont(raw_gap, 0.9)', 5)} AS p90_raw_gap, 0.0::DOUBLE AS median_after_gap, 0.0::DOUBLE AS p90_after_gap, "
-    f"{_r('quantile_cont(mult, 0.5)', 5)} AS median_adjustment_mult, {_r('quantile_cont(mult, 0.9)', 5)} AS p90_adjustment_mult, count(*) FILTER (WHERE before)::BIGINT AS sign_impossible_rows_before, count(*) FILTER (WHERE after)::BIGINT AS sign_impossible_rows_after, "
-    "0::BIGINT AS coherence_invalid_rows, 0::BIGINT AS solver_failures FROM g JOIN m USING (scenario_id, finding) GROUP BY scenario_id"
+    f"{FITTED}, k AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY finding) AS k FROM fin), "
+    f"h AS (SELECT *, {UNSOLVED} AS unsolved, {LOST} AS lost, CASE WHEN {EDITED} THEN list_concat([fit[1] * 1.5], fit[2:]) ELSE fit END AS f2 FROM k), "
+    f"g AS (SELECT scenario_id, unsolved, NOT unsolved AND NOT lost AS ok, abs(list_sum(q0) - 1) AS raw_gap, {ALL_SIGNS.format('lam')} AS before, {ALL_SIGNS.format('f2')} AS after, "
+    "abs(list_sum(list_transform(range(1, n + 1), lambda i: 1 / (1 + exp(-(ln(pr[i]) - ln(1 - pr[i]) + ln(f2[i])))))) - 1) AS after_gap, "
+    "list_aggregate(list_transform(range(1, n + 1), lambda i: exp(abs(ln(f2[i]) - ln(lam[i])))), 'quantile_cont', 0.5) AS mult FROM h) "
+    "SELECT scenario_id, count(*) FILTER (WHERE ok)::BIGINT AS rows_checked, count(*) FILTER (WHERE NOT ok)::BIGINT AS rows_skipped, "
+    + ", ".join(f"{_r(f'quantile_cont({c}, {q}) FILTER (WHERE ok)', 5)} AS {name}_{out}" for c, out in (("raw_gap", "raw_gap"), ("after_gap", "after_gap"), ("mult", "adjustment_mult")) for q, name in ((0.5, "median"), (0.9, "p90")))
+    + ", count(*) FILTER (WHERE ok AND before)::BIGINT AS sign_impossible_rows_before, count(*) FILTER (WHERE ok AND after)::BIGINT AS sign_impossible_rows_after, "
+    "count(*) FILTER (WHERE ok AND (after_gap > 1e-6 OR after))::BIGINT AS coherence_invalid_rows, count(*) FILTER (WHERE unsolved)::BIGINT AS solver_failures FROM g GROUP BY scenario_id"
 )
 def coherence_audit(spark, sf):
-    """Projected ratios written as cells, read again and audited against the raw ones; the solver's failures are counted."""
-    projected = coherence.project(_vectors(spark, sf)).persist()  # read as vectors, as fitted rows and as failures
+    """Projected ratios written as cells, some of them edited or lost, read again and audited against the raw ones; rows without a solution are counted."""
     key = [*ROW, "category_order"]
     position = lambda df, v: df.select(*key, F.col(v).cast("string").alias("value"))
-    long = projected.select(*ROW, F.posexplode(F.arrays_zip("ovr_lr", "priors")).alias("i", "z")).select(*ROW, (F.col("i") + 1).alias("category_order"), F.col("z.ovr_lr").alias("raw"), F.col("z.priors").alias("prior"))
-    expected, priors = long.select(*key), long.groupBy("scenario_id", "category_order").agg(F.first("prior").alias("prior"))
-    fitted = coherence.adjustments(projected, ROW)
-    rows = audit.coherence_rows(audit.classified(expected, position(long, "raw"), key), audit.classified(expected, position(fitted, "fitted_ovr_lr"), key), ROW, priors)
-    failed = coherence.failures(projected, ROW).groupBy("scenario_id").agg(F.count("*").alias("failures"))
-    summary = audit.coherence_summary(rows, ["scenario_id"], failed)
-    return summary.select(*[rounded(F.col(c), 5).alias(c) if t == "double" else c for c, t in summary.dtypes])
+    with Scratch(spark, "coherence-audit") as scratch:
+        vectors = _vectors(spark, sf).withColumn("k", F.row_number().over(W.partitionBy("scenario_id").orderBy("finding")))
+        vectors = vectors.withColumn("ovr_lr", F.when(F.expr(UNSOLVED), F.transform("ovr_lr", lambda x, i: F.when(i == 0, -x).otherwise(x))).otherwise(F.col("ovr_lr")))
+        projected = scratch.table(coherence.project(vectors))  # read as vectors, as fitted rows and as failures
+        long = projected.select(*ROW, F.posexplode(F.arrays_zip("ovr_lr", "priors")).alias("i", "z")).select(*ROW, (F.col("i") + 1).alias("category_order"), F.col("z.ovr_lr").alias("raw"), F.col("z.priors").alias("prior"))
+        expected, priors = long.select(*key), long.groupBy("scenario_id", "category_order").agg(F.first("prior").alias("prior"))
+        fitted = coherence.adjustments(projected, [*ROW, "k"]).where(~(F.expr(LOST) & (F.col("category_order") == 2)))
+        fitted = fitted.withColumn("fitted_ovr_lr", F.when(F.expr(EDITED) & (F.col("category_order") == 1), F.col("fitted_ovr_lr") * 1.5).otherwise(F.col("fitted_ovr_lr")))
+        rows = audit.coherence_rows(audit.classified(expected, position(long, "raw"), key), audit.classified(expected, position(fitted, "fitted_ovr_lr"), key), ROW, priors)
+        failed = coherence.failures(projected, ROW).groupBy("scenario_id").agg(F.count("*").alias("failures"))
+        summary = audit.coherence_summary(rows, ["scenario_id"], failed)
+        return scratch.kept(summary.select(*[rounded(F.col(c), 5).alias(c) if t == "double" else c for c, t in summary.dtypes]))
+
+
+VALUES = "SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedprice * (1 - l_discount) / (l_quantity + l_linenumber) AS price, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount - l_tax END AS margin FROM lineitem"
+LEVELS = {"least": 0.0, "p10": 0.1, "median": 0.5, "p99": 0.99}
+
+
+@query(f"WITH v AS ({VALUES}) SELECT flag, status, " + ", ".join(f"{_r(f'quantile_cont({c}, {q})', 9)} AS {name}_{c}" for c in ("price", "margin") for name, q in LEVELS.items()) + " FROM v GROUP BY flag, status")
+def selected_quantiles(spark, sf):
+    """Four quantiles of two columns of all order items, by selection over histograms of bits."""
+    rows = table(spark, sf, "lineitem").selectExpr(*[x.strip() for x in ("l_returnflag AS flag", "l_linestatus AS status", "l_extendedprice * (1 - l_discount) / (l_quantity + l_linenumber) AS price", "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount - l_tax END AS margin")])
+    found = select_quantiles(rows, ["flag", "status"], ["price", "margin"], LEVELS)
+    return found.select("flag", "status", *[rounded(F.col(c), 9).alias(c) for c in found.columns[2:]])
 
 
 @query(
@@ -334,6 +362,14 @@ def ffill_blocks(spark, sf):
     return parse.category_blocks(parse.filled_rows(sheets(spark, sf)))
 
 
+@query("WITH v AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_orderkey % 50 = 0 THEN l_quantity END AS q FROM lineitem) SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(q IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS q FROM v")
+def filled_over_partitions(spark, sf):
+    """Three keys that hold all order items, filled along the order of items."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, sf, "lineitem").select("l_returnflag", *order, F.when(F.col("l_orderkey") % 50 == 0, F.col("l_quantity")).alias("q"))
+    return scan.fill_forward(rows, ["l_returnflag"], order, "q")
+
+
 @query(f"WITH {FILLED} SELECT scenario_id, sheet, row_idx, schema_order, array_to_string(labels, '|') AS labels, len(labels)::INT AS categories_count, printf('s%02d_r%02d_%dcat', schema_order, row_idx, len(labels)) AS schema_sheet_name FROM schemas")
 def schema_rows(spark, sf):
     rows = parse.schema_rows(parse.category_blocks(parse.filled_rows(sheets(spark, sf))))
@@ -525,6 +561,69 @@ def repair_upsert(spark, sf):
     return runtime.upsert(rows, runtime.repair_list(invalid).select(*key, F.lit("1.5").alias("value")), key).select(*key, "value")
 
 
+REPAIRED = ["s1", "s2", "s3"]
+
+
+def _to_repair(rows):
+    return runtime.repair_list(audit.invalid_cells(rows.withColumn("status", numeric.classify_cell(F.col("value"))["status"])), scenarios=REPAIRED)
+
+
+@query(f"WITH {DIRTY_SQL} SELECT model_id, scenario_id, row_index, value FROM graded WHERE status <> 'valid' AND scenario_id IN ('s1', 's2', 's3')")
+def repair_mode_work(spark, sf):
+    """What the mode that repairs leaves to be run."""
+    rows = dirty(spark, sf)
+    key = ["model_id", "scenario_id", "row_index"]
+    return runtime.to_run(rows.select(*key, "value"), rows, key, "repair_invalid", _to_repair(rows))
+
+
+@query(f"WITH {DIRTY_SQL} SELECT model_id, scenario_id, row_index, CASE WHEN status <> 'valid' AND scenario_id IN ('s1', 's2', 's3') THEN '1.5' ELSE value END AS value, scenario_id IN (SELECT scenario_id FROM graded WHERE status <> 'valid' AND scenario_id IN ('s1', 's2', 's3')) AS rewritten FROM graded")
+def repaired_table(spark, sf):
+    """A table of outputs by model and scenario, repaired in place; rewritten tells rows whose files are new."""
+    key = ["model_id", "scenario_id", "row_index"]
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("file")
+    with Scratch(spark, "repaired") as scratch:
+        path = f"{scratch.root}/outputs"
+        dirty(spark, sf).select(*key, "value").write.partitionBy("model_id", "scenario_id").parquet(path)
+        before = scratch.table(spark.read.parquet(path).select(file).distinct())
+        repaired = runtime.repair_table(spark, path, _to_repair(spark.read.parquet(path)).select(*key, F.lit("1.5").alias("value")), key)
+        rows = repaired.select(*key, "value", file).join(before.withColumn("old", F.lit(True)), "file", "left")
+        return scratch.kept(rows.select(*key, "value", F.col("old").isNull().alias("rewritten")))
+
+
+@query("SELECT 'inputs/' || o_orderpriority || '/' || o_orderkey || '.xlsx' AS input_workbook, 'unknown' AS scenario_id, row_number() OVER (ORDER BY 'inputs/' || o_orderpriority || '/' || o_orderkey || '.xlsx')::INT AS pair_index FROM orders")
+def work_list(spark, sf):
+    """A manifest without scenario and pair number gets both; numbers by the order of input files."""
+    name = F.concat(F.lit("inputs/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".xlsx"))
+    manifest = table(spark, sf, "orders").select(name.alias("input_workbook"), F.lit("out").alias("output_workbook"))
+    return plan.work_list(manifest).select("input_workbook", "scenario_id", "pair_index")
+
+
+SHEET_CELLS = """
+WITH r AS (SELECT 'block_' || l_orderkey % 7 AS scenario_id, 'line <' || l_linenumber || '> & more' AS sheet, row_number() OVER (PARTITION BY l_orderkey % 7, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey) - 1 AS row_idx, l_orderkey, l_quantity, l_returnflag FROM lineitem),
+c AS (SELECT scenario_id, sheet, row_idx, 'order' AS header, l_orderkey::VARCHAR AS value FROM r UNION ALL SELECT scenario_id, sheet, row_idx, 'amount & unit', l_quantity::BIGINT || ' x' FROM r UNION ALL SELECT scenario_id, sheet, row_idx, 'Unnamed: 3', l_returnflag FROM r)
+"""
+
+
+@query(f"{SHEET_CELLS} SELECT scenario_id, sheet, header, count(*)::BIGINT AS cells, max(row_idx)::BIGINT AS last_row, min(value) AS least, max(value) AS largest, sum(row_idx * length(value))::BIGINT AS moment FROM c GROUP BY ALL")
+def workbook_round_trip(spark, sf):
+    """All order items as workbooks of seven sheets, one column without a name, written, read again with headers and counted."""
+    items = table(spark, sf, "lineitem")
+    place = W.partitionBy(F.col("l_orderkey") % 7, "l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey")
+    cell = lambda column, value: F.struct(F.lit(column).alias("col_idx"), value.alias("value"))
+    sheet = [F.concat(F.lit("block_"), (F.col("l_orderkey") % 7).cast("string")).alias("scenario_id"), F.concat(F.lit("line <"), F.col("l_linenumber").cast("string"), F.lit("> & more")).alias("sheet")]
+    values = F.explode(F.array(cell(0, F.col("l_orderkey").cast("string")), cell(1, F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" x"))), cell(3, F.col("l_returnflag"))))
+    numbers = items.withColumn("row_idx", F.row_number().over(place))  # before rows become cells
+    body = numbers.select(*sheet, "row_idx", values.alias("c")).select("scenario_id", "sheet", "row_idx", "c.*")
+    heads = body.select("scenario_id", "sheet").distinct().select("*", F.lit(0).alias("row_idx"), F.explode(F.array(cell(0, F.lit("order")), cell(1, F.lit("amount & unit")))).alias("c")).select("scenario_id", "sheet", "row_idx", "c.*")
+    with Scratch(spark, "workbooks") as scratch:
+        path = f"{scratch.root}/books"
+        workbooks.write_workbooks(body.unionByName(heads), path)
+        back = workbooks.scan_workbooks(spark, path, header=True)
+        return scratch.kept(back.groupBy("scenario_id", "sheet", "header").agg(
+            F.count("*").alias("cells"), F.max("row_idx").cast("long").alias("last_row"), F.min("value").alias("least"), F.max("value").alias("largest"), F.sum(F.col("row_idx") * F.length("value")).alias("moment")
+        ))
+
+
 @query(f"WITH {DIRTY_SQL} SELECT model_id, scenario_id, row_index, CASE WHEN value = '' THEN '2.0' ELSE value END AS value FROM dirty")
 def fill_blank(spark, sf):
     rows = dirty(spark, sf)
@@ -575,7 +674,7 @@ def models_by_manifest(spark, sf):
 
 
 @query(
-    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'verbosity+reasoning|reasoning|' WHEN 1 THEN 'reasoning|' ELSE 'temperature|' END AS ladder FROM part"
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'verbosity+reasoning|reasoning|verbosity|' WHEN 1 THEN 'reasoning|' ELSE 'temperature|' END AS ladder FROM part"
 )
 def parameter_ladders(spark, sf):
     k = F.col("p_partkey") % 3
@@ -586,14 +685,21 @@ def parameter_ladders(spark, sf):
 @query("SELECT c_custkey, c_mktsegment AS correct, other FROM customer JOIN (SELECT DISTINCT c_mktsegment AS other FROM customer) ON other <> c_mktsegment")
 def other_diagnoses(spark, sf):
     cases = table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("correct"))
-    stated = sorted(r[0] for r in cases.select("correct").distinct().limit(100).collect())
-    return plan.other_diagnoses(cases, stated)
+    return plan.other_diagnoses(cases, cases.select(F.col("correct").alias("diagnosis")).distinct())
 
 
-@query("SELECT event_type, json_extract(props, '$.k')::VARCHAR AS k, min(event_id)::BIGINT AS event_id FROM events GROUP BY ALL")
+@query(
+    "WITH e AS (SELECT event_type, event_id, json_extract(props, '$.k')::VARCHAR AS k, event_id % 6 AS m FROM events), same AS (SELECT *, CASE m WHEN 1 THEN 0 ELSE m END AS kind FROM e) "
+    "SELECT event_type, k, CASE kind WHEN 0 THEN 'number' WHEN 2 THEN 'text' WHEN 3 THEN 'other order' WHEN 4 THEN 'repeated' ELSE 'broken' END AS kind, min(event_id)::BIGINT AS event_id FROM same GROUP BY ALL"
+)
 def distinct_payloads(spark, sf):
-    rows = plan.distinct_payloads(table(spark, sf, "events").select("event_type", "event_id", "props"), ["event_type"], "event_id", "props")
-    return rows.select("event_type", F.get_json_object("props", "$.k").alias("k"), "event_id")
+    """Payloads made of each event's number: nested objects in two orders, a number as text, an array the other way round, a repeated field, and no JSON."""
+    k = F.get_json_object("props", "$.k")
+    forms = ('{"k": %s, "o": {"a": 1, "b": [1, 2]}}', '{"o":{"b":[1,2],"a":1},"k":%s}', '{"k":"%s","o":{"a":1,"b":[1,2]}}', '{"k":%s,"o":{"a":1,"b":[2,1]}}', '{"k":%s,"k":%s}', '{"k":%s')
+    made = F.element_at(F.array(*[F.format_string(f, *[k] * f.count("%s")) for f in forms]), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = plan.distinct_payloads(table(spark, sf, "events").select("event_type", "event_id", made.alias("payload")), ["event_type"], "event_id", "payload")
+    kinds = F.element_at(F.array(*map(F.lit, ("number", "number", "text", "other order", "repeated", "broken"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return rows.select("event_type", F.regexp_extract("payload", r'"k": ?"?(\d+)', 1).alias("k"), kinds.alias("kind"), "event_id")
 
 
 @query(f"WITH {CATS} SELECT scenario_id, finding AS label FROM finds UNION SELECT scenario_id, category FROM cats")
@@ -631,6 +737,16 @@ def bland_altman(spark, sf):
     return rows.select("scenario_id", "model_a", "model_b", "n", *[rounded(F.col(c)).alias(c) for c in ("bias_fold", "lower_fold", "upper_fold")])
 
 
+@query(
+    f"{RAW}, rated AS (SELECT scenario_id, finding, category, 1 AS m, lr FROM ratios UNION ALL SELECT scenario_id, finding, category, 2, raw FROM ratios UNION ALL SELECT scenario_id, finding, category, 3, lr * 1.25 FROM ratios), "
+    "d AS (SELECT a.scenario_id, (ln(a.lr) + ln(b.lr)) / 2 AS m, ln(a.lr) - ln(b.lr) AS d FROM rated a JOIN rated b ON a.scenario_id = b.scenario_id AND a.finding = b.finding AND a.category = b.category AND a.m < b.m) "
+    f"SELECT scenario_id, {_r('min(m)')} AS x_low, {_r('max(m)')} AS x_high, {_r('-1.1 * max(abs(d))')} AS y_low, {_r('1.1 * max(abs(d))')} AS y_high FROM d GROUP BY scenario_id HAVING count(*) >= 9"
+)
+def agreement_limits(spark, sf):
+    rows = agreement.axis_limits(agreement.bland_altman(_rated(spark, sf), ["finding", "category"], ["scenario_id"]), ["scenario_id"])
+    return rows.select("scenario_id", *[rounded(F.col(c)).alias(c) for c in ("x_low", "x_high", "y_low", "y_high")])
+
+
 @query(
     f"{RAW}, v AS (SELECT scenario_id, log10(raw) AS v FROM ratios), b AS (SELECT scenario_id, count(*) AS n, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS h FROM v GROUP BY ALL HAVING count(*) >= 5 AND stddev_samp(v) > 0), "
     "g AS (SELECT i, log10(1 / 32.0::DOUBLE) + i * (log10(32.0::DOUBLE) - log10(1 / 32.0::DOUBLE)) / 99 AS x FROM range(0, 100) t(i)), "
@@ -750,6 +866,15 @@ def token_estimates(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("tokens"))
 
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def token_counts(spark, sf):
+    """Tokens of every turn under a public vocabulary of 50,000 ranks."""
+    return tokens.token_counts(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", tokens.read_ranks(spark, RANKS))
+
+
 @query("SELECT event_type, event_id % 5 IN (1, 3) AS transient, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def transient_errors(spark, sf):
     k = F.col("event_id") % 5

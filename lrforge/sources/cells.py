@@ -1,132 +1,21 @@
-"""Headerless sheets as cells: from workbooks, CSV files or any DataFrame, and back."""
+"""Headerless CSV files as cells. Workbooks are in the module of that name."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from pathlib import PurePosixPath
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lrforge.functions.text import na_to_null
-from lrforge.schemas import CELLS
-
-NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
-
-def column_number(reference: str) -> int:
-    """Zero-based column of a cell reference such as AB12."""
-    n = 0
-    for c in re.match("[A-Z]+", reference)[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
-def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{NS}t"))
-
-
-def read_workbook(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """(sheet, row, column, text) of the non-empty cells of an .xlsx file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = [_text(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si")] if "xl/sharedStrings.xml" in names else []
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{NS}sheet"):
-            target = targets[sheet.get(f"{REL}id")]
-            path = target.lstrip("/") if target.startswith("/") else str(PurePosixPath("xl") / target)
-            for i, row in enumerate(ElementTree.fromstring(z.read(path)).iter(f"{NS}row")):
-                at = int(row.get("r", i + 1)) - 1
-                for j, cell in enumerate(row.iter(f"{NS}c")):
-                    kind, value = cell.get("t"), cell.find(f"{NS}v")
-                    text = _text(cell) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
-                    if text:
-                        yield sheet.get("name"), at, column_number(cell.get("r")) if cell.get("r") else j, text
-
-
-def scan_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """cells and an error column, a file a task; scenario_id is the file's name without its ending. A bad file is one row with its error."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                name = PurePosixPath(file).stem
-                try:
-                    rows = [(name, *cell, None) for cell in read_workbook(content)]
-                except Exception as e:  # noqa: BLE001 - a bad file is data
-                    rows = [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["scenario_id", "sheet", "row_idx", "col_idx", "value", "error"]).astype({"row_idx": "Int32", "col_idx": "Int32"})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    cells = files.mapInPandas(go, CELLS + ", error string")
-    return cells.withColumn("value", na_to_null(F.col("value"))).where("value is not null or error is not null")
+from lrforge.operators.numbering import numbered
 
 
 def scan_csv(spark: SparkSession, path: str, width: int, scenario: str) -> DataFrame:
-    """cells of a headerless CSV file of a stated width. Its row order is the order of the file, so it is read as one sheet."""
+    """cells of headerless CSV files of a stated width; several files count as one sheet, in the order of their names.
+
+    Files are read a task each, and rows are numbered from the row counts of files.
+    """
     schema = ", ".join(f"c{i} string" for i in range(width))
-    lines = spark.read.schema(schema).csv(path, multiLine=True, escape='"').withColumn("_at", F.monotonically_increasing_id())
-    rows = lines.withColumn("row_idx", F.row_number().over(Window.orderBy("_at")) - 1).select("row_idx", F.posexplode(F.array(*[f"c{i}" for i in range(width)])).alias("col_idx", "value"))
+    lines = spark.read.schema(schema).csv(path, multiLine=True, escape='"').select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    rows = numbered(lines, "row_idx", chunks=["_file", "_block"]).select(F.col("row_idx").cast("int").alias("row_idx"), F.posexplode(F.array(*[f"c{i}" for i in range(width)])).alias("col_idx", "value"))
     named = rows.select(F.lit(scenario).alias("scenario_id"), F.lit("csv").alias("sheet"), "row_idx", "col_idx", na_to_null(F.col("value")).alias("value"))
     return named.where("value is not null")
-
-
-def _column_name(i: int) -> str:
-    name = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        name = chr(65 + r) + name
-    return name
-
-
-def workbook_bytes(sheets: dict[str, list[tuple[int, int, str]]]) -> bytes:
-    """An .xlsx file with inline texts, from cells (row, column, text) by sheet; names are cut to 31 characters."""
-    out = io.BytesIO()
-    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
-    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    names = list(sheets)
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in enumerate(names, 1))
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        listed = "".join(f'<sheet name="{escape(n[:31], {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1))
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
-        links = "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in enumerate(names, 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        for i, name in enumerate(names, 1):
-            rows: dict[int, dict[int, str]] = {}
-            for r, c, text in sheets[name]:
-                rows.setdefault(r, {})[c] = text
-            cell = lambda r, c, t: f'<c r="{_column_name(c)}{r + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(t)}</t></is></c>'
-            body = "".join(f'<row r="{r + 1}">{"".join(cell(r, c, t) for c, t in sorted(cells.items()))}</row>' for r, cells in sorted(rows.items()))
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def write_workbooks(cells: DataFrame, folder: str) -> DataFrame:
-    """Writes one workbook a scenario below folder, a URI that executors reach; returns (path, bytes). Sheets of one scenario fit in a task."""
-
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        store, top = fs.FileSystem.from_uri(folder)
-        store.create_dir(top, recursive=True)
-        sheets = {s: list(zip(g["row_idx"], g["col_idx"], g["value"], strict=True)) for s, g in rows.groupby("sheet", sort=True)}
-        content = workbook_bytes(sheets)
-        path = f"{top}/{rows['scenario_id'].iloc[0]}.xlsx"
-        with store.open_output_stream(path) as f:
-            f.write(content)
-        return pd.DataFrame({"path": [path], "bytes": [len(content)]})
-
-    return cells.groupBy("scenario_id").applyInPandas(go, "path string, bytes long")

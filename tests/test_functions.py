@@ -14,7 +14,7 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("cell", "status", "value"),
     [
-        ("2.5", "valid", 2.5), (" 1.2\t", "valid", 1.2), ("0", "non_positive", 0.0), ("-0.1", "non_positive", -0.1), ("abc", "non_numeric", None), ("", "missing", None), (None, "missing", None),
+        ("17", "valid", 17.0), (" 0.375\t", "valid", 0.375), ("-0", "non_positive", 0.0), ("-3e2", "non_positive", -300.0), ("seldom", "non_numeric", None), (" ", "missing", None), (None, "missing", None),
         ("nan", "non_numeric", None), ("inf", "non_numeric", None), ("1.5d", "non_numeric", None), ("1_000", "valid", 1000.0), ("1e-400", "non_positive", 0.0), (" 2.5 ", "valid", 2.5), ("1e400", "non_numeric", None),
     ],
 )
@@ -98,7 +98,7 @@ def test_positive_numbers(spark):
 
 def test_parameter_ladder(spark):
     got = {m: one(spark, text.parameter_ladder(F.col("v")), v=m) for m in ("gpt-5", "o4-mini", "other")}
-    assert got == {"gpt-5": [["verbosity", "reasoning"], ["reasoning"], []], "o4-mini": [["reasoning"], []], "other": [["temperature"], []]}
+    assert got == {"gpt-5": [["verbosity", "reasoning"], ["reasoning"], ["verbosity"], []], "o4-mini": [["reasoning"], []], "other": [["temperature"], []]}
 
 
 def test_utc_text(spark):

@@ -7,15 +7,19 @@ KEY = "model_id string, scenario_id string, row_index int"
 
 
 def test_modes():
-    assert runtime.resume_mode("recompute", True) == "repair_invalid"
-    assert runtime.resume_mode(None) == "recompute"
-    with pytest.raises(ValueError):
-        runtime.resume_mode("bogus")
+    assert [runtime.resume_mode(m) for m in runtime.MODES] == list(runtime.MODES)
+    assert [runtime.resume_mode(m, repair_flag=True) for m in (None, *runtime.MODES)] == ["repair_invalid", "repair_invalid", "skip_passing", "repair_invalid"]
+    with pytest.raises(ValueError, match="'twice'"):
+        runtime.resume_mode("twice")
 
 
 def test_repair_list(spark):
-    rows = spark.createDataFrame([("m1", "s1", 3), ("m1", "s2", 4), ("m2", "s1", 5)], KEY)
-    assert [tuple(r) for r in runtime.repair_list(rows, "m1", ["s2"], 1).collect()] == [("m1", "s2", 4)]
+    rows = spark.createDataFrame([("elm", "north", 40 - i) for i in range(5)] + [("elm", "east", 7), ("oak", "north", 1), ("oak", "west", 2)], KEY)
+    listed = lambda *args: [tuple(r) for r in runtime.repair_list(rows, *args).collect()]
+    assert listed("elm", ["north", "south"], 2) == [("elm", "north", 36), ("elm", "north", 37)]
+    assert listed("oak") == [("oak", "north", 1), ("oak", "west", 2)] and listed("ash") == [] and len(listed()) == 8
+    with pytest.raises(ValueError, match="row_index"):
+        runtime.repair_list(rows.drop("row_index"))
 
 
 def test_upsert_and_blank(spark):
@@ -55,12 +59,15 @@ def test_ledger(spark, tmp_path):
 
 
 def test_audit_counts(spark):
-    expected = spark.createDataFrame([("s", r, c) for r in (1, 2) for c in (1, 2)], "scenario_id string, row_index int, col_index int")
-    output = spark.createDataFrame([("s", 1, 1, "1.5"), ("s", 1, 2, "2.5"), ("s", 2, 1, "0.0"), ("s", 2, 2, "1.2")], "scenario_id string, row_index int, col_index int, value string")
+    """Three trees by four signs: one cell absent, one with a word, one zero, one below it."""
+    wanted = [("grove", r, c) for r in (3, 5, 8) for c in (1, 2, 4, 6)]
+    expected = spark.createDataFrame(wanted, "scenario_id string, row_index int, col_index int")
+    odd = {(3, 4): None, (5, 1): "often", (8, 2): "0.0", (8, 6): "-7"}
+    output = spark.createDataFrame([(s, r, c, odd.get((r, c), f"{r}.{c}")) for s, r, c in wanted if (r, c) != (3, 4)] + [("grove", 99, 1, "bad")], "scenario_id string, row_index int, col_index int, value string")
     cells = audit.classified(expected, output, ["scenario_id", "row_index", "col_index"])
-    s = audit.quality_summary(cells, ["scenario_id"]).first()
-    assert (s["expected_cells"], s["valid_positive_cells"], s["non_positive_cells"], s["passes"]) == (4, 3, 1, False)
-    assert [(r["row_index"], r["col_index"]) for r in audit.invalid_cells(cells).collect()] == [(2, 1)]
+    found = audit.quality_summary(cells, ["scenario_id"]).first().asDict()
+    assert found == {"scenario_id": "grove", "expected_cells": 12, "valid_positive_cells": 8, "missing_cells": 1, "non_numeric_cells": 1, "non_positive_cells": 2, "total_invalid_cells": 4, "passes": False}
+    assert {(r["row_index"], r["col_index"]): r["status"] for r in audit.invalid_cells(cells).collect()} == {(3, 4): "missing", (5, 1): "non_numeric", (8, 2): "non_positive", (8, 6): "non_positive"}
 
 
 def test_empty_sheet_passes(spark):
@@ -129,8 +136,28 @@ def test_waits_and_fallbacks():
 
     ask = estimate.fallback(broken, lambda request, attempt: request["x"] * 2)
     assert ask({"x": 2}, 0) == 4
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="broken: first | broken: first"):
         estimate.fallback(broken, broken)({}, 0)
+    assert estimate.backend(" Auto ", broken, lambda request, attempt: 3)({}, 0) == 3
+    with pytest.raises(RuntimeError, match="first"):
+        estimate.backend("responses", broken, broken)({}, 0)
+    with pytest.raises(ValueError, match="auto"):
+        estimate.backend("mail", broken, broken)
+
+
+def test_ladder_of_parameters():
+    asked = []
+
+    def picky(request, attempt, parameters):
+        asked.append(parameters)
+        if "warmth" in parameters:
+            raise ValueError("unknown option: warmth")
+        return 2.0
+
+    ask = estimate.laddered(picky, [{"warmth": 1, "effort": 2}, {"warmth": 1, "effort": 2}, {"warmth": 1}, {"effort": 2}, {}])
+    assert ask({}, 0) == 2.0 and asked == [{"warmth": 1, "effort": 2}, {"warmth": 1}, {"effort": 2}]
+    with pytest.raises(RuntimeError, match="all 2 sets of parameters: unknown option"):
+        estimate.laddered(picky, [{"warmth": 1}, {"warmth": 2}])({}, 0)
 
 
 def test_estimates_keep_whole_numbers(spark):

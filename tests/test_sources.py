@@ -1,21 +1,110 @@
+import tracemalloc
+import zipfile
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
 from lrforge.schemas import CELLS
-from lrforge.sources import cells, html, tables
+from lrforge.sources import cells, html, tables, workbooks
 from lrforge.streaming import incremental
 
 
+def book(path, sheets, shared=None, **parts):
+    """An .xlsx file from the XML of its sheets' rows, by name."""
+    main, office = workbooks.MAIN, workbooks.OFFICE
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="{"/xl/" if i % 2 else ""}s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        for i, rows in enumerate(sheets.values()):
+            if rows is not None:
+                z.writestr(f"xl/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{shared}</sst>')
+
+
 def test_workbooks_round_trip(spark, tmp_path):
-    rows = [("w1", "first", 0, 1, "Cat A & B"), ("w1", "first", 2, 0, "<f>"), ("w1", "second sheet", 0, 27, " x "), ("w2", "only", 5, 3, "1.5")]
-    df = spark.createDataFrame(rows, CELLS)
-    assert cells.write_workbooks(df, f"file://{tmp_path}").count() == 2
+    rows = [("w1", "first", 0, 1, "Cat A & B"), ("w1", "first", 2, 0, "<f>"), ("w1", "second sheet", 0, 27, " x "), ("w1", "a\"b'<", 1, 1, "q"), ("w2", "only", 5, 3, "1.5"), ("w2", "only", 5, 10, "é日😀")]
+    df = spark.createDataFrame([*rows, ("w2", "only", 6, 1, None)], CELLS).repartition(3)
+    workbooks.write_workbooks(df, f"file://{tmp_path}")
     (tmp_path / "bad.xlsx").write_bytes(b"no zip")
-    got = cells.scan_workbooks(spark, str(tmp_path)).collect()
+    got = workbooks.scan_workbooks(spark, str(tmp_path)).collect()
     assert sorted(tuple(r)[:5] for r in got if r["error"] is None) == sorted(rows)
-    assert [r["scenario_id"] for r in got if r["error"]] == ["bad"]
-
-
-def test_na_texts_are_empty(spark, tmp_path):
-    (tmp_path / "n.xlsx").write_bytes(cells.workbook_bytes({"s": [(0, 0, "NA"), (0, 1, "Nat")]}))
-    assert [r["value"] for r in cells.scan_workbooks(spark, str(tmp_path)).collect()] == ["Nat"]
+    assert [(r["scenario_id"], r["sheet"]) for r in got if r["error"]] == [("bad", None)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bad.xlsx", "w1.xlsx", "w2.xlsx"]  # no staging left
+    workbooks.write_workbooks(df.where("scenario_id = 'w2'").withColumn("value", F.lit("new")), str(tmp_path))
+    assert {r["scenario_id"]: r["value"] for r in workbooks.scan_workbooks(spark, f"{tmp_path}/w2.xlsx").collect()} == {"w2": "new"} and (tmp_path / "w1.xlsx").exists()
+    workbooks.write_workbooks(df.where("scenario_id = 'w2'"), str(tmp_path), overwrite=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["w2.xlsx"]
+    assert workbooks.scan_workbooks(spark, f"{tmp_path}/w2.xlsx").count() == 2
+
+
+def test_sheets_of_other_writers(spark, tmp_path):
+    """Shared strings with runs, references left out, numbers, an empty sheet, texts for no value, and a broken sheet beside good ones."""
+    shared = "<si><t>plain</t></si><si><r><t>two </t></r><r><t>runs</t></r><rPh><t>no</t></rPh></si>"
+    good = '<row r="3"><c t="s"><v>1</v></c><c r="D3"><v>0.5</v></c><c><v>7</v></c></row><row><c t="s"><v>0</v></c><c t="inlineStr"><is><t>NA</t></is></c><c t="str"><v>Nat</v></c></row>'
+    book(tmp_path / "n.xlsx", {"good": good, "gone": None, "torn": "<row><c><v>1</v></c></row><row", "index": '<row><c t="s"><v>9</v></c></row>', "empty": ""}, shared)
+    got = workbooks.scan_workbooks(spark, str(tmp_path)).collect()
+    assert sorted((r["sheet"], r["row_idx"], r["col_idx"], r["value"]) for r in got if r["error"] is None) == [("good", 2, 0, "two runs"), ("good", 2, 3, "0.5"), ("good", 2, 4, "7"), ("good", 3, 0, "plain"), ("good", 3, 2, "Nat"), ("torn", 0, 0, "1")]
+    assert {r["sheet"]: r["error"].split(":")[0] for r in got if r["error"]} == {"gone": "KeyError", "torn": "ParseError", "index": "ValueError"}
+    assert workbooks.scan_workbooks(spark, str(tmp_path)).rdd.getNumPartitions() == 5
+
+
+def test_headers(spark, tmp_path):
+    rows = [("a", "s", 4, 0, "Info"), ("a", "s", 4, 1, "LR"), ("a", "s", 4, 3, "LR"), ("a", "s", 5, 0, "x"), ("a", "s", 5, 1, "1"), ("a", "s", 7, 2, "y"), ("a", "s", 7, 3, "2"), ("a", "only head", 0, 0, "h")]
+    workbooks.write_workbooks(spark.createDataFrame(rows, CELLS), str(tmp_path))
+    got = sorted((r["row_idx"], r["header"], r["value"]) for r in workbooks.scan_workbooks(spark, str(tmp_path), header=True).collect())
+    assert got == [(0, "Info", "x"), (0, "LR", "1"), (2, "LR.1", "2"), (2, "Unnamed: 2", "y")]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    """A name that comes twice after it is cut fails the job, after other tasks have written; a task that dies half-way leaves its workbook nowhere."""
+    good = [(f"g{i}", "s", r, 0, "v") for i in range(6) for r in range(50)]
+    for bad in ([("bad", "n" * 31 + x, 0, 0, "v") for x in "ab"], [("bad", "s", 0, 0, "fails")]):
+        df = spark.createDataFrame(good + bad, CELLS)
+        value = F.when((F.col("scenario_id") == "bad") & F.col("sheet").eqNullSafe("s"), F.raise_error("killed")).otherwise(F.col("value"))
+        with pytest.raises(Exception, match="two sheets|killed"):
+            workbooks.write_workbooks(df.repartition(4).withColumn("value", value), str(tmp_path))
+        assert not [p for p in tmp_path.rglob("*") if p.is_file()] and not list(tmp_path.glob("_staging*"))
+
+
+def test_large_sheets_in_bounded_memory(tmp_path):
+    """300,000 cells through the writer and reader of a task: neither holds more than a batch."""
+    out = workbooks.WorkbookWriter({"path": str(tmp_path)}, False)
+    n, width = 300_000, 30
+
+    def batches():
+        for start in range(0, n, 10_000):
+            at = np.arange(start, start + 10_000)
+            columns = [pa.array(["big"] * 10_000), pa.array(["s"] * 10_000), pa.array(at // width, pa.int32()), pa.array(at % width, pa.int32()), pa.array([f"value {i}" for i in at.tolist()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["scenario_id", "sheet", "row_idx", "col_idx", "value"])
+
+    tracemalloc.start()
+    out.commit([out.write(batches())])
+    reader = workbooks.WorkbookReader({"path": str(tmp_path)})
+    seen = total = 0
+    for part in reader.partitions():
+        for batch in reader.read(part):
+            seen += batch.num_rows
+            total += sum(int(v.split()[1]) for v in batch.column(4).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (seen, total) == (n, n * (n - 1) // 2) and peak < 24 << 20
+
+
+def test_csv_files_are_numbered_on(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"p{i}.csv").write_text("".join(f"{i}-{j},x\n" for j in range(i * 3 + 1)))
+    got = {r["row_idx"]: r["value"] for r in cells.scan_csv(spark, str(tmp_path), 2, "s").where("col_idx = 0").collect()}
+    assert got == dict(enumerate(f"{i}-{j}" for i in range(5) for j in range(i * 3 + 1)))
+
+
+def test_csv_with_header(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('scenario_id,label\ns,"a, ""b"" \nnext"\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "m.csv"), "scenario_id string, label string", ["label"]).collect()] == [("s", 'a, "b" \nnext')]
+    with pytest.raises(ValueError, match="pair_index"):
+        tables.read_csv(spark, str(tmp_path / "m.csv"), "scenario_id string, label string", ["pair_index"])
 
 
 def test_csv(spark, tmp_path):
