@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,18 +165,61 @@ def transcript_prompt(infos: Column, transcript: Column) -> Column:
     )
 
 
-def feedback_prompt(kind: str, context: Column, diagnosis: Column, other: Column | None = None) -> Column:
-    """Prompt of one of four kinds: general or specific feedback, over all findings or between two diagnoses."""
-    asks = {
-        "general_overall": "Name the five findings that speak most for, and the five most against, the diagnosis.",
-        "general_differential": "Name the five findings that speak most for the first diagnosis, and for the second.",
-        "specific_overall": "Explain to this learner what the findings below say about the diagnosis.",
-        "specific_differential": "Explain to this learner what the findings below say about the first diagnosis against the second.",
-    }
-    parts = [F.lit(asks[kind] + "\nDiagnosis: "), diagnosis]
-    if other is not None:
-        parts += [F.lit("\nOther diagnosis: "), other]
-    return F.concat(*parts, F.lit("\n"), context)
+ANSWER_FORM = (
+    'Answer with one JSON object and nothing else: {"for": [...], "against": [...], "summary": "..."}. Each list holds five objects '
+    '{"finding": "...", "explanation": "...", "abbreviations": {"short": "long"}}, the strongest first. Give no numbers for strength.'
+)
+FEEDBACK = {
+    "general_overall": (
+        "Diagnosis in question: {d}\nKind of information: {k}\n\nWhich findings of this kind would speak most for the diagnosis, whoever the patient is, and which most against it? "
+        "Judge by how much more often a finding occurs with the diagnosis than without it. For \"for\", a high ratio counts, to which a specific finding owes most; for \"against\", a low one, such as a sensitive test that is negative.\n"
+    ),
+    "general_differential": (
+        "First diagnosis: {d}\nSecond diagnosis: {o}\nKind of information: {k}\n\nWhich findings of this kind tell the two apart best, whoever the patient is? "
+        "Judge by how much more often a finding occurs with the first than with the second. \"for\" is for the first diagnosis, \"against\" for the second; findings that are common to both say little.\n"
+    ),
+    "specific_overall": (
+        "Diagnosis in question: {d}\nKind of information: {k}\n{c}\n\nOf the findings above and no others, which speak most for the diagnosis in this patient, and which most against it? "
+        "A finding that is absent can speak either way; one that was not asked for says nothing. Judge by how much more often it occurs with the diagnosis than without it.\n"
+    ),
+    "specific_differential": (
+        "First diagnosis: {d}\nSecond diagnosis: {o}\nKind of information: {k}\n{c}\n\nOf the findings above and no others, which make the first diagnosis likelier than the second in this patient (\"for\"), and which the second (\"against\")? "
+        "A finding that fits both equally well belongs to neither list. Say what a learner should ask next if the lists are short.\n"
+    ),
+}
+
+
+def feedback_prompt(kind: str, diagnosis: Column, category: Column, context: Column | None = None, other: Column | None = None) -> Column:
+    """Prompt of one of four kinds: general or specific (about the findings in context), for one diagnosis or between two."""
+    parts = {"{d}": diagnosis, "{k}": category, "{c}": context, "{o}": other}
+    pieces = re.split(r"(\{[dkco]\})", FEEDBACK[kind] + ANSWER_FORM.replace("{", "{{"))
+    if any(parts[p] is None for p in pieces if p in parts):
+        raise ValueError(f"a prompt of kind {kind} needs more than it was given")
+    return F.concat(*[parts[p] if p in parts else F.lit(p.replace("{{", "{")) for p in pieces if p])
+
+
+def checked_response(response: Column, fields: dict[str, tuple[float | None, float | None] | list[str]]) -> Column:
+    """Struct of a response's fields and `errors`: what is missing, no number, outside its bounds (both exclusive, None for none), or no word of its list.
+
+    A response that is no JSON object lacks all fields. A field with an error is null.
+    """
+    kinds = {f: "string" if isinstance(rule, list) else "double" for f, rule in fields.items()}
+    read = F.from_json(unfence(response), ", ".join(f"`{f}` string" for f in fields))
+    values, errors = [], []
+    for f, rule in fields.items():
+        raw = read[f]
+        if isinstance(rule, list):
+            fault = F.when(raw.isNull(), f"{f} is missing").when(~raw.isin(rule), F.concat(F.lit(f"{f} is none of its values: "), raw))
+            value = raw
+        else:
+            low, high = rule
+            value = raw.try_cast("double")
+            inside = (F.lit(True) if low is None else value > low) & (F.lit(True) if high is None else value < high)
+            number = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & ~raw.rlike("[dDfF]$")
+            fault = F.when(raw.isNull(), f"{f} is missing").when(~number, F.concat(F.lit(f"{f} is no number: "), raw)).when(~inside, F.concat(F.lit(f"{f} is out of bounds: "), raw))
+        errors.append(fault)
+        values.append(F.when(fault.isNull(), value).cast(kinds[f]).alias(f))
+    return F.struct(*values, F.array_compact(F.array(*errors)).alias("errors"))
 
 
 def answer_of(text: Column) -> Column:

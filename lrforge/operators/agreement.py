@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 # Range of ratios and number of grid points of a density.
 LOW, HIGH, POINTS, LEAST = 1 / 32, 32.0, 700, 5
+TERMS, REACH = 20, 9  # of the series of a box; bandwidths beyond which its kernel counts for nothing (below 1e-15)
 
 
 def on_log_scale(values: DataFrame, by: list[str], header: str = "header") -> DataFrame:
@@ -51,15 +52,28 @@ def bandwidths(values: DataFrame, by: list[str], method: str | float = "scott")
 def kde(values: DataFrame, by: list[str], method: str | float = "scott", points: int = POINTS, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(by, i, x, density) of log10 ratios on an even grid, with an area of 1 by trapezoids.
 
-    Ratios are counted by value first, so that each grid point sums over distinct
-    values, not rows; rounded ratios have few.
+    A fast Gauss transform: values are summed up in boxes one bandwidth wide, as TERMS
+    moments about the box's middle, in one aggregation that is linear in values; a box then
+    adds its Hermite series to the grid points within REACH bandwidths of it. Against the
+    sum over all values each value's part is off by less than 1e-13 of the kernel's height.
     """
-    counted = values.where("lr > 0 and not isnan(lr)").groupBy(*by, F.log10("lr").alias("v")).agg(F.count("*").alias("c"))
-    a, b = F.log10(F.lit(low)), F.log10(F.lit(high))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    at = counted.join(bandwidths(values, by, method), by).select(*by, "v", "c", "n", "h", grid.alias("i")).withColumn("x", a + F.col("i") * (b - a) / (points - 1))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    raw = at.groupBy(*by, "i").agg(F.first("x").alias("x"), (F.sum(F.col("c") * F.exp(-z * z / 2)) / F.first("n") / F.first("h") / (2 * 3.141592653589793) ** 0.5).alias("raw"))
+    logs = values.where("lr > 0 and not isnan(lr)").select(*by, F.log10("lr").alias("v"))
+    width = bandwidths(values, by, method)
+    placed = logs.join(width, by).select(*by, "n", "h", F.floor(F.col("v") / F.col("h")).alias("box"), (F.col("v") / F.col("h")).alias("u"))
+    placed = placed.withColumn("t", F.col("u") - F.col("box") - 0.5)
+    moments = placed.groupBy(*by, "n", "h", "box").agg(*[F.sum(F.pow("t", F.lit(float(k)))).alias(f"m{k}") for k in range(TERMS)])
+
+    a, step = F.log10(F.lit(low)), (F.log10(F.lit(high)) - F.log10(F.lit(low))) / (points - 1)
+    middle = (F.col("box") + 0.5) * F.col("h")
+    first, last = F.ceil((middle - REACH * F.col("h") - a) / step), F.floor((middle + REACH * F.col("h") - a) / step)
+    spread = moments.select(*by, "h", middle.alias("c"), F.array(*[f"m{k}" for k in range(TERMS)]).alias("m"), F.greatest(first, F.lit(0)).alias("i0"), F.least(last, F.lit(points - 1)).alias("i1")).where("i0 <= i1")
+    near = spread.select(*by, "h", "c", "m", F.explode(F.sequence("i0", "i1")).alias("i")).withColumn("z", (a + F.col("i") * step - F.col("c")) / F.col("h"))
+    # exp(-(z - t)^2 / 2) = exp(-z^2 / 2) * sum of g_k t^k, with g_0 = 1, g_(k+1) = (z g_k - g_(k-1)) / (k + 1).
+    series = F.expr("aggregate(m, struct(0D as before, 1D as g, 1D as k, 0D as total), (s, x) -> struct(s.g as before, (z * s.g - s.before) / s.k as g, s.k + 1 as k, s.total + s.g * x as total), s -> s.total)")
+    sums = near.withColumn("part", F.exp(-F.col("z") * F.col("z") / 2) * series).groupBy(*by, "i").agg(F.sum("part").alias("total"))
+
+    grid = width.select(*by, "n", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("i"))
+    raw = grid.join(sums, [*by, "i"], "left").select(*by, F.col("i").cast("int").alias("i"), (a + F.col("i") * step).alias("x"), (F.greatest(F.coalesce("total", F.lit(0.0)), F.lit(0.0)) / F.col("n") / F.col("h") / (2 * 3.141592653589793) ** 0.5).alias("raw"))
     order = W.partitionBy(*by).orderBy("i")
     part = (F.lead("raw").over(order) + F.col("raw")) / 2 * (F.lead("x").over(order) - F.col("x"))
     with_parts = raw.withColumn("part", part).withColumn("area", F.sum("part").over(W.partitionBy(*by)))

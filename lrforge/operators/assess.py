@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lrforge.functions.numeric import odds_label, to_number
-from lrforge.functions.text import answer_of, clinical_context, transcript_prompt
+from lrforge.functions.text import answer_of, clinical_context, parse_response, transcript_prompt
 
-EVIDENCE = "struct<evidence_for:array<struct<finding:string,explanation:string,abbreviation_expansion:map<string,string>>>,evidence_against:array<struct<finding:string,explanation:string,abbreviation_expansion:map<string,string>>>>"
+ITEM = "array<struct<finding:string,explanation:string,abbreviations:map<string,string>>>"
+EVIDENCE = f"`for` {ITEM}, against {ITEM}, summary string"
+ITEMS = 5
 
 
 def transcripts(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text", separator: str = "\n") -> DataFrame:
@@ -67,3 +69,29 @@ def contexts(features: DataFrame, key: str, order: str = "info") -> DataFrame:
     status = F.when(F.col("answer"), "present").when(~F.col("answer"), "absent").otherwise("not asked")
     ordered = F.array_sort(F.collect_list(F.struct(order, status.alias("status"))))
     return features.groupBy(key).agg(clinical_context(F.transform(ordered, lambda x: F.struct(x[order].alias("feature"), x["status"].alias("status")))).alias("context"))
+
+
+def combined(features: DataFrame, key: str, groups: dict[str, list[str]], group: str = "category", item: str = "finding", order: str = "finding_order") -> DataFrame:
+    """(key, category, findings): each case's findings by named unions of categories, category after category, each in its own order.
+
+    groups: name -> categories, a stated list; a category may be in several. A union without a finding gives no row.
+    """
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("place"), F.lit(c).alias("of")) for name, cs in groups.items() for i, c in enumerate(cs)])
+    each = features.withColumn("g", F.explode(F.filter(names, lambda x: x["of"] == F.col(group))))
+    ordered = F.array_sort(F.collect_list(F.struct("g.place", order, item)))
+    return each.groupBy(key, F.col("g.name").alias("category")).agg(F.transform(ordered, lambda x: x[item]).alias("findings"))
+
+
+def evidence(responses: DataFrame, key: list[str], response: str = "response") -> tuple[DataFrame, DataFrame]:
+    """(items, faults) of responses to feedback prompts.
+
+    items: (key, side, rank, finding, explanation, abbreviations). faults: (key, fault), a row a response that is no such JSON, or
+    hasn't five findings on a side, or one without a text; its items, if any, are given all the same.
+    """
+    read = responses.select(*key, parse_response(F.col(response), EVIDENCE).alias("e"))
+    sides = F.array(F.struct(F.lit("for").alias("side"), F.col("e.for").alias("list")), F.struct(F.lit("against").alias("side"), F.col("e.against").alias("list")))
+    each = read.select(*key, F.explode(sides).alias("s")).select(*key, "s.side", F.posexplode("s.list").alias("rank", "i"))
+    items = each.select(*key, "side", (F.col("rank") + 1).alias("rank"), "i.finding", "i.explanation", F.coalesce("i.abbreviations", F.create_map().cast("map<string,string>")).alias("abbreviations"))
+    blank = lambda side: F.exists(F.col(f"e.{side}"), lambda x: F.trim(F.coalesce(x["finding"], F.lit(""))) == "")
+    fault = F.when(F.col("e.for").isNull() | F.col("e.against").isNull(), "no lists").when((F.size("e.for") != ITEMS) | (F.size("e.against") != ITEMS), F.format_string("%d for, %d against", F.size("e.for"), F.size("e.against"))).when(blank("for") | blank("against"), "a finding without a text")
+    return items, read.select(*key, fault.alias("fault")).where("fault is not null")

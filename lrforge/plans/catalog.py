@@ -16,7 +16,8 @@ from lrforge.plans.projection_sql import PROJECTED_SQL
 from lrforge.plans.stand_ins import CUBE_SQL, DIRTY_SQL, SHEETS_SQL, cube, dirty, lr_sql, ratios, sheets, table
 from lrforge.session import Scratch
 from lrforge.sources import workbooks
-from lrforge.sources.html import nav_links
+from lrforge.sources.html import heading_links, lr_tables, nav_links
+from lrforge.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -866,6 +867,81 @@ def token_estimates(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("tokens"))
 
 
+@query(
+    "SELECT event_id, CASE WHEN m NOT IN (1, 2, 4) AND k > 0 AND k < 50 THEN k::DOUBLE END AS lr, CASE WHEN m NOT IN (2, 3, 4) THEN event_type END AS kind, "
+    "CASE WHEN m = 4 THEN 'lr is missing; kind is missing' WHEN m = 2 THEN 'lr is missing; kind is missing' ELSE concat_ws('; ', CASE WHEN m = 1 THEN 'lr is no number: 1.5d' WHEN k <= 0 OR k >= 50 THEN 'lr is out of bounds: ' || k END, CASE WHEN m = 3 THEN 'kind is none of its values: else' END) END AS errors "
+    "FROM (SELECT event_id, event_type, event_id % 6 AS m, json_extract(props, '$.k')::BIGINT AS k FROM events)"
+)
+def checked_responses(spark, sf):
+    """Answers made of each event's number and type: as asked for, with a word for a number, empty, of an unknown kind, torn, and fenced."""
+    k, m = F.get_json_object("props", "$.k"), F.col("event_id") % 6
+    answer = lambda lr, kind: F.concat(F.lit('{"lr": '), lr, F.lit(', "kind": "'), kind, F.lit('", "more": [1]}'))
+    whole = answer(k, F.col("event_type"))
+    said = F.when(m == 1, answer(F.lit('"1.5d"'), F.col("event_type"))).when(m == 2, "{}").when(m == 3, answer(k, F.lit("else"))).when(m == 4, F.lit("{torn")).when(m == 5, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    kinds = ["add_to_cart", "click", "error", "login", "logout", "purchase", "scroll", "search", "signup", "view"]
+    rows = table(spark, sf, "events").select("event_id", text.checked_response(said, {"lr": (0.0, 50.0), "kind": kinds}).alias("r"))
+    return rows.select("event_id", "r.lr", "r.kind", F.array_join("r.errors", "; ").alias("errors"))
+
+
+@query(
+    "WITH p AS (SELECT p_size, p_partkey, p_name, p_brand, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part), f AS (SELECT p_size, 'for' AS side, n AS rank, p_name AS finding, p_brand AS meant FROM p WHERE n <= 5 UNION ALL SELECT p_size, 'against', n - 5, p_name, p_brand FROM p WHERE n BETWEEN 6 AND 10), "
+    "c AS (SELECT p_size, count(*) FILTER (WHERE side = 'for') AS a, count(*) FILTER (WHERE side = 'against') AS b FROM f GROUP BY p_size) "
+    "SELECT f.p_size, side, rank::INT AS rank, finding, 'as ' || meant AS explanation, meant AS expansion, CASE WHEN a <> 5 OR b <> 5 THEN printf('%d for, %d against', a, b) END AS fault FROM f JOIN c USING (p_size)"
+)
+def feedback_evidence(spark, sf):
+    """Feedback about parts of a size as JSON, read back into ranked findings with what is wrong about it."""
+    n = F.row_number().over(W.partitionBy("p_size").orderBy("p_partkey"))
+    item = lambda x: F.struct(x["p_name"].alias("finding"), F.concat(F.lit("as "), x["p_brand"]).alias("explanation"), F.create_map(F.lit("B"), x["p_brand"]).alias("abbreviations"))
+    side = lambda low: F.transform(F.array_sort(F.collect_list(F.when((F.col("n") > low) & (F.col("n") <= low + 5), F.struct("n", "p_name", "p_brand")))), item)
+    said = table(spark, sf, "part").withColumn("n", n).groupBy("p_size").agg(F.to_json(F.struct(side(0).alias("for"), side(5).alias("against"), F.lit("s").alias("summary"))).alias("response"))
+    items, faults = assess.evidence(said, ["p_size"])
+    return items.join(faults, "p_size", "left").select("p_size", "side", "rank", "finding", "explanation", F.col("abbreviations")["B"].alias("expansion"), "fault")
+
+
+@query("WITH l AS (SELECT l_orderkey, l_returnflag, l_partkey, l_linenumber FROM lineitem), g(category, of, place) AS (VALUES ('open', 'N', 0), ('done', 'R', 0), ('done', 'A', 1), ('all', 'A', 0), ('all', 'N', 1), ('all', 'R', 2)) SELECT l_orderkey, category, string_agg(l_partkey::VARCHAR, ' ' ORDER BY place, l_linenumber, l_partkey) AS findings FROM l JOIN g ON l_returnflag = of GROUP BY l_orderkey, category")
+def combined_findings(spark, sf):
+    """Items of orders by three unions of their flags, flag after flag."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("finding_order"), F.col("l_partkey").alias("finding"))
+    rows = assess.combined(items, "l_orderkey", {"open": ["N"], "done": ["R", "A"], "all": ["A", "N", "R"]})
+    return rows.select("l_orderkey", "category", F.array_join("findings", " ").alias("findings"))
+
+
+@query("SELECT p_size AS page_id, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS link_order, '/part/' || p_partkey AS url, p_name AS display_name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
+def linked_parts(spark, sf):
+    """A page a size, with a heading and a list of links for two groups of brands; the links below one of them."""
+    link = F.format_string('<li><a class="x" href="/part/%d"> %s </a></li>', "p_partkey", "p_name")
+    some = F.col("p_brand").isin("Brand#1", "Brand#2")
+    listed = lambda wanted: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("p_partkey", link.alias("t"))))), lambda x: x["t"]), "\n")
+    pages = table(spark, sf, "part").groupBy(F.col("p_size").alias("page_id")).agg(F.concat(F.lit("<h3>Others</h3><ul>"), listed(~some), F.lit("</ul><h3 id=1> First (two) </h3>\n<ul class=y>"), listed(some), F.lit("</ul>")).alias("html"))
+    return heading_links(pages, "First (two)").where("url <> ''")
+
+
+@query("SELECT p_size AS page_id, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1)::INT AS finding_order, p_name AS finding, CASE WHEN p_partkey % 4 = 0 THEN 'Not reported' ELSE (p_partkey % 90)::VARCHAR END AS lr FROM part WHERE p_partkey % 5 <> 0")
+def ratio_tables(spark, sf):
+    """A page a size with a table of ratios, some blank, some rows of three cells, beside a table that isn't it."""
+    k = F.col("p_partkey")
+    row = F.when(k % 5 == 0, F.format_string("<tr><td>%s</td><td>1</td><td>2</td></tr>", "p_name")).otherwise(F.format_string('<tr><td><a href="#">%s</a> more</td><td> %s\n</td></tr>', "p_name", F.when(k % 4 == 0, "").otherwise((k % 90).cast("string"))))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("t")))), lambda x: x["t"]), "")
+    pages = table(spark, sf, "part").groupBy(F.col("p_size").alias("page_id")).agg(F.concat(F.lit('<table><tr><td>no</td><td>1</td></tr></table><article class="a lr_cards_details"><table class="lrtable"><tr><th>Finding</th><th>LR</th></tr>'), rows, F.lit("</table></article>")).alias("html"))
+    return lr_tables(pages)
+
+
+@query(
+    "WITH o AS (SELECT 'm' || event_id % 2 AS model_id, event_type AS scenario_id, (user_id % 40)::INT AS row_index, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'often' WHEN 2 THEN '-1' ELSE event_id::VARCHAR END AS value, ts, CASE event_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'non_numeric' WHEN 2 THEN 'non_positive' ELSE 'valid' END AS status FROM events), "
+    "l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY model_id, scenario_id, row_index ORDER BY ts DESC, value DESC) = 1) SELECT model_id, scenario_id, row_index, CASE WHEN value = '0' THEN '0' ELSE value END AS value, status FROM l WHERE status <> 'valid'"
+)
+def streamed_work(spark, sf):
+    """The open work list, kept by a stream that takes in the outputs of events in two runs, the later ones first."""
+    value = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, "often").when(F.col("event_id") % 5 == 2, "-1").otherwise(F.col("event_id").cast("string"))
+    rows = table(spark, sf, "events").select(F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("model_id"), F.col("event_type").alias("scenario_id"), (F.col("user_id") % 40).cast("int").alias("row_index"), value.alias("value"), F.col("ts").cast("timestamp").alias("written_at"), "event_id")
+    with Scratch(spark, "streamed") as scratch:
+        source, target, check = (f"{scratch.root}/{x}" for x in ("in", "out", "check"))
+        for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+            rows.where(part).drop("event_id").write.mode("append").parquet(source)
+            incremental.track_once(spark, source, target, check)
+        return scratch.kept(incremental.open_work(spark.read.parquet(target)))
+
+
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 

@@ -83,10 +83,28 @@ def test_posterior_of_bad_input_is_null(spark):
 
 
 def test_feedback_prompts(spark):
-    for kind in ("general_overall", "general_differential", "specific_overall", "specific_differential"):
-        other = F.lit("elm") if "differential" in kind else None
-        said = one(spark, text.feedback_prompt(kind, F.col("v"), F.lit("oak"), other), v="1. leaf is present.")
-        assert "oak" in said and said.endswith("1. leaf is present.") and ("elm" in said) == (other is not None)
+    said = {}
+    for kind in text.FEEDBACK:
+        context = F.lit("1. leaf is present.") if kind.startswith("specific") else None
+        other = F.lit("elm") if kind.endswith("differential") else None
+        p = said[kind] = one(spark, text.feedback_prompt(kind, F.col("v"), F.lit("bark"), context, other), v="oak {d}")
+        assert "oak {d}" in p and "bark" in p and '{"for": [...]' in p and '{"short": "long"}' in p
+        assert ("elm" in p) == (other is not None) and ("1. leaf is present." in p) == (context is not None)
+    assert len({p.split("\n\n")[1][:60] for p in said.values()}) == 4
+    with pytest.raises(ValueError, match="specific_overall"):
+        text.feedback_prompt("specific_overall", F.lit("oak"), F.lit("bark"))
+
+
+def test_responses_are_checked(spark):
+    rules = {"lr": (0.0, None), "share": (None, 1.0), "label": ["LOW", "HIGH"]}
+    said = lambda v: one(spark, text.checked_response(F.col("v"), rules), v=v)
+    good = said('```json\n{"label": "HIGH", "lr": "2.5", "share": -3, "x": {}}\n```')
+    assert (good["lr"], good["share"], good["label"], good["errors"]) == (2.5, -3.0, "HIGH", [])
+    bad = said('{"lr": 0, "share": 1, "label": "high"}')
+    assert bad["errors"] == ["lr is out of bounds: 0", "share is out of bounds: 1", "label is none of its values: high"] and bad["lr"] is None and bad["label"] is None
+    assert said('{"lr": "NaN", "share": "1.5f", "label": null}')["errors"] == ["lr is no number: NaN", "share is no number: 1.5f", "label is missing"]
+    for nothing in ("", "[]", "no", None):
+        assert said(nothing)["errors"] == ["lr is missing", "share is missing", "label is missing"], nothing
 
 
 def test_positive_numbers(spark):

@@ -203,3 +203,19 @@ def test_templates(spark):
     assert sorted(r["info"] for r in plain.collect()) == ["cough", "fever"]
     filled = assess.fill_labels(plain, spark.createDataFrame([("d", "cough", 1.5)], "diagnosis string, info string, odds double"))
     assert {r["info"]: r["lr"] for r in filled.collect()} == {"cough": "WEAK POSITIVE", "fever": "3"}
+
+
+def test_evidence(spark):
+    five = ", ".join(f'{{"finding": "f{i}", "explanation": "e", "abbreviations": {{"A": "ash"}}}}' for i in range(5))
+    blank = five.replace("f2", " ")
+    rows = [(1, f'```json\n{{"for": [{five}], "against": [{five}], "summary": "s"}}\n```'), (2, f'{{"for": [{five}], "against": []}}'), (3, "sorry"), (4, None), (5, f'{{"for": [{five}], "against": [{blank}]}}')]
+    items, faults = assess.evidence(spark.createDataFrame(rows, "k int, response string"), ["k"])
+    assert {r["k"]: r["fault"] for r in faults.collect()} == {2: "5 for, 0 against", 3: "no lists", 4: "no lists", 5: "a finding without a text"}
+    got = [(r["side"], r["rank"], r["finding"], r["abbreviations"]) for r in items.where("k = 1").orderBy("side", "rank").collect()]
+    assert len(got) == 10 and got[0] == ("against", 1, "f0", {"A": "ash"}) and got[9] == ("for", 5, "f4", {"A": "ash"}) and items.where("k = 2").count() == 5
+
+
+def test_combined_findings(spark):
+    rows = spark.createDataFrame([(1, "a", 2, "x"), (1, "a", 1, "y"), (1, "b", 1, "z"), (2, "c", 1, "w"), (3, None, 1, "v")], "k int, category string, finding_order int, finding string")
+    got = {(r["k"], r["category"]): r["findings"] for r in assess.combined(rows, "k", {"ba": ["b", "a"], "a": ["a"]}).collect()}
+    assert got == {(1, "ba"): ["z", "y", "x"], (1, "a"): ["y", "x"]}

@@ -1,6 +1,7 @@
 """Quantiles, numbers, fills, tokens, repairs and requests by ways that no single task or group bounds."""
 
 import base64
+import datetime
 import json
 import math
 import os
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lrforge.functions import tokens
-from lrforge.operators import audit, estimate, numbering, plan, quantiles, runtime, scan
+from lrforge.operators import agreement, audit, estimate, numbering, plan, quantiles, runtime, scan
+from lrforge.streaming import incremental
 
 LEVELS = {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "most": 1.0}
 
@@ -217,3 +219,49 @@ def test_a_run_that_dies_half_way_asks_nothing_twice(spark, tmp_path):
     assert (folder / "died").exists() and 0 < len(asked(folder)) < 20
     assert len(ask().where("value is not null").collect()) == 20
     assert asked(folder) == sorted(f"f{i}" for i in range(20))
+
+
+# --- streams and densities
+
+
+def latest_by_hand(rows):
+    best = {}
+    for *cell, v, t in rows:
+        if t is not None and (tuple(cell) not in best or (t, v is not None, v or "") > best[tuple(cell)][0]):
+            best[tuple(cell)] = ((t, v is not None, v or ""), v)
+    return {k: v for k, (_, v) in best.items()}
+
+
+def test_latest_status_over_restarts(spark, tmp_path):
+    """Three runs of a stream, with late, equal and repeated rows: the state at the end is that of all rows at once."""
+    source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    rng, start = random.Random(2), datetime.datetime(2031, 1, 1)
+    seen = []
+    for run in range(3):
+        rows = [("m", f"s{rng.randint(0, 2)}", rng.randint(0, 9), rng.choice(["1.5", "2", "x", "", None, "-1"]), rng.choice([None, *(start + datetime.timedelta(hours=rng.randint(0, 30)) for _ in range(9))])) for _ in range(60)]
+        seen += rows
+        spark.createDataFrame(rows, incremental.OUTPUTS).repartition(2).write.mode("append").parquet(source)
+        incremental.track_once(spark, source, target, check)
+        changes = spark.read.parquet(target)
+        want = latest_by_hand(seen)
+        assert {(r["model_id"], r["scenario_id"], r["row_index"]): r["value"] for r in incremental.current(changes).collect()} == want
+        left = {(r["model_id"], r["scenario_id"], r["row_index"]) for r in incremental.open_work(changes).collect()}
+        assert left == {k for k, v in want.items() if v not in ("1.5", "2")}
+    before = changes.count()
+    incremental.track_once(spark, source, target, check)  # nothing new
+    assert spark.read.parquet(target).count() == before
+
+
+@pytest.mark.parametrize("method", ["scott", "silverman", 0.01, 30.0])
+def test_densities_are_those_of_all_values(spark, method):
+    rng = np.random.default_rng(1)
+    groups = {"a": 10 ** rng.normal(0, 0.4, 300), "b": 10 ** rng.uniform(-3, 3, 50), "c": np.array([1.0, 1.0, 1.0, 1.0, 1.5, 1e-9, 1e9]), "few": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in [*xs, -1.0, math.nan]], "g string, lr double")
+    got = agreement.kde(df, ["g"], method, points=200).toPandas()
+    assert set(got["g"]) == {"a", "b", "c"} and len(got) == 600
+    for g, part in got.groupby("g"):
+        v, x = np.log10(groups[g]), np.linspace(math.log10(1 / 32), math.log10(32), 200)
+        h = v.std(ddof=1) * {"scott": len(v) ** -0.2, "silverman": (len(v) * 0.75) ** -0.2}.get(method, method)
+        raw = np.exp(-(((x[:, None] - v[None, :]) / h) ** 2) / 2).sum(axis=1)
+        area = ((raw[1:] + raw[:-1]) / 2 * np.diff(x)).sum()
+        assert part.sort_values("i")["density"].to_numpy() == pytest.approx(raw / area, abs=1e-9, rel=1e-9)
