@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lrforge.llm.common import KEY_DIGITS, bounded_batches, held_out, join_small, map_texts, named, random_key, read
+from lrforge.llm.common import KEY_DIGITS, as_table, bounded_batches, held_out, join_small, map_texts, named, random_key, read
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -82,9 +82,21 @@ def _counts(n_buckets: int):
 
 @dataclass
 class Model:
+    """What is learned: languages and their priors, and a table of counts, which only comes to the driver by blocks of languages."""
+
     langs: list[str] = field(default_factory=list)  # in order
     log_prior: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of languages: their share of all usable rows
-    log_probs: np.ndarray = field(default_factory=lambda: np.zeros((0, BUCKETS)))  # languages x BUCKETS
+    counts: DataFrame | None = None  # (lang, bucket, n)
+
+    def log_probs(self, begin: int) -> np.ndarray:
+        """(languages x BUCKETS) of the block of BLOCK_LANGS languages that begins here."""
+        langs = self.langs[begin : begin + BLOCK_LANGS]
+        table = np.full((len(langs), BUCKETS), SMOOTHING)
+        if langs:
+            at = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+            rows = self.counts.where(F.col("lang").isin(langs)).select(at.alias("at"), "bucket", "n").toPandas()
+            np.add.at(table, (rows["at"].to_numpy(int) - 1, rows["bucket"].to_numpy(int)), rows["n"].to_numpy(int))
+        return np.log(table) - np.log(table.sum(axis=1, keepdims=True))
 
 
 def sample_by_lang(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
@@ -102,21 +114,19 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     n-grams are counted on all such rows, or on about max_docs of them, chosen by hash
     of their ids within each language, so that no language is left out; priors are
     shares of all such rows. Rows with a null text or language teach nothing, repeated
-    rows count each. Without rows: no language. Languages come to the driver, a row of
-    BUCKETS numbers each.
+    rows count each. Without rows: no language. The names and shares of languages come to
+    the driver; counts stay a table.
     """
     rows = docs.where(usable & named(lang_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).alias("id"), named(lang_col).alias("lang"), named(text_col).alias("text"))
     shares = rows.groupBy("lang").agg(F.count("*").alias("_n"))
     sample = sample_by_lang(rows, shares, max_docs).select("lang", "text")
-    counts = bounded_batches(sample).mapInPandas(_counts(BUCKETS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     share = {r["lang"]: r["_n"] for r in shares.collect()}
     langs = sorted(share)
     if not langs:
         return Model()
-    table = np.full((len(langs), BUCKETS), SMOOTHING)
-    np.add.at(table, (counts["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), counts["bucket"].to_numpy(int)), counts["n"].to_numpy(int))
+    counts = bounded_batches(sample).mapInPandas(_counts(BUCKETS), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     total = np.array([share[x] for x in langs], float)
-    return Model(langs, np.log(total) - np.log(total.sum()), np.log(table) - np.log(table.sum(axis=1, keepdims=True)))
+    return Model(langs, np.log(total) - np.log(total.sum()), as_table(counts, "language-counts"))
 
 
 def _scorer(docs: DataFrame, langs: list[str], log_prior: np.ndarray, log_probs: np.ndarray):
@@ -177,7 +187,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     for b in starts:
         part = slice(b, b + BLOCK_LANGS)
         added = [T.StructField(f"pred{b}", T.StringType()), *[T.StructField(f"{n}{b}", T.DoubleType()) for n in ("top", "odds", "scale")]]
-        rows = map_texts(rows, "text", _scorer(docs, model.langs[part], model.log_prior[part], model.log_probs[part]), added, drop_text=b == starts[-1])
+        rows = map_texts(rows, "text", _scorer(docs, model.langs[part], model.log_prior[part], model.log_probs(b)), added, drop_text=b == starts[-1])
     best = F.greatest(*[F.col(f"top{b}") for b in starts]) if len(starts) > 1 else F.col("top0")
     pred, odds = F.coalesce(*[F.when(F.col(f"top{b}") == best, F.col(f"pred{b}")) for b in starts]), F.lit(0.0)
     for b in starts:
