@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lrforge.llm.common import as_table, bounded_batches, map_texts, named, packed, read, release_memory
 from lrforge.llm.graph import components_by_tasks
-from lrforge.llm.shingles import common, shingle_set
+from lrforge.llm.shingles import common, mix, shingle_set
 
 POOL, TREES, DEPTH, LEAST, WINDOW = 160, 40, 12, 2, 8
 DEEP, OFTEN = 6, 3  # a pair in a window counts if it is close at this depth, or in so many trees
@@ -34,7 +34,7 @@ SPANNING_ROUNDS, FEW_OPEN = 3, 8
 SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
 FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
-COMMON = 1 << 17  # commonest shingles that are told from rare ones when crowded sets are ordered; results don't depend on it
+SLOT_BITS = 21  # slots by which shingles are counted when crowded sets are ordered, at any input size; results don't depend on it
 BLOCK = 1 << 22  # pairs of one shingle's sets that are looked at together
 MOST_ENDS = 200_000  # rows at partitions' ends that one task matches
 
@@ -190,13 +190,20 @@ def candidates(sets: DataFrame, window: int, trees: int = TREES) -> tuple[DataFr
     return pairs.groupBy("a", "b").agg(F.count("*").alias("trees"), F.max("levels").alias("levels")).where((F.col("trees") >= OFTEN) | (F.col("levels") >= DEEP)).select("a", "b"), crowded
 
 
-def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of a batch's texts and in how many of them each is."""
+def slot_of(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each slot."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-        if sets:
-            s, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(n)], names=["s", "n"])
+        for text in batch.column(0).to_pylist():
+            np.add.at(total, slot_of(shingle_set(text)), 1)
+    slots = np.nonzero(total)[0]
+    for i in range(0, len(slots), 1 << 16):
+        part = slots[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
     release_memory()
 
 
@@ -204,15 +211,13 @@ def _prefixes(shared):
     """A row for each shingle of a set's prefix: of so many of its rarest that two linked sets have one in common."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
+        counts = shared.value
         for batch in batches:
             for i, comp, text in zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "text")), strict=True):
                 s = shingle_set(text).astype(np.int64)
                 n = len(s)
                 if n:
-                    at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
-                    seen = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(n, np.int64)
-                    s = s[np.lexsort((s, seen))][: n - -(-PERCENT * n // 100) + 1]
+                    s = s[np.lexsort((s, counts[slot_of(s)]))][: n - -(-PERCENT * n // 100) + 1]
                     same = lambda x: pa.array(np.full(len(s), x, np.int64))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([pa.array(s), same(i), same(comp), same(n), pa.array(np.arange(len(s)))], names=["s", "id", "comp", "n", "pos"])
         release_memory()
@@ -268,25 +273,27 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     release_memory()
 
 
+def prefixes(region: DataFrame) -> DataFrame:
+    """(s, id, comp, n, pos): the prefix of each set of rows (id, comp, text), its rarest shingles by count.
+
+    Shingles are counted by slot of their hash, in 2^SLOT_BITS slots, a table of 16 MB that is broadcast: a
+    shingle counts for what it shares its slot with, too, which is the same for all sets, so
+    any two sets order their shingles alike, and what many sets have in common comes last.
+    """
+    spark = region.sparkSession
+    found = bounded_batches(region.select("text")).mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return bounded_batches(region.select("id", "comp", "text")).mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "s long, id long, comp long, n long, pos long")
+
+
 def exact_candidates(region: DataFrame) -> DataFrame:
     """All pairs (a < b) of different comps that can be linked, from rows (id, comp, text), by a prefix filter on shingles.
 
     Any one order of shingles gives all links; from rare to common, what a region has in
-    common stays out of the prefixes. Only the COMMON commonest are counted for it.
+    common stays out of the prefixes, so that sets which only share a passage don't meet on it.
     """
-    spark = region.sparkSession
-    counts = as_table(bounded_batches(region.select("text")).mapInArrow(_shingle_counts, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1"), "shingle-counts")
-    classes = counts.groupBy(F.expr("int(log2(n))").alias("c")).count().orderBy(F.desc("c")).collect()
-    total, least = 0, None
-    for row in classes:
-        total += row["count"]
-        if total > COMMON:
-            break
-        least = row["c"]
-    often = np.zeros((2, 0), np.int64) if least is None else counts.where(F.expr(f"int(log2(n)) >= {least}")).orderBy("s").toPandas().to_numpy(np.int64).T
-    shared = spark.sparkContext.broadcast((np.ascontiguousarray(often[0]), np.ascontiguousarray(often[1])))
-    rows = bounded_batches(region.select("id", "comp", "text")).mapInArrow(_prefixes(shared), "s long, id long, comp long, n long, pos long")
-    return rows.repartition("s").sortWithinPartitions("s", "n").mapInPandas(_meetings, "a long, b long").distinct()
+    return prefixes(region).repartition("s").sortWithinPartitions("s", "n").mapInPandas(_meetings, "a long, b long").distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

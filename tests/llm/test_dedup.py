@@ -207,3 +207,16 @@ def test_components_by_tasks(spark):
         got = {r["node"]: r["component"] for r in components_by_tasks(df, per_task=per_task).collect()}
         assert {n: c for n, c in got.items()} == want
     assert components_by_tasks(df.where("a < 0")).count() == 0
+
+
+def test_a_shared_passage_is_no_meeting_place(spark):
+    """2,000 dissimilar documents with one passage among their own words, and a pair that is linked: only this one meets."""
+    rng = random.Random(9)
+    passage = " ".join(f"common{i}" for i in range(80))
+    own = lambda k: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(k))
+    rows = [(i, i, f"{own(60)} {passage} {own(60)}") for i in range(2000)]
+    rows.append((5000, 5000, rows[7][2] + " and more"))
+    region = spark.createDataFrame(rows, "id long, comp long, text string").repartition(4)
+    assert neardup.prefixes(region).groupBy("s").count().agg(F.max("count")).first()[0] <= 40  # chance meetings in a slot of a common shingle
+    assert [tuple(r) for r in neardup.exact_candidates(region).collect()] == [(7, 5000)]
+    assert neardup.exact_candidates(region.where("false")).collect() == []
