@@ -428,9 +428,10 @@ SELECT scenario_id, sheet, schema_order, row_idx AS schema_row_idx, prior_row AS
   {_r('prior_raw / sum(prior_raw) OVER (PARTITION BY scenario_id, sheet, schema_order)', 9)} AS prior_normalized FROM raws"""
 )
 def schema_priors(spark, sf):
-    cells = sheets(spark, sf)
-    rows = parse.schema_priors(cells, _schemas(cells))
-    return rows.select("scenario_id", "sheet", "schema_order", "schema_row_idx", "prior_row_idx", "category_order", "category", "prior_raw", rounded(F.col("prior_normalized"), 9).alias("prior_normalized"))
+    with Scratch(spark, "priors") as scratch:
+        cells = scratch.table(sheets(spark, sf))
+        rows = parse.schema_priors(cells, _schemas(cells))
+        return scratch.kept(rows.select("scenario_id", "sheet", "schema_order", "schema_row_idx", "prior_row_idx", "category_order", "category", "prior_raw", rounded(F.col("prior_normalized"), 9).alias("prior_normalized")))
 
 
 @query(f"WITH {SHEETS_SQL} SELECT scenario_id, sheet, row_idx, " + ", ".join(f"max(value) FILTER (WHERE col_idx = {i}) AS c{i}" for i in range(8)) + " FROM cells GROUP BY scenario_id, sheet, row_idx")
@@ -465,9 +466,10 @@ def _expected(cells):
 
 @query(f"WITH {CATEGORY_ROWS} SELECT scenario_id, sheet, key_row, category_row, array_to_string(labels, '|') AS categories, categories_count, findings_count, mismatch AS error FROM parsed")
 def parsed_matrices(spark, sf):
-    cells = sheets(spark, sf)
-    rows = parse.parse_matrix(cells, "matrix_with_preamble", _expected(cells))
-    return rows.select("scenario_id", "sheet", "key_row", "category_row", F.array_join("categories", "|").alias("categories"), "categories_count", "findings_count", "error")
+    with Scratch(spark, "parsed") as scratch:
+        cells = scratch.table(sheets(spark, sf))  # read by each step of the parser
+        rows = parse.parse_matrix(cells, "matrix_with_preamble", _expected(cells))
+        return scratch.kept(rows.select("scenario_id", "sheet", "key_row", "category_row", F.array_join("categories", "|").alias("categories"), "categories_count", "findings_count", "error"))
 
 
 @query(f"WITH {CATEGORY_ROWS} SELECT scenario_id, 1::BIGINT AS sheets, categories_count::BIGINT AS observed_categories, findings_count::BIGINT AS findings, coalesce(mismatch, '') AS warnings, 0::BIGINT AS failed FROM parsed")
