@@ -34,7 +34,7 @@ SPANNING_ROUNDS, FEW_OPEN = 3, 8
 SPANNING_TREES = 6  # trees whose direct neighbours the spanning rounds try; all trees are searched after them
 FILTER_BITS = 1 << 26  # of the bitmap by which texts are filtered before they are shuffled; 8 MB at any input size
 PERCENT = 75
-SLOT_BITS = 21  # slots by which shingles are counted when crowded sets are ordered, at any input size; results don't depend on it
+SLOT_BITS, SLOT_PARTS = 20, 64  # slots by which shingles are counted when crowded sets are ordered, at any input size, and their parts; results don't depend on them
 BLOCK = 1 << 22  # pairs of one shingle's sets that are looked at together
 MOST_ENDS = 200_000  # rows at partitions' ends that one task matches
 
@@ -200,13 +200,24 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             np.add.at(total, slot_of(shingle_set(text)), 1)
-    slots = np.nonzero(total)[0]
-    for i in range(0, len(slots), 1 << 16):
-        part = slots[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+    for part, counts in enumerate(total.reshape(SLOT_PARTS, -1)):
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(counts)], pa.binary())], names=["part", "counts"])
     release_memory()
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32).tobytes()
+
+
+def _added_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """All tasks' counts of one part of the slots; beyond 31 bits they count as that."""
+    total = np.zeros((1 << SLOT_BITS) // SLOT_PARTS, np.int64)
+    for counts in rows["counts"]:
+        total += np.frombuffer(counts, np.int32)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [_packed(total)]})
+
+
 def _prefixes(shared):
     """A row for each shingle of a set's prefix: of so many of its rarest that two linked sets have one in common."""
 
@@ -276,14 +287,16 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def prefixes(region: DataFrame) -> DataFrame:
     """(s, id, comp, n, pos): the prefix of each set of rows (id, comp, text), its rarest shingles by count.
 
-    Shingles are counted by slot of their hash, in 2^SLOT_BITS slots, a table of 16 MB that is broadcast: a
+    Shingles are counted by slot of their hash, in 2^SLOT_BITS slots, a table of 4 MB that is broadcast: a
     shingle counts for what it shares its slot with, too, which is the same for all sets, so
     any two sets order their shingles alike, and what many sets have in common comes last.
     """
     spark = region.sparkSession
-    found = bounded_batches(region.select("text")).mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    parts = bounded_batches(region.select("text")).mapInArrow(_slot_counts, "part int, counts binary").groupBy("part").applyInPandas(_added_up, "part int, counts binary")
+    counts = np.zeros((SLOT_PARTS, (1 << SLOT_BITS) // SLOT_PARTS), np.int32)
+    for row in parts.toLocalIterator():
+        counts[row["part"]] = np.frombuffer(row["counts"], np.int32)
+    counts = counts.ravel()
     return bounded_batches(region.select("id", "comp", "text")).mapInArrow(_prefixes(spark.sparkContext.broadcast(counts)), "s long, id long, comp long, n long, pos long")
 
 
