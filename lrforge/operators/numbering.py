@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from lrforge.session import Scratch
 
+RANGE_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, order: list[str], range_rows: int = RANGE_ROWS) -> tuple[DataFrame, int]:
+    """df by ranges of order, sorted within each, and the number of ranges.
+
+    Rows are counted first, so that a range has some range_rows of them at most, whatever the
+    input's size: ranges whose number is given aren't put together again by size.
+    """
+    few = min(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(few, -(-df.count() // range_rows))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order), n
+
 
 def numbered(df: DataFrame, name: str, order: list[str] | None = None, chunks: list[str] | None = None, start: int = 0) -> DataFrame:
     """df with a long column of consecutive numbers from start.
@@ -17,7 +30,7 @@ def numbered(df: DataFrame, name: str, order: list[str] | None = None, chunks: l
     counted, and only these counts (one a chunk or task) come to the driver to be added up.
     Rows that are equal in order are numbered in any order.
     """
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows = dealt(df, order)[0] if order else df
     rows = rows.withColumn("_id", F.monotonically_increasing_id())
     if not chunks:
         rows = rows.withColumn("_chunk", F.shiftright("_id", 33))

@@ -95,6 +95,30 @@ def test_fill_forward(spark, partitions):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("range_rows", [7, 50])
+def test_ranges_grow_in_number_not_in_size(spark, range_rows):
+    rng = random.Random(range_rows)
+    rows = [(k, i, rng.choice([None] * 9 + [float(i)])) for k in ("hot", None, "b") for i in range(400 if k == "hot" else 3)]
+    want, last = [], {}
+    for k, i, v in rows:
+        last[k] = v if v is not None else last.get(k)
+        want.append((k, i, last[k]))
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(3)
+    assert sorted(map(tuple, scan.fill_forward(df, ["k"], ["i"], "v", range_rows).collect()), key=repr) == sorted(want, key=repr)
+    ranges, n = numbering.dealt(df, ["k", "i"], range_rows)
+    sizes = [r["count"] for r in ranges.groupBy(F.spark_partition_id()).count().collect()]
+    assert n == -(-len(rows) // range_rows) and max(sizes) <= 3 * range_rows
+
+
+def test_ends_of_ranges_are_found_without_a_sort(spark, monkeypatch):
+    """Tasks that look for ends read many ranges at once; sorted by range they would hold all of them."""
+    plans, frame = [], type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: (plans.append(df._jdf.queryExecution().toString()), collect(df))[1])
+    scan.fill_forward(spark.range(100).select(F.lit("a").alias("k"), "id", F.lit("x").alias("v")), ["k"], ["id"], "v")
+    assert plans and not any("SortAggregate" in p for p in plans)
+
+
 # --- tokens
 
 
