@@ -617,7 +617,7 @@ def workbook_round_trip(spark, sf):
     values = F.explode(F.array(cell(0, F.col("l_orderkey").cast("string")), cell(1, F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" x"))), cell(3, F.col("l_returnflag"))))
     numbers = items.withColumn("row_idx", F.row_number().over(place))  # before rows become cells
     body = numbers.select(*sheet, "row_idx", values.alias("c")).select("scenario_id", "sheet", "row_idx", "c.*")
-    heads = body.select("scenario_id", "sheet").distinct().select("*", F.lit(0).alias("row_idx"), F.explode(F.array(cell(0, F.lit("order")), cell(1, F.lit("amount & unit")))).alias("c")).select("scenario_id", "sheet", "row_idx", "c.*")
+    heads = items.select("l_linenumber", (F.col("l_orderkey") % 7).alias("l_orderkey")).distinct().select(*sheet).select("*", F.lit(0).alias("row_idx"), F.explode(F.array(cell(0, F.lit("order")), cell(1, F.lit("amount & unit")))).alias("c")).select("scenario_id", "sheet", "row_idx", "c.*")
     with Scratch(spark, "workbooks") as scratch:
         path = f"{scratch.root}/books"
         workbooks.write_workbooks(body.unionByName(heads), path)

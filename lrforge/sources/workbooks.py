@@ -1,12 +1,13 @@
 """Workbooks (.xlsx) as a Spark data source: spark.read.format("workbooks") and df.write.format("workbooks").
 
-Reading: a sheet is a partition. Its XML is pulled row by row, and shared strings lie
-in a temporary file with their offsets, so that a task holds some thousand cells,
-whatever the sheet's size. A sheet or file that can't be read is one row with its error.
-
-Writing: rows (scenario_id, sheet, row_idx, col_idx, value), a workbook a scenario, its
-sheets streamed into the archive. Attempts write below a staging folder of their job;
-the driver moves the files of successful ones to their places, or removes the folder.
+Reading: a sheet is a partition, the largest first. Its XML is parsed a piece at a time, and
+shared strings lie in a temporary file with their offsets, so that a task holds some thousand
+cells, whatever the sheet's size. A sheet or file that can't be read is one row with its error.
+
+Writing: rows (scenario_id, sheet, row_idx, col_idx, value), a workbook a scenario.
+write_workbooks deals blocks of rows; tasks write the deflated XML of their blocks, and a task a
+workbook strings these together as they are. Attempts write below a staging folder of their
+job; the driver moves the files of successful ones to their places, or removes the folder.
 """
 
 from __future__ import annotations
@@ -15,15 +16,19 @@ import re
 import tempfile
 import uuid
 import zipfile
+import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from pathlib import PurePosixPath
 from typing import Any
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import quoteattr, unescape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +46,17 @@ KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 NS, REL = f"{{{MAIN}}}", f"{{{OFFICE}}}"
 
-BATCH, SPOOLED, NAME_LENGTH = 8192, 1 << 24, 31
+PIECE, COPIED, SPOOLED, NAME_LENGTH = 1 << 19, 1 << 22, 1 << 24, 31
+BLOCK_ROWS, LEVEL = 1 << 14, 3
+BEGIN, END = f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode(), b"</sheetData></worksheet>"
+FINAL = b"\x03\x00"  # an empty last block of a deflated stream
+CRC = 0xEDB88320
+# Rows and cells as they are written, what of a cell and a row isn't in a group, and characters that only a parser reads rightly.
+ROW_END, CELL = b"</row>", re.compile(r'(?:<row r="([0-9]{1,9})">)?<c r="([A-Z]{1,4})([0-9]{1,9})" t="inlineStr"><is><t xml:space="preserve">([^<>]*)</t></is></c>(</row>)?')
+CELL_MARKS, ROW_MARKS = len('<c r="" t="inlineStr"><is><t xml:space="preserve"></t></is></c>'), len('<row r="">')
+CONTROLS, NO_CHARACTERS = bytes(i for i in range(32) if i not in (9, 10)), (b"\xef\xbf\xbe", b"\xef\xbf\xbf")
+ENTITY = re.compile(b"&(?!amp;|lt;|gt;)")
+INDEX = "scenario_id string, sheet string, block long, file string, start long, length long, size long, crc long"
 SCHEMA = f"{CELLS}, header string, error string"
 
 
@@ -109,44 +124,162 @@ def sheets_of(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def cells_of(book: zipfile.ZipFile, path: str) -> Iterator[tuple[int, int, str]]:
-    """(row, column, text) of the cells with text of one sheet."""
-    strings: SharedStrings | None = None
+def _rows(book: zipfile.ZipFile, path: str, done: int = 0) -> Iterator[list[ElementTree.Element]]:
+    """Rows of a sheet after the first done, those of a piece of its XML at once, which is parsed without a call for each element.
+
+    The last row so far waits, as it may go on. XML that breaks off is read again row by row, up to the break.
+    """
+    at = 0
+    with book.open(path) as stream:
+        builder = ElementTree.TreeBuilder()
+        parser = ElementTree.XMLParser(target=builder)
+        try:
+            while piece := stream.read(PIECE):
+                parser.feed(piece)
+                root = builder.close()  # what is built so far; building goes on
+                sheet = None if root is None else root.find(f"{NS}sheetData")
+                if sheet is not None and len(sheet) > 1:
+                    found = sheet[:-1]
+                    del sheet[:-1]
+                    yield found[max(done - at, 0) :]
+                    at += len(found)
+            sheet = parser.close().find(f"{NS}sheetData")
+            if sheet is not None:
+                yield sheet[max(done - at, 0) :]
+            return
+        except ElementTree.ParseError:
+            pass
+    with book.open(path) as stream:
+        for n, row in enumerate(_pulled(stream, "row")):
+            if n >= max(done, at):
+                yield [row]
+
+
+Cells = tuple[np.ndarray, list[int], list[str]]
+
+
+class Columns(dict):
+    """Columns by the letters of a reference, each worked out once."""
+
+    def __missing__(self, letters: str) -> int:
+        n = self[letters] = column_number(letters)
+        return n
+
+
+def _regular(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
+    """Cells of a sheet as long as its XML is as write_workbooks writes it; then how many rows and which was last, or None at the sheet's end.
+
+    A piece of whole rows counts if cells of that form make up all of it, and no character
+    in it has a meaning of its own to a parser.
+    """
+    by_letters, done, last = Columns(), 0, -1
     with book.open(path) as stream:
-        at = -1
-        for row in _pulled(stream, "row"):
-            at = int(row.get("r")) - 1 if row.get("r") else at + 1
-            column = -1
-            for cell in row.iter(f"{NS}c"):
-                column = column_number(cell.get("r")) if cell.get("r") else column + 1
-                kind, value, inline = cell.get("t"), cell.find(f"{NS}v"), cell.find(f"{NS}is")
-                if kind == "inlineStr":
-                    text = None if inline is None else _text(inline)
-                elif value is None:
-                    text = None
-                elif kind == "s":
-                    strings = strings or SharedStrings(book)
-                    text = strings[int(value.text)]
-                else:
-                    text = value.text
-                if text:
-                    yield at, column, text
-
-
-def with_headers(cells: Iterable[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str]]:
+        if stream.read(len(BEGIN)) != BEGIN:
+            return done, last
+        left = b""
+        while piece := stream.read(PIECE):
+            left += piece
+            end = left.rfind(ROW_END) + len(ROW_END)
+            if end < len(ROW_END):
+                continue
+            raw, left = left[:end], left[end:]
+            if len(raw.translate(None, CONTROLS)) < len(raw) or any(x in raw for x in NO_CHARACTERS) or b"&" in raw and ENTITY.search(raw):
+                return done, last
+            try:
+                whole = raw.decode()
+            except UnicodeDecodeError:
+                return done, last
+            found = CELL.findall(whole)
+            if not found:
+                return done, last
+            opens, letters, digits, texts, closes = zip(*found, strict=True)
+            opened = np.array(list(map(bool, opens)))
+            parts = sum(sum(map(len, x)) for x in (opens, letters, digits, texts, closes))
+            numbers = pa.array(digits).cast(pa.int64()).to_numpy()
+            if not (
+                parts + len(found) * CELL_MARKS + int(opened.sum()) * ROW_MARKS == len(whole)
+                and opened[0]
+                and closes[-1]
+                and np.array_equal(opened[1:], np.array(list(map(bool, closes[:-1])), bool))
+                and np.array_equal(opened[1:] | (numbers[1:] == numbers[:-1]), np.ones(len(found) - 1, bool))
+                and all(o == d for o, d in zip(opens, digits, strict=True) if o)
+            ):
+                return done, last
+            done, last, rows, columns = done + int(opened.sum()), int(numbers[-1]) - 1, numbers - 1, list(map(by_letters.__getitem__, letters))
+            if "&" in whole:
+                texts = [unescape(t) if "&" in t else t for t in texts]
+            if "" in texts:
+                kept = [i for i, t in enumerate(texts) if t]
+                rows, columns, texts = rows[kept], [columns[i] for i in kept], [texts[i] for i in kept]
+            yield rows, columns, texts
+    return None if left == END else (done, last)
+
+
+def cells_of(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
+    """Rows, columns and texts of the cells with text of one sheet, a piece at a time."""
+    strings: SharedStrings | None = None
+    by_letters, is_tag, t_tag, v_tag, c_tag = Columns(), f"{NS}is", f"{NS}t", f"{NS}v", f"{NS}c"
+    if (rest := (yield from _regular(book, path))) is None:
+        return
+    done, at = rest
+    for found in _rows(book, path, done):
+        rows, columns, texts = [], [], []
+        failed = None
+        try:
+            for row in found:
+                if row.tag != f"{NS}row":
+                    continue
+                at = int(row.get("r")) - 1 if row.get("r") else at + 1
+                column = -1
+                for cell in row.iter(c_tag):
+                    reference, kind = cell.get("r"), cell.get("t")
+                    column = by_letters[reference.rstrip("0123456789")] if reference else column + 1
+                    if kind == "inlineStr":
+                        inline = cell.find(is_tag)
+                        if inline is None:
+                            continue
+                        text = inline[0].text if len(inline) == 1 and inline[0].tag == t_tag else _text(inline)
+                    else:
+                        value = cell.find(v_tag)
+                        if value is None:
+                            continue
+                        text = value.text
+                        if kind == "s":
+                            strings = strings or SharedStrings(book)
+                            text = strings[int(text)]
+                    if text:
+                        rows.append(at)
+                        columns.append(column)
+                        texts.append(text)
+        except Exception as e:  # noqa: BLE001 - cells before it count
+            failed = e
+        yield np.array(rows, np.int64), columns, texts
+        if failed:
+            raise failed
+
+
+class Names(dict):
+    def __missing__(self, column: int) -> str:
+        return f"Unnamed: {column}"
+
+
+def with_headers(cells: Iterable[Cells]) -> Iterator[tuple[np.ndarray, list[int], list[str], list[str]]]:
     """Cells below a sheet's first row, numbered from 0, with their column's name there.
 
     A name that comes again gets .1, .2 and so on, as a column without one is called Unnamed and its number.
     """
-    first, names, seen = None, {}, {}
-    for row, column, text in cells:
-        if first is None:
-            first = row
-        if row == first:
-            n = seen[text] = seen.get(text, -1) + 1
-            names[column] = text if not n else f"{text}.{n}"
-        else:
-            yield row - first - 1, column, text, names.get(column, f"Unnamed: {column}")
+    first, names, seen = None, Names(), {}
+    for rows, columns, texts in cells:
+        if first is None and len(rows):
+            first = int(rows[0])
+        if (rows == first).any():
+            for row, column, text in zip(rows, columns, texts, strict=True):
+                if row == first:
+                    n = seen[text] = seen.get(text, -1) + 1
+                    names[column] = text if not n else f"{text}.{n}"
+            below = np.flatnonzero(rows != first).tolist()
+            rows, columns, texts = rows[below], [columns[i] for i in below], [texts[i] for i in below]
+        yield rows - (first or 0) - 1, columns, texts, [names[c] for c in columns]
 
 
 @dataclass
@@ -155,6 +288,7 @@ class Sheet(InputPartition):
     name: str | None = None
     path: str | None = None
     error: str | None = None
+    size: int = 0
 
     def __post_init__(self) -> None:
         super().__init__(None)
@@ -176,68 +310,160 @@ class WorkbookReader(DataSourceReader):
                 continue
             try:
                 with store.open_input_file(file) as f, zipfile.ZipFile(f) as book:
-                    out += [Sheet(file, name, path) for name, path in sheets_of(book)]
+                    sizes = {i.filename: i.file_size for i in book.infolist()}
+                    out += [Sheet(file, name, path, size=sizes.get(path, 0)) for name, path in sheets_of(book)]
             except Exception as e:  # noqa: BLE001 - a bad file is data
                 out.append(Sheet(file, error=f"{type(e).__name__}: {e}"))
-        return out or [Sheet("")]
+        return sorted(out, key=lambda sheet: -sheet.size) or [Sheet("")]
 
     def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
         scenario = PurePosixPath(partition.file).stem
         if partition.error:
-            yield self._batch(scenario, None, [], partition.error)
+            yield self._batch(scenario, None, error=partition.error)
         if not partition.path:
             return
-        rows: list[tuple] = []
         try:
             store, _ = store_of(self.folder)
             with store.open_input_file(partition.file) as f, zipfile.ZipFile(f) as book:
                 cells = cells_of(book, partition.path)
-                for cell in with_headers(cells) if self.header else ((*c, None) for c in cells):
-                    rows.append(cell)
-                    if len(rows) == BATCH:
-                        yield self._batch(scenario, partition.name, rows)
-                        rows = []
-            yield self._batch(scenario, partition.name, rows)
+                for found in with_headers(cells) if self.header else cells:
+                    yield self._batch(scenario, partition.name, *found)
         except Exception as e:  # noqa: BLE001 - a bad sheet is data
-            yield self._batch(scenario, partition.name, rows)
-            yield self._batch(scenario, partition.name, [], f"{type(e).__name__}: {e}")
+            yield self._batch(scenario, partition.name, error=f"{type(e).__name__}: {e}")
 
     @staticmethod
-    def _batch(scenario: str, sheet: str | None, rows: list[tuple], error: str | None = None) -> pa.RecordBatch:
-        rows = rows or ([(None, None, None, None)] if error else [])
-        row, column, text, header = zip(*rows, strict=True) if rows else ((), (), (), ())
-        n = len(rows)
-        columns = [pa.array([scenario] * n, pa.string()), pa.array([sheet] * n, pa.string()), pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(text, pa.string()), pa.array(header, pa.string()), pa.array([error] * n, pa.string())]
+    def _batch(scenario: str, sheet: str | None, row: Any = (), column: list[int] = (), text: list[str] = (), header: list[str] | None = None, error: str | None = None) -> pa.RecordBatch:
+        if error:
+            row = column = text = [None]
+        n = len(row)
+        constant = lambda v: pa.repeat(pa.scalar(v, pa.string()), n)
+        columns = [constant(scenario), constant(sheet), pa.array(row, pa.int32()), pa.array(column, pa.int32()), pa.array(text, pa.string()), constant(None) if header is None else pa.array(header, pa.string()), constant(error)]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of CRC-32, the highest bit the lowest power."""
+    product = 0
+    while a:
+        if a & 0x80000000:
+            product ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ CRC if b & 1 else b >> 1
+    return product
+
+
+def joined_crc(first: int, second: int, size: int) -> int:
+    """CRC-32 of two texts one after the other, of their own and the size of the second."""
+    power, square, n = 1 << 31, 1 << 30, 8 * size
+    while n:
+        if n & 1:
+            power = _times(square, power)
+        square, n = _times(square, square), n >> 1
+    return _times(power, first) ^ second
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def sheet_xml(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[str, str, int], bytes]]:
+    """XML of cells that come by scenario and sheet, rows ascending, with (scenario, sheet, block of rows).
+
+    A block's rows are opened and closed within it. A cell without a value isn't written,
+    but its sheet is.
+    """
+    key = row = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        scenario, sheet, at, column, value = (batch.column(batch.schema.get_field_index(c)) for c in ("scenario_id", "sheet", "row_idx", "col_idx", "value"))
+        there, rows = value.is_valid().to_numpy(zero_copy_only=False), at.to_numpy(zero_copy_only=False).astype(np.int64)
+        blocks = rows // BLOCK_ROWS
+        new = np.zeros(len(rows), bool)
+        for ids in (_ids(scenario), _ids(sheet), blocks):
+            new[1:] |= ids[1:] != ids[:-1]
+        keys = {int(i): (scenario[i].as_py(), sheet[i].as_py(), int(blocks[i])) for i in (0, *np.flatnonzero(new))}
+        run = np.cumsum(new)[there]
+        opened, kept = np.zeros(len(rows), bool), rows[there]
+        if len(kept):
+            opened[there] = np.append(run[0] > 0 or keys[0] != key or kept[0] != row, (kept[1:] != kept[:-1]) | (run[1:] != run[:-1]))
+        if any(pc.any(pc.match_substring(value, c)).as_py() for c in "&<>"):
+            for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+                value = pc.replace_substring(value, c, entity)
+        number = pc.cast(pa.array(rows + 1), pa.string())
+        columns, nth = np.unique(column.to_numpy(zero_copy_only=False), return_inverse=True)
+        letters = pa.array([column_name(int(c)) for c in columns]).take(pa.array(nth))
+        begun = pc.if_else(pa.array(opened), pc.binary_join_element_wise('</row><row r="', number, '">', ""), "")
+        xml = pc.fill_null(pc.binary_join_element_wise(begun, '<c r="', letters, number, '" t="inlineStr"><is><t xml:space="preserve">', value, "</t></is></c>", ""), "")
+        offsets, data = np.frombuffer(xml.buffers()[1], np.int32)[xml.offset : xml.offset + len(xml) + 1], memoryview(xml.buffers()[2] or b"")
+        starts = list(keys)
+        for start, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+            if keys[start] != key:
+                if row is not None:
+                    yield key, b"</row>"
+                key, row = keys[start], None
+            part = data[offsets[start] : offsets[end]]
+            yield key, part[len("</row>") if row is None else 0 :]
+            written = rows[start:end][there[start:end]]
+            row = int(written[-1]) if len(written) else row
+    if row is not None:
+        yield key, b"</row>"
+
+
+def _deflated(data: bytes) -> bytes:
+    """A part of a deflated stream that any other part may precede and follow."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush(zlib.Z_FULL_FLUSH)
+
+
 class BookFile:
     """One workbook on its way into a stream: sheets one after the other, rows in order."""
 
     def __init__(self, stream: Any):
-        self.book, self.names, self.sheet, self.row = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED), [], None, None
+        self.book, self.names, self.sheet = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED), [], None
 
     def _end_sheet(self) -> None:
         if self.sheet:
-            self.sheet.write(("</row>" if self.row is not None else "").encode() + b"</sheetData></worksheet>")
+            self.sheet.write(END)
             self.sheet.close()
-        self.sheet = self.row = None
+        self.sheet = None
 
-    def begin(self, name: str) -> None:
+    def _named(self, name: str) -> str:
         self._end_sheet()
         cut = name[:NAME_LENGTH]
         if cut.lower() in (n.lower() for n in self.names):
             raise ValueError(f"two sheets are called {cut!r}")
         self.names.append(cut)
-        self.sheet = self.book.open(f"xl/worksheets/sheet{len(self.names)}.xml", "w", force_zip64=True)
-        self.sheet.write(f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode())
+        return f"xl/worksheets/sheet{len(self.names)}.xml"
 
-    def cell(self, row: int, column: int, text: str) -> None:
-        begun = ""
-        if row != self.row:
-            begun = ("</row>" if self.row is not None else "") + f'<row r="{row + 1}">'
-            self.row = row
-        self.sheet.write(f'{begun}<c r="{column_name(column)}{row + 1}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'.encode())
+    def begin(self, name: str) -> None:
+        """A sheet whose XML follows by write."""
+        self.sheet = self.book.open(self._named(name), "w", force_zip64=True)
+        self.sheet.write(BEGIN)
+
+    def write(self, xml: bytes) -> None:
+        self.sheet.write(xml)
+
+    def strung(self, name: str, blocks: list[dict], copied: Callable[[dict, Any], None]) -> None:
+        """A sheet of blocks that are deflated already; copied writes a block's bytes to a stream."""
+        begin, end = (_deflated(x) for x in (BEGIN, END))
+        sheet = zipfile.ZipInfo(self._named(name))
+        sheet.compress_type, sheet.CRC = zipfile.ZIP_DEFLATED, zlib.crc32(BEGIN)
+        for block in blocks:
+            sheet.CRC = joined_crc(sheet.CRC, block["crc"], block["size"])
+        sheet.CRC = joined_crc(sheet.CRC, zlib.crc32(END), len(END))
+        sheet.file_size = len(BEGIN) + sum(b["size"] for b in blocks) + len(END)
+        sheet.compress_size = len(begin) + sum(b["length"] for b in blocks) + len(end) + len(FINAL)
+        out = self.book.fp
+        sheet.header_offset = out.tell()
+        out.write(sheet.FileHeader())
+        out.write(begin)
+        for block in blocks:
+            copied(block, out)
+        out.write(end + FINAL)
+        self.book.filelist.append(sheet)
+        self.book.NameToInfo[sheet.filename] = sheet
+        self.book.start_dir = out.tell()
 
     def close(self) -> None:
         self._end_sheet()
@@ -273,29 +499,36 @@ class WorkbookWriter(DataSourceArrowWriter):
         attempt = f"{self.staging}/{uuid.uuid4().hex}"
         files: list[str] = []
         book = stream = scenario = sheet = None
-        for batch in iterator:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("scenario_id", "sheet", "row_idx", "col_idx", "value")]
-            for s, name, row, column, value in zip(*columns, strict=True):
-                if s != scenario or book is None:
-                    if book:
-                        book.close()
-                        stream.close()
-                    if f"{s}.xlsx" in files:
-                        raise ValueError(f"rows of {s} don't come together")
-                    files.append(f"{s}.xlsx")
-                    store.create_dir(f"{top}/{attempt}", recursive=True)
-                    stream = store.open_output_stream(f"{top}/{attempt}/{files[-1]}")
-                    book, scenario, sheet = BookFile(stream), s, None
-                if name != sheet:
-                    book.begin(name)
-                    sheet = name
-                if value is not None:
-                    book.cell(row, column, value)
+        for (s, name), part in self._parts(iterator):
+            if s != scenario or book is None:
+                if book:
+                    book.close()
+                    stream.close()
+                if f"{s}.xlsx" in files:
+                    raise ValueError(f"rows of {s} don't come together")
+                files.append(f"{s}.xlsx")
+                store.create_dir(f"{top}/{attempt}", recursive=True)
+                stream = store.open_output_stream(f"{top}/{attempt}/{files[-1]}")
+                book, scenario, sheet = BookFile(stream), s, None
+            if name != sheet:
+                self._begin(book, name, part)
+                sheet = name
+            self._add(book, part)
         if book:
             book.close()
             stream.close()
         return Written(files, attempt)
 
+    def _parts(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, str], Any]]:
+        for (scenario, sheet, _), xml in sheet_xml(iterator):
+            yield (scenario, sheet), xml
+
+    def _begin(self, book: BookFile, name: str, part: Any) -> None:
+        book.begin(name)
+
+    def _add(self, book: BookFile, part: Any) -> None:
+        book.write(part)
+
     def commit(self, messages: list[Written | None]) -> None:
         store, top = store_of(self.folder)
         done = [(m.attempt, f) for m in messages if m for f in m.files]
@@ -319,6 +552,57 @@ class WorkbookWriter(DataSourceArrowWriter):
             store.delete_dir(f"{top}/{self.staging}")
 
 
+class BlockWriter(WorkbookWriter):
+    """Instead of cells come the places of their blocks, as write_blocks made them, in order; a part is a sheet's list of them."""
+
+    def _parts(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, str], list[dict]]]:
+        rows = (row for batch in iterator for row in batch.to_pylist())
+        for key, blocks in groupby(rows, lambda b: (b["scenario_id"], b["sheet"])):
+            yield key, list(blocks)
+
+    def _begin(self, book: BookFile, name: str, part: list[dict]) -> None:
+        store, top = store_of(self.folder)
+
+        def copied(block: dict, out: Any) -> None:
+            with store.open_input_file(f"{top}/{block['file']}") as f:
+                f.seek(block["start"])
+                left = block["length"]
+                while left:
+                    data = f.read(min(left, COPIED))
+                    if not data:
+                        raise ValueError(f"{block['file']} ends early")
+                    out.write(data)
+                    left -= len(data)
+
+        book.strung(name, part, copied)
+
+    def _add(self, book: BookFile, part: list[dict]) -> None:
+        pass
+
+
+def write_blocks(folder: str, staging: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of a task's cells that writes the deflated XML of its blocks to one file and gives their places."""
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(folder)
+        file, out, places, names = f"{staging}/{uuid.uuid4().hex}", None, [], [f.split()[0] for f in INDEX.split(", ")]
+        at = 0
+        for key, parts in groupby(sheet_xml(batches), lambda p: p[0]):
+            out = out or store.open_output_stream(f"{top}/{file}")
+            packer, start, size, crc = zlib.compressobj(LEVEL, zlib.DEFLATED, -15), at, 0, 0
+            for _, xml in parts:
+                at += out.write(packer.compress(xml))
+                size, crc = size + len(xml), zlib.crc32(xml, crc)
+            at += out.write(packer.flush(zlib.Z_FULL_FLUSH))
+            places.append((*key, file, start, at - start, size, crc))
+        if out:
+            out.close()
+            kinds = [pa.int64() if f.endswith("long") else pa.string() for f in INDEX.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*places, strict=True), kinds, strict=True)], names=names)
+
+    return write
+
+
 class Workbooks(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -331,7 +615,7 @@ class Workbooks(DataSource):
         return WorkbookReader(self.options)
 
     def writer(self, schema: Any, overwrite: bool) -> WorkbookWriter:
-        return WorkbookWriter(self.options, overwrite)
+        return (BlockWriter if self.options.get("blocks") == "true" else WorkbookWriter)(self.options, overwrite)
 
 
 def scan_workbooks(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
@@ -350,8 +634,17 @@ def write_workbooks(cells: DataFrame, folder: str, overwrite: bool = False) -> N
     """One workbook a scenario below folder, which all executors reach; sheets by name, each streamed.
 
     Existing workbooks of the same scenarios are replaced, all others too if overwrite.
-    A scenario is a sorted partition's part, not a group in memory.
+    Blocks of BLOCK_ROWS rows are dealt to tasks, sorted and deflated there; then a task a
+    workbook copies their bytes. So neither a scenario nor a sheet is one task's work.
     """
     cells.sparkSession.dataSource.register(Workbooks)
-    dealt = cells.select(*[f.split()[0] for f in CELLS.split(", ")]).repartition("scenario_id").sortWithinPartitions("scenario_id", "sheet", "row_idx", "col_idx")
-    dealt.write.format("workbooks").mode("overwrite" if overwrite else "append").save(folder)
+    store, top = store_of(folder)
+    staging = f"_staging-{uuid.uuid4().hex}"
+    block = F.floor(F.col("row_idx") / BLOCK_ROWS)
+    dealt = cells.select(*[f.split()[0] for f in CELLS.split(", ")]).repartition("scenario_id", "sheet", block).sortWithinPartitions("scenario_id", "sheet", "row_idx", "col_idx")
+    places = dealt.mapInArrow(write_blocks(folder, staging), INDEX).repartition("scenario_id").sortWithinPartitions("scenario_id", "sheet", "block")
+    store.create_dir(f"{top}/{staging}", recursive=True)
+    try:
+        places.write.format("workbooks").option("blocks", "true").mode("overwrite" if overwrite else "append").save(folder)
+    finally:
+        store.delete_dir(f"{top}/{staging}")

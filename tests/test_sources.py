@@ -93,6 +93,75 @@ def test_large_sheets_in_bounded_memory(tmp_path):
     assert (seen, total) == (n, n * (n - 1) // 2) and peak < 24 << 20
 
 
+def batch_of(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["scenario_id", "sheet", "row_idx", "col_idx", "value"])
+
+
+def test_blocks_of_a_sheet_are_written_by_several_tasks(tmp_path):
+    """Two tasks' blocks strung together are one sheet: its checksum, sizes and cells are right."""
+    n = workbooks.BLOCK_ROWS
+    rows = [("b", sheet, r, c, v) for sheet in ("none", "s <1>") for r in (0, 5, n - 1, n, n + 1, 3 * n) for c, v in ((0, f"{r} & <x>"), (1, None), (30, f"é{r}"))]
+    rows = [(*r[:4], None if r[1] == "none" else r[4]) for r in rows]
+    (tmp_path / "_staging-x").mkdir()
+    write, places = workbooks.write_blocks(str(tmp_path), "_staging-x"), []
+    for task in (0, 1):
+        mine = [r for r in rows if r[2] // n % 2 == task]
+        places += [x for b in write(batch_of(mine[i : i + 4]) for i in range(0, len(mine), 4)) for x in b.to_pylist()]
+    assert len({p["file"] for p in places}) == 2 and len(places) == 6
+    places.sort(key=lambda p: (p["scenario_id"], p["sheet"], p["block"]))
+    out = workbooks.BlockWriter({"path": str(tmp_path)}, False)
+    out.commit([out.write(iter([pa.RecordBatch.from_pylist(places)]))])
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        assert z.testzip() is None and [name for name, _ in workbooks.sheets_of(z)] == ["none", "s <1>"]
+        assert [list(map(list, x)) for x in workbooks.cells_of(z, "xl/worksheets/sheet1.xml") if len(x[0])] == []
+        got = [x for cells in workbooks.cells_of(z, "xl/worksheets/sheet2.xml") for x in zip(*cells, strict=True)]
+        assert got == [(r, c, v) for _, s, r, c, v in rows if s != "none" and v is not None]
+        assert sum(len(x) for x in workbooks._rows(z, "xl/worksheets/sheet2.xml")) == 6
+
+
+def test_joined_checksums():
+    for a, b in ((b"", b""), (b"a", b""), (b"", b"b"), (b"first" * 999, b"second" * 12345)):
+        assert workbooks.joined_crc(workbooks.zlib.crc32(a), workbooks.zlib.crc32(b), len(b)) == workbooks.zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("odd", ["plain", "a\rb", "tab\tnew\nline", "]]>", "&#65;", "", " ", "😀 é", "\u2028"])
+def test_sheets_read_by_pattern_and_by_parser_agree(tmp_path, odd):
+    """One odd text far into a sheet of many pieces; cells are those that the XML parser finds row by row."""
+    rows = [("w", "s", 2 * r, c, odd if r == 15_000 and c else f"v{r} & {c}") for r in range(20_000) for c in (0, 28)]
+    out = workbooks.WorkbookWriter({"path": str(tmp_path)}, False)
+    out.commit([out.write(iter([batch_of(rows)]))])
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z, z.open("xl/worksheets/sheet1.xml") as stream:
+        want = [(int(row.get("r")) - 1, workbooks.column_number(c.get("r")), c[0][0].text) for row in workbooks._pulled(stream, "row") for c in row if c[0][0].text]
+        got = [x for cells in workbooks.cells_of(z, "xl/worksheets/sheet1.xml") for x in zip(*cells, strict=True)]
+        assert got == want and len(got) == 40_000 - (odd == "")
+        parts = workbooks._regular(z, "xl/worksheets/sheet1.xml")
+        read = sum(len(p[0]) for p in parts)
+        assert read < 40_000 if odd == "a\rb" else read == len(got)
+
+
+def test_irregular_rows_go_to_the_parser(tmp_path):
+    """Rows whose cells name other rows, a cell outside a row, a comment, a torn end: as the parser has them, up to the error."""
+    cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+    start = f'<row r="1">{cell("A1", "a")}</row>'
+    for rest, want, error in (
+        (f'<row r="2">{cell("B7", "b")}</row>', [(0, 0, "a"), (1, 1, "b")], None),
+        (f'<row r="2">{cell("A2", "b")}{cell("B3", "c")}</row>', [(0, 0, "a"), (1, 0, "b"), (1, 1, "c")], None),
+        (f'<!-- {cell("A2", "no")} --><row>{cell("C2", "b")}</row>', [(0, 0, "a"), (1, 2, "b")], None),
+        (f'<row r="4"><c r="A4"><v>1</v></c></row><row r="5">{cell("A5", "z")}</row><row', [(0, 0, "a"), (3, 0, "1"), (4, 0, "z")], "ParseError"),
+        (f'<row r="2">{cell("A2", "bad " + chr(1))}</row>', [(0, 0, "a")], "ParseError"),
+    ):
+        with zipfile.ZipFile(tmp_path / "t.xlsx", "w") as z:
+            z.writestr("s.xml", workbooks.BEGIN.decode() + start + rest + workbooks.END.decode())
+        with zipfile.ZipFile(tmp_path / "t.xlsx") as z:
+            got, failed = [], None
+            try:
+                for cells in workbooks.cells_of(z, "s.xml"):
+                    got += zip(*cells, strict=True)
+            except Exception as e:  # noqa: BLE001
+                failed = type(e).__name__
+        assert (got, failed) == (want, error)
+
+
 def test_csv_files_are_numbered_on(spark, tmp_path):
     for i in range(5):
         (tmp_path / f"p{i}.csv").write_text("".join(f"{i}-{j},x\n" for j in range(i * 3 + 1)))
