@@ -622,8 +622,9 @@ def workbook_round_trip(spark, sf):
         path = f"{scratch.root}/books"
         workbooks.write_workbooks(body.unionByName(heads), path)
         back = workbooks.scan_workbooks(spark, path, header=True)
+        errors = F.collect_set("error")  # an aggregate of objects, so that tasks hash the groups of a sheet and don't sort its cells
         return scratch.kept(back.groupBy("scenario_id", "sheet", "header").agg(
-            F.count("*").alias("cells"), F.max("row_idx").cast("long").alias("last_row"), F.min("value").alias("least"), F.max("value").alias("largest"), F.sum(F.col("row_idx") * F.length("value")).alias("moment")
+            F.when(F.size(errors) > 0, F.raise_error(F.concat_ws("; ", errors))).otherwise(F.count("*")).alias("cells"), F.max("row_idx").cast("long").alias("last_row"), F.min("value").alias("least"), F.max("value").alias("largest"), F.sum(F.col("row_idx") * F.length("value")).alias("moment")
         ))
 
 

@@ -2,7 +2,8 @@
 
 Reading: a sheet is a partition, the largest first. Its XML is parsed a piece at a time, and
 shared strings lie in a temporary file with their offsets, so that a task holds some thousand
-cells, whatever the sheet's size. A sheet or file that can't be read is one row with its error.
+cells, whatever the sheet's size. XML in the form that is written here is taken apart by array
+operations, as long as it keeps that form to the byte; all other XML goes through a parser. A sheet or file that can't be read is one row with its error.
 
 Writing: rows (scenario_id, sheet, row_idx, col_idx, value), a workbook a scenario.
 write_workbooks deals blocks of rows; tasks write the deflated XML of their blocks, and a task a
@@ -24,7 +25,7 @@ from itertools import groupby
 from pathlib import PurePosixPath
 from typing import Any
 from xml.etree import ElementTree
-from xml.sax.saxutils import quoteattr, unescape
+from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,9 @@ BLOCK_ROWS, LEVEL = 1 << 14, 3
 BEGIN, END = f'{HEAD}<worksheet xmlns="{MAIN}"><sheetData>'.encode(), b"</sheetData></worksheet>"
 FINAL = b"\x03\x00"  # an empty last block of a deflated stream
 CRC = 0xEDB88320
-# Rows and cells as they are written, what of a cell and a row isn't in a group, and characters that only a parser reads rightly.
-ROW_END, CELL = b"</row>", re.compile(r'(?:<row r="([0-9]{1,9})">)?<c r="([A-Z]{1,4})([0-9]{1,9})" t="inlineStr"><is><t xml:space="preserve">([^<>]*)</t></is></c>(</row>)?')
-CELL_MARKS, ROW_MARKS = len('<c r="" t="inlineStr"><is><t xml:space="preserve"></t></is></c>'), len('<row r="">')
+# What stands around rows, references and texts as they are written, and characters that only a parser reads rightly.
+ROW_BEGIN, ROW_END, CELL_BEGIN = b'<row r="', b"</row>", b'<c r="'
+TEXT_BEGIN, TEXT_END = b'" t="inlineStr"><is><t xml:space="preserve">', b"</t></is></c>"
 CONTROLS, NO_CHARACTERS = bytes(i for i in range(32) if i not in (9, 10)), (b"\xef\xbf\xbe", b"\xef\xbf\xbf")
 ENTITY = re.compile(b"&(?!amp;|lt;|gt;)")
 INDEX = "scenario_id string, sheet string, block long, file string, start long, length long, size long, crc long"
@@ -125,7 +126,7 @@ def sheets_of(book: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 
 def _rows(book: zipfile.ZipFile, path: str, done: int = 0) -> Iterator[list[ElementTree.Element]]:
-    """Rows of a sheet after the first done, those of a piece of its XML at once, which is parsed without a call for each element.
+    """Rows of a sheet after the first done, those of a piece of its XML at once, parsed without a call for each element.
 
     The last row so far waits, as it may go on. XML that breaks off is read again row by row, up to the break.
     """
@@ -155,7 +156,7 @@ def _rows(book: zipfile.ZipFile, path: str, done: int = 0) -> Iterator[list[Elem
                 yield [row]
 
 
-Cells = tuple[np.ndarray, list[int], list[str]]
+Cells = tuple[np.ndarray, np.ndarray, pa.Array]
 
 
 class Columns(dict):
@@ -166,17 +167,75 @@ class Columns(dict):
         return n
 
 
-def _regular(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
-    """Cells of a sheet as long as its XML is as write_workbooks writes it; then how many rows and which was last, or None at the sheet's end.
+def _are(data: np.ndarray, at: np.ndarray, mark: bytes) -> bool:
+    """Whether a mark stands at all of these places."""
+    if not len(at):
+        return True
+    if at.min() < 0 or at.max() + len(mark) > len(data):
+        return False
+    return bool((np.lib.stride_tricks.sliding_window_view(data, len(mark))[at] == np.frombuffer(mark, np.uint8)).all())
+
+
+def _whole_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray | None:
+    """Numbers of one to nine digits between places, or None if one isn't such a number."""
+    lengths, out = end - start, np.zeros(len(start), np.int64)
+    if len(start) and (lengths.min() < 1 or lengths.max() > 9):
+        return None
+    for p in range(int(lengths.max(initial=0))):
+        there = lengths > p
+        digits = data[start[there] + p].astype(np.int64) - 48
+        if ((digits < 0) | (digits > 9)).any():
+            return None
+        out[there] = out[there] * 10 + digits
+    return out
 
-    A piece of whole rows counts if cells of that form make up all of it, and no character
-    in it has a meaning of its own to a parser.
-    """
-    by_letters, done, last = Columns(), 0, -1
+
+def _regular_cells(raw: bytes) -> tuple[Cells, int] | None:
+    """Cells and number of rows of XML that cells as write_workbooks writes them make up to the last byte; None of any other."""
+    data = np.frombuffer(raw, np.uint8)
+    begins, ends = np.flatnonzero(data == ord("<")), np.flatnonzero(data == ord(">"))
+    if len(begins) != len(ends) or len(raw) >= 1 << 31 or not ((begins < ends).all() and (ends[:-1] < begins[1:]).all()):
+        return None
+    tags = np.flatnonzero(data[begins + 1] == ord("c"))
+    if not len(tags) or tags[-1] + 5 >= len(begins):
+        return None
+    cell, text, text_end = begins[tags], ends[tags + 2] + 1, begins[tags + 3]
+    reference, reference_end, after = cell + len(CELL_BEGIN), text - len(TEXT_BEGIN), text_end + len(TEXT_END)
+    if not (_are(data, cell, CELL_BEGIN) and _are(data, reference_end, TEXT_BEGIN) and _are(data, text_end, TEXT_END)) or raw[after[-1] :] != ROW_END:
+        return None
+    opened = np.append(True, cell[1:] != after[:-1])
+    row_end, row = np.append(-len(ROW_END), after[:-1])[opened], cell[opened]
+    number = _whole_numbers(data, row_end + len(ROW_END + ROW_BEGIN), row - 2)
+    if number is None or not (_are(data, row_end[1:], ROW_END + ROW_BEGIN) and raw.startswith(ROW_BEGIN) and _are(data, row - 2, b'">')):
+        return None
+    letters, columns, going = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64), np.ones(len(cell), bool)
+    for p in range(4):
+        at = data[reference + p].astype(np.int64) - 64
+        going &= (at >= 1) & (at <= 26)
+        columns, letters = np.where(going, columns * 26 + at, columns), letters + going
+    own = _whole_numbers(data, reference + letters, reference_end)
+    rows = number[np.cumsum(opened) - 1]
+    if own is None or letters.min() < 1 or (own != rows).any():
+        return None
+    sizes = text_end - text
+    offsets = np.append(0, np.cumsum(sizes))
+    places = np.arange(offsets[-1]) + np.repeat(text - offsets[:-1], sizes)
+    texts = pa.StringArray.from_buffers(len(cell), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[places]))
+    if b"&" in raw:
+        for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            texts = pc.replace_substring(texts, entity, c)
+    rows, columns = rows - 1, columns - 1
+    if not sizes.all():
+        rows, columns, texts = rows[sizes > 0], columns[sizes > 0], texts.filter(pa.array(sizes > 0))
+    return (rows, columns, texts), len(number)
+
+
+def _regular(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
+    """Cells of a sheet as long as its XML is as write_workbooks writes it; then how many rows these were and the last one's number, or None at the sheet's end."""
+    done, last, left = 0, -1, b""
     with book.open(path) as stream:
         if stream.read(len(BEGIN)) != BEGIN:
             return done, last
-        left = b""
         while piece := stream.read(PIECE):
             left += piece
             end = left.rfind(ROW_END) + len(ROW_END)
@@ -186,32 +245,13 @@ def _regular(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
             if len(raw.translate(None, CONTROLS)) < len(raw) or any(x in raw for x in NO_CHARACTERS) or b"&" in raw and ENTITY.search(raw):
                 return done, last
             try:
-                whole = raw.decode()
+                raw.isascii() or raw.decode()
             except UnicodeDecodeError:
                 return done, last
-            found = CELL.findall(whole)
-            if not found:
-                return done, last
-            opens, letters, digits, texts, closes = zip(*found, strict=True)
-            opened = np.array(list(map(bool, opens)))
-            parts = sum(sum(map(len, x)) for x in (opens, letters, digits, texts, closes))
-            numbers = pa.array(digits).cast(pa.int64()).to_numpy()
-            if not (
-                parts + len(found) * CELL_MARKS + int(opened.sum()) * ROW_MARKS == len(whole)
-                and opened[0]
-                and closes[-1]
-                and np.array_equal(opened[1:], np.array(list(map(bool, closes[:-1])), bool))
-                and np.array_equal(opened[1:] | (numbers[1:] == numbers[:-1]), np.ones(len(found) - 1, bool))
-                and all(o == d for o, d in zip(opens, digits, strict=True) if o)
-            ):
+            if (found := _regular_cells(raw)) is None:
                 return done, last
-            done, last, rows, columns = done + int(opened.sum()), int(numbers[-1]) - 1, numbers - 1, list(map(by_letters.__getitem__, letters))
-            if "&" in whole:
-                texts = [unescape(t) if "&" in t else t for t in texts]
-            if "" in texts:
-                kept = [i for i, t in enumerate(texts) if t]
-                rows, columns, texts = rows[kept], [columns[i] for i in kept], [texts[i] for i in kept]
-            yield rows, columns, texts
+            done, last = done + found[1], int(raw[raw.rfind(ROW_BEGIN) + len(ROW_BEGIN) :].split(b'"', 1)[0]) - 1
+            yield found[0]
     return None if left == END else (done, last)
 
 
@@ -253,7 +293,7 @@ def cells_of(book: zipfile.ZipFile, path: str) -> Iterator[Cells]:
                         texts.append(text)
         except Exception as e:  # noqa: BLE001 - cells before it count
             failed = e
-        yield np.array(rows, np.int64), columns, texts
+        yield np.array(rows, np.int64), np.array(columns, np.int64), pa.array(texts, pa.string())
         if failed:
             raise failed
 
@@ -263,7 +303,7 @@ class Names(dict):
         return f"Unnamed: {column}"
 
 
-def with_headers(cells: Iterable[Cells]) -> Iterator[tuple[np.ndarray, list[int], list[str], list[str]]]:
+def with_headers(cells: Iterable[Cells]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
     """Cells below a sheet's first row, numbered from 0, with their column's name there.
 
     A name that comes again gets .1, .2 and so on, as a column without one is called Unnamed and its number.
@@ -273,13 +313,14 @@ def with_headers(cells: Iterable[Cells]) -> Iterator[tuple[np.ndarray, list[int]
         if first is None and len(rows):
             first = int(rows[0])
         if (rows == first).any():
-            for row, column, text in zip(rows, columns, texts, strict=True):
-                if row == first:
-                    n = seen[text] = seen.get(text, -1) + 1
-                    names[column] = text if not n else f"{text}.{n}"
-            below = np.flatnonzero(rows != first).tolist()
-            rows, columns, texts = rows[below], [columns[i] for i in below], [texts[i] for i in below]
-        yield rows - (first or 0) - 1, columns, texts, [names[c] for c in columns]
+            for i in np.flatnonzero(rows == first).tolist():
+                column, text = int(columns[i]), texts[i].as_py()
+                n = seen[text] = seen.get(text, -1) + 1
+                names[column] = text if not n else f"{text}.{n}"
+            below = rows != first
+            rows, columns, texts = rows[below], columns[below], texts.filter(pa.array(below))
+        there, nth = np.unique(columns, return_inverse=True)
+        yield rows - (first or 0) - 1, columns, texts, pa.array([names[int(c)] for c in there], pa.string()).take(pa.array(nth))
 
 
 @dataclass
@@ -332,7 +373,7 @@ class WorkbookReader(DataSourceReader):
             yield self._batch(scenario, partition.name, error=f"{type(e).__name__}: {e}")
 
     @staticmethod
-    def _batch(scenario: str, sheet: str | None, row: Any = (), column: list[int] = (), text: list[str] = (), header: list[str] | None = None, error: str | None = None) -> pa.RecordBatch:
+    def _batch(scenario: str, sheet: str | None, row: Any = (), column: Any = (), text: Any = (), header: Any = None, error: str | None = None) -> pa.RecordBatch:
         if error:
             row = column = text = [None]
         n = len(row)
@@ -640,9 +681,10 @@ def write_workbooks(cells: DataFrame, folder: str, overwrite: bool = False) -> N
     cells.sparkSession.dataSource.register(Workbooks)
     store, top = store_of(folder)
     staging = f"_staging-{uuid.uuid4().hex}"
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that blocks aren't put together by compressed size and sorted at once
     block = F.floor(F.col("row_idx") / BLOCK_ROWS)
-    dealt = cells.select(*[f.split()[0] for f in CELLS.split(", ")]).repartition("scenario_id", "sheet", block).sortWithinPartitions("scenario_id", "sheet", "row_idx", "col_idx")
-    places = dealt.mapInArrow(write_blocks(folder, staging), INDEX).repartition("scenario_id").sortWithinPartitions("scenario_id", "sheet", "block")
+    dealt = cells.select(*[f.split()[0] for f in CELLS.split(", ")]).repartition(n, "scenario_id", "sheet", block).sortWithinPartitions("scenario_id", "sheet", "row_idx", "col_idx")
+    places = dealt.mapInArrow(write_blocks(folder, staging), INDEX).repartition(min(n, 4 * cells.sparkSession.sparkContext.defaultParallelism), "scenario_id").sortWithinPartitions("scenario_id", "sheet", "block")
     store.create_dir(f"{top}/{staging}", recursive=True)
     try:
         places.write.format("workbooks").option("blocks", "true").mode("overwrite" if overwrite else "append").save(folder)

@@ -93,6 +93,10 @@ def test_large_sheets_in_bounded_memory(tmp_path):
     assert (seen, total) == (n, n * (n - 1) // 2) and peak < 24 << 20
 
 
+def flat(pieces):
+    return [x for rows, columns, texts in pieces for x in zip(rows.tolist(), columns.tolist(), texts.to_pylist(), strict=True)]
+
+
 def batch_of(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["scenario_id", "sheet", "row_idx", "col_idx", "value"])
 
@@ -113,8 +117,8 @@ def test_blocks_of_a_sheet_are_written_by_several_tasks(tmp_path):
     out.commit([out.write(iter([pa.RecordBatch.from_pylist(places)]))])
     with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
         assert z.testzip() is None and [name for name, _ in workbooks.sheets_of(z)] == ["none", "s <1>"]
-        assert [list(map(list, x)) for x in workbooks.cells_of(z, "xl/worksheets/sheet1.xml") if len(x[0])] == []
-        got = [x for cells in workbooks.cells_of(z, "xl/worksheets/sheet2.xml") for x in zip(*cells, strict=True)]
+        assert flat(workbooks.cells_of(z, "xl/worksheets/sheet1.xml")) == []
+        got = flat(workbooks.cells_of(z, "xl/worksheets/sheet2.xml"))
         assert got == [(r, c, v) for _, s, r, c, v in rows if s != "none" and v is not None]
         assert sum(len(x) for x in workbooks._rows(z, "xl/worksheets/sheet2.xml")) == 6
 
@@ -132,7 +136,7 @@ def test_sheets_read_by_pattern_and_by_parser_agree(tmp_path, odd):
     out.commit([out.write(iter([batch_of(rows)]))])
     with zipfile.ZipFile(tmp_path / "w.xlsx") as z, z.open("xl/worksheets/sheet1.xml") as stream:
         want = [(int(row.get("r")) - 1, workbooks.column_number(c.get("r")), c[0][0].text) for row in workbooks._pulled(stream, "row") for c in row if c[0][0].text]
-        got = [x for cells in workbooks.cells_of(z, "xl/worksheets/sheet1.xml") for x in zip(*cells, strict=True)]
+        got = flat(workbooks.cells_of(z, "xl/worksheets/sheet1.xml"))
         assert got == want and len(got) == 40_000 - (odd == "")
         parts = workbooks._regular(z, "xl/worksheets/sheet1.xml")
         read = sum(len(p[0]) for p in parts)
@@ -156,7 +160,7 @@ def test_irregular_rows_go_to_the_parser(tmp_path):
             got, failed = [], None
             try:
                 for cells in workbooks.cells_of(z, "s.xml"):
-                    got += zip(*cells, strict=True)
+                    got += flat([cells])
             except Exception as e:  # noqa: BLE001
                 failed = type(e).__name__
         assert (got, failed) == (want, error)
